@@ -21,6 +21,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: As _SPACE, with all other ASCII characters but letters and digits.
+_MARK = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _powers: list[np.ndarray] = []
 
 
@@ -46,13 +48,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _hash_piece(data: np.ndarray, bounds: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def _hash_piece(data: np.ndarray, bounds: np.ndarray, lower: bool, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of `data` and their first bytes' positions; no word spans one of `bounds`."""
     n = len(data)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     b = _LOWER[data] if lower else data
-    space = _SPACE[b]
+    space = between[b]
     cut = np.zeros(n + 1, dtype=bool)
     cut[bounds] = True
     cut[0] = cut[n] = True
@@ -82,8 +84,12 @@ def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
         at = to
 
 
-def hashed_words(column: pa.Array, *, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For slices of rows: (first row, word hashes of the slice, number of words of each row). Null texts have none."""
+def hashed_words(column: pa.Array, *, lower: bool = True, marks: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For slices of rows: (first row, word hashes of the slice, number of words of each row). Null texts have none.
+
+    marks: ASCII punctuation also ends a word and belongs to none.
+    """
+    between = _MARK if marks else _SPACE
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -95,11 +101,11 @@ def hashed_words(column: pa.Array, *, lower: bool = True) -> Iterator[tuple[int,
         to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE, side="right")) - 1)
         span = data[offsets[row] : offsets[to]]
         if len(span) > PIECE:  # one long text
-            hashes = np.concatenate([_hash_piece(p, np.empty(0, np.int64), lower)[0] for p in _pieces(span)])
+            hashes = np.concatenate([_hash_piece(p, np.empty(0, np.int64), lower, between)[0] for p in _pieces(span)])
             yield row, hashes, np.array([len(hashes)])
         else:
             local = offsets[row : to + 1] - offsets[row]
-            hashes, start = _hash_piece(span, local, lower)
+            hashes, start = _hash_piece(span, local, lower, between)
             yield row, hashes, np.diff(np.searchsorted(start, local))
         row = to
 
