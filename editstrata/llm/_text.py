@@ -48,8 +48,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _hash_piece(data: np.ndarray, bounds: np.ndarray, lower: bool, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of `data` and their first bytes' positions; no word spans one of `bounds`."""
+def _hash_piece(data: np.ndarray, bounds: np.ndarray, lower: bool, between: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of `data` and their first bytes' positions; no word spans one of `bounds`.
+
+    prefixes: also the first so many bytes of longer words, after all words.
+    """
     n = len(data)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -69,7 +72,15 @@ def _hash_piece(data: np.ndarray, bounds: np.ndarray, lower: bool, between: np.n
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
     np.cumsum(_BYTE[b] * power[:n], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)), start
+    hashes = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    if not prefixes:
+        return hashes, start
+    starts, found = [start], [hashes]
+    for k in prefixes:
+        longer = start[end - start > k]
+        starts.append(longer)
+        found.append(mix((total[longer + k] - total[longer]) * inverse[longer] + np.uint64(k << 32)))
+    return np.concatenate(found), np.concatenate(starts)
 
 
 def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
@@ -84,19 +95,42 @@ def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
         at = to
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts and where each begins; nulls are empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    buf = column.buffers()[2]
+    return np.frombuffer(buf, np.uint8) if buf is not None and buf.size else np.empty(0, np.uint8), offsets
+
+
+def hashed_stems(column: pa.Array, prefixes: tuple[int, ...]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For slices of rows: (first row, number of rows, hashes of lower-cased words and of their prefixes, each hash's row in the slice)."""
+    data, offsets = _flat(column)
+    row, rows = 0, len(offsets) - 1
+    while row < rows:
+        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE, side="right")) - 1)
+        span = data[offsets[row] : offsets[to]]
+        if len(span) > PIECE:  # one long text
+            hashes = np.concatenate([_hash_piece(p, np.empty(0, np.int64), True, _MARK, prefixes)[0] for p in _pieces(span)])
+            owner = np.zeros(len(hashes), np.int64)
+        else:
+            local = offsets[row : to + 1] - offsets[row]
+            hashes, start = _hash_piece(span, local, True, _MARK, prefixes)
+            owner = np.searchsorted(local, start, side="right") - 1
+        yield row, to - row, hashes, owner
+        row = to
+
+
 def hashed_words(column: pa.Array, *, lower: bool = True, marks: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For slices of rows: (first row, word hashes of the slice, number of words of each row). Null texts have none.
 
     marks: ASCII punctuation also ends a word and belongs to none.
     """
     between = _MARK if marks else _SPACE
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    buf = column.buffers()[2]
-    data = np.frombuffer(buf, np.uint8) if buf is not None and buf.size else np.empty(0, np.uint8)
-    row, rows = 0, len(column)
+    data, offsets = _flat(column)
+    row, rows = 0, len(offsets) - 1
     while row < rows:
         to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE, side="right")) - 1)
         span = data[offsets[row] : offsets[to]]

@@ -1,6 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over word presence is trained in numpy from confirmed toxic documents
+A linear classifier over words and word beginnings (found once, twice, three times or more)
+is trained in numpy from confirmed toxic documents
 and from unlabelled text. The risk of the negative class is estimated on the unlabelled
 texts less the class prior's share of positives, and is kept from falling below zero; so
 the logistic output estimates the probability of being toxic although no clean document is marked as such.
@@ -20,12 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import written
-from ._text import hashed_words
+from ._text import hashed_stems
 
 #: Most positives, and most unlabelled texts, of the training sample.
-FIT_ROWS = 10_000
-#: Most words in the model, and documents that a word must be in.
-WORDS, LEAST_DOCS = 1024, 4
+FIT_ROWS = 8_000
+#: Most words and beginnings in the model, and documents that one must be in.
+WORDS, LEAST_DOCS = 400, 4
+#: Lengths of word beginnings in bytes, and counts in a text that make features.
+PREFIXES, LEVELS = (5, 6, 7), (1, 2, 3)
 #: Score from which a text is predicted toxic.
 CUT = 0.3
 
@@ -37,35 +40,35 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass(frozen=True)
 class Classifier:
-    """Weights of words by sorted hash."""
+    """Weights (a row a word, a column a level) of words by sorted hash."""
 
     words: np.ndarray
     weights: np.ndarray
     bias: float
 
-    def score(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Probability for each row of hashed words."""
-        row, k = _present(self.words, hashes, counts)
-        z = self.bias + np.bincount(row, self.weights[k], len(counts))
+    def score(self, hashes: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+        """Probability for each of `rows` rows."""
+        row, k, n = _present(self.words, hashes, owner)
+        z = np.full(rows, self.bias)
+        for level, least in enumerate(LEVELS):
+            z += np.bincount(row[n >= least], self.weights[k[n >= least], level], rows)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _present(words: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, index of word) for each model word in each row, once."""
+def _present(words: np.ndarray, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, index of word, times) for each model word in each row."""
     if not len(words) or not len(hashes):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return (np.empty(0, np.int64),) * 3
     at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-    hit = np.flatnonzero(words[at] == hashes)
-    row = np.searchsorted(np.cumsum(counts), hit, side="right")
-    both = np.unique(row * len(words) + at[hit])
-    return both // len(words), both % len(words)
+    hit = words[at] == hashes
+    both, n = np.unique(owner[hit] * len(words) + at[hit], return_counts=True)
+    return both // len(words), both % len(words), n
 
 
-def _train(x: np.ndarray, positive: np.ndarray, prior: float, *, steps: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def _train(x: np.ndarray, positive: np.ndarray, prior: float, *, steps: int = 300, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Minimises prior * R_P(+) + max(0, R_U(-) - prior * R_P(-)) with logistic losses, by Adam over all rows."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    p, u = x[positive], x[~positive]
-    w = np.zeros(x.shape[1])
+    p, u = (np.hstack([x[k], np.ones((int(k.sum()), 1), x.dtype)]) for k in (positive, ~positive))
+    w = np.zeros(x.shape[1] + 1, x.dtype)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -83,18 +86,17 @@ def _train(x: np.ndarray, positive: np.ndarray, prior: float, *, steps: int = 40
 def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         positive = batch.column(1).to_numpy(zero_copy_only=False)
-        for row, hashes, counts in hashed_words(batch.column(0), marks=True):
-            owner = np.repeat(np.arange(len(counts)), counts)
+        for row, _, hashes, owner in hashed_stems(batch.column(0), PREFIXES):
             order = np.lexsort((hashes, owner))
             h, o = hashes[order], owner[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(positive[row + o[new]].astype(np.int32))], ["word", "positive"])
+            first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (o[1:] != o[:-1]))) if len(h) else np.empty(0, np.int64)
+            times = np.diff(np.append(first, len(h)))
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(times.astype(np.int32)), pa.array(positive[row + o[first]].astype(np.int32))], ["word", "times", "positive"])
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS) -> Classifier:
     """The classifier from confirmed toxic and unlabelled documents outside the held-out fold; without positives it scores all texts 0."""
-    none = Classifier(np.empty(0, np.uint64), np.empty(0), -30.0)
+    none = Classifier(np.empty(0, np.uint64), np.empty((0, len(LEVELS))), -30.0)
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = known.agg(F.avg("toxic").alias("prior"), F.sum("toxic").alias("n")).first()
     if not total["n"]:
@@ -112,28 +114,37 @@ def fit(documents: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS) ->
     if not (size.get(True) and size.get(False)):
         return none
     np_, nu = float(size[True]), float(size[False])
-    freq = sample.mapInArrow(_distinct_words, "word long, positive int").groupBy("word").agg(F.sum("positive").cast("double").alias("p"), F.count("*").cast("double").alias("n")).filter(F.col("n") >= LEAST_DOCS)
-    share = F.col("n") / (np_ + nu)
-    z = F.abs(F.col("p") / np_ - (F.col("n") - F.col("p")) / nu) / F.sqrt(share * (1 - share + 1e-9) * (1 / np_ + 1 / nu))
-    words = np.sort(np.array([r["word"] for r in freq.withColumn("z", z).filter("z > 3").orderBy(F.desc("z"), "word").limit(WORDS).collect()], np.int64).view(np.uint64))
+    found = sample.mapInArrow(_distinct_words, "word long, times int, positive int")
+    level = [(F.col("times") >= k).cast("int") for k in LEVELS]
+    freq = found.groupBy("word").agg(F.count("*").alias("n"), *(F.sum(x * F.col("positive")).alias(f"p{k}") for k, x in enumerate(level)), *(F.sum(x).alias(f"n{k}") for k, x in enumerate(level)))
+
+    def stands_out(k: int) -> Column:
+        p, n = F.col(f"p{k}"), F.col(f"n{k}")
+        share = n / (np_ + nu)
+        return F.when(n > 0, F.abs(p / np_ - (n - p) / nu) / F.sqrt(share * (1 - share + 1e-9) * (1 / np_ + 1 / nu))).otherwise(0.0)
+
+    chosen_words = freq.filter(F.col("n") >= LEAST_DOCS).withColumn("z", F.greatest(*map(stands_out, range(len(LEVELS))))).filter("z > 4").orderBy(F.desc("z"), "word").limit(WORDS)
+    words = np.sort(np.array([r["word"] for r in chosen_words.collect()], np.int64).view(np.uint64))
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, hashes, counts in hashed_words(batch.column(0), marks=True):
-                r, k = _present(words, hashes, counts)
-                at = np.searchsorted(r, np.arange(len(counts) + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, len(counts)), pa.ListArray.from_arrays(at, pa.array(k.astype(np.int32)))], ["positive", "words"])
+            for row, rows, hashes, owner in hashed_stems(batch.column(0), PREFIXES):
+                r, k, n = _present(words, hashes, owner)
+                at = np.searchsorted(r, np.arange(rows + 1)).astype(np.int32)
+                packed = k * len(LEVELS) + np.minimum(n, LEVELS[-1]) - 1
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, rows), pa.ListArray.from_arrays(at, pa.array(packed.astype(np.int32)))], ["positive", "words"])
 
     rows = sample.mapInArrow(presence, "positive boolean, words array<int>").toArrow()
     positive = rows.column("positive").to_numpy().astype(bool)
-    lists = rows.column("words").combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.chunk(0)
-    x = np.zeros((len(positive), len(words)), np.float32)
-    x[np.repeat(np.arange(len(positive)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = 1
-    order = np.lexsort((x @ np.arange(1, len(words) + 1, dtype=np.float64), positive))  # the same sums whatever the order of rows
+    lists = pa.concat_arrays(rows.column("words").chunks)
+    owner, packed = np.repeat(np.arange(len(positive)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    x = np.zeros((len(positive), len(words) * len(LEVELS)), np.float32)
+    for k in range(len(LEVELS)):
+        reached = packed % len(LEVELS) >= k
+        x[owner[reached], packed[reached] // len(LEVELS) * len(LEVELS) + k] = 1
+    order = np.lexsort((x @ np.arange(1, x.shape[1] + 1, dtype=np.float32), positive))  # the same sums whatever the order of rows
     weights, bias = _train(x[order], positive[order], prior)
-    return Classifier(words, weights, bias)
+    return Classifier(words, weights.reshape(-1, len(LEVELS)).astype(np.float64), bias)
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame, *, cut: float = CUT, **options) -> DataFrame:
@@ -148,9 +159,9 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, *, cut: float = CUT
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, hashes, counts in hashed_words(batch.column(2), marks=True):
-                score = model.score(hashes, counts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(counts)), batch.column(1).slice(row, len(counts)), pa.array(score), pa.array((score >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            for row, rows, hashes, owner in hashed_stems(batch.column(2), PREFIXES):
+                score = model.score(hashes, owner, rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, rows), batch.column(1).slice(row, rows), pa.array(score), pa.array((score >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     doc_id = F.col("doc_id").cast("long")
     return documents.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "text").mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
