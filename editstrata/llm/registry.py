@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash_dedup, quality_rules, sharding, toxicity, url_filter
+from . import lm_scoring, minhash_dedup, quality_rules, sharding, source_mixing, toxicity, url_filter
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,13 +28,25 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return toxicity.toxicity_scores(documents, labels)
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    good = labels.filter("quality = 1").select("doc_id").distinct()
+    few = good.count() <= minhash_dedup.BROADCAST_IDS
+    target = documents.join(F.broadcast(good) if few else good, "doc_id", "left_semi")
+    return lm_scoring.cross_entropy_differences(documents, target)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_minhash_dedup, op6_url_filter, op7_sharding, op9_toxicity)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_minhash_dedup, op6_url_filter, op7_sharding, op8_source_mixing, op9_toxicity, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
