@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_scoring, minhash_dedup, quality_rules, sharding, source_mixing, toxicity, url_filter
+from . import decontamination, lm_scoring, minhash_dedup, quality_rules, sharding, source_mixing, toxicity, url_filter
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle_words=2, percent=80)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return decontamination.contaminations(documents, benchmark)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.RULES)
 
@@ -46,7 +51,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_minhash_dedup, op6_url_filter, op7_sharding, op8_source_mixing, op9_toxicity, op10_lm_scoring)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_minhash_dedup, op4_decontamination, op6_url_filter, op7_sharding, op8_source_mixing, op9_toxicity, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
