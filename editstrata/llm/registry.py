@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, lm_scoring, minhash_dedup, quality_rules, sharding, source_mixing, toxicity, url_filter
+from . import chat_format, decontamination, lm_scoring, minhash_dedup, quality_rules, sharding, source_mixing, toxicity, url_filter
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return chat_format.digests(chat_format.formatted_turns(rows.unionByName(extra)))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +58,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_minhash_dedup, op4_decontamination, op6_url_filter, op7_sharding, op8_source_mixing, op9_toxicity, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_minhash_dedup, op4_decontamination, op6_url_filter, op7_sharding, op8_source_mixing, op9_toxicity, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_format": chat_format.DIGESTS_SQL}
