@@ -1,5 +1,50 @@
-"""A corpus pipeline."""
+"""A corpus pipeline: quality rules, near duplicates, benchmark leaks, source mixing, shards.
+
+Each stage gets what its predecessor kept, written and read again. It counts as part of editstrata.llm.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from editstrata.llm import decontamination, minhash_dedup, quality_rules, sharding, source_mixing
+from editstrata.llm._store import written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.passing(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, similarity 0.8) stays."""
+    return minhash_dedup.deduplicated(docs, shingle_words=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample of the documents, in the target weights of source, language and topic."""
+    return source_mixing.sampled(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's shard of 16, of nearly equal bytes, and its place in it."""
+    return sharding.shards(docs, 16)
+
+
+STAGES = [("quality_rules", quality), ("minhash_dedup", near_duplicates), ("decontamination", decontaminate), ("source_mixing", mix), ("sharding", shard)]
+
+#: The boosted trees and the fitted proportions cannot be said in SQL; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, applied to the table of documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,9 +6,13 @@ That cuts the lineage, so that an executor lost later costs no recomputation.
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -31,3 +35,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/editstrata/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sent(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A function that gives `value` in tasks, broadcast with its class's code. Only for values of bounded size."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    cache: list[Any] = []
+
+    def get() -> Any:
+        if not cache:
+            cache.append(pickle.loads(held.value))
+        return cache[0]
+
+    return get

@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import sent
 from ._text import hashed_words
 
 #: Items in a block.
@@ -232,7 +233,7 @@ def contaminations(documents: DataFrame, benchmark: DataFrame, *, share: float =
     """
     schema = "doc_id long, item_id long, question_overlap double, answer_overlap double"
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = [rows.mapInArrow(_reporting(documents.sparkSession.sparkContext.broadcast(index), overlap), schema) for index in indexes(benchmark, share=share)]
+    found = [rows.mapInArrow(_reporting(sent(documents.sparkSession, index), overlap), schema) for index in indexes(benchmark, share=share)]
     if not found:
         return documents.sparkSession.createDataFrame([], schema)
     out = found[0]
@@ -244,7 +245,7 @@ def contaminations(documents: DataFrame, benchmark: DataFrame, *, share: float =
 def _reporting(index, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(index.value.leaks(batch.column(1), overlap))
+            found = list(index().leaks(batch.column(1), overlap))
             ids = batch.column(0).take(pa.array([x[0] for x in found], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[k] for x in found], t) for k, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64())))], ["doc_id", "item_id", "question_overlap", "answer_overlap"])
 
@@ -259,12 +260,12 @@ def clean(documents: DataFrame, benchmark: DataFrame, *, share: float = SHARE, o
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(len(batch), bool)
-                keep[[x[0] for x in index.value.leaks(batch.column(columns.index("text")), overlap)]] = False
+                keep[[x[0] for x in index().leaks(batch.column(columns.index("text")), overlap)]] = False
                 yield batch.filter(pa.array(keep))
 
         return run
 
     out = documents
     for index in indexes(benchmark, share=share):
-        out = out.mapInArrow(without(documents.sparkSession.sparkContext.broadcast(index)), documents.schema)
+        out = out.mapInArrow(without(sent(documents.sparkSession, index)), documents.schema)
     return out

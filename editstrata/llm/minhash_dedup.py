@@ -193,21 +193,11 @@ def _texts_of(documents: DataFrame, feats: DataFrame, fps: DataFrame) -> DataFra
     return documents.join(F.broadcast(ids) if few else ids, same).select("fp", "text")
 
 
-def near_duplicates(documents: DataFrame, *, shingle_words: int = 5, percent: int = 80, width: int = WIDTH, halves: int = HALVES) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of `documents` (doc_id, text).
-
-    A text's set holds its distinct word shingles (A-Z lower-cased); with fewer words than
-    `shingle_words` the whole sequence is its only shingle. Texts whose sets have
-    100 * intersection >= percent * union are linked; component_id is the least doc_id
-    reachable over links and kept marks the documents whose id it is.
-
-    Null and empty texts have an empty set, are linked with nothing and kept. Rows with a
-    null doc_id are grouped but never name a component while another id is there.
-    Repeated rows of one doc_id each get a row. Other columns are ignored; an empty table gives an empty result.
-    """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
+def _grouped(documents: DataFrame, shingle_words: int, percent: int, width: int, halves: int) -> DataFrame:
+    """row (a hash of id and text), doc_id, n_shingles, component_id and first (the row that stands for the component) of every row."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"))
     feats = written(docs.mapInArrow(_features(shingle_words, width, halves), _FEATURES), "features")
-    classes = feats.filter(F.length("fp") > 0).groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
+    classes = feats.filter(F.length("fp") > 0).groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rank"), "row", "doc_id")).alias("least"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
     classes = written(classes, "classes")
     slim = classes.select("fp", F.posexplode("a").alias("i", "key"))
     shared = slim.groupBy("i", "key").agg(F.count("*").alias("size")).filter("size > 1")
@@ -249,19 +239,45 @@ def near_duplicates(documents: DataFrame, *, shingle_words: int = 5, percent: in
 
     named = classes.select("fp", "least").join(comps, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("comp"))
     named = written(named, "named")
-    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "comp").select("fp", "component_id")
-    out = feats.select("doc_id", "n_shingles", "fp").join(named, "fp", "left")
-    component = F.when(F.length("fp") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    least = named.groupBy("comp").agg(F.min("least").alias("first"))
+    named = named.join(least, "comp").select("fp", "first")
+    out = feats.select("row", "doc_id", "n_shingles", "fp").join(named, "fp", "left")
+    alone = F.length("fp") == 0
+    return out.select("row", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), F.when(alone, F.col("row")).otherwise(F.col("first.row")).alias("first"))
+
+
+def near_duplicates(documents: DataFrame, *, shingle_words: int = 5, percent: int = 80, width: int = WIDTH, halves: int = HALVES) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of `documents` (doc_id, text).
+
+    A text's set holds its distinct word shingles (A-Z lower-cased); with fewer words than
+    `shingle_words` the whole sequence is its only shingle. Texts whose sets have
+    100 * intersection >= percent * union are linked; component_id is the least doc_id
+    reachable over links and kept marks the documents whose id it is.
+
+    Null and empty texts have an empty set, are linked with nothing and kept. Rows with a
+    null doc_id are grouped but never name a component while another id is there.
+    Repeated rows of one doc_id each get a row. Other columns are ignored; an empty table gives an empty result.
+    """
+    found = _grouped(documents, shingle_words, percent, width, halves)
+    component = F.col("component_id")
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
-def deduplicated(documents: DataFrame, **options) -> DataFrame:
+def deduplicated(documents: DataFrame, *, shingle_words: int = 5, percent: int = 80, width: int = WIDTH, halves: int = HALVES) -> DataFrame:
     """The rows of `documents` of which one stays for each group of near duplicates; all columns are kept.
 
-    The row of the group's least doc_id stays; of repeated rows with that id one stays.
-    Rows with a null doc_id stay only where their group has no other id.
+    The row of the group's least doc_id stays, null ids last; of rows that repeat its id and text one stays.
+    Rows with null or empty texts are groups of their own. Texts are shuffled only if very many rows go.
     """
-    found = near_duplicates(documents, **options).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    kept = documents.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    found = written(_grouped(documents, shingle_words, percent, width, halves).select("row", "first"), "grouped")
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    gone = found.filter("row != first").select(F.col("row").alias("_row")).distinct()
+    few = gone.count() <= BROADCAST_IDS
+    kept = documents.join(F.broadcast(gone) if few else gone, row == F.col("_row"), "left_anti")
+    twice = written(found.filter("row = first").groupBy(F.col("row").alias("_row")).count().filter("count > 1").select("_row"), "twice")
+    if twice.isEmpty():
+        return kept
+    few = twice.count() <= BROADCAST_IDS
+    side = F.broadcast(twice) if few else twice
+    one = kept.withColumn("_row", row).join(side, "_row", "left_semi").dropDuplicates(["_row"]).select(*documents.columns)
+    return kept.join(side, row == F.col("_row"), "left_anti").unionByName(one)

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, lm_scoring, minhash_dedup, quality_rules, sharding, source_mixing, toxicity, url_filter
+import corpus_pipeline
+
+from . import chat_format, decontamination, lm_scoring, minhash_dedup, pii_surrogates, quality_rules, sharding, source_mixing, toxicity, url_filter
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +33,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminations(documents, benchmark)
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return pii_surrogates.with_surrogates(documents, key="a secret of the corpus's owner")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.RULES)
 
@@ -58,7 +65,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_minhash_dedup, op4_decontamination, op6_url_filter, op7_sharding, op8_source_mixing, op9_toxicity, op10_lm_scoring)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_minhash_dedup, op4_decontamination, op5_pii_surrogates, op6_url_filter, op7_sharding, op8_source_mixing, op9_toxicity, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
