@@ -89,29 +89,46 @@ def unflattened(values: Column, stride: Column) -> Column:
     return F.when(n < 1, F.array().cast("array<array<double>>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.slice(values, (k - 1) * stride + 1, stride)))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def decomposed(m: Column) -> Column:
     """Translation, rotation and scale of a matrix without shear; a reflection goes into the x scale.
 
     The rotation comes from the largest of the four quaternion components, which avoids small divisors.
     """
-    e = lambda i, j: m[4 * i + j]
-    norm = [F.sqrt(e(i, 0) * e(i, 0) + e(i, 1) * e(i, 1) + e(i, 2) * e(i, 2)) for i in range(3)]
-    det = e(0, 0) * (e(1, 1) * e(2, 2) - e(1, 2) * e(2, 1)) - e(0, 1) * (e(1, 0) * e(2, 2) - e(1, 2) * e(2, 0)) + e(0, 2) * (e(1, 0) * e(2, 1) - e(1, 1) * e(2, 0))
-    scale = [F.when(det < 0, -norm[0]).otherwise(norm[0]), norm[1], norm[2]]
-    r = [[e(i, j) / scale[i] for j in range(3)] for i in range(3)]
-    trace = r[0][0] + r[1][1] + r[2][2]
-    square = [1 + trace, 1 + 2 * r[0][0] - trace, 1 + 2 * r[1][1] - trace, 1 + 2 * r[2][2] - trace]
-    # four times the products of components, from sums and differences across the diagonal
-    wx, wy, wz = r[1][2] - r[2][1], r[2][0] - r[0][2], r[0][1] - r[1][0]
-    xy, xz, yz = r[0][1] + r[1][0], r[0][2] + r[2][0], r[1][2] + r[2][1]
-    products = [[square[0], wx, wy, wz], [wx, square[1], xy, xz], [wy, xy, square[2], yz], [wz, xz, yz, square[3]]]
-    best = F.greatest(*square)
-    q = None
-    for k in range(4):
-        root = 2 * F.sqrt(square[k])
-        row = F.array(*(products[k][j] / root for j in range(4)))
-        q = F.when(square[k] == best, row) if q is None else q.when(square[k] == best, row)
-    return F.struct(F.array(e(3, 0), e(3, 1), e(3, 2)).alias("t"), q.alias("r"), F.array(*scale).alias("s"))
+
+    def scales(e: Column) -> Column:
+        norm = [F.sqrt(sum((e[4 * i + j] * e[4 * i + j] for j in range(1, 3)), e[4 * i] * e[4 * i])) for i in range(3)]
+        minor = lambda j, k: e[4 + j] * e[8 + k] - e[4 + k] * e[8 + j]
+        det = e[0] * minor(1, 2) - e[1] * minor(0, 2) + e[2] * minor(0, 1)
+        return F.array(F.when(det < 0, -norm[0]).otherwise(norm[0]), norm[1], norm[2])
+
+    def rotation(r: Column) -> Column:
+        at = lambda i, j: r[3 * i + j]
+        trace = at(0, 0) + at(1, 1) + at(2, 2)
+        squares = F.array(1 + trace, *(1 + 2 * at(k, k) - trace for k in range(3)))
+
+        def chosen(q: Column) -> Column:
+            # four times the products of components, from sums and differences across the diagonal
+            wx, wy, wz = at(1, 2) - at(2, 1), at(2, 0) - at(0, 2), at(0, 1) - at(1, 0)
+            xy, xz, yz = at(0, 1) + at(1, 0), at(0, 2) + at(2, 0), at(1, 2) + at(2, 1)
+            products = [[q[0], wx, wy, wz], [wx, q[1], xy, xz], [wy, xy, q[2], yz], [wz, xz, yz, q[3]]]
+            best = F.array_max(q)
+            row = None
+            for k in range(4):
+                row = F.when(q[k] == best, F.array(*products[k])) if row is None else row.when(q[k] == best, F.array(*products[k]))
+            return F.transform(row, lambda x: x / (2 * F.sqrt(best)))
+
+        return _let(squares, chosen)
+
+    def whole(s: Column) -> Column:
+        r = F.array(*(m[4 * i + j] / s[i] for i in range(3) for j in range(3)))
+        return F.struct(F.array(m[12], m[13], m[14]).alias("t"), _let(r, rotation).alias("r"), s.alias("s"))
+
+    return _let(scales(m), whole)
 
 
 def wave_grid(spark: SparkSession, n: int, size: float, waves: list[tuple[float, float, float]]) -> DataFrame:

@@ -1 +1,120 @@
-"""Queries."""
+"""Queries on vectors, rotations, matrices and other values."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import math3d, scalars
+from ..operators import inspect, materials, scans, validate
+from ..sources.edit_log import EDITS_SQL, edits, layers
+from .registry import query
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+
+
+def spread(name: str, v: Column, n: int) -> list[Column]:
+    return [F.round(v[k], 6).alias(f"{name}{k}") for k in range(n)]
+
+
+V = "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)\n"
+
+
+@query(V + """SELECT vec_id, round(e[1]*e[5]-e[2]*e[6]-e[3]*e[7]-e[4]*e[8], 6) AS p0, round(e[1]*e[6]+e[2]*e[5]+e[3]*e[8]-e[4]*e[7], 6) AS p1, round(e[1]*e[7]-e[2]*e[8]+e[3]*e[5]+e[4]*e[6], 6) AS p2, round(e[1]*e[8]+e[2]*e[7]-e[3]*e[6]+e[4]*e[5], 6) AS p3,
+round(e[1], 6) AS c0, round(-e[2], 6) AS c1, round(-e[3], 6) AS c2, round(-e[4], 6) AS c3 FROM v""")
+def quaternion_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.slice("e", 1, 4), F.slice("e", 5, 4)
+    return vectors(spark, sf_dir).select("vec_id", *spread("p", math3d.quaternion_product(a, b), 4), *spread("c", math3d.conjugate(a), 4))
+
+
+@query(V + """, h AS (SELECT *, sqrt(0.5) AS h FROM v) SELECT vec_id, round(e[1], 6) AS v0, round(-e[3], 6) AS v1, round(e[2], 6) AS v2, round(e[1], 6) AS s0, round(e[3], 6) AS s1, round(e[2], 6) AS s2, round(e[1], 6) AS q0, round(e[2], 6) AS q1, round(-e[4], 6) AS q2, round(e[3], 6) AS q3,
+round(h*e[1]-h*e[2], 6) AS a0, round(h*e[2]+h*e[1], 6) AS a1, round(h*e[3]-h*e[4], 6) AS a2, round(h*e[4]+h*e[3], 6) AS a3, round(e[4], 6) AS w0, round(e[1], 6) AS w1 FROM h""")
+def axis_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("e")
+    return vectors(spark, sf_dir).select("vec_id", *spread("v", math3d.y_up_to_z_up(e), 3), *spread("s", math3d.y_up_to_z_up_scale(e), 3), *spread("q", math3d.y_up_to_z_up_rotation(e), 4), *spread("a", math3d.with_axis_rotation(e), 4), *spread("w", math3d.scalar_last_to_first(e), 2))
+
+
+@query(V + """, s AS (SELECT vec_id, abs(e[1]) + 0.1 AS a, abs(e[2]) + 0.1 AS b, (abs(e[3]) + 0.1) * CASE label % 2 WHEN 0 THEN 1 ELSE -1 END AS c, e, label, e[4] * 3 AS g FROM v)
+SELECT vec_id, round(e[5], 6) AS t0, round(e[6], 6) AS t1, round(e[7], 6) AS t2, round(CASE label % 2 WHEN 0 THEN a ELSE -a END, 6) AS s0, round(b, 6) AS s1, round(abs(c), 6) AS s2 FROM s""")
+def decomposed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matrices of a scale, a turn about z and a shift; every second one has a reflection."""
+    v = vectors(spark, sf_dir)
+    e = F.col("e")
+    a, b = F.abs(e[0]) + 0.1, F.abs(e[1]) + 0.1
+    c = (F.abs(e[2]) + 0.1) * F.when(F.col("label") % 2 == 0, 1).otherwise(-1)
+    co, si, o = F.cos(e[3] * 3), F.sin(e[3] * 3), F.lit(0.0)
+    m = F.array(a * co, a * si, o, o, -b * si, b * co, o, o, o, o, c, o, e[4], e[5], e[6], F.lit(1.0))
+    d = math3d.decomposed(m)
+    return v.select("vec_id", d.alias("d")).select("vec_id", *spread("t", F.col("d.t"), 3), *spread("s", F.col("d.s"), 3))
+
+
+@query(V + """, a AS (SELECT vec_id, e[1] * 90 AS x, e[2] * 90 AS y FROM v), h AS (SELECT *, radians(x) / 2 AS hx, radians(y) / 2 AS hy FROM a)
+SELECT vec_id, round(cos(hy) * cos(hx), 6) AS q0, round(cos(hy) * sin(hx), 6) AS q1, round(sin(hy) * cos(hx), 6) AS q2, round(-sin(hy) * sin(hx), 6) AS q3 FROM h""")
+def euler_rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("e")
+    q = math3d.from_euler(F.array(e[0] * 90, e[1] * 90, F.lit(0.0)), "XYZ")
+    return vectors(spark, sf_dir).select("vec_id", *spread("q", q, 4))
+
+
+@query(V + "SELECT vec_id, i AS row, round(e[3 * i + 1], 6) AS x, round(e[3 * i + 2], 6) AS y, round(e[3 * i + 3], 6) AS z FROM v, range(0, 5) t(i)")
+def strided_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir).select("vec_id", F.posexplode(math3d.unflattened(F.slice("e", 1, 15), F.lit(3))).alias("row", "p"))
+    return rows.select("vec_id", F.col("row").cast("long").alias("row"), *(F.round(F.col("p")[k], 6).alias(c) for k, c in enumerate("xyz")))
+
+
+@query(V + ", l AS (SELECT *, lag(e) OVER (ORDER BY vec_id) AS b FROM v) SELECT vec_id, b IS NOT NULL AND list_max([abs(z[1] - z[2]) FOR z IN list_zip(e, b)]) <= 0.5 AS near, e[1] > -1e300 AND e[1] < 1e300 AS finite FROM l")
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    other = v.select((F.col("vec_id") + 1).alias("vec_id"), F.col("e").alias("b"))
+    rows = v.join(other, "vec_id", "left")
+    return rows.select("vec_id", (F.col("b").isNotNull() & scalars.near(F.col("e"), F.col("b"), 0.5)).alias("near"), scalars.finite(F.col("e")[0]).alias("finite"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'inputs' WHEN p_partkey % 3 = 1 THEN 'outputs' END AS part, CASE WHEN p_partkey % 3 < 2 THEN p_name END AS base, CASE WHEN p_partkey % 4 < 3 THEN 'mix' || (p_partkey % 5) END AS category, CASE p_partkey % 4 WHEN 0 THEN 'color3' WHEN 1 THEN 'float' WHEN 2 THEN 'vector3' END AS type FROM part")
+def shader_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    name = F.expr("concat(case p_partkey % 3 when 0 then 'inputs:' when 1 then 'outputs:' else 'x:' end, p_name)")
+    node = F.expr("concat('ND_mix', p_partkey % 5, '_', element_at(array('color3', 'float', 'vector3', 'nothing'), cast(p_partkey % 4 + 1 as int)))")
+    return p.select("p_partkey", scalars.connectable_part(name).alias("part"), scalars.connectable_base(name).alias("base"), scalars.node_category(node).alias("category"), scalars.node_type(node).alias("type"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 1 THEN 'invalid_identity' WHEN 2 THEN 'unexpected_id' WHEN 3 THEN 'stale_layer_graph' WHEN 4 THEN 'invalid_transaction' ELSE 'unknown_' || (o_orderkey % 6) END AS name, CASE o_orderkey % 6 WHEN 3 THEN 'recoverable_conflict' WHEN 4 THEN 'invalid_operation' ELSE 'session_fatal' END AS disposition, CASE WHEN s >= 3600 THEN (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' WHEN s >= 60 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE s || 's' END AS uptime FROM (SELECT o_orderkey, CAST(o_orderkey * 7 % 9000 AS BIGINT) AS s FROM orders)")
+def rejection_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    code = (F.col("o_orderkey") % 6).cast("int")
+    return o.select("o_orderkey", scalars.rejection_name(code).alias("name"), scalars.rejection_disposition(code).alias("disposition"), scalars.uptime(F.col("o_orderkey") * 7 % 9000).alias("uptime"))
+
+
+@query("SELECT p_partkey, round(p_retailprice / 1000, 6) AS base, round(coalesce(CASE WHEN p_size % 3 > 0 THEN p_size / 50.0 END, 0.3) * (1 - CASE WHEN p_size % 5 = 0 THEN 0.0 ELSE p_size / 100.0 END), 6) AS specular_roughness, round(CASE WHEN p_size % 5 = 0 THEN 0.0 ELSE p_size / 100.0 END, 6) AS coat FROM part")
+def standard_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    rows = p.select("p_partkey", (F.col("p_retailprice") / 1000).cast("double").alias("base_weight"), F.expr("if(p_size % 3 > 0, cast(p_size / 50.0 as double), null)").alias("specular_roughness"), F.expr("if(p_size % 5 = 0, null, cast(p_size / 100.0 as double))").alias("coat_weight"))
+    out = materials.standard_surface(rows)
+    return out.select("p_partkey", *(F.round(c, 6).alias(c) for c in ("base", "specular_roughness", "coat")))
+
+
+@query(EDITS_SQL + "SELECT layer_key, CASE layer_key WHEN 'department:fx' THEN 1 WHEN 'department:animation' THEN 2 WHEN 'department:lighting' THEN 3 ELSE 4 END AS rank, muted FROM layers WHERE layer_key IN (SELECT layer_key FROM edits)")
+def layer_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = edits(spark, sf_dir).select("layer_key").distinct()
+    return inspect.layer_order(layers(spark).join(used, "layer_key", "left_semi"), ["department:fx"])
+
+
+@query(EDITS_SQL + "SELECT DISTINCT layer_key, CASE WHEN layer_key = 'default' THEN NULL ELSE layer_key[12:] END AS department, CASE WHEN layer_key = 'default' THEN layer_key ELSE layer_key[12:] END AS label FROM edits")
+def layer_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("layer_key")
+    return edits(spark, sf_dir).select("layer_key").distinct().select("layer_key", scans.department_of(key).alias("department"), scans.layer_label(key).alias("label"))
+
+
+@query(EDITS_SQL + "SELECT session_id, client_id, bool_and(k = 'set_xform_trs') AS transform_only FROM edits GROUP BY 1, 2")
+def transform_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.batch_is_transforms(edits(spark, sf_dir), "session_id", "client_id")
+
+
+@query("WITH r AS (SELECT vec_id AS id, embedding AS e FROM embeddings) SELECT id, 'r' AS field FROM r WHERE id % 7 = 0 UNION ALL SELECT id, 't' FROM r WHERE id % 5 = 0")
+def vector_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    nan = F.array(*(F.lit(float("nan")) for _ in range(3)))
+    rows = v.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 5 == 0, nan).otherwise(F.slice("e", 1, 3)).alias("t"), F.when(F.col("vec_id") % 7 == 0, F.slice("e", 1, 3)).otherwise(F.slice("e", 1, 4)).alias("r"), F.slice("e", 5, 3).alias("s"))
+    return validate.vector_faults(rows)
