@@ -49,6 +49,11 @@ def _role_in(role: str) -> str:
     return role.replace("%5D", "]").replace("%25", "%")
 
 
+def _may_open(text: str) -> bool:
+    """Whether an opening mark may begin with this text."""
+    return any(o.startswith(text) for o in (*(o for o, _ in MARKS.values()), OTHER_OPEN)) or (text.startswith(OTHER_OPEN) and "]" not in text)
+
+
 class Parser:
     """Deterministic parser that is fed the output piece by piece and yields (role, text, rendered text) for each turn that ends."""
 
@@ -59,12 +64,16 @@ class Parser:
         self.rest += piece
         at = 0
         if not self.begun:
+            if BEGIN.startswith(self.rest) and self.rest != BEGIN:
+                return
             if not self.rest.startswith(BEGIN):
                 raise ValueError(f"no {BEGIN} at the beginning")
             self.begun, at = True, len(BEGIN)
         while at < len(self.rest):
             m = _OPENING.match(self.rest, at)
             if not m:
+                if _may_open(self.rest[at:]):
+                    break
                 raise ValueError(f"no turn begins at {self.rest[at : at + 20]!r}")
             role = next((r for r, (o, _) in MARKS.items() if o == m[0]), None)
             close = MARKS[role][1] if role else OTHER_CLOSE

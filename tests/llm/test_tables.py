@@ -1,0 +1,144 @@
+"""Surrogates, URL filters, shards, mixtures and the pipeline."""
+
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from editstrata.llm import pii_surrogates, sharding, source_mixing, url_filter
+
+KINDS = {"email": r"[^\s@]+@[\w.-]+\.\w{2,}", "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d)", "phone": r"\+\d \(\d{3}\) \d{3}-\d{4}", "card": r"(?<!\w)\d{16}(?!\w)", "secret": r"(?<!\w)(?:[0-9a-f]{40}|[0-9A-F]{40})(?!\w)"}
+
+
+def test_surrogates(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    source = {r.doc_id: r.text for r in docs.collect()}
+    pairs = {}
+    for r in pii_surrogates.with_surrogates(docs.select("doc_id", "text"), key="k").collect():
+        found = 0
+        for kind, p in KINDS.items():
+            a, b = re.findall(p, source[r.doc_id] or ""), re.findall(p, r.text or "")
+            assert len(a) == len(b) and not set(a) & set(b)
+            found += len(a)
+            for x, y in zip(a, b, strict=True):
+                pairs.setdefault((kind, x.lower()), set()).add(y.lower())
+        if not found:
+            assert r.text == source[r.doc_id] and not r.n_entities
+    assert all(len(v) == 1 for v in pairs.values())
+    assert len({(k[0], *v) for k, v in pairs.items()}) == len(pairs) > 500
+
+
+def test_surrogates_keep_format(spark, odd):
+    text = "Mr. John Smith met Frau Müller, Mr Smith and Señora Ana Gómez. 4111 1111 1111 1111, 4111111111111111 from 10.1.2.3; Господин Иван Петров"
+    out = pii_surrogates.with_surrogates(spark.createDataFrame([(1, text)], "doc_id long, text string"), key="k").first().text
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Frau (\w+), Mr (\w+) and Señora (\w+) (\w+)\. (\d{4} \d{4} \d{4} \d{4}), (\d{16}) from (\d+\.\d+\.\d+\.\d+); Господин ([а-яА-Я]+) ([а-яА-Я]+)", out)
+    assert m and m[2] == m[4] and m[7].replace(" ", "") == m[8]
+    assert m[1] in pii_surrogates.GIVEN["m", "latin"] and m[5] in pii_surrogates.GIVEN["f", "latin"] and m[10] in pii_surrogates.GIVEN["m", "cyrillic"]
+    digits = [int(c) for c in m[8]][::-1]
+    assert sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(digits)) % 10 == 0
+    again = pii_surrogates.with_surrogates(spark.createDataFrame([(9, text)], "doc_id long, text string"), key="other").first().text
+    assert again != out
+    same = pii_surrogates.with_surrogates(odd, key="k")
+    assert same.columns == [*odd.columns, "n_entities"] and same.count() == 8 and pii_surrogates.with_surrogates(odd.limit(0), key="k").count() == 0
+
+
+def test_collisions_are_drawn_anew(spark):
+    """More short numbers than one draw can keep apart."""
+    many = spark.range(3000).selectExpr("'email' as kind", "concat(char(97 + id % 26), char(97 + id div 26 % 26), char(97 + id div 676), '@x.org') as norm")
+    got = pii_surrogates.assigned(many, "k").collect()
+    assert len({r.replacement for r in got}) == len(got) == 3000
+    assert not {r.replacement for r in got} & {r.norm for r in got}
+
+
+def ruled(url):
+    url = url or ""
+    host, path = "", ""
+    if "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.split(r"[/?#]", rest)[0]
+        path = re.split(r"[?#]", rest[len(host) :])[0]
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fits = [r for r in url_filter.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    best = max(fits, key=lambda r: len(r.rule), default=None)
+    return host, path, best.rule if best else None, best.verdict if best else None
+
+
+def test_urls(spark, sf_dir):
+    pages = [(r.page_id, r.url) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    pages += [(9001, None), (9002, ""), (9003, "no scheme"), (9004, "HTTP://A.Example.COM/en/7?x=1#y"), (9005, "http://com/en/"), (9006, "http://example.net?q=/de/8"), (9007, "x://h://com/en/"), (9001, None), (None, "http://a.net/de/")]
+    got = url_filter.judged_urls(spark.createDataFrame(pages, "page_id long, url string")).collect()
+    assert len(got) == len(pages)
+    for r, (_, url) in zip(sorted(got, key=lambda r: (str(r.page_id), r.host, r.path)), sorted(pages, key=lambda p: (str(p[0]), *ruled(p[1])[:2])), strict=True):
+        host, path, rule, verdict = ruled(url)
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or r.verdict) and r.verdict in ("allow", "block")
+    none = url_filter.judged_urls(spark.createDataFrame(pages, "page_id long, url string"), ()).collect()
+    assert {r.verdict for r in none} == {"allow"} and {r.score for r in none} == {0.0}
+    assert url_filter.judged_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_url_models_separate(spark):
+    """Trained on the ruled URLs of one half, the models tell those of the other half apart."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = url_filter.with_rule(pages.select("page_id", "url"), url_filter.RULES).filter("ruled is not null")
+    model = url_filter.fit(rows.filter("page_id % 2 = 0"))
+    held = rows.filter("page_id % 2 = 1").collect()
+    wrong = np.mean([(s >= model.limit) != (r.ruled == "block") for s, r in zip(model.score([r.url for r in held]), held, strict=True)])
+    assert wrong < 0.15
+
+
+def test_shards(spark, docs, texts, odd):
+    rows = sharding.shards(docs, 16).collect()
+    assert len(rows) == len(texts)
+    order = sorted(rows, key=lambda r: r.doc_id)
+    size = [len((texts[r.doc_id] or "").encode()) + 1 for r in order]
+    assert [r.size for r in order] == size and [r.text_crc32 for r in order] == [zlib.crc32((texts[r.doc_id] or "").encode()) for r in order]
+    total, before, want = sum(size), 0, []
+    for s in size:
+        want.append((2 * before + s) * 16 // (2 * total))
+        before += s
+    assert [r.shard for r in order] == want
+    for k in set(want):
+        assert [r.slot for r in order if r.shard == k] == list(range(want.count(k)))
+    got = sharding.shards(odd, 3).collect()
+    assert len(got) == 8 and sharding.shards(odd.limit(0)).count() == 0
+    for k in range(3):
+        slots = sorted(r.slot for r in got if r.shard == k)
+        assert slots == list(range(len(slots)))
+
+
+def test_mixture(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = source_mixing.mixture(docs).toPandas()
+    for dim, target in source_mixing.TARGETS.items():
+        share = got.groupby(dim).n_tokens.sum() / got.n_tokens.sum()
+        want = (share**target / (share**target).sum()) if isinstance(target, float) else share.index.to_series().map(target) / sum(target[v] for v in share.index)
+        cells = got.drop_duplicates(list(source_mixing.TARGETS)).groupby(dim).weight.sum()
+        assert np.allclose(cells, want, atol=1e-4)
+    expected = (got.probability * got.n_tokens).sum() / got.n_tokens.sum()
+    assert expected == pytest.approx(source_mixing.BUDGET, abs=1e-4)
+    assert (got.kept * got.n_tokens).sum() / got.n_tokens.sum() == pytest.approx(source_mixing.BUDGET, abs=0.03)
+    kept = {r.doc_id for r in source_mixing.sampled(docs).collect()}
+    assert kept == set(got[got.kept].doc_id)
+    few = source_mixing.mixture(odd).collect()
+    assert len(few) == 8 and all(not r.kept for r in few if not r.n_tokens and r.source == "(none)" and r.topic != "prose")
+    assert source_mixing.sampled(odd).columns == odd.columns
+    assert source_mixing.mixture(odd.limit(0)).count() == 0 and source_mixing.sampled(odd.limit(0)).count() == 0
+
+
+def test_pipeline(spark, sf_dir, docs):
+    """Stage by stage on the table of documents: columns stay, decisions take effect."""
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality_rules", "minhash_dedup", "decontamination", "source_mixing", "sharding"]
+    from editstrata.llm._store import written
+
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = written(stage(spark, now, sf_dir), "test")
+        assert after.columns == docs.columns
+        left, right = ({r.doc_id: r.text for r in x.collect()} for x in (now, after))
+        assert right.items() <= left.items() and len(right) < len(left), name
+        now = after
+    final = {r.doc_id for r in now.collect()}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()} == final
