@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import at_or_below, lineage
+from ..sources.shared import written
 from .scans import is_exact_deletion, is_sample_barrier, routing_layer, with_tier
 
 #: Kinds whose values can be time samples, and kinds that state a layer's content exactly.
@@ -45,19 +46,24 @@ def alive(log: DataFrame) -> DataFrame:
     """`log` with dead: whether a later edit of the same layer has undone the row.
 
     Killers are deletions and renames at or above the prim, replaced layer content (for exact kinds), removed
-    specs (for their spec) and the opposite payload load state. Each is reduced to its last edit by key before it is joined.
+    specs (for their spec) and the opposite payload load state. Each is reduced to its last edit by key before it is joined;
+    only exact kinds meet the killers by layer and by spec, and all rows are shuffled once, by prim.
     """
     lay = ["scene_id", "layer_key"]
-    cuts = log.filter(F.col("k").isin("delete_prim", "rename_prim")).groupBy(*lay, F.col("prim").alias("_above")).agg(F.max("seq").alias("at"))
-    prims = log.select(*lay, "prim").distinct().withColumn("_above", F.explode(lineage(F.col("prim"))))
-    subtree = prims.join(cuts, [*lay, "_above"]).groupBy(*lay, "prim").agg(F.max("at").alias("_subtree"))
+    later = lambda c: F.coalesce(F.col(c) > F.col("seq"), F.lit(False))
     content = log.filter("k = 'replace_sdf_layer_content'").groupBy(*lay).agg(F.max("seq").alias("_content"))
     specs = log.filter("k = 'set_sdf_spec_fields' and removed").groupBy(*lay, "spec_path").agg(F.max("seq").alias("_spec"))
-    loads = log.filter(F.col("k").isin("load_payload", "unload_payload")).groupBy(*lay, "prim").agg(F.max("seq").alias("_load"))
-    out = log.join(subtree, [*lay, "prim"], "left").join(content, lay, "left").join(specs, [*lay, "spec_path"], "left").join(loads, [*lay, "prim"], "left")
-    later = lambda c: F.coalesce(F.col(c) > F.col("seq"), F.lit(False))
-    dead = later("_subtree") | (later("_content") & F.col("k").isin(*EXACT)) | (later("_spec") & (F.col("spec_path") != "")) | (later("_load") & F.col("k").isin("load_payload", "unload_payload"))
-    return out.withColumn("dead", dead).drop("_subtree", "_content", "_spec", "_load")
+    exact = log.filter(F.col("k").isin(*EXACT)).join(content, lay, "left").join(specs, [*lay, "spec_path"], "left")
+    exact = exact.withColumn("_gone", later("_content") | (later("_spec") & (F.col("spec_path") != ""))).select(*log.columns, "_gone")
+    rows = log.filter(~F.col("k").isin(*EXACT)).withColumn("_gone", F.lit(False)).unionByName(exact)
+
+    cuts = log.filter(F.col("k").isin("delete_prim", "rename_prim")).groupBy(*lay, F.col("prim").alias("_above")).agg(F.max("seq").alias("at"))
+    prims = log.select(*lay, "prim").distinct().withColumn("_above", F.explode(lineage(F.col("prim"))))
+    subtree = prims.join(cuts, [*lay, "_above"]).select(*lay, "prim", F.col("at").alias("_subtree"), F.lit(None).cast("long").alias("_load"))
+    loads = log.filter(F.col("k").isin("load_payload", "unload_payload")).select(*lay, "prim", F.lit(None).cast("long").alias("_subtree"), F.col("seq").alias("_load"))
+    killers = subtree.unionByName(loads).groupBy(*lay, "prim").agg(F.max("_subtree").alias("_subtree"), F.max("_load").alias("_load"))
+    dead = F.col("_gone") | later("_subtree") | (later("_load") & F.col("k").isin("load_payload", "unload_payload"))
+    return rows.join(killers, [*lay, "prim"], "left").withColumn("dead", dead).drop("_gone", "_subtree", "_load")
 
 
 def with_epochs(log: DataFrame) -> DataFrame:
@@ -71,13 +77,16 @@ def with_epochs(log: DataFrame) -> DataFrame:
     exact = is_exact_deletion(F.col("k"), F.col("removed"))
     log = log.withColumn("_barriers", before(is_sample_barrier(F.col("k"), F.col("fields"), F.col("removed")))).withColumn("_exact", before(exact))
     specs = log.filter((F.col("k") == "set_sdf_spec_fields") & ~exact).select("scene_id", "layer_key", "spec_path", "seq", (~F.col("dead") & F.array_contains("fields", "timeSamples")).alias("table"), F.lit(False).alias("write"))
+    tables = specs.filter("table").select("scene_id", "layer_key", "spec_path").distinct()
     writes = written_attributes(log).select("scene_id", "layer_key", F.concat("prim", F.lit("."), "attr").alias("spec_path"), "seq", F.lit(False).alias("table"), F.lit(True).alias("write"))
+    writes = writes.join(tables, ["scene_id", "layer_key", "spec_path"], "left_semi")
     line = Window.partitionBy("scene_id", "layer_key", "spec_path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     both = specs.unionByName(writes)
     both = both.withColumn("_table", F.max(F.when(F.col("table"), F.col("seq"))).over(line)).withColumn("_write", F.max(F.when(F.col("write"), F.col("seq"))).over(line))
     both = both.withColumn("_cut", F.col("write") & F.coalesce(F.col("_table") > F.coalesce("_write", F.lit(-1)), F.lit(False)))
     cuts = both.withColumn("_cuts", F.coalesce(F.sum(F.col("_cut").cast("int")).over(line), F.lit(0))).filter("not write").select("scene_id", "layer_key", "spec_path", "seq", "_cuts")
-    out = log.join(cuts, ["scene_id", "layer_key", "spec_path", "seq"], "left")
+    spec_rows = log.filter("k = 'set_sdf_spec_fields'").join(cuts, ["scene_id", "layer_key", "spec_path", "seq"], "left").select(*log.columns, "_cuts")
+    out = log.filter("k <> 'set_sdf_spec_fields'").withColumn("_cuts", F.lit(None).cast("long")).unionByName(spec_rows)
     epoch = F.when(F.col("k").isin(*SAMPLED), F.col("_barriers")).when(F.col("k") == "set_sdf_spec_fields", F.col("_exact") + F.coalesce("_cuts", F.lit(0))).otherwise(0)
     return out.withColumn("epoch", epoch).drop("_barriers", "_exact", "_cuts")
 
@@ -93,7 +102,7 @@ def compacted(log: DataFrame) -> DataFrame:
     log = log.fillna("", ["spec_path", "material_purpose", "layer_key"])
     log = routing_layer(log.filter("k <> 'set_sublayers'"))
     log = log.withColumn("spec_path", F.when(F.col("k").isin("set_sdf_spec_fields", "erase_time_samples"), F.col("spec_path")).otherwise(""))
-    rows = with_epochs(alive(log)).filter("not dead")
+    rows = written(with_epochs(alive(log)).filter("not dead"), "living")
     rows = rows.withColumn("_alone", F.when(is_exact_deletion(F.col("k"), F.col("removed")), F.col("seq")))
     group = [*KEY, "epoch", "_alone"]
     line = Window.partitionBy(*group).orderBy("seq")

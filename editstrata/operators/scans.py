@@ -38,16 +38,22 @@ def kinds(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KINDS, "k string, creates boolean, structural boolean, stage_sync boolean, arc boolean, imports boolean, projection string, managed boolean, shared_stage boolean, target string")
 
 
+def _kinds_where(test) -> list[str]:
+    return [row[0] for row in KINDS if test(row)]
+
+
 def with_tier(log: DataFrame) -> DataFrame:
     """Adds tier: 0 creates, 1 other structural kinds, 2 values and deletions; unknown kinds have none."""
-    flags = kinds(log.sparkSession).select("k", F.when(F.col("creates"), 0).when(F.col("structural"), 1).otherwise(2).alias("tier"))
-    return log.join(F.broadcast(flags), "k", "left")
+    k = F.col("k")
+    tier = F.when(k.isin(*_kinds_where(lambda r: r[1])), 0).when(k.isin(*_kinds_where(lambda r: r[2])), 1).when(k.isin(*_kinds_where(lambda r: True)), 2)
+    return log.withColumn("tier", tier)
 
 
 def routing_layer(log: DataFrame) -> DataFrame:
-    """Replaces layer_key by the empty key where the kind does not author into a collaboration layer."""
-    flags = kinds(log.sparkSession).select("k", "target")
-    return log.join(F.broadcast(flags), "k").withColumn("layer_key", F.when(F.col("target") == "collaboration_layer", F.col("layer_key")).otherwise("")).drop("target")
+    """Replaces layer_key by the empty key where the kind does not author into a collaboration layer; unknown kinds go."""
+    k = F.col("k")
+    own = k.isin(*_kinds_where(lambda r: r[9] == "collaboration_layer"))
+    return log.filter(k.isin(*_kinds_where(lambda r: True))).withColumn("layer_key", F.when(own, F.col("layer_key")).otherwise(""))
 
 
 def valid_in_mode(log: DataFrame, mode: str) -> DataFrame:
