@@ -21,6 +21,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Rows whose text is copied at once.
+_ROWS = 1024
 #: As _SPACE, with all other ASCII characters but letters and digits.
 _MARK = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _powers: list[np.ndarray] = []
@@ -105,8 +107,21 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(buf, np.uint8) if buf is not None and buf.size else np.empty(0, np.uint8), offsets
 
 
+def _blocks(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Blocks of rows with their first row; memory that a block took is given back."""
+    for at in range(0, len(column), _ROWS):
+        yield at, column.slice(at, _ROWS)
+    pa.default_memory_pool().release_unused()
+
+
 def hashed_stems(column: pa.Array, prefixes: tuple[int, ...]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For slices of rows: (first row, number of rows, hashes of lower-cased words and of their prefixes, each hash's row in the slice)."""
+    for at, block in _blocks(column):
+        for row, *rest in _hashed_stems(block, prefixes):
+            yield at + row, *rest
+
+
+def _hashed_stems(column: pa.Array, prefixes: tuple[int, ...]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = _flat(column)
     row, rows = 0, len(offsets) - 1
     while row < rows:
@@ -128,7 +143,12 @@ def hashed_words(column: pa.Array, *, lower: bool = True, marks: bool = False) -
 
     marks: ASCII punctuation also ends a word and belongs to none.
     """
-    between = _MARK if marks else _SPACE
+    for at, block in _blocks(column):
+        for row, *rest in _hashed_words(block, lower, _MARK if marks else _SPACE):
+            yield at + row, *rest
+
+
+def _hashed_words(column: pa.Array, lower: bool, between: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data, offsets = _flat(column)
     row, rows = 0, len(offsets) - 1
     while row < rows:

@@ -185,7 +185,7 @@ class Index:
 
     def leaks(self, texts: pa.Array, overlap: float) -> Iterator[tuple[int, int, float, float]]:
         """(row, item, share of its question's n-grams, share of its answer's) for confirmed items."""
-        for first, hashes, counts in hashed_words(pc.utf8_lower(texts), marks=True):
+        for first, hashes, counts in ((at + f, *rest) for at in range(0, len(texts), 1024) for f, *rest in hashed_words(pc.utf8_lower(texts.slice(at, 1024)), marks=True)):
             last, have = -1, set()
             for row, k in self.retrieve(hashes, counts):
                 if row != last:

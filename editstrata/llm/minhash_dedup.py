@@ -38,6 +38,8 @@ WIDTH, HALVES = 4, 15
 SKETCH = 512
 #: Classes in a block; a task holds two blocks.
 BLOCK = 512
+#: Rows with texts or sketches that are turned into Python objects at once.
+READ_ROWS = 256
 #: Ids up to this number are broadcast (16 bytes each), more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -96,7 +98,7 @@ def _features(size: int, width: int, halves: int):
 def _confirm(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, set()
-        for batch in batches:
+        for batch in (b.slice(at, READ_ROWS) for b in batches for at in range(0, len(b), READ_ROWS)):
             u, v, s, t = (batch.column(k).to_pylist() for k in range(4))
             yes = []
             for k in range(len(u)):
@@ -170,7 +172,7 @@ def _in_blocks(percent: int):
             return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.binary()), pa.array([max(x) for x in found], pa.binary())], ["u", "v"])
 
         now, rows = None, []
-        for batch in batches:
+        for batch in (b.slice(at, READ_ROWS) for b in batches for at in range(0, len(b), READ_ROWS)):
             for r in batch.to_pylist():
                 key = (r["i"], r["key"], r["p"], r["q"])
                 if key != now:
@@ -193,6 +195,18 @@ def _texts_of(documents: DataFrame, feats: DataFrame, fps: DataFrame) -> DataFra
     return documents.join(F.broadcast(ids) if few else ids, same).select("fp", "text")
 
 
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """`comps` (node, component) after more links (u, v): the components are the nodes of a smaller graph."""
+    at = comps.select("node", "component")
+    both = links.join(at.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(at.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
+    both = both.select("u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv"))
+    found = written(connected_components(both.select(F.col("cu").alias("u"), F.col("cv").alias("v"))), "joined")
+    named = found.select(F.col("node").alias("component"), F.col("component").alias("_final"))
+    alone = found.join(at.select(F.col("component").alias("node")).distinct(), "node", "left_anti")
+    old = at.join(named, "component", "left").select("node", F.coalesce("_final", "component").alias("component"))
+    return written(old.unionByName(alone), "components")
+
+
 def _grouped(documents: DataFrame, shingle_words: int, percent: int, width: int, halves: int) -> DataFrame:
     """row (a hash of id and text), doc_id, n_shingles, component_id and first (the row that stands for the component) of every row."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"))
@@ -234,8 +248,7 @@ def _grouped(documents: DataFrame, shingle_words: int, percent: int, width: int,
         rows = rows.join(sketches, "fp").repartition("i", "key", "p", "q").sortWithinPartitions("i", "key", "p", "q")
         rest = written(rows.mapInArrow(_in_blocks(percent), "u binary, v binary").distinct(), "rest")
         if not rest.isEmpty():
-            links = links.unionByName(confirmed(rest, "rest-links"))
-            comps = written(connected_components(links), "components")
+            comps = _joined(comps, confirmed(rest, "rest-links"))
 
     named = classes.select("fp", "least").join(comps, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("comp"))
     named = written(named, "named")
