@@ -1,40 +1,17 @@
-"""Tables written to the folder that all nodes of the cluster share.
-
-Intermediate results that are read more than once are written here as Parquet.
-That cuts the lineage, so that an executor lost later costs no recomputation.
-"""
+"""Values sent to tasks, and tables written to the cluster's shared folder."""
 
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
 from collections.abc import Callable
 from typing import Any
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
-
-CHECKPOINT_CONF = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of this machine only where none is configured (tests)."""
-    folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='editstrata-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+from pyspark.sql import SparkSession
 
+from ..sources.shared import shared_dir, written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written to the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/editstrata/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["sent", "shared_dir", "written"]
 
 
 def sent(spark: SparkSession, value: Any) -> Callable[[], Any]:
