@@ -67,3 +67,9 @@ def snapshot_manifest(layers: DataFrame, labels: DataFrame) -> DataFrame:
     named = own.select(F.lit("layer").alias("role"), F.concat("label", F.when(nth > 1, F.concat(F.lit("_"), nth.cast("string"))).otherwise(""), F.lit(".usda")).alias("name"), "layer_key")
     fixed = own.sparkSession.createDataFrame([("flattened", "flattened.usda", None), ("root", "root.usda", None)], "role string, name string, layer_key string")
     return fixed.unionByName(named)
+
+
+def owned(values: DataFrame, log: DataFrame, layer_key: str) -> DataFrame:
+    """Composed values of the fields that a layer itself has opinions on."""
+    own = log.filter((F.col("layer_key") == layer_key) & (F.col("field") != "")).select("scene_id", "prim", "field").distinct()
+    return values.join(own, ["scene_id", "prim", "field"], "left_semi")

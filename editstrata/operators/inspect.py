@@ -113,3 +113,21 @@ def bounds(points: DataFrame) -> DataFrame:
     return up.groupBy("scene_id", F.col("root").alias("prim")).agg(*(f(f"{c}_{n}").alias(f"{c}_{n}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))))
 
 
+
+
+def status(log: DataFrame, prims: DataFrame) -> DataFrame:
+    """One row: edits, clients, live prims and layers."""
+    row = log.agg(F.count("*").alias("n_edits"), F.countDistinct("client_id").alias("n_clients"), F.countDistinct("layer_key").alias("n_layers"))
+    return row.join(F.broadcast(prims.agg(F.count("*").alias("n_prims")))).select("n_edits", "n_clients", "n_prims", "n_layers")
+
+
+def layers_in_order(log: DataFrame, key: str) -> DataFrame:
+    """By key the number of edits and the layers in the order in which they first occur; only first occurrences are gathered."""
+    first = log.groupBy(key, "layer_key").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
+    return first.groupBy(key).agg(F.sum("n").alias("events"), F.array_join(F.array_sort(F.collect_list(F.struct("first", "layer_key"))).getField("layer_key"), ",").alias("layer_keys"))
+
+
+def stack_rows(layers: DataFrame, log: DataFrame) -> DataFrame:
+    """The layer stack with each layer's clients and values; layers without either are hidden."""
+    use = log.groupBy("layer_key").agg(F.countDistinct("client_id").alias("n_clients"), F.count_if(F.col("field") != "").alias("n_values"))
+    return layers.join(use, "layer_key", "left").fillna(0, ["n_clients", "n_values"]).filter("n_clients > 0 or n_values > 0")

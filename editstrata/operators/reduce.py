@@ -180,3 +180,9 @@ def merged_connections(rows: DataFrame) -> DataFrame:
 def latest_metadata(log: DataFrame, keys: list[str]) -> DataFrame:
     """Per scene the latest value of each stage field that an edit gives."""
     return log.groupBy("scene_id").agg(*(F.max_by(k, F.when(F.col(k).isNotNull(), F.col("seq"))).alias(k) for k in keys))
+
+
+def redundant(log: DataFrame) -> DataFrame:
+    """Value edits that repeat the value their layer holds for the field at that time."""
+    along = Window.partitionBy("scene_id", "layer_key", "prim", "field", "time").orderBy("seq")
+    return log.filter("field != ''").withColumn("_before", F.lag("value").over(along)).filter("value = _before").drop("_before")

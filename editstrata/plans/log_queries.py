@@ -184,19 +184,25 @@ def session_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.nearest_ranks(edits(spark, sf_dir), "session_id", "value")
 
 
-STACKS = """WITH s AS (SELECT string_split(regexp_replace(trim(text, chr(10) || ' '), '[\\n ]+', ';', 'g'), ';') AS frames, n_chars AS samples FROM documents WHERE n_chars < 2000),
-inc AS (SELECT f AS frame, sum(samples) AS inclusive FROM (SELECT unnest(list_distinct(frames)) AS f, samples FROM s) GROUP BY 1),
-own AS (SELECT frames[-1] AS frame, sum(samples) AS self FROM s GROUP BY 1)
-SELECT frame, CAST(inclusive AS BIGINT) AS inclusive, CAST(coalesce(self, 0) AS BIGINT) AS self FROM inc LEFT JOIN own USING (frame)"""
+STACKS = """WITH t AS (SELECT trim(replace(replace(text, chr(10), ' '), ';', ' '), ' ') AS words, n_chars AS samples FROM documents WHERE text IS NOT NULL),
+s AS (SELECT string_split(regexp_replace(words, ' +', ';', 'g'), ';') AS frames, samples FROM t WHERE words <> ''),
+inc AS (SELECT frame, sum(samples) AS inclusive FROM (SELECT unnest(list_distinct(frames)) AS frame, samples FROM s) GROUP BY 1),
+own AS (SELECT frames[-1] AS frame, sum(samples) AS own FROM s GROUP BY 1)
+SELECT frame, CAST(inclusive AS BIGINT) AS inclusive, CAST(coalesce(own, 0) AS BIGINT) AS self FROM inc LEFT JOIN own USING (frame)"""
 
 
-@query()
+@query(STACKS)
 def profile_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' words as stack frames, their characters as samples."""
     lines = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null").select(F.concat(F.regexp_replace(F.trim(F.translate("text", "\n;", "  ")), " +", ";"), F.lit(" "), F.col("n_chars")).alias("value"))
     return inspect.stack_totals(parsed_stacks(lines))
 
 
+@query(STACKS + " ORDER BY inclusive DESC, frame LIMIT 30")
+def top_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.top_frames(profile_totals(spark, sf_dir), 30)
+
+
 @query("SELECT doc_id, CASE WHEN length(text) > 120 THEN text[1:117] || '…' ELSE coalesce(text, '') END AS short, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN format('{:.1f} KB', n_chars / 1024.0) ELSE format('{:.1f} MB', n_chars / 1048576.0) END AS bytes, source || '-' || sha1(text)[1:12] AS identity FROM documents")
 def value_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -208,3 +214,33 @@ def value_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("prim")
     return edits(spark, sf_dir).select("prim").distinct().select("prim", paths.parent(p).alias("parent"), paths.depth(p).cast("long").alias("depth"), paths.leaf_name(p).alias("leaf"), paths.renamed(p, F.lit("/World/G1"), F.lit("Moved")).alias("moved"))
+
+
+@query(EDITS_SQL + LIVE + "SELECT (SELECT count(*) FROM edits) AS n_edits, (SELECT count(DISTINCT client_id) FROM edits) AS n_clients, (SELECT count(*) FROM live) AS n_prims, (SELECT count(DISTINCT layer_key) FROM edits) AS n_layers")
+def status_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = edits(spark, sf_dir)
+    return inspect.status(log, inspect.live_prims(log))
+
+
+@query(EDITS_SQL + ", v AS (SELECT *, lag(value) OVER (PARTITION BY scene_id, layer_key, prim, field, time ORDER BY seq) AS before FROM (SELECT scene_id, seq, layer_key, prim, field, time, floor(value / 10) AS value FROM edits WHERE field <> '')) SELECT scene_id, seq FROM v WHERE value = before")
+def redundant_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits that state what their layer holds already, values in steps of ten."""
+    log = edits(spark, sf_dir).withColumn("value", F.floor(F.col("value") / 10))
+    return reduce.redundant(log).select("scene_id", "seq")
+
+
+@query(EDITS_SQL + ", f AS (SELECT session_id, layer_key, min(seq) AS first, count(*) AS n FROM edits GROUP BY 1, 2) SELECT session_id, CAST(sum(n) AS BIGINT) AS events, string_agg(layer_key, ',' ORDER BY first) AS layer_keys FROM f GROUP BY 1")
+def session_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.layers_in_order(edits(spark, sf_dir), "session_id")
+
+
+@query(EDITS_SQL + ", c AS (SELECT layer_key, count(DISTINCT client_id) AS n_clients, count(*) FILTER (field <> '') AS n_values FROM edits GROUP BY 1) SELECT l.layer_key, l.rank, l.muted, coalesce(n_clients, 0) AS n_clients, coalesce(n_values, 0) AS n_values FROM layers l LEFT JOIN c USING (layer_key) WHERE n_clients > 0 OR n_values > 0")
+def layer_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.stack_rows(layers(spark), edits(spark, sf_dir))
+
+
+@query(EDITS_SQL + COMPOSED + ", own AS (SELECT DISTINCT scene_id, prim, field FROM edits WHERE layer_key = 'department:animation' AND field <> '') SELECT c.scene_id, c.prim, c.field, c.time, c.value FROM composed c JOIN own USING (scene_id, prim, field)")
+def owned_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composed values of the fields that one layer has opinions on."""
+    log = edits(spark, sf_dir)
+    return compose.owned(compose.composed(log, layers(spark)), log, "department:animation").select("scene_id", "prim", "field", "time", "value")
