@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from editstrata.plans import registry
@@ -12,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def canonical(df):
     def one(x):
-        if x is None or (isinstance(x, float) and math.isnan(x)) or x != x:
+        if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and math.isnan(x)) or x != x:
             return "null"
         if type(x).__name__ in ("bool", "bool_"):
             return str(bool(x))
