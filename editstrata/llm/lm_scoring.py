@@ -1,125 +1,101 @@
 """Cross-entropy difference between a target and a background language model.
 
-Both models are bigram models over one hashed vocabulary, counted over all their texts:
-word counts in 2**WORD_BITS slots, word pairs in 2**PAIR_BITS. A pair's probability is its
-count, smoothed by PRIOR pseudo-counts of the word's own probability; a pair's slot is never
-trusted beyond the count of its first word, which limits what collisions add. A document's
-score is its loss per token (bits) under the target model less that under the background model: the
-lower, the more like the target.
-
-Each task counts into tables of fixed size and sends them in chunks, which are added up
-chunk by chunk; no table of all words or pairs is ever held. The summed models, of fixed
-size, are broadcast.
+Both models are bigram models over one vocabulary of 64-bit word hashes, counted exactly over all
+their texts. A pair's probability is its count, smoothed by PRIOR pseudo-counts of the word's own
+probability. A document's score is its loss per token (bits) under the target model less that
+under the background model: the lower, the more like the target.
+
+Tasks count their pairs in pieces, and Spark sums the pieces into a written table of pairs, which
+grows with the corpus; word counts are sums over it. Every pair's losses are worked out
+once. Those of frequent pairs (over 1 / HOT of all tokens, so less than HOT pairs) are
+broadcast and added where the texts are read; the rest is joined to the documents' own pairs by hash. A
+pair outside the broadcast has so few rows that no task of the join is hot, and the same holds
+for the joins of word counts to pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import sent
+from ._store import sent, written
 from ._text import hashed_words, mix
 
-WORD_BITS, PAIR_BITS = 20, 22
-#: Slots in a chunk of counts.
-CHUNK = 1 << 13
+#: Words of the vocabulary for smoothing are 2**WORD_BITS, or as many as there are if these are more.
+WORD_BITS = 20
+#: A word or pair of more than 1 / HOT of all tokens is frequent.
+HOT = 1 << 16
 PRIOR = 4.0
-#: Slots gathered before they are counted.
+#: Tokens gathered before they are counted.
 _GATHER = 1 << 21
 _START = np.uint64(0x5851F42D4C957F2D)
+_COUNTS = "pair long, before long, word long, n long"
 
 
-def _slots(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of the words and of the pairs with the word before, and which words begin a text."""
+def _pairs(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each word, and the hash of both."""
     before = np.empty_like(hashes)
     before[1:] = hashes[:-1]
-    first = (np.cumsum(counts) - counts)[counts > 0]
-    before[first] = _START
-    begins = np.zeros(len(hashes), bool)
-    begins[first] = True
-    words = (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    pairs = (mix(before * np.uint64(0xD6E8FEB86659FD93) + hashes) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-    return words, pairs, begins
+    before[(np.cumsum(counts) - counts)[counts > 0]] = _START
+    return before, mix(before * np.uint64(0xD6E8FEB86659FD93) + hashes)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables = [np.zeros(1 << WORD_BITS, np.uint32), np.zeros(1 << PAIR_BITS, np.uint32)]
-    waiting: list[list[np.ndarray]] = [[], []]
-    texts = held = 0
+    waiting: list[list[np.ndarray]] = [[], [], []]
+    held = 0
 
-    def settle() -> None:
-        for table, parts in zip(tables, waiting, strict=True):
-            if parts:
-                slots, n = np.unique(np.concatenate(parts), return_counts=True)
-                table[slots] += n.astype(np.uint32)
-                parts.clear()
+    def settled() -> pa.RecordBatch:
+        before, word, pair = (np.concatenate(x) for x in waiting)
+        for x in waiting:
+            x.clear()
+        pair, at, n = np.unique(pair, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (pair, before[at], word[at])), pa.array(n.astype(np.int64))], ["pair", "before", "word", "n"])
 
     for batch in batches:
         for _, hashes, counts in hashed_words(batch.column(0)):
             if len(hashes):
-                words, pairs, begins = _slots(hashes, counts)
-                waiting[0].append(words), waiting[1].append(pairs)
-                texts += int(begins.sum())
-                held += len(words)
+                before, pair = _pairs(hashes, counts)
+                for x, part in zip(waiting, (before, hashes, pair), strict=True):
+                    x.append(part)
+                held += len(hashes)
                 if held >= _GATHER:
-                    settle()
+                    yield settled()
                     held = 0
-    settle()
-    if texts:
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.array([texts], np.uint32).tobytes()], pa.binary())], ["chunk", "counts"])
-        flat = np.concatenate(tables)
-        for k in range(0, len(flat), CHUNK):
-            if (part := flat[k : k + CHUNK]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "counts"])
-
-
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the chunks of this partition; rows are read one after another."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            part = np.frombuffer(counts.as_buffer(), np.uint32)
-            sums[k] = sums[k] + part if k in sums else part.astype(np.uint64)
-    for k, total in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "counts"])
-
-
-@dataclass(frozen=True)
-class Bigrams:
-    """Counts of words and pairs by slot, and of texts with a word."""
-
-    words: np.ndarray
-    pairs: np.ndarray
-    texts: int
-
-    def losses(self, words: np.ndarray, pairs: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Bits for each word after the one before it."""
-        total = float(self.words.sum())
-        own = (self.words[words] + 1.0) / (total + (1 << WORD_BITS))
-        history = np.empty(len(words))
-        history[1:] = self.words[words[:-1]]
-        history[begins] = self.texts
-        pair = np.minimum(self.pairs[pairs], history)
-        return -np.log2((pair + PRIOR * own) / (history + PRIOR))
-
-
-def count_bigrams(texts: DataFrame) -> Bigrams:
-    """The model of all rows of `texts` (text)."""
-    flat = np.zeros((1 << WORD_BITS) + (1 << PAIR_BITS), np.float32)
-    n = 0
-    sums = texts.select("text").mapInArrow(_count, "chunk int, counts binary").repartition("chunk").mapInArrow(_add, "chunk int, counts binary")
-    for r in sums.toLocalIterator(prefetchPartitions=True):
-        counts = np.frombuffer(r["counts"], np.uint64)
-        if r["chunk"] < 0:
-            n = int(counts[0])
-        else:
-            flat[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = counts
-    return Bigrams(flat[: 1 << WORD_BITS], flat[1 << WORD_BITS :], n)
+    if held:
+        yield settled()
+
+
+def _with_counts(pairs: DataFrame, words: DataFrame, least: float, side: str) -> DataFrame:
+    """Adds t_`side` and b_`side`, the counts of the pair's word on that side. Frequent words are broadcast; their pairs are spread by their own hash."""
+    frequent = words.filter(F.col("t") + F.col("b") > least).select(F.col("word").alias(side), F.col("t").alias("_ft"), F.col("b").alias("_fb"))
+    rest = words.filter(F.col("t") + F.col("b") <= least).select(F.col("word").alias("_k"), F.col("t").alias("_rt"), F.col("b").alias("_rb"))
+    found = pairs.join(F.broadcast(frequent), side, "left").withColumn("_k", F.when(F.col("_ft").isNull(), F.col(side)).otherwise(F.col("pair"))).join(rest, "_k", "left")
+    return found.withColumns({f"t_{side}": F.coalesce("_ft", "_rt"), f"b_{side}": F.coalesce("_fb", "_rb")}).drop("_k", "_ft", "_fb", "_rt", "_rb")
+
+
+def pair_losses(documents: DataFrame, target: DataFrame) -> tuple[DataFrame, float]:
+    """pair, n, t and b for every pair of `documents` (text): its count there, and its bits under the models of `target` (text) and of `documents`; and the count over which a pair is frequent."""
+    counted = [x.select("text").mapInArrow(_count, _COUNTS).select("pair", "before", "word", *(F.col("n") if k == own else F.lit(0).cast("long").alias("n") for k in (0, 1))).toDF("pair", "before", "word", "t", "b") for own, x in enumerate((target, documents))]
+    pairs = written(counted[0].unionByName(counted[1]).groupBy("pair", "before", "word").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "pairs")
+    words = written(pairs.groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "words")
+    whole = words.agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count("*").alias("words")).first()
+    start = int(_START.view(np.int64))
+    begins = pairs.filter(F.col("before") == start).groupBy(F.col("before").alias("word")).agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    total, size = {"t": whole["t"] or 0, "b": whole["b"] or 0}, max(1 << WORD_BITS, whole["words"])
+    least = (total["t"] + total["b"]) / HOT
+    known = _with_counts(_with_counts(pairs.filter("b > 0"), words, least, "word"), words.unionByName(begins), least, "before")
+
+    def bits(m: str):
+        own = (F.col(f"{m}_word") + 1) / F.lit(float(total[m] + size))
+        history = F.coalesce(F.col(f"{m}_before"), F.lit(0))
+        return -F.log2((F.col(m) + PRIOR * own) / (history + PRIOR))
+
+    return written(known.select("pair", F.col("b").alias("n"), bits("t").alias("_t"), bits("b").alias("_b")).toDF("pair", "n", "t", "b"), "losses"), total["b"] / HOT
 
 
 def cross_entropy_differences(documents: DataFrame, target: DataFrame) -> DataFrame:
@@ -132,18 +108,35 @@ def cross_entropy_differences(documents: DataFrame, target: DataFrame) -> DataFr
     equal scores. An empty target leaves the smoothing alone; other columns are
     ignored; an empty table gives an empty result.
     """
-    models = sent(documents.sparkSession, (count_bigrams(target), count_bigrams(documents)))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    losses, least = pair_losses(documents, target)
+    top = losses.filter(F.col("n") > least).select("pair", "t", "b").toPandas().sort_values("pair")
+    frequent = sent(documents.sparkSession, tuple(top[c].to_numpy() for c in ("pair", "t", "b")))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text's losses from frequent pairs, and its other pairs with their counts."""
+        hot, *bits = frequent()
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for row, hashes, counts in hashed_words(batch.column(1)):
-                n = np.maximum(counts, 1)
-                if len(hashes):
-                    slots = _slots(hashes, counts)
-                    owner = np.repeat(np.arange(len(counts)), counts)
-                    t, b = (np.bincount(owner, m.losses(*slots), len(counts)) / n for m in models())
-                else:
-                    t = b = np.zeros(len(counts))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(counts)), pa.array(counts.astype(np.int64)), pa.array(t), pa.array(b), pa.array(t - b)], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+            for at, hashes, counts in hashed_words(batch.column(1)):
+                owner = np.repeat(np.arange(len(counts)), counts)
+                pair = _pairs(hashes, counts)[1].view(np.int64) if len(hashes) else np.empty(0, np.int64)
+                place = np.minimum(np.searchsorted(hot, pair), max(len(hot) - 1, 0))
+                is_hot = hot[place] == pair if len(hot) else np.zeros(len(pair), bool)
+                sums = [np.bincount(owner[is_hot], x[place[is_hot]], len(counts)).astype(float) if len(hot) else np.zeros(len(counts)) for x in bits]
+                owner, pair = owner[~is_hot], pair[~is_hot]
+                order = np.lexsort((pair, owner))
+                owner, pair = owner[order], pair[order]
+                first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1]))) if len(pair) else np.empty(0, np.int64)
+                n = np.diff(np.append(first, len(pair)))
+                ends = pa.array(np.searchsorted(owner[first], np.arange(len(counts) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (pair[first], n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(counts))), batch.column(0).slice(at, len(counts)), pa.array(counts.astype(np.int64)), *map(pa.array, sums), *lists], ["row", "doc_id", "n_tokens", "t", "b", "pairs", "counts"])
+                row += len(counts)
+
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = written(texts.mapInArrow(read, "row long, doc_id long, n_tokens long, t double, b double, pairs array<long>, counts array<int>"), "rows")
+    own = rows.select("row", F.explode(F.arrays_zip("pairs", "counts")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.counts").alias("k"))
+    rest = own.join(losses.filter(F.col("n") <= least).select("pair", "t", "b"), "pair").groupBy("row").agg(F.sum(F.col("k") * F.col("t")).alias("_t"), F.sum(F.col("k") * F.col("b")).alias("_b"))
+    mean = {f"{name}_loss": (F.col(m) + F.coalesce(F.col(f"_{m}"), F.lit(0.0))) / F.greatest("n_tokens", F.lit(1)) for m, name in (("t", "target"), ("b", "background"))}
+    scored = rows.select("row", "doc_id", "n_tokens", "t", "b").join(rest, "row", "left").withColumns(mean)
+    return scored.select("doc_id", "n_tokens", *mean, (F.col("target_loss") - F.col("background_loss")).alias("score"))
