@@ -3,10 +3,10 @@
 The test items are the indexed collection: postings by term, in blocks of items, each with the
 largest impact that any item of the block has. Training texts are cut into
 overlapping passages, which are the queries; those of a slice of texts are searched at
-once. Terms that many items have are not essential: they open no block, and count with their
-largest impact wherever they occur. A block is opened for a passage only if the sum of its
-essential terms' block maxima and of these reaches the least threshold in the block; its items are then
-scored in full. An item is retrieved if the passage's score reaches `share` of the score that the
+once. Terms that many items have are not essential: they count with their largest impact
+wherever they occur. A block is opened for a passage only if the sum of its essential terms' block
+maxima and of these, or these alone, reaches the least threshold in the block; its items are then
+scored in full. Items of equal text are searched for once. An item is retrieved if the passage's score reaches `share` of the score that the
 item gets from its own text, and reported if enough of the word n-grams of its question
 and of its answer occur in the document.
 
@@ -86,7 +86,7 @@ def _ranges(start: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Index:
     """An inverted index of items, in blocks of BLOCK; terms are sorted hashes."""
 
-    items: list[int]
+    items: list[list[int]]  # ids of each text
     terms: np.ndarray
     start: np.ndarray  # of each term's postings
     item: np.ndarray
@@ -101,7 +101,7 @@ class Index:
     span: int  # words of a passage's half
 
     @staticmethod
-    def build(rows: list[tuple[int, str]], share: float, total: int, mean: float, freq: Counter) -> Index:
+    def build(rows: list[tuple[list[int], str]], share: float, total: int, mean: float, freq: Counter) -> Index:
         """total, mean and freq: number of items, their mean length and the terms' document frequencies in the whole benchmark."""
         token = [t.tolist() for t in term_hashes([t for _, t in rows])]
         posting: dict[int, list[tuple[int, float]]] = {}
@@ -155,7 +155,7 @@ class Index:
         essential = np.flatnonzero(self.common[term] == 0)
         slots, n = _ranges(self.block_start, term[essential])
         bound = np.bincount(np.repeat(passage[essential].astype(np.int64) * blocks, n) + self.block[slots], self.block_max[slots], len(shared) * blocks).reshape(-1, blocks)
-        opened = np.flatnonzero((bound > 0) & (bound + shared[:, None] >= self.block_needed))
+        opened = np.flatnonzero(bound + shared[:, None] >= self.block_needed)
         if not len(opened):
             return []
         # in the open blocks: each item's essential score, and where that may still reach the threshold, the whole score
@@ -192,20 +192,21 @@ class Index:
                     last, have = row, _grams(words_of(texts[first + row].as_py()))
                 q, a = (len(g & have) / len(g) if g else 1.0 for g in self.parts[k])
                 if min(q, a) >= overlap:
-                    yield first + row, self.items[k], q, a
+                    for item in self.items[k]:
+                        yield first + row, item, q, a
 
 
 def indexes(benchmark: DataFrame, *, share: float = SHARE, shard_bytes: int = SHARD_BYTES) -> Iterator[Index]:
-    """Index shards of `benchmark` (item_id, text), in order of item_id; one is on the driver at a time.
+    """Index shards of `benchmark` (item_id, text), in order of a text's least item_id; one is on the driver at a time. Equal texts are one item with several ids.
 
     Items that are null, without an id or of fewer than GRAM words are not searched for.
     """
-    rows = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    rows = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").groupBy("text").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
 
-    def read() -> Iterator[tuple[int, str]]:
-        for r in rows.orderBy("item_id", "text").toLocalIterator():
+    def read() -> Iterator[tuple[list[int], str]]:
+        for r in rows.orderBy(F.col("ids")[0], "text").toLocalIterator():
             if len(words_of(r["text"])) >= GRAM:
-                yield r["item_id"], r["text"]
+                yield r["ids"], r["text"]
 
     freq: Counter[int] = Counter()
     total = length = 0
@@ -215,9 +216,9 @@ def indexes(benchmark: DataFrame, *, share: float = SHARE, shard_bytes: int = SH
         freq.update(set(words))
     mean = length / max(total, 1)
     shard, size = [], 0
-    for item, text in read():
-        shard.append((item, text))
-        size += len(text)
+    for ids, text in read():
+        shard.append((ids, text))
+        size += len(text) + 8 * len(ids)
         if size >= shard_bytes:
             yield Index.build(shard, share, total, mean, freq)
             shard, size = [], 0
