@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ._store import written
 
-#: Target shares: a power of the present shares (1: as they are, 0: equal), or shares by value.
+#: Target shares: a power of the present shares (1: as they are, 0: equal), or shares by value; values not listed keep their present share.
 TARGETS: Mapping[str, float | Mapping[str, float]] = {"source": 0.5, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": 0.8}
 #: Expected share of all tokens in the sample.
 BUDGET = 0.5
@@ -39,23 +39,30 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _shares(cells: DataFrame, dim: str, target: float | Mapping[str, float]) -> Column:
-    """The target share of a cell's value among the values that have tokens."""
-    if isinstance(target, Mapping):
-        listed = F.create_map(*(F.lit(x) for kv in target.items() for x in kv))
-        return F.coalesce(listed[F.col(dim)], F.lit(0.0)).cast("double")
-    return F.pow(F.sum("tokens").over(Window.partitionBy(dim)).cast("double"), F.lit(float(target)))
+def _with_share(cells: DataFrame, dim: str, target: float | Mapping[str, float]) -> DataFrame:
+    """Adds _dim, a cell's target share by its value of dim, not yet scaled to 1. Values that a listed target lacks keep their present share; the listed ones share the rest."""
+    value, one, tokens = Window.partitionBy(dim), Window.partitionBy(), F.sum("tokens").over(Window.partitionBy(dim)).cast("double")
+    if not isinstance(target, Mapping):
+        return cells.withColumn(f"_{dim}", F.pow(tokens, F.lit(float(target))))
+    listed = F.create_map(*(F.lit(x) for kv in target.items() for x in kv))[F.col(dim)].cast("double")
+    out = cells.withColumns({"_listed": listed, "_present": tokens / F.sum("tokens").over(one), "_n": F.count("*").over(value)})
+    out = out.withColumns({"_all": F.sum(F.coalesce("_listed", F.lit(0.0)) / F.col("_n")).over(one), "_rest": F.sum(F.when(F.col("_listed").isNull(), F.col("_present") / F.col("_n")).otherwise(0.0)).over(one)})
+    share = F.when(F.col("_listed").isNull(), F.col("_present")).when(F.col("_all") > 0, F.col("_listed") / F.col("_all") * (1 - F.col("_rest"))).otherwise(0.0)
+    return out.withColumn(f"_{dim}", share).drop("_listed", "_present", "_n", "_all", "_rest")
 
 
 def raked(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]] = TARGETS, *, rounds: int = ROUNDS, error: float = ERROR) -> DataFrame:
     """`cells` (the dimensions and tokens) with weight: shares that sum to 1 and fit the targets.
 
-    Values without a target, and cells without tokens, get weight 0. Where targets
+    Values that a listed target lacks, "(none)" too, keep their present share, and the listed shares are scaled to the
+    rest. Only values listed with 0, and cells without tokens, get weight 0. Where targets
     contradict each other the last round's weights stay, exact for the last dimension.
     """
     dims = list(targets)
     one = Window.partitionBy()
-    wanted = cells.filter("tokens > 0").withColumns({f"_{d}": _shares(cells, d, targets[d]) for d in dims})
+    wanted = cells.filter("tokens > 0")
+    for d in dims:
+        wanted = _with_share(wanted, d, targets[d])
     for d in dims:
         each = F.col(f"_{d}") / F.count("*").over(Window.partitionBy(d))
         wanted = wanted.withColumn(f"_{d}", F.col(f"_{d}") / F.sum(each).over(one))
@@ -108,7 +115,7 @@ def mixture(documents: DataFrame, targets: Mapping[str, float | Mapping[str, flo
 
     Dimensions are columns of `documents`, and topic, which is computed from the text. Nulls in
     a dimension are a value of their own, "(none)". Null and empty texts have no token; in a cell without tokens,
-    and where a listed target lacks the value, the probability is 0. Repeated rows of one id are kept or
+    and where a target lists the value with 0, the probability is 0. Values that a listed target lacks keep their present share. Repeated rows of one id are kept or
     left together; a null id is hashed like any value. An empty table gives an empty result.
     """
     dims = list(targets)
