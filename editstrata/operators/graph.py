@@ -6,23 +6,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def reachable(edges: DataFrame, roots: DataFrame, most_steps: int = 50) -> DataFrame:
+#: Steps after which the nodes met so far are made one table again.
+_MERGE = 20
+
+
+def _saved(df: DataFrame) -> DataFrame:
+    """`df`, checkpointed where the session has a checkpoint folder, else kept by the executors; the plan is cut."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() is not None else df.localCheckpoint()
+
+
+def reachable(edges: DataFrame, roots: DataFrame, most_steps: int | None = None) -> DataFrame:
     """Nodes that are reachable from the roots, with the number of steps. `edges`: parent, child; `roots`: node.
 
-    The frontier alone is joined in each step, and nodes met before are left out, so cycles end. Frontiers are
-    checkpointed where the session has a checkpoint folder, else kept by their plans.
+    The frontier alone is joined in each step, and nodes met before are left out, so cycles end. Steps go on until
+    no node is new; where that takes more than most_steps, if given, an error is raised. Frontiers are saved.
     """
-    seen = roots.select("node").distinct().withColumn("steps", F.lit(0))
-    front = seen
-    saves = front.sparkSession.sparkContext.getCheckpointDir() is not None
-    for step in range(1, most_steps + 1):
-        new = front.join(edges, front["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("steps", F.lit(step))
-        new = new.checkpoint() if saves else new.cache()
+    seen = front = roots.select("node").distinct().withColumn("steps", F.lit(0))
+    step = 0
+    while True:
+        step += 1
+        new = _saved(front.join(edges, front["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("steps", F.lit(step)))
         if new.isEmpty():
-            break
+            return seen
+        if most_steps is not None and step > most_steps:
+            raise RuntimeError(f"nodes more than {most_steps} steps from the roots")
         seen = seen.unionByName(new)
+        if step % _MERGE == 0:
+            seen = _saved(seen.coalesce(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
         front = new
-    return seen
 
 
 def graph_faults(edges: DataFrame, declared: DataFrame) -> DataFrame:
@@ -32,18 +43,22 @@ def graph_faults(edges: DataFrame, declared: DataFrame) -> DataFrame:
     return loose.unionByName(twice)
 
 
-def flattened_inputs(connections: DataFrame, most_hops: int = 16) -> DataFrame:
+def flattened_inputs(connections: DataFrame) -> DataFrame:
     """Follows connections (prim, attr, source_prim, source_attr) from input to input until one has no source: prim, attr, source_prim, source_attr, hops.
 
-    Pointers are doubled: each round joins the table with itself, so chains of n hops take log n rounds. Cycles stop at most_hops and are left out.
+    Pointers are doubled: each round joins the saved table with itself, so chains of n hops take log n rounds, until all have
+    ended. A chain of more hops than there are inputs has met one twice: cycles, and what leads into them, are left out.
     """
-    now = connections.select("prim", "attr", "source_prim", "source_attr", F.lit(1).alias("hops"))
-    hops = 1
-    while hops < most_hops:
+    now = _saved(connections.select("prim", "attr", "source_prim", "source_attr", F.lit(1).cast("long").alias("hops")))
+    most = now.select("prim", "attr").distinct().count()
+    hops, ended = 1, False
+    while hops <= most and not ended:
         on = now.select(F.col("prim").alias("source_prim"), F.col("attr").alias("source_attr"), F.col("source_prim").alias("_p"), F.col("source_attr").alias("_a"), F.col("hops").alias("_h"))
-        now = now.join(on, ["source_prim", "source_attr"], "left").select("prim", "attr", F.coalesce("_p", "source_prim").alias("source_prim"), F.coalesce("_a", "source_attr").alias("source_attr"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"))
+        after = _saved(now.join(on, ["source_prim", "source_attr"], "left").select("prim", "attr", F.coalesce("_p", "source_prim").alias("source_prim"), F.coalesce("_a", "source_attr").alias("source_attr"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"), F.col("_h").isNotNull().alias("_on")))
+        ended = after.filter("_on").isEmpty()
+        now = after.drop("_on")
         hops *= 2
-    return now.filter(F.col("hops") <= most_hops)
+    return now.filter(F.col("hops") <= most)
 
 
 def one_hop(requests: DataFrame, connections: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {CONNECTIONS}, w AS (SELECT prim, attr, source_prim, source_attr, 1 AS hops FROM c UNION ALL SELECT w.prim, w.attr, c.source_prim, c.source_attr, w.hops + 1 FROM w JOIN c ON c.prim = w.source_prim AND c.attr = w.source_attr)
 SELECT prim, attr, arg_max(source_prim, hops) AS source_prim, arg_max(source_attr, hops) AS source_attr, CAST(max(hops) AS BIGINT) AS hops FROM w GROUP BY 1, 2""")
 def flattened_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.flattened_inputs(connections(spark, sf_dir), 32).withColumn("hops", F.col("hops").cast("long"))
+    return graph.flattened_inputs(connections(spark, sf_dir))
 
 
 @query(f"WITH {CONNECTIONS}, r AS (SELECT '/M/P' || p_partkey AS prim, 'inputs:x' AS attr FROM part) SELECT r.prim, r.attr, coalesce(c.source_prim, r.prim) AS source_prim, coalesce(c.source_attr, r.attr) AS source_attr FROM r LEFT JOIN c USING (prim, attr)")
