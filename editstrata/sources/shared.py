@@ -8,18 +8,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_open: ContextVar[list[str] | None] = ContextVar("tables written in the innermost scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of this machine only where none is configured (tests)."""
+    """The cluster's checkpoint folder; where none is set, a folder of this machine if Spark runs on it alone, else an error."""
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all nodes of the cluster share")
         folder = f"file://{tempfile.mkdtemp(prefix='editstrata-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -30,4 +36,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/editstrata/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (tables := _open.get()) is not None:
+        tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """As written(), but the table outlives the scope that it is written in."""
+    tables = _open.get()
+    out = written(df, name)
+    if tables is not None:
+        tables.pop()
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that written() wrote inside it; what goes out must not read them."""
+    tables: list[str] = []
+    before = _open.set(tables)
+    try:
+        yield
+    finally:
+        _open.reset(before)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in tables:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
