@@ -7,11 +7,11 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.shared import shared_dir, written
+from ..sources.shared import kept, scratch, shared_dir, written
 
-__all__ = ["sent", "shared_dir", "written"]
+__all__ = ["fresh", "kept", "scratch", "sent", "shared_dir", "written"]
 
 
 def sent(spark: SparkSession, value: Any) -> Callable[[], Any]:
@@ -25,3 +25,12 @@ def sent(spark: SparkSession, value: Any) -> Callable[[], Any]:
         return cache[0]
 
     return get
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name

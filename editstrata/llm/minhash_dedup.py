@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import connected_components
-from ._store import written
+from ._store import fresh, written
 from ._text import exact_shingles, hashed_words, mix, shingle_hashes
 
 WIDTH, HALVES = 4, 15
@@ -283,14 +283,14 @@ def deduplicated(documents: DataFrame, *, shingle_words: int = 5, percent: int =
     Rows with null or empty texts are groups of their own. Texts are shuffled only if very many rows go.
     """
     found = written(_grouped(documents, shingle_words, percent, width, halves).select("row", "first"), "grouped")
+    own = fresh(documents, "row")
     row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
-    gone = found.filter("row != first").select(F.col("row").alias("_row")).distinct()
+    gone = found.filter("row != first").select(F.col("row").alias(own)).distinct()
     few = gone.count() <= BROADCAST_IDS
-    kept = documents.join(F.broadcast(gone) if few else gone, row == F.col("_row"), "left_anti")
-    twice = written(found.filter("row = first").groupBy(F.col("row").alias("_row")).count().filter("count > 1").select("_row"), "twice")
+    kept = documents.withColumn(own, row).join(F.broadcast(gone) if few else gone, own, "left_anti")
+    twice = written(found.filter("row = first").groupBy(F.col("row").alias(own)).count().filter("count > 1").select(own), "twice")
     if twice.isEmpty():
-        return kept
-    few = twice.count() <= BROADCAST_IDS
-    side = F.broadcast(twice) if few else twice
-    one = kept.withColumn("_row", row).join(side, "_row", "left_semi").dropDuplicates(["_row"]).select(*documents.columns)
-    return kept.join(side, row == F.col("_row"), "left_anti").unionByName(one)
+        return kept.select(*documents.columns)
+    side = F.broadcast(twice) if twice.count() <= BROADCAST_IDS else twice
+    one = kept.join(side, own, "left_semi").dropDuplicates([own])
+    return kept.join(side, own, "left_anti").unionByName(one).select(*documents.columns)

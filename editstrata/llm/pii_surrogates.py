@@ -1,14 +1,19 @@
 """Personal data replaced by surrogates: keyed, type-consistent, distinct and the same for every mention.
 
-Columns and SQL functions only. E-mail and IP addresses, phone and card numbers, secrets and names after a
-title are found by one pattern. Each distinct entity, in a normal form that mentions of
+Columns and SQL functions only. One pattern finds e-mail, IPv4 and IPv6 addresses, phone, card and social security
+numbers, IBANs, secrets and keys, and names after a title; cards and IBANs count only with right check digits. In a text
+with a titled name, later mentions of that person, family or given name without the title are found too. Each distinct
+entity, in a normal form that mentions of
 other spelling share, gets a surrogate from a keyed hash: of the same type, with the
-entity's format, script and, for names, gender. Surrogates that two entities share, that equal a real
-entity, or that were given before are drawn anew until all are distinct.
+entity's format, script and, for names, gender. Family names have surrogates of their own, shared by all who
+bear them; given names are drawn by person, so that persons of one family stay distinct. Surrogates that two entities
+share, that equal a real entity, or that were given before are drawn anew until all are distinct.
 
-Mentions, not texts, are shuffled to find surrogates; only texts with a mention are
-shuffled once to put them in. A text is cut at its mentions and put together again, so
-nothing is replaced twice.
+A cheap test tells the texts that can hold a mention; only those meet the pattern. Texts with a mention are written once and
+shuffled once, all others pass through. A text is cut at its mentions and put together again, so nothing is replaced twice.
+
+Not found: names that no title introduces in their text, postal addresses, dates of birth, numbers without separators other than cards, and
+phone numbers of forms other than +country, (area) or 3-3-4 groups and 0-area groups.
 """
 
 from __future__ import annotations
@@ -16,15 +21,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import fresh, kept, scratch, written
 
 #: Draws until the surrogates must be distinct.
 DRAWS = 40
 #: Distinct entities up to this number are broadcast to the mentions, more are joined by a shuffle.
 BROADCAST_ENTITIES = 50_000
 
-#: Titles by gender, and given names by gender and script.
-TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Господин", "Κύριος"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа", "Κυρία")}
+#: Titles by gender (n: any), and given names by gender and script.
+TITLES = {"m": ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Господин", "Κύριος"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа", "Κυρία"), "n": ("Dr", "Prof", "Professor")}
 GIVEN = {
     ("m", "latin"): ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karim", "Leo", "Marco", "Nils", "Oscar", "Paul"),
     ("f", "latin"): ("Ada", "Bella", "Clara", "Dora", "Emma", "Flora", "Greta", "Hanna", "Ines", "Julia", "Karin", "Lena", "Maria", "Nora", "Olga", "Paula"),
@@ -41,24 +46,74 @@ KEPT_DIGITS = 1
 
 _WORD = r"\p{L}\p{N}._%+-"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_TITLE = "|".join(t for ts in TITLES.values() for t in ts)
+_HEX = "[0-9A-Fa-f]{1,4}"
+_TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
+_NAME = r"\p{Lu}[\p{Ll}'-]+"
+_IN, _OUT = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
+IPV6 = rf"(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}"
+KEYS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z-]{20,}"
+IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?"
 PATTERN = "|".join(
     (
         rf"(?<![{_WORD}])[{_WORD}]{{1,64}}@(?:[\p{{L}}\p{{N}}-]{{1,63}}\.){{1,5}}\p{{L}}{{2,24}}",
         rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])",
+        rf"(?<![0-9A-Za-z:])(?:{IPV6})(?![0-9A-Za-z:])",
         r"\+[0-9]{1,3}[ -]?(?:\([0-9]{2,4}\)[ -]?)?[0-9]{2,4}(?:[ -]?[0-9]{2,4}){1,3}(?![0-9])",
-        r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9A-Za-z])",
-        r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])",
-        r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
-        rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}[\p{{Ll}}'-]+(?: \p{{Lu}}[\p{{Ll}}'-]+)?",
+        rf"(?<![0-9A-Za-z+-])(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[-. ])[0-9]{{3}}[-.][0-9]{{4}}{_OUT}",
+        rf"(?<![0-9A-Za-z+./-])\(?0[0-9]{{2,4}}\)?[ /-][0-9]{{5,8}}{_OUT}",
+        rf"(?<![0-9A-Za-z-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9A-Za-z-])",
+        rf"{_IN}[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}{_OUT}",
+        rf"{_IN}[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}}{_OUT}",
+        rf"{_IN}[0-9]{{13,19}}{_OUT}",
+        rf"{_IN}(?:{KEYS}){_OUT}",
+        rf"{_IN}{IBAN}{_OUT}",
+        rf"{_IN}(?=[0-9A-Fa-f]*[0-9])(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}}){_OUT}",
+        rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
     )
 )
+#: No text without a match of this has a match of PATTERN.
+GATE = "[0-9@]|::|AKIA|gh[pousr]_|sk-"
 DIGITS = "0123456789"
 
 
+def may_mention(text: Column) -> Column:
+    """False only for texts without a mention."""
+    test = text.rlike(GATE)
+    for t in (t for ts in TITLES.values() for t in ts):
+        test = test | text.contains(t)
+    return F.coalesce(test, F.lit(False))
+
+
+def _luhn_ok(mention: Column) -> Column:
+    return _luhn_sum(_digits(mention)) % 10 == 0
+
+
+def _mod97(text: Column) -> Column:
+    """The remainder of an IBAN whose first four characters stand last, letters as 10 to 35."""
+    value = lambda c: F.ascii(c) - F.when(c.rlike("[0-9]"), 48).otherwise(55)
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97)
+
+
+def _iban_ok(mention: Column) -> Column:
+    flat = F.replace(mention, F.lit(" "))
+    return _mod97(F.concat(F.substr(flat, F.lit(5)), F.substr(flat, F.lit(1), F.lit(4)))) == 1
+
+
 def type_of(mention: Column) -> Column:
-    """email, ip, phone, card, secret or name, by the mention's form."""
-    return F.when(mention.contains("@"), "email").when(mention.startswith("+"), "phone").when(mention.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "ip").when(mention.rlike(r"^[0-9 -]{13,23}$"), "card").when(mention.rlike(r"^[0-9A-Fa-f]{32,}$"), "secret").otherwise("name")
+    """email, phone, ip, ipv6, ssn, card, iban, secret or name, by the mention's form; null for numbers whose check digits are wrong, which are left alone."""
+    digits = _digits(mention)
+    return (
+        F.when(mention.contains("@"), "email")
+        .when(mention.startswith("+"), "phone")
+        .when(mention.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "ip")
+        .when(mention.rlike(rf"^(?:{IPV6})$"), "ipv6")
+        .when(mention.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(~mention.rlike("^(000|666|9)|-00-|-0000$"), "ssn"))
+        .when(mention.rlike(r"^[0-9 -]{13,23}$") & F.length(digits).between(13, 19), F.when(_luhn_ok(mention) & mention.rlike("^[2-6]"), "card"))
+        .when(mention.rlike(r"^[(0-9][0-9() ./-]+$"), "phone")
+        .when(mention.rlike(rf"^(?:{KEYS})$") | mention.rlike("^(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})$"), "secret")
+        .when(mention.rlike(rf"^{IBAN}$"), F.when(_iban_ok(mention), "iban"))
+        .otherwise("name")
+    )
 
 
 def _digits(x: Column) -> Column:
@@ -66,10 +121,8 @@ def _digits(x: Column) -> Column:
 
 
 def normal_form(kind: Column, mention: Column) -> Column:
-    """What all spellings of one entity share; a name's begins with its gender."""
-    female = mention.rlike(rf"^(?:{'|'.join(TITLES['f'])})\.? ")
-    name = F.concat(F.when(female, "f ").otherwise("m "), F.regexp_replace(mention, r"^\S+ ", ""))
-    return F.when(kind == "email", F.lower(mention)).when(kind == "secret", F.lower(mention)).when(kind.isin("phone", "card"), _digits(mention)).when(kind == "name", name).otherwise(mention)
+    """What all spellings of one entity share; names have parts of their own."""
+    return F.when(kind.isin("email", "ipv6"), F.lower(mention)).when(kind.isin("phone", "card", "ssn"), _digits(mention)).when(kind == "iban", F.replace(mention, F.lit(" "))).when((kind == "secret") & mention.rlike("^[0-9A-Fa-f]+$"), F.lower(mention)).otherwise(mention)
 
 
 def _stream(key: str, *parts: Column) -> Column:
@@ -105,53 +158,85 @@ def _family(stream: Column, script: Column, syllables: Column) -> Column:
     return F.initcap(word)
 
 
-def surrogate(key: str, kind: Column, norm: Column, draw: Column) -> Column:
-    """The normal form's replacement, itself in normal form (names without gender)."""
-    s = _stream(key, kind, norm, draw.cast("string"))
+def _iban(norm: Column, s: Column) -> Column:
+    """Country kept, the account spelled anew, the check digits worked out."""
+    country, body = F.substr(norm, F.lit(1), F.lit(2)), _spelled(F.substr(norm, F.lit(5)), s)
+    check = F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
+    return F.concat(country, check, body)
+
+
+def surrogate(key: str, kind: Column, scope: Column, norm: Column, draw: Column) -> Column:
+    """The normal form's replacement, itself in normal form. Given names have norms "gender given" and their family as scope."""
+    s = _stream(key, kind, scope, norm, draw.cast("string"))
     domain = F.substring_index(norm, "@", -1)
     top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
     host = _spelled(F.expr("substring_index(norm, '@', -1)").substr(F.lit(1), F.length(domain) - F.length(top)), _stream(key, F.lit("domain"), domain))
     local = F.substring_index(norm, "@", 1)
     email = F.concat(_spelled(local, s), F.when(draw > 4, F.substring(s, 1, 8)).otherwise(""), F.lit("@"), host, top)
     ip = F.concat_ws(".", (_number(s, 1, 4) % 223 + 1).cast("string"), *((_number(s, 1 + 4 * k, 4) % 256).cast("string") for k in (1, 2, 3)))
+    ipv6 = F.array_join(F.transform(F.split(norm, ":"), lambda p, i: F.when(p == "", "").otherwise(F.concat(F.substr(F.lit("123456789abcdef1"), F.pmod(_number(s, 1, 4) + i, F.lit(16)).cast("int") + 1, F.lit(1)), F.substr(s, 4 * i + 1, F.length(p) - 1)))), ":")
     digits = F.concat(F.substring(norm, 1, KEPT_DIGITS), F.translate(s, "abcdef", "036925").substr(F.lit(1), F.length(norm) - KEPT_DIGITS))
     body = digits.substr(F.lit(1), F.length(norm) - 1)
-    check = F.pmod(-_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    card = F.when(_luhn_sum(norm) % 10 == 0, F.concat(body, check)).otherwise(digits)
+    card = F.concat(body, F.pmod(-_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
+    ssn = F.concat((_number(s, 1, 4) % 565 + 101).cast("string"), F.lpad((_number(s, 5, 4) % 99 + 1).cast("string"), 2, "0"), F.lpad((_number(s, 9, 6) % 9999 + 1).cast("string"), 4, "0"))
+    prefix = F.regexp_extract(norm, r"^(AKIA|gh[pousr]_|sk-)", 1)
+    secret = F.when(prefix != "", F.concat(prefix, _spelled(F.substr(norm, F.length(prefix) + 1), s))).otherwise(F.substring(s, 1, 192).substr(F.lit(1), F.length(norm)))
     script = F.when(norm.rlike(r"\p{IsCyrillic}"), "cyrillic").when(norm.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    family = _family(_stream(key, F.lit("family"), F.substring_index(norm, " ", -1), draw.cast("string")), script, F.when(draw > 8, 5).when(draw > 2, 4).otherwise(3))
-    given = F.coalesce(*(F.when((F.substring(norm, 1, 1) == g) & (script == c), F.element_at(F.array(*map(F.lit, names)), (_number(s, 9, 4) % len(names) + 1).cast("int"))) for (g, c), names in GIVEN.items()))
-    name = F.when(F.size(F.split(norm, " ")) > 2, F.concat(given, F.lit(" "), family)).otherwise(family)
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", digits).when(kind == "secret", F.substring(F.repeat(s, 1), 1, 192).substr(F.lit(1), F.length(norm))).otherwise(name)
+    family = _family(s, script, F.when(draw > 8, 5).when(draw > 2, 4).otherwise(3))
+    names = {(g, c): sum((GIVEN[h, c] for h in ("m", "f") if g in (h, "n")), ()) for g in ("m", "f", "n") for c in SYLLABLES}
+    pick = lambda at: F.coalesce(*(F.when((F.substring(norm, 1, 1) == g) & (script == c), F.element_at(F.array(*map(F.lit, x)), (_number(s, at, 4) % len(x) + 1).cast("int"))) for (g, c), x in names.items()))
+    given = F.concat(pick(9), F.when(draw > 4, F.concat(F.lit("-"), pick(13))).otherwise(""), F.when(draw > 12, F.concat(F.lit("-"), pick(17))).otherwise(""))
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "card", card).when(kind == "iban", _iban(norm, s)).when(kind == "ssn", ssn).when(kind == "phone", digits).when(kind == "secret", secret).when(kind == "given", given).otherwise(family)
 
 
 def _rendered(kind: Column, mention: Column, replacement: Column) -> Column:
-    """The replacement in the mention's format: separators, case and title."""
+    """The replacement in the mention's format: separators and case."""
     start = F.struct(F.lit("").alias("s"), F.lit(0).alias("k"))
-    fill = F.aggregate(F.split(mention, ""), start, lambda a, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(a["s"], replacement.substr(a["k"] + 1, F.lit(1))).alias("s"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k"))), lambda a: a["s"])
-    shout = (mention == F.upper(mention)) & (mention != F.lower(mention))
-    return F.when(kind.isin("phone", "card"), fill).when(kind == "name", F.concat(F.regexp_extract(mention, r"^(\S+ )", 1), replacement)).when(shout, F.upper(replacement)).otherwise(replacement)
+    fill = lambda sign: F.aggregate(F.split(mention, ""), start, lambda a, c: F.when(c.rlike(sign), F.struct(F.concat(a["s"], replacement.substr(a["k"] + 1, F.lit(1))).alias("s"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k"))), lambda a: a["s"])
+    shout = (mention == F.upper(mention)) & (mention != F.lower(mention)) & ~mention.rlike("^AKIA")
+    return F.when(kind.isin("phone", "card", "ssn"), fill("[0-9]")).when(kind == "iban", fill("[0-9A-Z]")).when(shout, F.upper(replacement)).otherwise(replacement)
 
 
 def assigned(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, norm, replacement) for distinct `entities` (kind, norm): no two share a replacement, and none is a real entity."""
-    entities = written(entities.distinct(), "entities")
-    real = entities.select("kind", F.when(F.col("kind") == "name", F.expr("substr(norm, 3)")).otherwise(F.col("norm")).alias("replacement"))
-    done, left = None, entities.withColumn("draw", F.lit(0))
-    for _ in range(DRAWS):
-        drawn = left.withColumn("replacement", surrogate(key, F.col("kind"), F.col("norm"), F.col("draw")))
-        drawn = written(drawn.withColumn("nth", F.row_number().over(Window.partitionBy("kind", "replacement").orderBy("norm"))), "drawn")
-        good = drawn.filter("nth = 1").join(real, ["kind", "replacement"], "left_anti")
-        if done is not None:
-            good = good.join(done.select("kind", "replacement"), ["kind", "replacement"], "left_anti")
-        good = written(good.select("kind", "norm", "replacement"), "good")
-        done = good if done is None else written(done.unionByName(good), "done")
-        left = written(drawn.join(good, ["kind", "norm"], "left_anti").select("kind", "norm", (F.col("draw") + 1).alias("draw")), "left")
-        if left.isEmpty():
-            return done
+    """(kind, scope, norm, replacement) for distinct `entities` (kind, scope, norm): no two of a kind and scope share a replacement, and none is a real entity."""
+    with scratch(entities.sparkSession):
+        entities = written(entities.distinct(), "entities")
+        same = ["kind", "scope"]
+        real = entities.select(*same, F.when(F.col("kind") == "given", F.substr("norm", F.lit(3))).otherwise(F.col("norm")).alias("replacement"))
+        done, left = None, entities.withColumn("draw", F.lit(0))
+        for _ in range(DRAWS):
+            drawn = left.withColumn("replacement", surrogate(key, F.col("kind"), F.col("scope"), F.col("norm"), F.col("draw")))
+            drawn = written(drawn.withColumn("nth", F.row_number().over(Window.partitionBy(*same, "replacement").orderBy("norm"))), "drawn")
+            good = drawn.filter("nth = 1").join(real, [*same, "replacement"], "left_anti")
+            if done is not None:
+                good = good.join(done.select(*same, "replacement"), [*same, "replacement"], "left_anti")
+            good = written(good.select(*same, "norm", "replacement"), "good")
+            done = good if done is None else written(done.unionByName(good), "done")
+            left = written(drawn.join(good, [*same, "norm"], "left_anti").select(*same, "norm", (F.col("draw") + 1).alias("draw")), "left")
+            if left.isEmpty():
+                return kept(done, "surrogates")
     raise RuntimeError(f"some entities found no surrogate of their own in {DRAWS} draws")
 
 
+def _names(mentions: DataFrame) -> DataFrame:
+    """Adds given ("gender given", null without one), family and title to name mentions (row, pos, mention); bare ones take what the text's titled mentions tell."""
+    title = F.regexp_extract("mention", rf"^((?:{_TITLE})\.? )", 1)
+    gender = F.coalesce(*(F.when(F.regexp_extract("mention", rf"^(?:{'|'.join(sorted(TITLES[g], key=len, reverse=True))})\.? ", 0) != "", g) for g in ("m", "f")), F.lit("n"))
+    names = mentions.withColumn("title", title).withColumn("words", F.split(F.substr("mention", F.length("title") + 1), " "))
+    first, last = F.col("words")[0], F.element_at("words", -1)
+    names = names.withColumn("gender", F.when(F.col("title") != "", gender))
+    titled = names.filter("title != ''")
+    persons = titled.filter(F.size("words") == 2).groupBy("row", first.alias("g"), last.alias("f")).agg(F.min_by("gender", "pos").alias("sex"), F.min("pos").alias("at"))
+    families = titled.select("row", last.alias("f")).distinct().withColumn("is_family", F.lit(True))
+    by_given = persons.groupBy("row", "g").agg(F.min_by(F.struct("sex", "f"), "at").alias("who"))
+    whole = persons.select("row", "g", "f", "sex")
+    out = names.withColumns({"g": first, "f": last}).join(families, ["row", "f"], "left").join(whole, ["row", "g", "f"], "left").join(by_given, ["row", "g"], "left")
+    two, alone = F.size("words") == 2, (F.col("title") == "") & F.col("is_family").isNull() & F.col("who").isNotNull()
+    given = F.when(two, F.concat_ws(" ", F.coalesce("sex", "gender"), "g")).when(alone, F.concat_ws(" ", F.col("who.sex"), "g"))
+    family = F.when((F.size("words") == 1) & alone, F.col("who.f")).otherwise(F.col("f"))
+    return out.select("row", "pos", "mention", "title", given.alias("given"), family.alias("family"), ((F.size("words") == 1) & alone).alias("given_only"))
+
+
 def with_surrogates(documents: DataFrame, *, key: str) -> DataFrame:
     """The rows of `documents` (doc_id, text and others) with text rewritten, and n_entities.
 
@@ -161,20 +246,35 @@ def with_surrogates(documents: DataFrame, *, key: str) -> DataFrame:
     rewritten alike. Other columns are kept, but for n_entities, which is replaced; an empty table gives an empty result.
     """
     columns = [c for c in documents.columns if c != "n_entities"]
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PATTERN), F.lit(0))
-    row = F.xxhash64("doc_id", "text")
-    spotted = written(documents.select(row.alias("_row"), found.alias("_found")).filter(F.size("_found") > 0).dropDuplicates(["_row"]), "spotted")
-    mentions = spotted.select("_row", F.posexplode("_found").alias("pos", "mention"))
-    mentions = mentions.withColumn("kind", type_of(F.col("mention"))).withColumn("norm", normal_form(F.col("kind"), F.col("mention")))
-    table = assigned(mentions.select("kind", "norm"), key)
-    few = table.count() <= BROADCAST_ENTITIES
-    placed = mentions.join(F.broadcast(table) if few else table, ["kind", "norm"])
-    placed = placed.select("_row", F.struct("pos", _rendered(F.col("kind"), F.col("mention"), F.col("replacement")).alias("new")).alias("_m"))
-    new = placed.groupBy("_row").agg(F.array_sort(F.collect_list("_m")).getField("new").alias("_new"))
-
-    touched = F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))
-    gaps = F.split("text", PATTERN, -1)
-    pieces = F.zip_with(gaps, F.concat(F.col("_new"), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
-    hit = documents.filter(touched).withColumn("_row", row).join(new, "_row").withColumn("text", F.array_join(pieces, "")).withColumn("n_entities", F.size("_new").cast("long"))
-    rest = documents.filter(~touched).withColumn("n_entities", F.lit(0).cast("long"))
-    return hit.select(*columns, "n_entities").unionByName(rest.select(*columns, "n_entities"))
+    plain = documents.select(*columns)
+    all_of = lambda pattern: F.regexp_extract_all("text", pattern, F.lit(0))
+    touched = may_mention(F.col("text")) & F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))
+    row, pattern, found = (fresh(plain, c) for c in ("row", "pattern", "found"))
+    with scratch(documents.sparkSession):
+        first = all_of(F.lit(PATTERN))
+        word = rf"^(?:{_TITLE})\.? "
+        heard = F.array_distinct(F.flatten(F.transform(F.filter(first, lambda m: m.rlike(word)), lambda m: F.array_union(F.array(F.regexp_replace(m, word, "")), F.split(F.regexp_replace(m, word, ""), " ")))))
+        longest = F.array_sort(heard, lambda a, b: F.length(b) - F.length(a))
+        bare = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}'-])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{N}'-])"))
+        hits = kept(plain.filter(touched).withColumn(row, F.xxhash64("doc_id", "text")).withColumn(pattern, F.when(F.size(heard) > 0, bare).otherwise(F.lit(PATTERN))).withColumn(found, all_of(F.col(pattern))), "spotted")
+        mentions = hits.select(F.col(row).alias("row"), F.col(found).alias("found")).dropDuplicates(["row"]).select("row", F.posexplode("found").alias("pos", "mention")).withColumn("kind", type_of(F.col("mention")))
+        mentions = written(mentions.filter("kind is not null").withColumn("norm", normal_form(F.col("kind"), F.col("mention"))), "mentions")
+        names = written(_names(mentions.filter("kind = 'name'").select("row", "pos", "mention")), "names")
+        none = F.lit("").alias("scope")
+        entities = mentions.filter("kind <> 'name'").select("kind", none, "norm").unionByName(names.select(F.lit("family").alias("kind"), none, F.col("family").alias("norm"))).unionByName(names.filter("given is not null").select(F.lit("given").alias("kind"), F.col("family").alias("scope"), F.col("given").alias("norm")))
+        table = assigned(entities, key)
+        side = F.broadcast(table) if table.count() <= BROADCAST_ENTITIES else table
+        others = mentions.filter("kind <> 'name'").join(side.filter("scope = ''"), ["kind", "norm"]).select("row", "pos", _rendered(F.col("kind"), F.col("mention"), F.col("replacement")).alias("new"))
+        given = side.filter("kind = 'given'").select(F.col("scope").alias("family"), F.col("norm").alias("given"), F.col("replacement").alias("new_given"))
+        family = side.filter("kind = 'family'").select(F.col("norm").alias("family"), F.col("replacement").alias("new_family"))
+        told = names.join(family, "family").join(given, ["family", "given"], "left").select("row", "pos", F.concat("title", F.when(F.col("given_only"), F.col("new_given")).otherwise(F.concat_ws(" ", "new_given", "new_family"))).alias("new"))
+        new = others.unionByName(told).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "new"))).alias("new"))
+        new = kept(new, "new")
+
+    by_place = fresh(hits, "new")
+    out = hits.join(new.select(F.col("row").alias(row), F.col("new").alias(by_place)), row, "left")
+    shown = F.transform(F.col(found), lambda m, i: F.coalesce(F.try_element_at(F.col(by_place), i), m))
+    pieces = F.zip_with(F.split("text", F.col(pattern), F.lit(-1)), F.concat(shown, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    out = out.withColumn("text", F.array_join(pieces, "")).withColumn("n_entities", F.coalesce(F.size(F.map_keys(by_place)), F.lit(0)).cast("long"))
+    rest = plain.filter(~touched).withColumn("n_entities", F.lit(0).cast("long"))
+    return out.select(*columns, "n_entities").unionByName(rest.select(*columns, "n_entities"))

@@ -16,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import fresh, written
 
 #: Target shares: a power of the present shares (1: as they are, 0: equal), or shares by value; values not listed keep their present share.
 TARGETS: Mapping[str, float | Mapping[str, float]] = {"source": 0.5, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": 0.8}
@@ -138,12 +138,13 @@ def _placed(rows: DataFrame, cells: DataFrame, dims: list[str], targets: Mapping
 def sampled(documents: DataFrame, targets: Mapping[str, float | Mapping[str, float]] = TARGETS, *, budget: float = BUDGET, seed: int = 1) -> DataFrame:
     """The rows of `documents` that mixture() keeps, with their own columns; texts are not shuffled."""
     dims = list(targets)
-    names = {d: f"_cell_{d}" for d in dims}
+    names = {d: fresh(documents, f"cell_{d}") for d in dims}
+    chance = fresh(documents, "probability")
     prepared = _prepared(documents, dims)
     cells = cells_of(prepared.select(*dims, tokens_of(F.col("text")).alias("_tokens")), dims)
-    fitted = written(with_probability(raked(written(cells.coalesce(1), "cells"), targets), budget).select(*(F.col(d).alias(n) for d, n in names.items()), F.col("probability").alias("_probability")), "fitted")
+    fitted = written(with_probability(raked(written(cells, "cells"), targets), budget).select(*(F.col(d).alias(n) for d, n in names.items()), F.col("probability").alias(chance)), "fitted")
     few = fitted.count() <= BROADCAST_CELLS
     key = {names[d]: (topic_of(F.coalesce("text", F.lit(""))) if d == "topic" else F.coalesce(F.col(d).cast("string"), F.lit(NONE))) for d in dims}
     rows = documents.withColumns(key).join(F.broadcast(fitted) if few else fitted, list(names.values()))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return rows.filter(draw < F.col("_probability")).select(*documents.columns)
+    return rows.filter(draw < F.col(chance)).select(*documents.columns)
