@@ -3,24 +3,30 @@
 The rules decide where they fit, and the URLs that they decide train the models: one on
 accepted, one on rejected URLs. Each is a variable-order Markov model over bytes: an order's
 counts are smoothed by PRIOR pseudo-counts from the next lower order, so that rare contexts fall
-back to shorter ones. Contexts are hashed into tables of fixed size, which bounds the
-model that is sent to the tasks whatever the number of URLs. A URL's score is the
+back to shorter ones. Strings up to ORDER bytes and a next one are counted exactly, by 64-bit hash, and an order keeps those
+that make up at least 1 / 2**BITS of its class's characters; what is rarer is left to the shorter contexts. So the models have
+the same strings at every size, and at most 2**BITS an order and class, which bounds what is sent to the tasks. A URL's score is the
 difference of the two log-likelihoods per character; it is rejected above a limit chosen
-on the URLs that the rules decide.
+on a fold of the URLs that the rules decide, which the models have not seen.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Longest context in bytes, and bits of the hashed tables: 2**BITS counts an order and class.
+from ._store import sent
+from ._text import mix
+
+#: Longest context in bytes, and least share of a class's characters that a string is kept from.
 ORDER, BITS = 5, 17
+#: Bytes of URLs that are read at once; one of FOLDS folds is held out for the limit.
+PIECE, FOLDS = 1 << 18, 5
 #: Pseudo-counts that a context takes from the next shorter one.
 PRIOR = 2.0
 #: Bins of the score for calibration, over [-LIMIT, LIMIT] nats a character.
@@ -69,104 +75,129 @@ def with_rule(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return out.withColumns({"rule": missing if rule is None else rule, "ruled": missing if ruled is None else ruled})
 
 
-def _contexts(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every byte of all URLs, and the end mark of each: hashed contexts of lengths 0 to ORDER, the byte, and the URL's number."""
-    texts = [b"\x01" * ORDER + (u or "").encode("utf-8", "surrogatepass") + b"\x02" for u in urls]
-    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    starts = np.cumsum([0, *(len(t) for t in texts[:-1])])
-    real = np.arange(len(data)) - starts[owner] >= ORDER
-    at = np.flatnonzero(real)
-    contexts = np.empty((ORDER + 1, len(at)), np.uint64)
+def _parts(urls: list[str | None]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """(owners, segments) of about PIECE bytes: each URL with its begin and end marks, long ones in segments that begin with ORDER bytes of context."""
+    owners, segments, held = [], [], 0
+    for k, u in enumerate(urls):
+        text = b"\x01" * ORDER + (u or "").encode("utf-8", "surrogatepass") + b"\x02"
+        for at in range(ORDER, len(text), PIECE):
+            segments.append(text[at - ORDER : at + PIECE])
+            owners.append(k)
+            held += len(segments[-1])
+            if held >= PIECE:
+                yield np.array(owners), segments
+                owners, segments, held = [], [], 0
+    if segments:
+        yield np.array(owners), segments
+
+
+def _strings(owners: np.ndarray, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every byte after the context: hashes of the contexts of lengths 0 to ORDER, of each with the byte, and the URL's number."""
+    data = np.frombuffer(b"".join(segments), np.uint8).astype(np.uint64)
+    size = np.array([len(t) for t in segments])
+    owner = np.repeat(np.arange(len(segments)), size)
+    at = np.flatnonzero(np.arange(len(data)) - (np.cumsum(size) - size)[owner] >= ORDER)
+    contexts, strings = np.empty((ORDER + 1, len(at)), np.uint64), np.empty((ORDER + 1, len(at)), np.uint64)
     h = np.zeros(len(at), np.uint64)
+    byte = (data[at] + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
     for k in range(ORDER + 1):
-        contexts[k] = h + np.uint64(k)
+        contexts[k] = mix(h + np.uint64(k))
+        strings[k] = mix(contexts[k] ^ byte)
         if k < ORDER:
             h = (h ^ (data[at - k - 1] + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-    return contexts, data[at], owner[at]
-
-
-def _slots(contexts: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Table slots of the contexts, and of the contexts with the next byte."""
-    spread = np.uint64(0xD6E8FEB86659FD93)
-    shift = np.uint64(64 - BITS)
-    return (contexts * spread) >> shift, ((contexts ^ ((byte + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9))) * spread) >> shift
-
-
-_COUNTS = "class int, kind int, slot int, n long"
+    return contexts, strings, owners[owner[at]]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of this task's URLs, by class, order and slot; tables of fixed size, only filled slots go out."""
-    size = (ORDER + 1) << BITS
-    seen = np.zeros((2, 2, size), np.int64)
+    """Counts of strings by class, with their contexts, piece by piece; rows are (url, blocked)."""
     for batch in batches:
-        urls, blocked = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        if not urls:
-            continue
-        contexts, byte, owner = _contexts(urls)
-        of, to = _slots(contexts, byte)
-        for k in range(ORDER + 1):
-            for kind, s in enumerate((of[k], to[k])):
-                for c in (0, 1):
-                    seen[c, kind] += np.bincount((s[blocked[owner] == c] + np.uint64(k << BITS)).astype(np.int64), minlength=size)
-    c, kind, slot = np.nonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(kind, pa.int32()), pa.array(slot, pa.int32()), pa.array(seen[c, kind, slot])], ["class", "kind", "slot", "n"])
+        blocked = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        for part in _parts(batch.column(0).to_pylist()):
+            contexts, strings, owner = _strings(*part)
+            for c in (False, True):
+                mine = blocked[owner] == c
+                keys, at, n = np.unique(strings[:, mine].ravel(), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), c)), pa.array(contexts[:, mine].ravel()[at].view(np.int64)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["blocked", "context", "string", "n"])
+
+
+def _found(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Counts (class, place) of the wanted keys, 0 for others."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, counts[:, at], 0)
 
 
 @dataclass(frozen=True)
 class Model:
-    """counts[class, kind, slot]; classes: accepted, rejected; kinds: contexts, contexts with next byte."""
+    """Sorted hashes of strings and contexts with their counts by class: accepted, rejected."""
 
-    counts: np.ndarray
+    strings: np.ndarray
+    string_counts: np.ndarray
+    contexts: np.ndarray
+    context_counts: np.ndarray
     limit: float = 0.0
 
     def score(self, urls: list[str | None]) -> np.ndarray:
         """Log-likelihood as a rejected URL less that as an accepted one, per character."""
-        if not urls:
-            return np.empty(0)
-        contexts, byte, owner = _contexts(urls)
-        of, to = _slots(contexts, byte)
-        logs = []
-        for c in (0, 1):
-            p = np.full(len(byte), 1 / 256)
+        total, n = np.zeros(len(urls)), np.zeros(len(urls))
+        for part in _parts(urls):
+            contexts, strings, owner = _strings(*part)
+            p = np.full((2, len(owner)), 1 / 256)
             for k in range(ORDER + 1):
-                base = np.uint64(k << BITS)
-                n = self.counts[c, 0][(of[k] + base).astype(np.int64)].astype(np.float64)
-                m = np.minimum(self.counts[c, 1][(to[k] + base).astype(np.int64)], n)
-                p = (m + PRIOR * p) / (n + PRIOR)
-            logs.append(np.log(p))
-        return np.bincount(owner, logs[1] - logs[0], len(urls)) / np.maximum(np.bincount(owner, minlength=len(urls)), 1)
+                p = (_found(self.strings, self.string_counts, strings[k]) + PRIOR * p) / (_found(self.contexts, self.context_counts, contexts[k]) + PRIOR)
+            total += np.bincount(owner, np.log(p[1] / p[0]), len(urls))
+            n += np.bincount(owner, minlength=len(urls))
+        return total / np.maximum(n, 1)
+
+
+def best_limit(seen: np.ndarray) -> float:
+    """The score at which the share of accepted URLs at or above it and of rejected ones below it are least; seen[class, bin] counts URLs."""
+    share = seen / np.maximum(seen.sum(1, keepdims=True), 1)
+    errors = np.concatenate([[0], share[1].cumsum()]) + 1 - np.concatenate([[0], share[0].cumsum()])  # a limit at each bin's lower edge
+    best = np.flatnonzero(errors <= errors.min() + 1e-12)
+    return float(best[(len(best) - 1) // 2]) / BINS * 2 * LIMIT - LIMIT
+
+
+def trained(rows: DataFrame) -> Model | None:
+    """Models from all `rows` (url, blocked); None unless both classes occur."""
+    totals = {r["blocked"]: r["n"] for r in rows.groupBy("blocked").agg(F.sum(F.octet_length(F.coalesce("url", F.lit(""))) + 1).alias("n")).collect()}
+    if len(totals) < 2:
+        return None
+    counts = rows.mapInArrow(_count, "blocked boolean, context long, string long, n long").groupBy("blocked", "context", "string").agg(F.sum("n").alias("n"))
+    often = F.col("n") * (1 << BITS) >= F.when(F.col("blocked"), totals[True]).otherwise(totals[False])
+    known = counts.filter(often).toPandas()
+
+    def table(column: str) -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(known[column].to_numpy(np.int64).view(np.uint64), return_inverse=True)
+        n = np.zeros((2, len(keys)))
+        np.add.at(n, (known["blocked"].to_numpy().astype(np.int64), at), known["n"].to_numpy())
+        return keys, n
+
+    return Model(*table("string"), *table("context"))
 
 
 def fit(ruled: DataFrame) -> Model | None:
-    """Models from rows (url, ruled) that a rule decides; None unless both verdicts occur."""
+    """Models from rows (url, ruled) that a rule decides, and the limit from a fold of them; None unless both verdicts occur among those learnt from."""
     rows = ruled.filter("ruled is not null").select("url", (F.col("ruled") == "block").alias("blocked"))
-    counts = rows.mapInArrow(_count, _COUNTS).groupBy("class", "kind", "slot").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros((2, 2, (ORDER + 1) << BITS), np.int64)
-    table[counts["class"].to_numpy(), counts["kind"].to_numpy(), counts["slot"].to_numpy()] = counts["n"].to_numpy()
-    if not (table[0, 0].any() and table[1, 0].any()):
+    aside = F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0
+    model = trained(rows.filter(~aside))
+    if model is None:
         return None
-    model = Model(table)
+    held = sent(ruled.sparkSession, model)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, BINS + 1), np.int64)
         for batch in batches:
-            score = np.clip(model.score(batch.column(0).to_pylist()), -LIMIT, LIMIT)
+            score = np.clip(held().score(batch.column(0).to_pylist()), -LIMIT, LIMIT)
             at = np.floor((score + LIMIT) / (2 * LIMIT) * BINS).astype(np.int64)
             np.add.at(seen, (batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), at), 1)
         c, at = np.nonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(at, pa.int32()), pa.array(seen[c, at])], ["class", "at", "n"])
 
     seen = np.zeros((2, BINS + 1))
-    for r in rows.mapInArrow(bins, "class int, at int, n long").groupBy("class", "at").agg(F.sum("n").alias("n")).collect():
+    for r in rows.filter(aside).mapInArrow(bins, "class int, at int, n long").groupBy("class", "at").agg(F.sum("n").alias("n")).collect():
         seen[r["class"], r["at"]] = r["n"]
-    share = seen / np.maximum(seen.sum(1, keepdims=True), 1)
-    errors = np.concatenate([[0], share[1].cumsum()]) + 1 - np.concatenate([[0], share[0].cumsum()])  # a limit at each bin's lower edge
-    best = np.flatnonzero(errors <= errors.min() + 1e-12)
-    edge = float(best[(len(best) - 1) // 2])
-    return Model(table, edge / BINS * 2 * LIMIT - LIMIT)
+    return replace(model, limit=best_limit(seen) if seen.sum(1).all() else 0.0)
 
 
 def judged_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -179,9 +210,11 @@ def judged_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     get equal results; other columns are ignored; an empty table gives an empty result.
     """
     rows = with_rule(pages.select("page_id", "url"), rules)
-    model = fit(rows)
+    fitted = fit(rows)
+    held = sent(pages.sparkSession, fitted)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held()
         for batch in batches:
             urls = batch.column(1).to_pylist()
             score = np.zeros(len(urls)) if model is None else model.score(urls)
