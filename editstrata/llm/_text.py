@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; longer single texts are cut between words.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240117))
 _BYTE = _rng.integers(1, 2**64, size=256, dtype=np.uint64)

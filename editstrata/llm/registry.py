@@ -60,8 +60,9 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     good = labels.filter("quality = 1").select("doc_id").distinct()
     few = good.count() <= minhash_dedup.BROADCAST_IDS
-    target = documents.join(F.broadcast(good) if few else good, "doc_id", "left_semi")
-    return lm_scoring.cross_entropy_differences(documents, target)
+    good = good.withColumn("good", F.lit(True))
+    marked = documents.select("doc_id", "text").join(F.broadcast(good) if few else good, "doc_id", "left")
+    return lm_scoring.cross_entropy_differences(marked, F.col("good"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -122,24 +122,43 @@ def test_leaks(spark, sf_dir, docs, texts, odd):
     assert decontamination.clean(odd, bench).count() == 8 and decontamination.contaminations(odd, bench.limit(0)).count() == 0
 
 
-def test_block_bounds_lose_nothing(spark, sf_dir, texts):
-    """Retrieval with pruning against the scores of all items for all passages."""
-    rows = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    tokens = [x.tolist() for x in decontamination.term_hashes([t for _, t in rows])]
-    freq = Counter(w for ws in tokens for w in set(ws))
-    index = decontamination.Index.build(rows, 0.2, len(rows), sum(map(len, tokens)) / len(rows), freq)
-    impact = {}
-    for t in range(len(index.terms)):
-        for p in range(index.start[t], index.start[t + 1]):
-            impact[int(index.terms[t]), int(index.item[p])] = float(index.impact[p])
+@pytest.mark.parametrize(("n", "share", "entries"), [(1, 0.5, 1 << 19), (2, 0.3, 1 << 19), (4, 0.2, 50), (60, 0.1, 1 << 19), (400, 0.2, 300), (400, 0.5, 1 << 19)])
+def test_bounds_lose_nothing(spark, sf_dir, texts, n, share, entries, monkeypatch):
+    """Retrieval against BM25 scores of all items for all passages, from counters; in pieces of entries too."""
+    monkeypatch.setattr(decontamination, "ENTRIES", entries)
+    items = dict(sorted({r.text: r.item_id for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}.items())[:n])
+    items |= {t[:300]: 10_000 + k for k, t in texts.items() if len(t or "") > 400 and len(items) + k < n}
+    tokens = {i: Counter(decontamination.term_hashes([t])[0].tolist()) for t, i in items.items()}
+    freq = Counter(w for ws in tokens.values() for w in ws)
+    mean = sum(sum(x.values()) for x in tokens.values()) / len(tokens)
+    impact = {i: {w: math.log(1 + (len(tokens) - freq[w] + 0.5) / (freq[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * sum(ws.values()) / mean)) for w, c in ws.items()} for i, ws in tokens.items()}
+    shards = list(decontamination.indexes(spark.createDataFrame([(i, t) for t, i in items.items()], "item_id long, text string"), share=share, shard_bytes=1 << 20 if n < 400 else 20_000))
+    assert sum(len(x.ids) for x in shards) == len(items) and (len(shards) > 1) == (n == 400)
     for text in list(texts.values())[:60]:
         words = decontamination.term_hashes([(text or "").lower()])[0]
-        want = set()
-        for p in range(0, len(words) // index.span + 1):
-            have = set(words[p * index.span : (p + 2) * index.span].tolist())
-            want |= {k for k in range(len(rows)) if sum(impact.get((w, k), 0.0) for w in have) >= index.needed[k]}
-        got = {k for _, hashes, counts in hashed_words(pa.array([(text or "").lower()]), marks=True) for _, k in index.retrieve(hashes, counts)}
-        assert got == want
+        for index in shards:
+            want = set()
+            for p in range(0, len(words) // index.span + 1):
+                have = set(words[p * index.span : (p + 2) * index.span].tolist())
+                want |= {i for (i,) in index.ids if sum(impact[i].get(w, 0.0) for w in have) >= share * sum(impact[i].values()) - 1e-9 and have & set(impact[i])}
+            got = {index.ids[k][0] for _, hashes, counts in hashed_words(pa.array([(text or "").lower()]), marks=True) for _, k in index.retrieve(hashes, counts)}
+            assert got == want
+
+
+def test_shards_of_items_are_one_search(spark, sf_dir, docs, monkeypatch):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    whole = sorted(map(tuple, decontamination.contaminations(docs, bench).collect()))
+    clean = sorted(r.doc_id for r in decontamination.clean(docs, bench).collect())
+    monkeypatch.setattr(decontamination.indexes, "__kwdefaults__", decontamination.indexes.__kwdefaults__ | {"shard_bytes": 5_000})
+    assert len(list(decontamination.indexes(bench))) > 1
+    assert whole == sorted(map(tuple, decontamination.contaminations(docs, bench).collect())) and clean == sorted(r.doc_id for r in decontamination.clean(docs, bench).collect())
+
+
+def test_short_items(spark):
+    """Items of one or two words are found where these stand as such."""
+    bench = spark.createDataFrame([(1, "zyxwv"), (2, "quokka wombat"), (3, "..."), (4, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a Zyxwv, here"), (2, "zyxwvu"), (3, "the quokka wombat ran"), (4, "wombat and quokka"), (5, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminations(docs, bench).collect()} == {(1, 1), (3, 2)}
 
 
 def test_toxicity(spark, odd):
@@ -152,37 +171,3 @@ def test_toxicity(spark, odd):
     assert hits / sum(a for a, _ in held) > 0.85 and hits / sum(b for _, b in held) > 0.75
     rows = toxicity.toxicity_scores(odd, labels.limit(0)).collect()
     assert len(rows) == 8 and all(r.score < 0.01 for r in rows)
-
-
-def test_losses(spark, texts, odd):
-    """Losses of a small corpus against bigram counts in dictionaries."""
-    corpus = {i: " ".join((t or "").lower().split()[:40]) for i, t in list(texts.items())[:40]}
-    frame = spark.createDataFrame(list(corpus.items()), "doc_id long, text string")
-    target = frame.filter("doc_id % 2 = 0")
-
-    def model(ids):
-        words, pairs, n = Counter(), Counter(), 0
-        for i in ids:
-            w = corpus[i].split()
-            words.update(w)
-            pairs.update(zip([None, *w], w, strict=False))
-            n += bool(w)
-        return words, pairs, n
-
-    def loss(m, w):
-        words, pairs, n = m
-        total, out = sum(words.values()), 0.0
-        for a, b in zip([None, *w], w, strict=False):
-            own = (words[b] + 1) / (total + 2**lm_scoring.WORD_BITS)
-            h = n if a is None else words[a]
-            out -= math.log2((min(pairs[a, b], h) + lm_scoring.PRIOR * own) / (h + lm_scoring.PRIOR))
-        return out / max(len(w), 1)
-
-    t, b = model([i for i in corpus if i % 2 == 0]), model(corpus)
-    for r in lm_scoring.cross_entropy_differences(frame, target).collect():
-        w = corpus[r.doc_id].split()
-        assert r.n_tokens == len(w)
-        assert r.target_loss == pytest.approx(loss(t, w), abs=0.02) and r.background_loss == pytest.approx(loss(b, w), abs=0.02)
-        assert r.score == pytest.approx(r.target_loss - r.background_loss)
-    rows = lm_scoring.cross_entropy_differences(odd, odd.limit(0)).collect()
-    assert len(rows) == 8 and all(r.score == 0 for r in rows if not r.n_tokens)
