@@ -31,6 +31,21 @@ def composed(log: DataFrame, layers: DataFrame) -> DataFrame:
     return last.withColumn("_best", F.min("rank").over(domain)).filter("rank = _best").select("scene_id", "prim", "field", "time", "value", "layer_key", "seq")
 
 
+def composed_twice(log: DataFrame, layers: DataFrame, upto: int) -> DataFrame:
+    """scene_id, prim, field, time with old_value, composed from the edits up to a seq, and new_value from all; null where the state has none.
+
+    Both states come from one aggregation of the log: of a layer the last edit, and the last up to the seq.
+    """
+    opinions = routed(log.filter("field != ''"), layers.filter("not muted"))
+    early = F.when(F.col("seq") <= upto, F.col("seq"))
+    last = opinions.groupBy("scene_id", "prim", "field", "time", "rank", "layer_key").agg(F.max_by("value", early).alias("_old"), F.max(early).alias("_at"), F.max_by("value", "seq").alias("_new"))
+    domain = Window.partitionBy("scene_id", "prim", "field", F.col("time").isNull())
+    old_rank = F.when(F.col("_at").isNotNull(), F.col("rank"))
+    best = last.withColumns({"_o": F.min(old_rank).over(domain), "_n": F.min("rank").over(domain)})
+    best = best.filter((old_rank == F.col("_o")) | (F.col("rank") == F.col("_n")))
+    return best.groupBy("scene_id", "prim", "field", "time").agg(F.max_by("_old", F.when(old_rank == F.col("_o"), 1)).alias("old_value"), F.max_by("_new", F.when(F.col("rank") == F.col("_n"), 1)).alias("new_value"), F.max(old_rank == F.col("_o")).alias("was"), F.max(F.col("rank") == F.col("_n")).alias("is"))
+
+
 def tombstones(log: DataFrame) -> DataFrame:
     """For each prim that an edit names, in its layer, the last deletion or rename at or above it.
 

@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, depth, lineage, parent
+from .running import with_rank
 
 
 def state_diff(before: DataFrame, after: DataFrame, keys: list[str], values: list[str], same: Callable[[Column, Column], Column] | None = None) -> DataFrame:
@@ -21,16 +22,22 @@ def state_diff(before: DataFrame, after: DataFrame, keys: list[str], values: lis
     Keys may be null: nulls are equal. `same` compares two values; without it nulls and arrays compare by content.
     """
     equal = same or (lambda a, b: a.eqNullSafe(b))
-    marker = {k: F.struct(F.col(k).isNull().alias("n"), k) for k in keys}  # structs of nulls join like values
-    a = before.select(*(marker[k].alias(f"_{k}") for k in keys), *(F.col(v).alias(f"old_{v}") for v in values), F.lit(True).alias("_old"))
-    b = after.select(*(marker[k].alias(f"_{k}") for k in keys), *(F.col(v).alias(f"new_{v}") for v in values), F.lit(True).alias("_new"))
-    both = a.join(b, [f"_{k}" for k in keys], "full")
+    a = before.select(*(F.col(k).alias(f"_a_{k}") for k in keys), *(F.col(v).alias(f"old_{v}") for v in values), F.lit(True).alias("_old"))
+    b = after.select(*(F.col(k).alias(f"_b_{k}") for k in keys), *(F.col(v).alias(f"new_{v}") for v in values), F.lit(True).alias("_new"))
+    both = a.join(b, [F.col(f"_a_{k}").eqNullSafe(F.col(f"_b_{k}")) for k in keys], "full")
     change = F.when(F.col("_old").isNull(), "create").when(F.col("_new").isNull(), "remove").otherwise("change")
     differs = F.lit(False)
     for v in values:
         differs = differs | ~F.coalesce(equal(F.col(f"old_{v}"), F.col(f"new_{v}")), F.lit(False))
     rows = both.withColumn("change", change).filter((F.col("change") != "change") | differs)
-    return rows.select(*(F.col(f"_{k}")[k].alias(k) for k in keys), "change", *(f"old_{v}" for v in values), *(f"new_{v}" for v in values))
+    return rows.select(*(F.coalesce(f"_a_{k}", f"_b_{k}").alias(k) for k in keys), "change", *(f"old_{v}" for v in values), *(f"new_{v}" for v in values))
+
+
+def value_changes(states: DataFrame) -> DataFrame:
+    """As state_diff, from both states side by side: the keys, old_value, new_value, was and is (whether a state has the key)."""
+    was, is_ = F.coalesce("was", F.lit(False)), F.coalesce("is", F.lit(False))
+    change = F.when(~was, "create").when(~is_, "remove").otherwise("change")
+    return states.withColumn("change", change).filter((was | is_) & ((F.col("change") != "change") | ~F.col("old_value").eqNullSafe(F.col("new_value")))).drop("was", "is")
 
 
 @dataclass(frozen=True)
@@ -84,7 +91,7 @@ def lifecycle(before: DataFrame, after: DataFrame) -> DataFrame:
     both = gone.unionByName(made)
     deep = depth(F.col("prim"))
     order = [F.col("k") == "ensure_prim", F.when(F.col("k") == "delete_prim", -deep).otherwise(deep), "prim"]
-    return both.withColumn("nth", F.row_number().over(Window.partitionBy("scene_id").orderBy(*order)))
+    return with_rank(both, ["scene_id"], order, "nth")
 
 
 def erased_samples(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -124,6 +131,12 @@ def snapshot_analysis(before: DataFrame, after: DataFrame) -> DataFrame:
     return out.withColumn("destructive", bad).drop("_top")
 
 
+def deactivations(before: DataFrame, after: DataFrame) -> DataFrame:
+    """deactivate_prim edits (flag false) for the topmost prims that an upload left out; what is below one goes with it. Their last type is told along."""
+    gone = state_diff(before, after, ["scene_id", "prim"], ["type_name"]).filter("change = 'remove'").select("scene_id", "prim", F.col("old_type_name").alias("type_name"))
+    return minimal_roots(gone).withColumns({"k": F.lit("deactivate_prim"), "flag": F.lit(False)})
+
+
 def snapshot_status(uploads: DataFrame) -> DataFrame:
     """Adds status, the first check that fails: layers, metadata, scene, token, sublayers, content; else accepted.
 
@@ -155,7 +168,7 @@ def deferred_lifecycle(rows: DataFrame, controls: DataFrame) -> DataFrame:
     owned = owning_roots(rows, last).join(last.select("scene_id", F.col("prim").alias("root"), "_at"), ["scene_id", "root"], "left")
     moves = F.col("k").isin("ensure_prim", "delete_prim", "rename_prim") & (F.col("_at") > F.col("seq")) & (F.col("prim") != F.col("root"))
     at = F.when(F.coalesce(moves, F.lit(False)), F.col("_at")).otherwise(F.col("seq"))
-    return owned.withColumn("_pos", at).withColumn("nth", F.row_number().over(Window.partitionBy("scene_id").orderBy("_pos", at != F.col("seq"), "seq"))).drop("_at", "_pos")
+    return with_rank(owned.withColumn("_pos", at), ["scene_id"], ["_pos", at != F.col("seq"), "seq"], "nth").drop("_at", "_pos")
 
 
 def missing_ancestors(log: DataFrame, existing: DataFrame) -> DataFrame:

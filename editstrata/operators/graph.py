@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 #: Steps after which the nodes met so far are made one table again.
 _MERGE = 20
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """`df`, checkpointed where the session has a checkpoint folder, else kept by the executors; the plan is cut."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() is not None else df.localCheckpoint()
-
-
 def reachable(edges: DataFrame, roots: DataFrame, most_steps: int | None = None) -> DataFrame:
     """Nodes that are reachable from the roots, with the number of steps. `edges`: parent, child; `roots`: node.
 
@@ -25,22 +22,26 @@ def reachable(edges: DataFrame, roots: DataFrame, most_steps: int | None = None)
     step = 0
     while True:
         step += 1
-        new = _saved(front.join(edges, front["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("steps", F.lit(step)))
+        new = written(front.join(edges, front["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("steps", F.lit(step)), "front")
         if new.isEmpty():
             return seen
         if most_steps is not None and step > most_steps:
             raise RuntimeError(f"nodes more than {most_steps} steps from the roots")
         seen = seen.unionByName(new)
         if step % _MERGE == 0:
-            seen = _saved(seen.coalesce(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+            seen = written(seen.coalesce(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "seen")
         front = new
 
 
-def graph_faults(edges: DataFrame, declared: DataFrame) -> DataFrame:
-    """Edges to layers that are not declared, and keys declared twice: layer_key and fault."""
-    loose = edges.select(F.col("child").alias("layer_key")).distinct().join(declared.select("layer_key"), "layer_key", "left_anti").withColumn("fault", F.lit("undeclared"))
+def graph_faults(edges: DataFrame, declared: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Edges to layers that are not declared, keys declared twice, and roots (layer_key) that are not declared: layer_key and fault."""
+    keys = declared.select("layer_key").distinct()
+    loose = edges.select(F.col("child").alias("layer_key")).distinct().join(keys, "layer_key", "left_anti").withColumn("fault", F.lit("undeclared"))
     twice = declared.groupBy("layer_key").count().filter("count > 1").select("layer_key", F.lit("declared_twice").alias("fault"))
-    return loose.unionByName(twice)
+    out = loose.unionByName(twice)
+    if roots is not None:
+        out = out.unionByName(roots.select("layer_key").distinct().join(keys, "layer_key", "left_anti").withColumn("fault", F.lit("undeclared_root")))
+    return out
 
 
 def flattened_inputs(connections: DataFrame) -> DataFrame:
@@ -49,12 +50,12 @@ def flattened_inputs(connections: DataFrame) -> DataFrame:
     Pointers are doubled: each round joins the saved table with itself, so chains of n hops take log n rounds, until all have
     ended. A chain of more hops than there are inputs has met one twice: cycles, and what leads into them, are left out.
     """
-    now = _saved(connections.select("prim", "attr", "source_prim", "source_attr", F.lit(1).cast("long").alias("hops")))
+    now = written(connections.select("prim", "attr", "source_prim", "source_attr", F.lit(1).cast("long").alias("hops")), "hops")
     most = now.select("prim", "attr").distinct().count()
     hops, ended = 1, False
     while hops <= most and not ended:
         on = now.select(F.col("prim").alias("source_prim"), F.col("attr").alias("source_attr"), F.col("source_prim").alias("_p"), F.col("source_attr").alias("_a"), F.col("hops").alias("_h"))
-        after = _saved(now.join(on, ["source_prim", "source_attr"], "left").select("prim", "attr", F.coalesce("_p", "source_prim").alias("source_prim"), F.coalesce("_a", "source_attr").alias("source_attr"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"), F.col("_h").isNotNull().alias("_on")))
+        after = written(now.join(on, ["source_prim", "source_attr"], "left").select("prim", "attr", F.coalesce("_p", "source_prim").alias("source_prim"), F.coalesce("_a", "source_attr").alias("source_attr"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"), F.col("_h").isNotNull().alias("_on")), "hops")
         ended = after.filter("_on").isEmpty()
         now = after.drop("_on")
         hops *= 2
@@ -94,7 +95,7 @@ def samples_at(samples: DataFrame, probes: DataFrame) -> DataFrame:
     key = ["scene_id", "prim", "field"]
     both = samples.select(*key, F.col("time").alias("_t"), "value", F.lit(0).alias("_probe")).unionByName(probes.distinct().select(*key, F.col("at").alias("_t"), F.lit(None).cast("double").alias("value"), F.lit(1).alias("_probe")))
     up = Window.partitionBy(*key).orderBy("_t", "_probe")
-    down = Window.partitionBy(*key).orderBy(F.desc("_t"), F.desc("_probe"))
+    down = Window.partitionBy(*key).orderBy(F.desc("_t"), F.desc("_probe"))  # a frame up to the end would read it again for each row
     mark = F.when(F.col("_probe") == 0, F.struct(F.col("_t").alias("t"), F.col("value").alias("v")))
     both = both.withColumn("_a", F.last(mark, True).over(up)).withColumn("_b", F.last(mark, True).over(down)).filter("_probe = 1")
     share = (F.col("_t") - F.col("_a.t")) / (F.col("_b.t") - F.col("_a.t"))
@@ -149,15 +150,14 @@ def renamed_paths(paths: DataFrame, renames: DataFrame, most_rounds: int = 100)
     from ..functions.paths import lineage
 
     now = paths.withColumn("path", F.col("prim")).withColumn("_seq", F.lit(-1).cast("long"))
-    saves = paths.sparkSession.sparkContext.getCheckpointDir() is not None
     later = renames.withColumnRenamed("seq", "_at")
     for _ in range(most_rounds):
         spread = now.withColumn("old", F.explode(lineage(F.col("path")))).join(later, ["scene_id", "old"]).filter("_at > _seq")
         step = spread.groupBy("scene_id", "prim").agg(F.min(F.struct("_at", "old", "new")).alias("r"))
-        step = step.checkpoint() if saves else step.cache()
+        step = written(step, "step")
         if step.isEmpty():
             return now.drop("_seq")
         moved = now.join(step, ["scene_id", "prim"], "left")
         after = F.concat(F.col("r.new"), F.col("path").substr(F.length(F.col("r.old")) + 1, F.length("path")))
-        now = moved.select(*paths.columns, F.coalesce(after, F.col("path")).alias("path"), F.coalesce("r._at", "_seq").alias("_seq"))
+        now = written(moved.select(*paths.columns, F.coalesce(after, F.col("path")).alias("path"), F.coalesce("r._at", "_seq").alias("_seq")), "moved")
     raise RuntimeError(f"paths were still renamed after {most_rounds} rounds")

@@ -6,11 +6,12 @@ only where the order of rows matters.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import at_or_below, lineage
 from ..sources.shared import written
+from .running import with_rank, with_running
 from .scans import is_exact_deletion, is_sample_barrier, routing_layer, with_tier
 
 #: Kinds whose values can be time samples, and kinds that state a layer's content exactly.
@@ -21,6 +22,10 @@ CHILD_KINDS = ("ensure_prim", "ensure_xform_ops", "set_xform_trs", "set_visibili
 TRS_ATTRIBUTES = {"t": "xformOp:translate", "r": "xformOp:orient", "s": "xformOp:scale"}
 
 KEY = ["scene_id", "layer_key", "prim", "k", "time", "spec_path", "material_purpose"]
+#: Kinds whose payloads merge field by field; of others the last edit stays whole.
+MERGED = ("ensure_prim", "set_xform_trs", "set_point_instancer", "set_gprim_attrs", "set_connectable_input", "set_connectable_connection", "set_variant_selections", "set_stage_metadata", "set_sdf_spec_fields")
+#: Columns of merging kinds: maps merge by key, sets unite, and of these scalars the last that is given stays.
+MAPS, SETS, GIVEN = ("vals", "selections", "input_types", "primvar_meta", "attr_interp", "connections"), ("fields", "api_schemas"), ("type_name", "info_id", "up_axis")
 
 
 def coalesced_transforms(log: DataFrame) -> DataFrame:
@@ -28,8 +33,7 @@ def coalesced_transforms(log: DataFrame) -> DataFrame:
 
     Any other kind is a barrier. A merged edit keeps its first position; of a field the last value stays.
     """
-    along = Window.partitionBy("scene_id").orderBy("seq")
-    cut = log.withColumn("segment", F.sum((F.col("k") != "set_xform_trs").cast("int")).over(along))
+    cut = with_running(log.select("scene_id", "seq", "k", "prim", "time", "field", "value"), ["scene_id"], "seq", {"segment": F.col("k") != "set_xform_trs"})
     rows = cut.filter("k = 'set_xform_trs'")
     values = rows.groupBy("scene_id", "segment", "prim", "time", "field").agg(F.max_by("value", "seq").alias("value"), F.min("seq").alias("_first"))
     whole = Window.partitionBy("scene_id", "segment", "prim", "time")
@@ -42,40 +46,69 @@ def written_attributes(log: DataFrame) -> DataFrame:
     return log.filter(F.col("time").isNotNull()).withColumn("attr", F.explode(names))
 
 
-def alive(log: DataFrame) -> DataFrame:
+def killers(log: DataFrame) -> DataFrame:
+    """What undoes or parts edits, one row each with the seq of its last edit: by what (subtree, content, spec, load, barrier, specs), scene, layer and path."""
+    k, path = F.col("k"), F.col("prim")
+    exact = is_exact_deletion(k, F.col("removed"))
+    row = lambda test, what, at: F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(what).alias("by"), at.alias("path")))
+    found = F.array_compact(
+        F.array(
+            row(k.isin("delete_prim", "rename_prim"), "subtree", path),
+            row(k == "replace_sdf_layer_content", "content", F.lit("")),
+            row((k == "set_sdf_spec_fields") & F.col("removed"), "spec", F.col("spec_path")),
+            row(k.isin("load_payload", "unload_payload"), "load", path),
+            row(is_sample_barrier(k, F.col("fields"), F.col("removed")) | exact, "barrier", path),
+            row(k == "set_sdf_spec_fields", "specs", F.lit("")),
+        )
+    )
+    some = log.filter(k.isin("delete_prim", "rename_prim", "load_payload", "unload_payload", *EXACT))
+    return some.select("scene_id", "layer_key", "seq", F.explode(found).alias("f")).groupBy("scene_id", "layer_key", "f.by", "f.path").agg(F.max("seq").alias("at"))
+
+
+def alive(log: DataFrame, kills: DataFrame | None = None) -> DataFrame:
     """`log` with dead: whether a later edit of the same layer has undone the row.
 
     Killers are deletions and renames at or above the prim, replaced layer content (for exact kinds), removed
-    specs (for their spec) and the opposite payload load state. Each is reduced to its last edit by key before it is joined;
-    only exact kinds meet the killers by layer and by spec, and all rows are shuffled once, by prim.
+    specs (for their spec) and the opposite payload load state. They are found in one scan and reduced to the last by key before they
+    are joined; those that do not occur cost nothing. All rows are joined once, by prim; only exact kinds meet the killers by layer and spec.
     """
+    kills = written(killers(log), "killers") if kills is None else kills
+    present = {r["by"] for r in kills.groupBy("by").count().collect()}
     lay = ["scene_id", "layer_key"]
     later = lambda c: F.coalesce(F.col(c) > F.col("seq"), F.lit(False))
-    content = log.filter("k = 'replace_sdf_layer_content'").groupBy(*lay).agg(F.max("seq").alias("_content"))
-    specs = log.filter("k = 'set_sdf_spec_fields' and removed").groupBy(*lay, "spec_path").agg(F.max("seq").alias("_spec"))
-    exact = log.filter(F.col("k").isin(*EXACT)).join(content, lay, "left").join(specs, [*lay, "spec_path"], "left")
-    exact = exact.withColumn("_gone", later("_content") | (later("_spec") & (F.col("spec_path") != ""))).select(*log.columns, "_gone")
-    rows = log.filter(~F.col("k").isin(*EXACT)).withColumn("_gone", F.lit(False)).unionByName(exact)
-
-    cuts = log.filter(F.col("k").isin("delete_prim", "rename_prim")).groupBy(*lay, F.col("prim").alias("_above")).agg(F.max("seq").alias("at"))
-    prims = log.select(*lay, "prim").distinct().withColumn("_above", F.explode(lineage(F.col("prim"))))
-    subtree = prims.join(cuts, [*lay, "_above"]).select(*lay, "prim", F.col("at").alias("_subtree"), F.lit(None).cast("long").alias("_load"))
-    loads = log.filter(F.col("k").isin("load_payload", "unload_payload")).select(*lay, "prim", F.lit(None).cast("long").alias("_subtree"), F.col("seq").alias("_load"))
-    killers = subtree.unionByName(loads).groupBy(*lay, "prim").agg(F.max("_subtree").alias("_subtree"), F.max("_load").alias("_load"))
-    dead = F.col("_gone") | later("_subtree") | (later("_load") & F.col("k").isin("load_payload", "unload_payload"))
-    return rows.join(killers, [*lay, "prim"], "left").withColumn("dead", dead).drop("_gone", "_subtree", "_load")
-
-
-def with_epochs(log: DataFrame) -> DataFrame:
+    at = lambda by, name: kills.filter(F.col("by") == by).select(*lay, F.col("path").alias(name), F.col("at").alias(f"_{by}"))
+    rows = log.withColumn("_gone", F.lit(False))
+    if present & {"content", "spec"}:
+        exact = log.filter(F.col("k").isin(*EXACT)).join(at("content", "_none").drop("_none"), lay, "left").join(at("spec", "spec_path"), [*lay, "spec_path"], "left")
+        exact = exact.withColumn("_gone", later("_content") | (later("_spec") & (F.col("spec_path") != ""))).select(*log.columns, "_gone")
+        rows = rows.filter(~F.col("k").isin(*EXACT)).unionByName(exact)
+    dead = F.col("_gone")
+    if present & {"subtree", "load"}:
+        prims = log.select(*lay, "prim").distinct().withColumn("_above", F.explode(lineage(F.col("prim"))))
+        subtree = prims.join(at("subtree", "_above"), [*lay, "_above"]).select(*lay, "prim", "_subtree", F.lit(None).cast("long").alias("_load"))
+        loads = at("load", "prim").select(*lay, "prim", F.lit(None).cast("long").alias("_subtree"), "_load")
+        by_prim = subtree.unionByName(loads).groupBy(*lay, "prim").agg(F.max("_subtree").alias("_subtree"), F.max("_load").alias("_load"))
+        dead = dead | later("_subtree") | (later("_load") & F.col("k").isin("load_payload", "unload_payload"))
+        rows = rows.join(by_prim, [*lay, "prim"], "left")
+    return rows.withColumn("dead", dead).select(*log.columns, "dead")
+
+
+def with_epochs(log: DataFrame, kills: DataFrame | None = None) -> DataFrame:
     """Adds epoch to the rows of alive(): rows of one key merge only inside an epoch.
 
     For sampled kinds it counts the barriers before the row, dead ones included. For spec rows it counts the exact
-    deletions before, and the sample writes to the spec's attribute that come after a living sample table.
+    deletions before, and the sample writes to the spec's attribute that come after a living sample table. Only prims with a barrier
+    are counted along, in parts of their edits; all others have epoch 0.
     """
-    along = Window.partitionBy("scene_id", "layer_key", "prim").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    before = lambda c: F.coalesce(F.sum(c.cast("int")).over(along), F.lit(0))
+    kills = written(killers(log), "killers") if kills is None else kills
+    parted = kills.filter("by = 'barrier'").select("scene_id", "layer_key", F.col("path").alias("prim"))
+    if parted.isEmpty():
+        return log.withColumn("epoch", F.lit(0).cast("long"))
+    spot = ["scene_id", "layer_key", "prim"]
     exact = is_exact_deletion(F.col("k"), F.col("removed"))
-    log = log.withColumn("_barriers", before(is_sample_barrier(F.col("k"), F.col("fields"), F.col("removed")))).withColumn("_exact", before(exact))
+    plain = log.join(parted, spot, "left_anti").withColumns({"_barriers": F.lit(0).cast("long"), "_exact": F.lit(0).cast("long")})
+    counted = with_running(log.join(parted, spot, "left_semi"), spot, "seq", {"_barriers": is_sample_barrier(F.col("k"), F.col("fields"), F.col("removed")), "_exact": F.coalesce(exact, F.lit(False))}, own=False)
+    log = plain.unionByName(counted)
     specs = log.filter((F.col("k") == "set_sdf_spec_fields") & ~exact).select("scene_id", "layer_key", "spec_path", "seq", (~F.col("dead") & F.array_contains("fields", "timeSamples")).alias("table"), F.lit(False).alias("write"))
     tables = specs.filter("table").select("scene_id", "layer_key", "spec_path").distinct()
     writes = written_attributes(log).select("scene_id", "layer_key", F.concat("prim", F.lit("."), "attr").alias("spec_path"), "seq", F.lit(False).alias("table"), F.lit(True).alias("write"))
@@ -91,57 +124,85 @@ def with_epochs(log: DataFrame) -> DataFrame:
     return out.withColumn("epoch", epoch).drop("_barriers", "_exact", "_cuts")
 
 
+def _merged(rows: DataFrame, group: list[str]) -> DataFrame:
+    """One row a group, payloads merged by each kind's rule, in two aggregations: by name inside the group, then by group."""
+    maps, sets, given = ([c for c in x if c in rows.columns] for x in (MAPS, SETS, GIVEN))
+    whole = [c for c in rows.columns if c not in (*group, "seq")]
+    merging = F.col("k").isin(*MERGED)
+    types = {c: rows.schema[c].dataType.valueType for c in maps}
+
+    def entry(column: str, name: Column, value: Column | None = None) -> Column:
+        return F.struct(F.lit(column).alias("of"), name.cast("string").alias("name"), *((value if c == column and value is not None else F.lit(None).cast(t)).alias(f"_{c}") for c, t in types.items()))
+
+    nothing = F.array().cast("array<string>")
+    entries = [F.array(entry("", F.lit("")))]
+    pair_of = lambda c: lambda e: entry(c, e["key"], e["value"])
+    name_of = lambda c: lambda e: entry(c, e)
+    entries += [F.transform(F.map_entries(F.when(merging, F.col(c))), pair_of(c)) for c in maps]
+    entries += [F.transform(F.when(merging, F.coalesce(F.col(c), nothing)), name_of(c)) for c in sets]
+    if "connections" in maps and "disconnections" in rows.columns:
+        entries.append(F.transform(F.when(merging, F.col("disconnections")), name_of("connections")))
+    spread = rows.withColumn("_e", F.explode(F.flatten(F.array_compact(F.array(*entries))))).select(*rows.columns, "_e.*")
+    head = F.col("of") == ""
+    first = spread.groupBy(*group, "of", "name").agg(
+        F.min("seq").alias("_first"),
+        F.max("seq").alias("_last"),
+        F.min_by("client_id", "seq").alias("_first_client"),
+        F.max_by(F.when(head, F.struct(*whole)), "seq").alias("_whole"),
+        *(F.max_by(c, F.when(head & F.col(c).isNotNull(), F.col("seq"))).alias(f"_given_{c}") for c in given),
+        *(F.max_by(f"_{c}", F.when(F.col(f"_{c}").isNotNull() if c == "connections" else F.col("of") == c, F.col("seq"))).alias(f"_{c}") for c in maps),
+        *([F.max_by(F.col("_connections").isNull(), F.struct("seq", F.col("_connections").isNull())).alias("_gone")] if "connections" in maps else []),
+    )
+    one = lambda c: F.first(F.when(head, F.col(c)), True).alias(c)
+    pairs = lambda c: F.map_from_entries(F.collect_list(F.when((F.col("of") == c) & (F.col(f"_{c}").isNotNull() if c == "connections" else F.lit(True)), F.struct("name", f"_{c}"))))
+    names = lambda test: F.sort_array(F.collect_list(F.when(test, F.col("name"))))
+    out = first.groupBy(*group).agg(
+        *(one(c) for c in ("_first", "_last", "_first_client", "_whole")),
+        *(one(f"_given_{c}") for c in given),
+        *(pairs(c).alias(f"_all_{c}") for c in maps),
+        *(names(F.col("of") == c).alias(f"_all_{c}") for c in sets),
+        *([names((F.col("of") == "connections") & F.col("_gone")).alias("_all_disconnections")] if "connections" in maps else []),
+    )
+    several = {*maps, *sets, *(("disconnections",) if "connections" in maps else ())}
+    columns = {c: F.col(f"_whole.{c}") for c in whole}
+    columns |= {c: F.coalesce(f"_given_{c}", columns[c]) for c in given}
+    columns |= {c: F.when(merging & (F.size(f"_all_{c}") > 0), F.col(f"_all_{c}")).when(merging, columns[c]).otherwise(columns[c]) for c in several if c in columns}
+    if "disconnections" in columns:
+        columns["disconnections"] = F.when(merging & (F.size("_all_disconnections") == 0), F.lit(None)).otherwise(columns["disconnections"])
+    early = F.col("k").isin("ensure_prim", "ensure_xform_ops")
+    columns["client_id"] = F.when(F.col("k") == "ensure_xform_ops", F.col("_first_client")).otherwise(columns["client_id"])
+    return out.select(*group, F.when(early, F.col("_first")).otherwise(F.col("_last")).alias("seq"), *(columns[c].alias(c) for c in whole))
+
+
 def compacted(log: DataFrame) -> DataFrame:
-    """The fewest edits that replay to the same scene, in the columns of `log` that take part.
+    """The fewest edits that replay to the same scene, in the columns of `log`, with epoch.
 
-    `log`: scene_id, seq, client_id, layer_key, k, prim, time, spec_path, spec_kind, material_purpose, fields, vals (a map by
-    field name), type_name, api_schemas, removed. Later edits undo earlier ones (alive), the rest are merged by key and epoch: values by
-    field, the latest staying; types and schemas of ensure_prim united. A merged edit has the latest
+    `log` has the columns of EDIT_SCHEMA, or those of them that it uses: scene_id, seq, client_id, layer_key, k, prim, time, spec_path,
+    spec_kind, material_purpose, fields, vals, type_name, api_schemas and removed at least. Later edits undo earlier ones (alive), the rest are merged by
+    key and epoch: maps by name, sets united, connections with what was disconnected last, of all else the last edit. A merged edit has the latest
     seq and author, ensure_prim the first seq, ensure_xform_ops the first edit's. Exact deletions stay apart.
     """
     log = log.fillna("", ["spec_path", "material_purpose", "layer_key"])
     log = routing_layer(log.filter("k <> 'set_sublayers'"))
     log = log.withColumn("spec_path", F.when(F.col("k").isin("set_sdf_spec_fields", "erase_time_samples"), F.col("spec_path")).otherwise(""))
-    rows = written(with_epochs(alive(log)).filter("not dead"), "living")
+    log = log.withColumn("material_purpose", F.when(F.col("k") == "set_material_binding", F.col("material_purpose")).otherwise(""))
+    kills = written(killers(log), "killers")
+    rows = with_epochs(alive(log, kills), kills).filter("not dead").drop("dead")
     rows = rows.withColumn("_alone", F.when(is_exact_deletion(F.col("k"), F.col("removed")), F.col("seq")))
     group = [*KEY, "epoch", "_alone"]
-    line = Window.partitionBy(*group).orderBy("seq")
-    kind_change = (F.col("k") == "set_sdf_spec_fields") & ~F.col("spec_kind").eqNullSafe(F.lag("spec_kind").over(line))
-    specs = rows.filter("k = 'set_sdf_spec_fields'").withColumn("_from", F.when(kind_change, F.col("seq")))
-    specs = specs.withColumn("_from", F.max("_from").over(Window.partitionBy(*group))).filter("seq >= _from").drop("_from")
-    rows = rows.filter("k <> 'set_sdf_spec_fields'").unionByName(specs)
-    latest = lambda c: F.max_by(c, "seq").alias(c)
-    heads = rows.groupBy(*group).agg(
-        F.min("seq").alias("_first"),
-        F.max("seq").alias("_last"),
-        F.min_by("client_id", "seq").alias("_first_client"),
-        latest("client_id"),
-        latest("spec_kind"),
-        F.max_by("type_name", F.when(F.col("type_name").isNotNull(), F.col("seq"))).alias("type_name"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("api_schemas", F.array().cast("array<string>")))))).alias("api_schemas"),
-        latest("removed"),
-    )
-    values = rows.select(*group, "seq", F.explode(F.map_entries("vals")).alias("_e")).groupBy(*group, F.col("_e.key").alias("_name")).agg(F.max_by("_e.value", "seq").alias("_value"))
-    values = values.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("_name", "_value"))).alias("vals"))
-    early = F.col("k").isin("ensure_prim", "ensure_xform_ops")
-    heads = heads.withColumn("seq", F.when(early, F.col("_first")).otherwise(F.col("_last"))).withColumn("client_id", F.when(F.col("k") == "ensure_xform_ops", F.col("_first_client")).otherwise(F.col("client_id")))
-    same = [heads[c].eqNullSafe(values[c]) for c in group]
-    return heads.join(values, same, "left").select(*(heads[c] for c in (*KEY, "epoch", "seq", "client_id", "spec_kind", "type_name", "api_schemas", "removed")), values["vals"])
+    if not kills.filter("by = 'specs'").isEmpty():  # a spec of another kind begins anew
+        rows = written(rows, "living")
+        line = Window.partitionBy(*group).orderBy("seq")
+        kind_change = ~F.col("spec_kind").eqNullSafe(F.lag("spec_kind").over(line)) | F.lag("seq").over(line).isNull()
+        specs = rows.filter("k = 'set_sdf_spec_fields'").withColumn("_from", F.when(kind_change, F.col("seq")))
+        specs = specs.withColumn("_from", F.max("_from").over(Window.partitionBy(*group))).filter("seq >= _from").drop("_from")
+        rows = rows.filter("k <> 'set_sdf_spec_fields'").unionByName(specs)
+    return _merged(rows, group).drop("_alone").select(*log.columns, "epoch")
 
 
 def renumbered(log: DataFrame) -> DataFrame:
-    """seq counted from 1 without gaps in each scene; keeps the old one as old_seq.
-
-    Scenes are numbered in range partitions of (scene_id, seq): counts by partition and scene give each partition's
-    offset, so one huge scene is not one task.
-    """
-    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = log.agg(F.max("seq").alias("m")).first()["m"] or 1
-    placed = log.withColumnRenamed("seq", "old_seq").withColumn("_part", F.floor(F.col("old_seq") * parts / (n + 1)))
-    counts = placed.groupBy("scene_id", "_part").agg(F.count("*").alias("_n"))
-    offset = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("scene_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    nth = F.row_number().over(Window.partitionBy("scene_id", "_part").orderBy("old_seq"))
-    return placed.join(offset, ["scene_id", "_part"]).withColumn("seq", F.col("_before") + nth).drop("_before", "_part")
+    """seq counted from 1 without gaps in each scene; keeps the old one as old_seq. One huge scene is many tasks."""
+    return with_running(log.withColumnRenamed("seq", "old_seq"), ["scene_id"], "old_seq", {"seq": F.lit(1)})
 
 
 def child_replay(log: DataFrame, prim: str) -> DataFrame:
@@ -150,17 +211,13 @@ def child_replay(log: DataFrame, prim: str) -> DataFrame:
     Deletions and renames of the prim and above count as killers. Lifecycle edits and sample barriers stand alone;
     between them creates come first, then by prim.
     """
-    from pyspark.sql import Column
-
     below: Column = at_or_below(F.col("prim"), F.lit(prim)) & (F.col("prim") != prim)
     above = F.col("k").isin("delete_prim", "rename_prim") & at_or_below(F.lit(prim), F.col("prim"))
     kept = with_tier(compacted(log.filter((below & F.col("k").isin(*CHILD_KINDS)) | above)))
-    barrier = F.col("k").isin("delete_prim", "rename_prim") | is_sample_barrier(F.col("k"), F.map_keys("vals"), F.col("removed"))
-    along = Window.partitionBy("scene_id").orderBy("seq")
-    marked = kept.withColumn("_barrier", barrier).withColumn("segment", 2 * F.sum(F.col("_barrier").cast("int")).over(along) - F.col("_barrier").cast("int"))
-    marked = marked.filter(below)
-    nth = F.row_number().over(Window.partitionBy("scene_id").orderBy("segment", "tier", "prim", "seq"))
-    return marked.withColumn("nth", nth).drop("_barrier")
+    barrier = F.col("k").isin("delete_prim", "rename_prim") | is_sample_barrier(F.col("k"), F.coalesce("fields", F.map_keys("vals")), F.col("removed"))
+    kept = written(kept.withColumn("_barrier", barrier), "replayed")
+    marked = with_running(kept, ["scene_id"], "seq", {"_upto": F.col("_barrier")}).withColumn("segment", 2 * F.col("_upto") - F.col("_barrier").cast("int"))
+    return with_rank(marked.filter(below).drop("_barrier", "_upto"), ["scene_id"], ["segment", "tier", "prim", "seq"], "nth")
 
 
 def united_schemas(log: DataFrame) -> DataFrame:

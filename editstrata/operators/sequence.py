@@ -5,22 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import with_rank, with_running, with_runs
+
 
 def runs(log: DataFrame, by: str = "layer_key", within: tuple[str, ...] = ("scene_id",)) -> DataFrame:
     """Adds run: number of the contiguous run of equal values along seq."""
-    along = Window.partitionBy(*within).orderBy("seq")
-    new = F.when(F.lag(by).over(along).eqNullSafe(F.col(by)) & F.lag("seq").over(along).isNotNull(), 0).otherwise(1)
-    return log.withColumn("_new", new).withColumn("run", F.sum("_new").over(along)).drop("_new")
+    return with_runs(log, list(within), "seq", by, "run")
 
 
 def segments(log: DataFrame) -> DataFrame:
     """Adds segment: deletions, renames and sample barriers stand alone and split the log."""
     alone = F.col("k").isin("delete_prim", "rename_prim", "erase_time_samples")
-    along = Window.partitionBy("scene_id").orderBy("seq")
-    return log.withColumn("segment", 2 * F.sum(alone.cast("int")).over(along) - alone.cast("int"))
+    return with_running(log, ["scene_id"], "seq", {"_upto": alone}).withColumn("segment", 2 * F.col("_upto") - alone.cast("int")).drop("_upto")
 
 
 def dependency_order(log: DataFrame) -> DataFrame:
@@ -28,9 +27,8 @@ def dependency_order(log: DataFrame) -> DataFrame:
     from ..functions.paths import depth
     from .scans import with_tier
 
-    rows = with_tier(segments(log))
     deep = F.when(F.col("tier") == 0, depth(F.col("prim"))).otherwise(0)
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("scene_id").orderBy("segment", "tier", deep, "seq")))
+    return with_rank(with_tier(segments(log)), ["scene_id"], ["segment", "tier", deep, "seq"], "nth")
 
 
 def contract(rows: DataFrame, *, key: str, last_seq: int = 0) -> DataFrame:
@@ -96,12 +94,15 @@ def retry_outcomes(attempts: DataFrame, committed: DataFrame) -> DataFrame:
 
 
 def batches(queue: DataFrame, size: int = 256) -> DataFrame:
-    """Adds batch: at most `size` transactions, and a payload load ends its batch. `queue`: scene_id, arrival, loads."""
-    along = Window.partitionBy("scene_id").orderBy("arrival")
-    part = F.coalesce(F.sum(F.col("loads").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = queue.withColumn("_part", part)
-    inside = F.floor((F.row_number().over(Window.partitionBy("scene_id", "_part").orderBy("arrival")) - 1) / size)
-    return rows.withColumn("_in", inside).withColumn("batch", F.dense_rank().over(Window.partitionBy("scene_id").orderBy("_part", "_in"))).drop("_part", "_in")
+    """Adds batch: at most `size` transactions, and a payload load ends its batch. `queue`: scene_id, arrival, loads.
+
+    Both the loads and the transactions before each one are counted in parts of the arrivals; what is ranked is one row a load.
+    """
+    rows = with_running(queue, ["scene_id"], "arrival", {"_load": F.col("loads"), "_at": F.lit(1)}, own=False)
+    loads = rows.groupBy("scene_id", "_load").agg(F.min("_at").alias("_from"), F.ceil(F.count("*") / size).alias("_n"))
+    loads = with_running(loads, ["scene_id"], "_load", {"_before": F.col("_n")}, own=False)
+    out = rows.join(loads, ["scene_id", "_load"])
+    return out.withColumn("batch", F.col("_before") + F.floor((F.col("_at") - F.col("_from")) / size) + 1).select(*queue.columns, "batch")
 
 
 def fresh_states(states: DataFrame, *, key: str) -> DataFrame:
@@ -141,8 +142,8 @@ def live_generation(rows: DataFrame, *, key: str) -> DataFrame:
     return rows.join(newest, key).filter("generation = _newest").drop("_newest")
 
 
-def replay_plans(cursors: DataFrame, *, instance: str, epoch: int, head: int) -> DataFrame:
-    """Where each receiver's replay begins and why: resumed, or from 1 as the instance, the epoch or the cursor does not fit."""
+def replay_plans(cursors: DataFrame, *, instance: str, epoch: int, head: int | Column) -> DataFrame:
+    """Where each receiver's replay begins and why: resumed, or from 1 as the instance, the epoch or the cursor does not fit. `head` is the log's, a number or a column."""
     reason = F.when(~F.col("instance").eqNullSafe(F.lit(instance)), "other_instance").when(~F.col("epoch").eqNullSafe(F.lit(epoch)), "other_epoch").when(F.col("sync_from") > head + 1, "ahead_of_head").otherwise("resumed")
     return cursors.withColumn("reason", reason).withColumn("first", F.when(F.col("reason") == "resumed", F.col("sync_from")).otherwise(F.lit(1)))
 

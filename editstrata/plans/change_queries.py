@@ -41,7 +41,9 @@ changes AS (SELECT * FROM pairs WHERE change <> 'change' OR old_value IS DISTINC
 
 @query(STATES + "SELECT * FROM changes")
 def state_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.state_diff(*composed_states(spark, sf_dir), ["scene_id", "prim", "field", "time"], ["value"])
+    log = edits(spark, sf_dir)
+    middle = log.agg(F.expr("max(event_id) div 2")).first()[0]
+    return diff.value_changes(compose.composed_twice(log, layers(spark), middle))
 
 
 @query(STATES + "SELECT *, 'set_gprim_attrs' AS k FROM changes WHERE change <> 'remove' AND starts_with(field, 'a')")
@@ -120,11 +122,10 @@ def snapshot_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.snapshot_analysis(*prim_states(spark, sf_dir))
 
 
-@query(PRIMS + "SELECT scene_id, prim, 'T' || 0 AS type_name FROM pairs WHERE old IS NOT NULL AND new IS NULL")
+@query(PRIMS + ", g AS (SELECT scene_id, prim, old AS type_name FROM pairs WHERE old IS NOT NULL AND new IS NULL) SELECT *, 'deactivate_prim' AS k, false AS flag FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE a.scene_id = b.scene_id AND starts_with(a.prim, b.prim || '/'))")
 def removed_prims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prims that an uploaded snapshot left out, which are deactivated."""
-    a, b = prim_states(spark, sf_dir)
-    return diff.state_diff(a, b, ["scene_id", "prim"], ["type_name"]).filter("change = 'remove'").select("scene_id", "prim", F.lit("T0").alias("type_name"))
+    return diff.deactivations(*prim_states(spark, sf_dir))
 
 
 @query(PRIMS + ", p AS (SELECT scene_id, prim FROM after UNION SELECT scene_id, prim FROM edits WHERE k = 'delete_prim' AND prim NOT LIKE '/World/G%/P%') SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE a.scene_id = b.scene_id AND starts_with(a.prim, b.prim || '/'))")

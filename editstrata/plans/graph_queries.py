@@ -10,13 +10,14 @@ from ..sources.edit_log import EDITS_SQL, edits, layers
 from .registry import query
 
 RECURSIVE_EDITS = EDITS_SQL.replace("WITH e0", "WITH RECURSIVE e0", 1)
-#: Layers as a graph over orders: a customer's layer holds the layers of the customers whose keys follow from the order.
-EDGES = "edges AS (SELECT DISTINCT o_custkey AS parent, (o_custkey * 7 + o_orderkey) % 300 AS child FROM orders WHERE o_custkey < 300)"
+#: Layers as a graph over orders: a customer's layer holds the layer whose key the order names, some beyond the last customer.
+EDGES = "edges AS (SELECT DISTINCT o_custkey AS parent, (o_custkey * 7 + o_orderkey) % (SELECT max(c_custkey) * 11 // 10 FROM customer) AS child FROM orders)"
 
 
 def layer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_custkey < 300")
-    return o.select(F.col("o_custkey").alias("parent"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 300).alias("child")).distinct()
+    last = spark.read.parquet(f"{sf_dir}/customer.parquet").agg(F.max("c_custkey")).first()[0]
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.col("o_custkey").alias("parent"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % (last * 11 // 10)).alias("child")).distinct()
 
 
 @query(f"WITH RECURSIVE {EDGES}, r AS (SELECT CAST(1 AS BIGINT) AS node UNION SELECT e.child FROM r JOIN edges e ON e.parent = r.node) SELECT node FROM r")
@@ -24,10 +25,12 @@ def reachable_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(layer_edges(spark, sf_dir), spark.range(1, 2).withColumnRenamed("id", "node")).select("node")
 
 
-@query(f"WITH {EDGES}, d AS (SELECT c_custkey AS layer_key FROM customer WHERE c_custkey < 200 UNION ALL SELECT c_custkey FROM customer WHERE c_custkey < 20) SELECT DISTINCT child AS layer_key, 'undeclared' AS fault FROM edges WHERE child NOT IN (SELECT layer_key FROM d) UNION ALL SELECT layer_key, 'declared_twice' FROM d GROUP BY 1 HAVING count(*) > 1")
+@query(f"WITH {EDGES}, d AS (SELECT c_custkey AS layer_key FROM customer UNION ALL SELECT c_custkey FROM customer WHERE c_acctbal < 0), r AS (SELECT DISTINCT o_custkey * 2 AS layer_key FROM orders) SELECT DISTINCT child AS layer_key, 'undeclared' AS fault FROM edges WHERE child NOT IN (SELECT layer_key FROM d) UNION ALL SELECT layer_key, 'declared_twice' FROM d GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT layer_key, 'undeclared_root' FROM r WHERE layer_key NOT IN (SELECT layer_key FROM d)")
 def layer_graph_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("layer_key"))
-    return graph.graph_faults(layer_edges(spark, sf_dir), c.filter("layer_key < 200").unionByName(c.filter("layer_key < 20")))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    roots = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") * 2).alias("layer_key"))
+    declared = c.select(F.col("c_custkey").alias("layer_key")).unionByName(c.filter("c_acctbal < 0").select(F.col("c_custkey").alias("layer_key")))
+    return graph.graph_faults(layer_edges(spark, sf_dir), declared, roots)
 
 
 #: Shader inputs over parts: a part's input is fed by the part with half its key.

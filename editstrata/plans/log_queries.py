@@ -77,10 +77,9 @@ def united_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.united_schemas(wide(spark, sf_dir)).withColumn("api_schemas", F.array_join("api_schemas", ","))
 
 
-@query(EDITS_SQL + """, kept AS (SELECT scene_id, seq, k, prim FROM edits WHERE seq % 3 = 0) SELECT scene_id, seq AS old_seq, row_number() OVER (PARTITION BY scene_id ORDER BY seq) AS seq, k FROM kept""")
+@query(EDITS_SQL + "SELECT scene_id, seq AS old_seq, row_number() OVER (PARTITION BY scene_id ORDER BY seq) AS seq, k FROM edits")
 def renumbered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = edits(spark, sf_dir).filter("seq % 3 = 0").select("scene_id", "seq", "k")
-    return reduce.renumbered(log).select("scene_id", "old_seq", F.col("seq").cast("long").alias("seq"), "k")
+    return reduce.renumbered(edits(spark, sf_dir).select("scene_id", "seq", "k")).select("scene_id", "old_seq", F.col("seq").cast("long").alias("seq"), "k")
 
 
 @query(EDITS_SQL + "SELECT seq, scene_id, k, prim FROM edits WHERE seq BETWEEN 101 AND 900")

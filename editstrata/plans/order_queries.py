@@ -61,10 +61,10 @@ def retry_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.retry_outcomes(rows, done).drop("n_events")
 
 
-@query(EDITS_SQL + ARRIVALS + ", f AS (SELECT client_id, txn_id AS seq, min(arrival) AS arrival FROM arrivals WHERE session_id = 's1' GROUP BY 1, 2) SELECT client_id, seq, arrival FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY seq) AS nth FROM f) WHERE seq = nth")
+@query(EDITS_SQL + ARRIVALS + ", f AS (SELECT client_id || '/' || session_id AS stream, txn_id AS seq, min(arrival) AS arrival FROM arrivals GROUP BY 1, 2) SELECT stream, seq, arrival FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY seq) AS nth FROM f) WHERE seq = nth")
 def sequence_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = arrivals(spark, sf_dir).filter("session_id = 's1'").select("client_id", F.col("txn_id").alias("seq"), "arrival")
-    return sequence.contract(rows, key="client_id")
+    rows = arrivals(spark, sf_dir).select(F.concat_ws("/", "client_id", "session_id").alias("stream"), F.col("txn_id").alias("seq"), "arrival")
+    return sequence.contract(rows, key="stream")
 
 
 @query(EDITS_SQL + ", cut AS (SELECT client_id, max(event_id) AS c FROM edits WHERE kk = 7 GROUP BY 1) SELECT e.client_id, e.event_id AS arrival FROM edits e LEFT JOIN cut USING (client_id) WHERE kk <> 7 AND (c IS NULL OR e.event_id > c)")
@@ -124,12 +124,13 @@ def live_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(EDITS_SQL + """, c AS (SELECT client_id, max(seq) + min(kk) * 50 AS sync_from, CASE WHEN min(kk) % 5 = 0 THEN 'old' ELSE 'now' END AS instance, CAST(min(kk) % 4 AS BIGINT) AS epoch FROM edits GROUP BY 1),
-r AS (SELECT *, CASE WHEN instance <> 'now' THEN 'other_instance' WHEN epoch <> 1 THEN 'other_epoch' WHEN sync_from > 10001 THEN 'ahead_of_head' ELSE 'resumed' END AS reason FROM c)
+r AS (SELECT *, CASE WHEN instance <> 'now' THEN 'other_instance' WHEN epoch <> 1 THEN 'other_epoch' WHEN sync_from > (SELECT max(seq) FROM edits) + 1 THEN 'ahead_of_head' ELSE 'resumed' END AS reason FROM c)
 SELECT client_id, reason, CASE reason WHEN 'resumed' THEN sync_from ELSE 1 END AS first FROM r""")
 def replay_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = edits(spark, sf_dir).groupBy("client_id").agg((F.max("seq") + F.min("kk") * 50).alias("sync_from"), F.min("kk").alias("m"))
     c = c.select("client_id", "sync_from", F.when(F.col("m") % 5 == 0, "old").otherwise("now").alias("instance"), (F.col("m") % 4).cast("long").alias("epoch"))
-    return sequence.replay_plans(c, instance="now", epoch=1, head=10000).select("client_id", "reason", "first")
+    c = c.crossJoin(F.broadcast(edits(spark, sf_dir).agg(F.max("seq").alias("head"))))  # one row
+    return sequence.replay_plans(c, instance="now", epoch=1, head=F.col("head")).select("client_id", "reason", "first")
 
 
 @query(EDITS_SQL + ARRIVALS + ", a AS (SELECT client_id, session_id, max(txn_id) AS ack FROM arrivals WHERE arrival % 5 = 0 AND txn_id < 6 GROUP BY 1, 2) SELECT client_id, session_id, txn_id, arrival, n_events, coalesce(txn_id <= ack, false) AS closed FROM arrivals LEFT JOIN a USING (client_id, session_id)")

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 #: An edit as it is read from JSON lines; kinds fill what they need.
 EDIT_SCHEMA = """scene_id string, seq long, client_id string, session_id string, txn_id long, origin string, layer_key string, k string,
-prim string, time double, spec_path string, spec_kind string, material_purpose string, fields array<string>, vals map<string, double>,
-api_schemas array<string>, type_name string, new_name string, flag boolean,
+prim string, time double, spec_path string, spec_kind string, fragment string, material_purpose string, material_path string, fields array<string>, vals map<string, double>,
+api_schemas array<string>, type_name string, new_name string, flag boolean, selections map<string, string>,
 arcs array<struct<asset_path: string, prim_path: string, list_position: string, layer_offset: double, layer_scale: double>>,
-connections map<string, struct<prim: string, attr: string>>, disconnections array<string>, times array<double>, removed boolean, n_bytes int, ts timestamp"""
+connections map<string, struct<prim: string, attr: string>>, disconnections array<string>, info_id string, input_types map<string, string>,
+primvar_meta map<string, struct<type_name: string, interpolation: string>>, attr_interp map<string, string>, times array<double>, removed boolean,
+up_axis string, generation string, revision long, sublayers array<struct<authored_path: string, offset: double, scale: double, layer_key: string>>, n_bytes int, ts timestamp"""
 
 #: The layers of the derived log, strongest first: key, rank, muted.
 LAYERS = (("department:animation", 1, False), ("department:lighting", 2, False), ("department:fx", 3, True), ("default", 4, False))

@@ -1,29 +1,31 @@
 """A versioned store of the log: batches that are appended whole or not at all, and atomic replacement.
 
-A store is a folder with `versions/V/batch=B/{records,progress,identities}` and `manifest`, a table with one row
-for each committed batch. Readers join on the manifest, so a batch that was written but not committed does not exist;
-writing a batch again first checks whether its id is committed, so retries of `foreachBatch` change nothing.
-All files are read and written by Spark, wherever the store lies.
+A store is a folder with `versions/V/NAME/{records,progress,identities}` and `manifest`, a table with one row
+for each committed batch. Readers join on the manifest, so a batch that was written but not committed does not exist.
+A batch is known by its stream and its number in it, whatever was replaced since, so retries of `foreachBatch` change nothing; a
+replacement has neither. All files are read and written by Spark, wherever the store lies.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MANIFEST = "version long, batch long, epoch long, head long, n long, base string, at timestamp"
+MANIFEST = "version long, stream string, batch long, epoch long, head long, n long, base string, at timestamp"
 
 
 @dataclass(frozen=True)
 class Token:
-    """What a reader resumes from: version, replay epoch and greatest seq."""
+    """What a reader resumes from: version, replay epoch, greatest seq and number of the version's commits."""
 
     version: int
     epoch: int
     head: int
+    commits: int = 0
 
 
 class StaleToken(RuntimeError):
@@ -45,27 +47,35 @@ class LogStore:
         return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
 
     def token(self) -> Token:
-        """Of the newest version; (0, 0, 0) for a new store."""
-        row = self.manifest().groupBy("version").agg(F.max("epoch").alias("epoch"), F.max("head").alias("head")).orderBy(F.desc("version")).first()
-        return Token(row["version"], row["epoch"], row["head"]) if row else Token(0, 0, 0)
+        """Of the newest version; zeros for a new store."""
+        row = self.manifest().groupBy("version").agg(F.max("epoch").alias("epoch"), F.max("head").alias("head"), F.count("*").alias("commits")).orderBy(F.desc("version")).first()
+        return Token(row["version"], row["epoch"], row["head"], row["commits"]) if row else Token(0, 0, 0)
 
-    def _commit(self, version: int, batch: int, epoch: int, head: int, n: int, base: str) -> None:
-        row = self.spark.createDataFrame([(version, batch, epoch, head, n, base)], MANIFEST.rsplit(",", 1)[0]).withColumn("at", F.current_timestamp())
+    def _commit(self, token: Token, stream: str | None, batch: int | None, epoch: int, base: str) -> None:
+        """Adds the row of a batch that is written at `base`."""
+        at = self.spark.read.parquet(f"{base}/records").agg(F.max("seq").alias("head"), F.count("*").alias("n")).first()
+        row = self.spark.createDataFrame([(token.version, stream, batch, epoch, max(token.head, at["head"] or 0), at["n"], base)], MANIFEST.rsplit(",", 1)[0]).withColumn("at", F.current_timestamp())
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
-    def append(self, batch: int, records: DataFrame, *, progress: DataFrame | None = None, identities: DataFrame | None = None) -> bool:
-        """Commits records (with scene_id and seq), producers' progress and layer identities as one batch; False if the batch was committed before."""
-        token = self.token()
-        if not self.manifest().filter(f"version = {token.version} and batch = {batch}").isEmpty():
+    def committed(self, batch: int, stream: str = "") -> bool:
+        """Whether the stream's batch was committed, in this version or one that was replaced since."""
+        return not self.manifest().filter((F.col("stream") == stream) & (F.col("batch") == batch)).isEmpty()
+
+    def append(self, batch: int, records: DataFrame, *, stream: str = "", progress: DataFrame | None = None, identities: DataFrame | None = None) -> bool:
+        """Commits records (with scene_id and seq), producers' progress and layer identities as one batch of a stream; False if it was committed before.
+
+        The version is looked up again before the commit: where the log was replaced meanwhile, the batch goes to the new version.
+        """
+        if self.committed(batch, stream):
             return False
-        base = f"{self.path}/versions/{token.version}/batch={batch}"
-        records.write.mode("overwrite").parquet(f"{base}/records")
+        base = f"{self.path}/batches/{stream or 'main'}-{batch}-{uuid.uuid4().hex}"
+        records.write.parquet(f"{base}/records")
         if progress is not None:
-            progress.write.mode("overwrite").parquet(f"{base}/progress")
+            progress.write.parquet(f"{base}/progress")
         if identities is not None:
-            identities.write.mode("overwrite").parquet(f"{base}/identities")
-        at = self.spark.read.parquet(f"{base}/records").agg(F.max("seq").alias("head"), F.count("*").alias("n")).first()
-        self._commit(token.version, batch, max(token.epoch, 1), max(token.head, at["head"] or 0), at["n"], base)
+            identities.write.parquet(f"{base}/identities")
+        token = self.token()
+        self._commit(token, stream, batch, max(token.epoch, 1), base)
         return True
 
     def _tables(self, kind: str, token: Token) -> list[str]:
@@ -90,33 +100,55 @@ class LogStore:
         rows = self.read(kind="progress")
         return None if rows is None else rows.groupBy("client_id", "session_id").agg(F.max("committed_through").alias("committed_through"))
 
+    def identities(self) -> DataFrame | None:
+        """Committed layer identities: identifier and layer_key."""
+        rows = self.read(kind="identities")
+        return None if rows is None else rows.dropDuplicates(["identifier"])
+
     def replace(self, records: DataFrame, *, expected: Token, progress: DataFrame | None = None) -> Token:
-        """A new version that holds `records` alone, in a new replay epoch; fails if the log is not at the expected version and epoch."""
-        now = self.token()
-        if (now.version, now.epoch) != (expected.version, expected.epoch):
-            raise StaleToken(f"expected {expected}, found {now}")
-        kept = progress if progress is not None else self.progress()
-        version = now.version + 1
-        base = f"{self.path}/versions/{version}/batch=0"
-        records.write.mode("overwrite").parquet(f"{base}/records")
-        if kept is not None:
-            kept.write.mode("overwrite").parquet(f"{base}/progress")
-        at = self.spark.read.parquet(f"{base}/records").agg(F.max("seq").alias("head"), F.count("*").alias("n")).first()
-        self._commit(version, 0, now.epoch + 1, at["head"] or 0, at["n"], base)
+        """A new version that holds `records` alone, in a new replay epoch; fails if the log is not as expected, appended batches included.
+
+        Progress and identities stay. The check is made before the records are written and again before the commit.
+        """
+        if self.token() != expected:
+            raise StaleToken(f"expected {expected}, found {self.token()}")
+        side = {"progress": progress if progress is not None else self.progress(), "identities": self.identities()}
+        base = f"{self.path}/versions/{expected.version + 1}/{uuid.uuid4().hex}"
+        records.write.parquet(f"{base}/records")
+        for name, rows in side.items():
+            if rows is not None:
+                rows.write.parquet(f"{base}/{name}")
+        if self.token() != expected:
+            raise StaleToken(f"expected {expected}, found {self.token()}")
+        self._commit(Token(expected.version + 1, expected.epoch + 1, 0), None, None, expected.epoch + 1, base)
         return self.token()
 
-    def compact(self, reduce: Callable[[DataFrame], DataFrame]) -> Token:
-        """Replaces the log by its reduction, together with what was appended meanwhile; nothing happens to an empty log."""
+    def compact(self, reduce: Callable[[DataFrame], DataFrame], *, tries: int = 3, least_new: int = 1) -> Token:
+        """Replaces the log by its reduction; nothing happens to one that has fewer than `least_new` rows since its last replacement.
+
+        What is appended while the reduction runs is found by the changed token, and the reduction is made again, over all.
+        """
+        for _ in range(tries):
+            start = self.token()
+            fresh = self.manifest().filter(f"version = {start.version} and stream is not null").agg(F.sum("n")).first()[0] or 0
+            log = self.read()
+            if log is None or fresh < least_new:
+                return start
+            try:
+                return self.replace(reduce(log), expected=start)
+            except StaleToken:
+                continue
+        raise StaleToken(f"the log changed during {tries} compactions")
+
+    def replace_if(self, accepted: Callable[[DataFrame | None], bool], records: DataFrame) -> tuple[bool, Token]:
+        """Replaces the log by an upload that `accepted` judges good against it, at one and the same token."""
         start = self.token()
-        log = self.read(last=start.head)
-        if log is None:
-            return start
-        reduced = reduce(log)
-        late = self.read(first=start.head + 1)
-        return self.replace(reduced.unionByName(late, allowMissingColumns=True), expected=start)
+        if not accepted(self.read()):
+            return False, start
+        return True, self.replace(records, expected=start)
 
     def purge(self) -> Token:
-        """Empties the log; producers' progress stays."""
+        """Empties the log; producers' progress and identities stay."""
         log = self.read()
         if log is None:
             return self.token()

@@ -32,8 +32,27 @@ def test_store(spark, tmp_path, sf_dir):
     assert (new.version, new.epoch, store.read().count()) == (old.version + 1, old.epoch + 1, 75)
     with pytest.raises(StaleToken):
         store.replace(log.limit(1), expected=old)
+    # retries of batches that went into a replaced version, and new batches of another stream under old numbers
+    assert not store.append(1, log.filter("seq <= 100")) and not store.append(2, log.filter("seq between 101 and 150"))
+    assert store.append(0, log.filter("seq between 201 and 210")) and not store.append(0, log.filter("seq between 201 and 210"))
+    assert store.append(1, log.filter("seq between 211 and 220"), stream="other")
+    assert store.read().count() == 95 == store.read().select("seq").distinct().count()
+    # a batch that arrives while the log is reduced is not lost
+    late = []
+
+    def slow(x):
+        if not late:
+            late.append(store.append(3, log.filter("seq between 301 and 305")))
+        return x.filter("seq % 4 = 0")
+
+    store.compact(slow)
+    assert store.read().filter("seq between 301 and 305").count() == 1 and store.read().filter("seq % 4 <> 0").isEmpty()
+    assert not store.append(3, log.filter("seq between 301 and 305"))
+    now = store.token()
+    assert store.compact(slow) == now
+    assert store.replace_if(lambda x: x.count() < 5, log.limit(3)) == (False, now)
     store.purge()
-    assert store.read().count() == 0 and store.progress().first().committed_through == 5
+    assert not store.append(2, log) and store.read().count() == 0 and store.progress().first().committed_through == 5
 
 
 def test_json_and_dump(spark, tmp_path):
