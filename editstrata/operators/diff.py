@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, depth, lineage, parent
+from ..sources.shared import written
 from .running import with_rank
 
 
@@ -187,3 +188,62 @@ def tree(prims: DataFrame) -> DataFrame:
     rows = prims.withColumn("parent", parent(F.col("prim"))).withColumn("depth", depth(F.col("prim")))
     counts = rows.groupBy("scene_id", F.col("parent").alias("prim")).agg(F.count("*").alias("n_children"))
     return rows.join(counts, ["scene_id", "prim"], "left").fillna(0, ["n_children"])
+
+
+#: The order of spec kinds among removals (first what is inside) and among creations (first what holds others).
+REMOVE_ORDER = ("attribute", "relationship", "variant", "variantSet", "prim", "layer")
+CREATE_ORDER = ("layer", "prim", "variantSet", "variant", "attribute", "relationship")
+
+
+def spec_delta_order(rows: DataFrame) -> DataFrame:
+    """Adds nth to spec edits (scene_id, seq, spec_path, spec_kind, removed): removals from below, by kind, then creations from above, by kind."""
+    gone = F.coalesce("removed", F.lit(False))
+    deep = depth(F.substring_index("spec_path", ".", 1)) + F.col("spec_path").contains(".").cast("int")
+    place = lambda order: F.array_position(F.array(*map(F.lit, order)), F.col("spec_kind"))
+    return with_rank(rows, ["scene_id"], [~gone, F.when(gone, -deep).otherwise(deep), F.when(gone, place(REMOVE_ORDER)).otherwise(place(CREATE_ORDER)), "spec_path", "seq"], "nth")
+
+
+def authored_paths(log: DataFrame) -> DataFrame:
+    """The distinct paths that each layer authored, with the last seq and nth: from the top, then by name."""
+    rows = log.groupBy("scene_id", "layer_key", "prim").agg(F.max("seq").alias("last"))
+    return with_rank(rows, ["scene_id", "layer_key"], [depth(F.col("prim")), "prim"], "nth")
+
+
+def snapshot_events(values: DataFrame, prims: DataFrame) -> DataFrame:
+    """A composed state as a stream of edits, as if newly authored: prims from above, then values; scene_id, nth, k, prim, type_name, field, time, value.
+
+    `values`: scene_id, prim, field, time, value; `prims`: scene_id, prim, type_name. Values of prims that are not there are left out.
+    """
+    nothing = values.limit(0)
+    changes = state_diff(nothing, values, ["scene_id", "prim", "field", "time"], ["value"]).join(prims.select("scene_id", "prim"), ["scene_id", "prim"], "left_semi")
+    kind = F.when(F.col("field").isin("t", "r", "s"), "set_xform_trs").when(F.col("field") == "visibility", "set_visibility").otherwise("set_gprim_attrs")
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    made = prims.select("scene_id", F.lit("ensure_prim").alias("k"), "prim", "type_name", text.alias("field"), number.alias("time"), number.alias("value"))
+    told = changes.select("scene_id", kind.alias("k"), "prim", text.alias("type_name"), "field", "time", F.col("new_value").alias("value"))
+    order = [F.col("k") != "ensure_prim", F.when(F.col("k") == "ensure_prim", depth(F.col("prim"))).otherwise(0), "prim", F.coalesce("field", F.lit("")), F.col("time").isNotNull(), F.coalesce("time", F.lit(0.0))]
+    return with_rank(made.unionByName(told), ["scene_id"], order, "nth")
+
+
+def namespace(log: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """scene_id, prim, type_name and seq of the prims that the edits of a log leave: made, deleted and renamed with their subtrees.
+
+    Each creation is followed through the later deletions and renames at or above its path, one a round; of what ends at one path the
+    creation of the greatest seq counts. A renamed prim that no edit made is an Xform.
+    """
+    moves = log.filter("k in ('delete_prim', 'rename_prim')").select("scene_id", F.col("prim").alias("_old"), F.col("seq").alias("_at"), "new_name")
+    made = log.filter("k = 'ensure_prim'").select("scene_id", "seq", "prim", F.coalesce("type_name", F.lit("")).alias("type_name"), F.lit(1).alias("real"))
+    roots = log.filter("k = 'rename_prim'").select("scene_id", "seq", F.concat(F.regexp_replace("prim", "[^/]+$", ""), "new_name").alias("prim"), F.lit("Xform").alias("type_name"), F.lit(0).alias("real"))
+    now = written(made.unionByName(roots).withColumns({"path": F.col("prim"), "_seq": F.col("seq")}), "made")
+    for _ in range(most_rounds):
+        spread = now.select("scene_id", "seq", "real", "_seq", F.explode(lineage(F.col("path"))).alias("_old")).join(moves, ["scene_id", "_old"]).filter("_at > _seq")
+        step = written(spread.groupBy("scene_id", "seq", "real").agg(F.min(F.struct("_at", "_old", "new_name")).alias("m")), "moves")
+        if step.isEmpty():
+            break
+        moved = now.join(step, ["scene_id", "seq", "real"], "left")
+        tail = F.col("path").substr(F.length("m._old") + 1, F.length("path"))
+        after = F.when(F.col("m").isNull(), F.col("path")).when(F.col("m.new_name").isNotNull(), F.concat(F.regexp_replace("m._old", "[^/]+$", ""), "m.new_name", tail))
+        now = written(moved.withColumn("path", after).withColumn("_seq", F.coalesce("m._at", "_seq")).drop("m").filter("path is not null"), "moved")
+    else:
+        raise RuntimeError(f"prims were still moved after {most_rounds} rounds")
+    last = F.struct("real", "_seq", "seq")  # what an edit made counts before what a rename alone tells
+    return now.groupBy("scene_id", F.col("path").alias("prim")).agg(F.max_by("type_name", last).alias("type_name"), F.max_by("seq", last).alias("seq"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
@@ -133,6 +133,70 @@ def adopted_children(edges: DataFrame, identities: DataFrame) -> DataFrame:
     return edges.join(known, "identifier", "left").withColumn("child_key", F.coalesce("_known", new)).withColumn("adopted", F.col("_known").isNotNull()).drop("_known")
 
 
+def newly_reachable(edges: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
+    """Layers (node) that can be reached now and have no state yet, with the number of their own sublayers. `known`: node."""
+    reached = reachable(edges, roots).select("node").join(known.select("node").distinct(), "node", "left_anti")
+    counts = edges.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_sublayers"))
+    return reached.join(counts, "node", "left").fillna(0, ["n_sublayers"])
+
+
+def resolved_edges(edges: DataFrame, identities: DataFrame) -> DataFrame:
+    """Edges without a key whose identifier has become known: parent, pos and the key to write."""
+    return edges.filter("child is null").join(identities.select("identifier", F.col("layer_key").alias("child_key")), "identifier").select("parent", "pos", "child_key")
+
+
+def pruned(states: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The states (node and others) of layers that the roots still reach."""
+    return states.join(reachable(edges, roots).select("node"), "node", "left_semi")
+
+
+def reanchored(paths: DataFrame, layers: DataFrame) -> DataFrame:
+    """Asset paths (layer_key, asset_path) as identifiers that hold elsewhere: anchored.
+
+    Empty paths, and those of anonymous layers, stay; absolute ones and search paths (no ./ or ../ in front) too; relative ones are anchored at the
+    layer's folder, with . and .. resolved. `layers`: layer_key, folder (null: anonymous).
+    """
+    rows = paths.join(layers.select("layer_key", "folder"), "layer_key", "left")
+    start = F.struct(F.array().cast("array<string>").alias("a"))
+
+    def step(acc: Column, part: Column) -> Column:
+        up = F.slice(acc["a"], 1, F.greatest(F.size(acc["a"]) - 1, F.lit(0)))
+        return F.struct(F.when((part == "") | (part == "."), acc["a"]).when(part == "..", up).otherwise(F.concat(acc["a"], F.array(part))).alias("a"))
+
+    whole = F.aggregate(F.split(F.concat("folder", F.lit("/"), "asset_path"), "/"), start, step, lambda x: F.concat(F.lit("/"), F.array_join(x["a"], "/")))
+    relative = F.col("asset_path").startswith("./") | F.col("asset_path").startswith("../")
+    return rows.withColumn("anchored", F.when(relative & F.col("folder").isNotNull(), whole).otherwise(F.col("asset_path"))).drop("folder")
+
+
+#: Buckets of an arc list in the order in which they are kept.
+BUCKETS = ("added", "prepended", "appended", "deleted", "ordered")
+
+
+def canonical_arcs(rows: DataFrame) -> DataFrame:
+    """arcs in one comparable form: \\ as /, a given position only where it is not the usual one, entries that are not explicit in the buckets' order.
+
+    `rows`: arcs, explicit. Offsets of 0 and scales of 1 become null, as positions that go without saying do.
+    """
+    usual = F.when(F.col("explicit"), "explicit").otherwise("prepended")
+    place = lambda a: F.array_position(F.array(*map(F.lit, BUCKETS)), F.coalesce(a["list_position"], F.lit("prepended")))
+    numbered = F.transform("arcs", lambda a, i: F.struct(F.when(F.col("explicit"), F.lit(0).cast("long")).otherwise(place(a)).alias("p"), i.alias("i"), a.alias("a")))
+    default = lambda x, usual_one: F.when(~x.eqNullSafe(F.lit(usual_one)), x)
+
+    def entry(x: Column) -> Column:
+        a = x["a"]
+        return F.struct(F.nullif(F.translate(a["asset_path"], "\\", "/"), F.lit("")).alias("asset_path"), F.nullif(a["prim_path"], F.lit("")).alias("prim_path"), F.when(a["list_position"] != usual, a["list_position"]).alias("list_position"), default(a["layer_offset"], 0.0).alias("layer_offset"), default(a["layer_scale"], 1.0).alias("layer_scale"))
+
+    return rows.withColumn("arcs", F.transform(F.array_sort(numbered), entry))
+
+
+def mapped_parameters(inputs: DataFrame, mapping: DataFrame, *, native: str) -> DataFrame:
+    """Shader inputs under a renderer's own names: by the mapping (shader, native, name, native_name), a small table, else as they are; node tells whether the shader is known there."""
+    known = mapping.filter(F.col("native") == native)
+    nodes = known.select("shader").distinct().withColumn("node", F.lit(True))
+    rows = inputs.join(F.broadcast(known.select("shader", "name", "native_name")), ["shader", "name"], "left").join(F.broadcast(nodes), "shader", "left")
+    return rows.withColumn("native_name", F.coalesce("native_name", "name")).withColumn("node", F.coalesce("node", F.lit(False)))
+
+
 def token_outcomes(attempts: DataFrame, registry: DataFrame) -> DataFrame:
     """registered, accepted or rejected for each attempt (client_id, token, arrival): a client's first use registers its token."""
     first = attempts.join(registry.select("client_id", F.col("token").alias("_t")), "client_id", "left")

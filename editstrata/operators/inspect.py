@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import depth, lineage
+from ..functions.paths import depth, lineage, parent
+from .running import with_rank
 
 
 def wire_metrics(log: DataFrame) -> DataFrame:
@@ -114,7 +115,6 @@ def bounds(points: DataFrame) -> DataFrame:
 
 
 
-
 def status(log: DataFrame, prims: DataFrame) -> DataFrame:
     """One row: edits, clients, live prims and layers."""
     row = log.agg(F.count("*").alias("n_edits"), F.countDistinct("client_id").alias("n_clients"), F.countDistinct("layer_key").alias("n_layers"))
@@ -131,3 +131,89 @@ def stack_rows(layers: DataFrame, log: DataFrame) -> DataFrame:
     """The layer stack with each layer's clients and values; layers without either are hidden."""
     use = log.groupBy("layer_key").agg(F.countDistinct("client_id").alias("n_clients"), F.count_if(F.col("field") != "").alias("n_values"))
     return layers.join(use, "layer_key", "left").fillna(0, ["n_clients", "n_values"]).filter("n_clients > 0 or n_values > 0")
+
+
+def scene_overview(prims: DataFrame) -> DataFrame:
+    """By scene: all and active prims, materials, greatest depth, instances and instancers. `prims`: scene_id, prim, material, inactive, instanceable, is_point_instancer."""
+    is_true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return prims.groupBy("scene_id").agg(F.count("*").alias("total"), F.count_if(~is_true("inactive")).alias("active"), F.count_distinct("material").alias("materials"), F.max(depth(F.col("prim"))).alias("max_depth"), F.count_if(is_true("instanceable")).alias("instances"), F.count_if(is_true("is_point_instancer")).alias("instancers"))
+
+
+def type_histogram(prims: DataFrame) -> DataFrame:
+    return prims.groupBy("scene_id", "type_name").agg(F.count("*").alias("n"))
+
+
+def listed(prims: DataFrame, *, under: str = "/", type_name: str = "", is_a: str = "", hierarchy: DataFrame | None = None, depth_limit: int = 0) -> DataFrame:
+    """Prims below a root, of exactly a type, of a type or one derived from it, and at most so many levels below the root; empty arguments do not filter.
+
+    `hierarchy`: type_name, base, a row for each type and each of its bases, itself included; a small table, broadcast.
+    """
+    top = under.rstrip("/")
+    rows = prims.filter(F.col("prim").startswith(f"{top}/"))
+    if type_name:
+        rows = rows.filter(F.col("type_name") == type_name)
+    if is_a:
+        rows = rows.join(F.broadcast(hierarchy.filter(F.col("base") == is_a).select("type_name").distinct()), "type_name", "left_semi")
+    if depth_limit:
+        rows = rows.filter(depth(F.col("prim")) - top.count("/") <= depth_limit)
+    return rows
+
+
+def details(prims: DataFrame, sections: list[str]) -> DataFrame:
+    """scene_id, prim and the wanted sections of it; the others are not read."""
+    return prims.select("scene_id", "prim", *sections)
+
+
+def bounded_children(prims: DataFrame, *, most: int = 64) -> DataFrame:
+    """By parent the number of children and the first of their names in order. Ranks are worked out in parts, so only names that stay are gathered."""
+    rows = prims.select("scene_id", parent(F.col("prim")).alias("parent"), F.substring_index("prim", "/", -1).alias("name"))
+    counts = rows.groupBy("scene_id", "parent").agg(F.count("*").alias("n_children"))
+    first = with_rank(rows, ["scene_id", "parent"], ["name"], "nth").filter(F.col("nth") <= most)
+    names = first.groupBy("scene_id", "parent").agg(F.sort_array(F.collect_list("name")).alias("children"))
+    return counts.join(names, ["scene_id", "parent"])
+
+
+def array_rows(attributes: DataFrame, item: str, *, most: int = 16) -> DataFrame:
+    """Array attributes (items and other columns) as type, size, a sample of the first items and cut: whether there are more."""
+    size = F.size("items").cast("long")
+    rest = [c for c in attributes.columns if c != "items"]
+    return attributes.select(*rest, F.lit(f"{item}[]").alias("type"), size.alias("size"), F.slice("items", 1, most).alias("items"), (size > most).alias("cut"))
+
+
+def authored_transforms(prims: DataFrame) -> DataFrame:
+    """Prims with a transform of their own (t, r or s, arrays), rounded to five places."""
+    rows = prims.filter("t is not null or r is not null or s is not null")
+    return rows.withColumns({f: F.transform(f, lambda x: F.round(x, 5)) for f in "trs"})
+
+
+def instancer_summary(rows: DataFrame) -> DataFrame:
+    """Per instancer its prototypes, instances, animated arrays and hidden instances. `rows`: prim, field, time, n (length), targets (prototypes' paths), of the state as it is.
+
+    Instances are counted by the untimed prototype indices, else by the first sample; an array is animated if it has a sample.
+    """
+    indices = F.col("field") == "proto_indices"
+    first = F.min_by("n", F.when(indices, F.struct(F.col("time").isNotNull().alias("timed"), "time")))
+    return rows.groupBy("prim").agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("field") == "prototypes", F.col("targets")))))).alias("prototypes"),
+        F.coalesce(first, F.lit(0)).alias("instances"),
+        F.sort_array(F.collect_set(F.when(F.col("time").isNotNull(), F.col("field")))).alias("animated"),
+        F.max(F.when(F.col("field") == "inactive_ids", F.col("n"))).alias("inactive"),
+    )
+
+
+def flat_replay(layers: DataFrame, departments: DataFrame) -> DataFrame:
+    """One row: whether a receiver without layers can mirror the scene, and why not. `layers`: layer_key, muted; `departments`: department, the priority list."""
+    state = layers.agg(F.count("*").alias("n"), F.max("muted").alias("muted")).crossJoin(departments.agg(F.count("*").alias("d")))
+    reason = F.when(F.col("d") > 0, "departments need layered replay").when(F.col("n") != 1, "several layers need layered replay").when(F.col("muted"), "muted layers need layered replay").otherwise("")
+    return state.select((reason == "").alias("admissible"), reason.alias("reason"))
+
+
+def with_unmanaged(stacks: DataFrame) -> DataFrame:
+    """Sublayers after a managed block is set: the managed paths in order, then the present ones that are not managed. `stacks`: scene_id, current, managed, known (all managed identifiers)."""
+    return stacks.withColumn("sublayers", F.concat("managed", F.filter("current", lambda p: ~F.array_contains("known", p))))
+
+
+def status_with_instances(log: DataFrame, prims: DataFrame) -> DataFrame:
+    """status() with the number of instances; `prims` has instanceable."""
+    more = prims.agg(F.count_if(F.coalesce("instanceable", F.lit(False))).alias("n_instances"))
+    return status(log, prims).join(F.broadcast(more))

@@ -136,13 +136,39 @@ def write_set(log: DataFrame) -> DataFrame:
     return rows.groupBy("client_id", "session_id", "txn_id", "path").agg(F.max("whole").alias("whole"))
 
 
+def payload_loads(log: DataFrame) -> DataFrame:
+    """Per transaction the paths whose payloads it loads, sorted and distinct; transactions without one are left out."""
+    rows = log.filter("k = 'load_payload'").select("client_id", "session_id", "txn_id", "prim").distinct()
+    return rows.groupBy("client_id", "session_id", "txn_id").agg(F.sort_array(F.collect_list("prim")).alias("paths"))
+
+
 def outside_instances(log: DataFrame, prims: DataFrame) -> DataFrame:
-    """Edits without those whose nearest existing ancestor-or-self lies under an instance. `prims`: scene_id, prim, is_instance."""
+    """Edits without those whose nearest existing ancestor is an instance. `prims`: scene_id, prim, is_instance; where it names a prim twice, any counts."""
     from ..functions.paths import ancestors
 
     held = log.select("scene_id", "prim").distinct().withColumn("_above", F.explode(ancestors(F.col("prim"))))
-    below = held.join(prims.filter("is_instance").select("scene_id", F.col("prim").alias("_above")), ["scene_id", "_above"]).select("scene_id", "prim").distinct()
-    return log.join(below, ["scene_id", "prim"], "left_anti")
+    there = prims.groupBy("scene_id", F.col("prim").alias("_above")).agg(F.max("is_instance").alias("_inside"))
+    near = held.join(there, ["scene_id", "_above"]).groupBy("scene_id", "prim").agg(F.max_by("_inside", F.length("_above")).alias("_inside"))
+    return log.join(near.filter("_inside").select("scene_id", "prim"), ["scene_id", "prim"], "left_anti")
+
+
+def needs_read(dirty: DataFrame, channels: DataFrame) -> DataFrame:
+    """Which channel reads which prim in this cycle. `dirty`: prim, attrs (null or empty: all is read); `channels`, a small table: channel, attrs, prefixes, resync_only.
+
+    A channel reads if all is to be read, or if it is not for resyncs only and watches nothing in particular, a dirty attribute or a prefix of one.
+    """
+    all_of = F.coalesce(F.size("dirty"), F.lit(0)) <= 0
+    nothing = F.array().cast("array<string>")
+    names, starts = F.coalesce("attrs", nothing), F.coalesce("prefixes", nothing)
+    hit = F.arrays_overlap("dirty", names) | F.exists("dirty", lambda a: F.exists(starts, lambda p: a.startswith(p)))
+    reads = all_of | (~F.col("resync_only") & (((F.size(names) == 0) & (F.size(starts) == 0)) | hit))
+    return dirty.withColumnRenamed("attrs", "dirty").crossJoin(F.broadcast(channels)).filter(F.coalesce(reads, F.lit(False))).select("prim", "channel")
+
+
+def replicated_schemas(log: DataFrame, allowed: list[str]) -> DataFrame:
+    """Edits whose applied schemas are cut to the allowed names; a multiple-apply schema name:instance counts by its name."""
+    kept = F.filter("api_schemas", lambda s: F.substring_index(s, ":", 1).isin(*allowed))
+    return log.withColumn("api_schemas", kept)
 
 
 def first_encounters(log: DataFrame, *key: str) -> DataFrame:
