@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import fresh, written
@@ -30,7 +30,7 @@ NONE = "(none)"
 
 
 def topic_of(text: Column) -> Column:
-    """A coarse topic by form: licensed, table, record (digits) or prose; null and empty texts are prose."""
+    """A coarse topic by form, for tables without a column of that name: licensed, table, record (digits) or prose; null and empty texts are prose."""
     return F.when(text.contains("License"), "licensed").when(text.contains(" | "), "table").when(F.translate(text, "0123456789", "") != text, "record").otherwise("prose")
 
 
@@ -39,16 +39,20 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _with_share(cells: DataFrame, dim: str, target: float | Mapping[str, float]) -> DataFrame:
-    """Adds _dim, a cell's target share by its value of dim, not yet scaled to 1. Values that a listed target lacks keep their present share; the listed ones share the rest."""
-    value, one, tokens = Window.partitionBy(dim), Window.partitionBy(), F.sum("tokens").over(Window.partitionBy(dim)).cast("double")
+def marginal(cells: DataFrame, dim: str, target: float | Mapping[str, float]) -> DataFrame:
+    """(dim, _share) of every value that has tokens: its target share, summing to 1. Values that a listed target lacks keep their present share; the listed ones share the rest."""
+    tokens = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("_tokens"))
     if not isinstance(target, Mapping):
-        return cells.withColumn(f"_{dim}", F.pow(tokens, F.lit(float(target))))
+        powers = tokens.select(dim, F.pow("_tokens", F.lit(float(target))).alias("_share"))
+        return powers.withColumn("_share", F.col("_share") / F.lit(powers.agg(F.sum("_share")).first()[0] or 1.0))
     listed = F.create_map(*(F.lit(x) for kv in target.items() for x in kv))[F.col(dim)].cast("double")
-    out = cells.withColumns({"_listed": listed, "_present": tokens / F.sum("tokens").over(one), "_n": F.count("*").over(value)})
-    out = out.withColumns({"_all": F.sum(F.coalesce("_listed", F.lit(0.0)) / F.col("_n")).over(one), "_rest": F.sum(F.when(F.col("_listed").isNull(), F.col("_present") / F.col("_n")).otherwise(0.0)).over(one)})
-    share = F.when(F.col("_listed").isNull(), F.col("_present")).when(F.col("_all") > 0, F.col("_listed") / F.col("_all") * (1 - F.col("_rest"))).otherwise(0.0)
-    return out.withColumn(f"_{dim}", share).drop("_listed", "_present", "_n", "_all", "_rest")
+    tokens = tokens.withColumn("_listed", listed)
+    whole = tokens.agg(F.sum("_tokens").alias("all"), F.sum(F.when(F.col("_listed").isNull(), F.col("_tokens"))).alias("rest"), F.sum("_listed").alias("listed")).first()
+    every = whole["all"] or 1.0
+    left, given = 1 - (whole["rest"] or 0.0) / every, whole["listed"] or 0.0
+    total = (left if given > 0 else 0.0) + 1 - left
+    share = F.when(F.col("_listed").isNull(), F.col("_tokens") / every).otherwise(F.col("_listed") / given * left if given > 0 else F.lit(0.0))
+    return tokens.select(dim, (share / (total or 1.0)).alias("_share"))
 
 
 def raked(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]] = TARGETS, *, rounds: int = ROUNDS, error: float = ERROR) -> DataFrame:
@@ -56,32 +60,28 @@ def raked(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]] =
 
     Values that a listed target lacks, "(none)" too, keep their present share, and the listed shares are scaled to the
     rest. Only values listed with 0, and cells without tokens, get weight 0. Where targets
-    contradict each other the last round's weights stay, exact for the last dimension.
+    contradict each other the last round's weights stay, exact for the last dimension. A round sums the weights by each dimension's values and joins
+    the factors back, so cells are never brought into one task.
     """
     dims = list(targets)
-    one = Window.partitionBy()
-    wanted = cells.filter("tokens > 0")
+    wanted = cells.filter("tokens > 0").select(*dims, "tokens")
+    shares = {d: written(marginal(wanted, d, targets[d]).filter("_share > 0"), "marginal") for d in dims}
+    now = wanted
     for d in dims:
-        wanted = _with_share(wanted, d, targets[d])
-    for d in dims:
-        each = F.col(f"_{d}") / F.count("*").over(Window.partitionBy(d))
-        wanted = wanted.withColumn(f"_{d}", F.col(f"_{d}") / F.sum(each).over(one))
-    now = wanted.filter(" and ".join(f"_{d} > 0" for d in dims)).withColumn("weight", F.col("tokens") / F.sum("tokens").over(one))
-    now = written(now.coalesce(1), "rake")
+        now = now.join(shares[d].select(d), d, "left_semi")
+    now = written(now.withColumn("weight", F.col("tokens").cast("double")), "rake")
     for _ in range(rounds):
-        off = F.lit(0.0)
-        after = now
+        off = []
         for d in dims:
-            factor = F.col(f"_{d}") / F.sum("weight").over(Window.partitionBy(d))
-            after = after.withColumn("_f", factor).withColumn("weight", F.col("weight") * F.col("_f"))
-            off = F.greatest(off, F.abs(F.col("_f") - 1))
-            after = after.withColumn("_off", off if d == dims[0] else F.greatest("_off", F.abs(F.col("_f") - 1)))
-        now = written(after.drop("_f").coalesce(1), "rake")
+            factor = now.groupBy(d).agg(F.sum("weight").alias("_sum")).join(shares[d], d).select(d, (F.col("_share") / F.col("_sum")).alias(f"_f_{d}"))
+            now = now.join(factor, d).withColumn("weight", F.col("weight") * F.col(f"_f_{d}"))
+            off.append(F.abs(F.col(f"_f_{d}") - 1))
+        now = written(now.withColumn("_off", F.greatest(*off) if len(off) > 1 else off[0]).drop(*(f"_f_{d}" for d in dims)), "rake")
         if not (now.agg(F.max("_off")).first()[0] or 0) > error:
             break
         now = now.drop("_off")
-    total = F.sum("weight").over(one)
-    return now.select(*dims, "tokens", (F.col("weight") / total).alias("weight"))
+    total = now.agg(F.sum("weight")).first()[0] or 1.0
+    return now.select(*dims, "tokens", (F.col("weight") / F.lit(total)).alias("weight"))
 
 
 def with_probability(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
@@ -106,14 +106,14 @@ def cells_of(documents: DataFrame, dims: list[str]) -> DataFrame:
 
 
 def _prepared(documents: DataFrame, dims: list[str]) -> DataFrame:
-    cols = {d: F.coalesce(F.col(d).cast("string"), F.lit(NONE)) if d != "topic" else topic_of(F.coalesce("text", F.lit(""))) for d in dims}
+    cols = {d: F.coalesce(F.col(d).cast("string"), F.lit(NONE)) if d in documents.columns or d != "topic" else topic_of(F.coalesce("text", F.lit(""))) for d in dims}
     return documents.select("doc_id", "text", *(c.alias(d) for d, c in cols.items()))
 
 
 def mixture(documents: DataFrame, targets: Mapping[str, float | Mapping[str, float]] = TARGETS, *, budget: float = BUDGET, seed: int = 1) -> DataFrame:
     """doc_id, the dimensions, n_tokens, weight and probability of the document's cell, and kept for every row of `documents`.
 
-    Dimensions are columns of `documents`, and topic, which is computed from the text. Nulls in
+    Dimensions are columns of `documents`; topic is computed from the text where it is none of them. Nulls in
     a dimension are a value of their own, "(none)". Null and empty texts have no token; in a cell without tokens,
     and where a target lists the value with 0, the probability is 0. Values that a listed target lacks keep their present share. Repeated rows of one id are kept or
     left together; a null id is hashed like any value. An empty table gives an empty result.
@@ -130,7 +130,7 @@ def _draw(seed: int) -> Column:
 
 
 def _placed(rows: DataFrame, cells: DataFrame, dims: list[str], targets: Mapping[str, float | Mapping[str, float]], budget: float) -> DataFrame:
-    fitted = written(with_probability(raked(written(cells.coalesce(1), "cells"), targets), budget).drop("tokens"), "fitted")
+    fitted = written(with_probability(raked(written(cells, "cells"), targets), budget).drop("tokens"), "fitted")
     few = fitted.count() <= BROADCAST_CELLS
     return rows.join(F.broadcast(fitted) if few else fitted, dims, "left").fillna(0.0, ["weight", "probability"])
 
@@ -144,7 +144,7 @@ def sampled(documents: DataFrame, targets: Mapping[str, float | Mapping[str, flo
     cells = cells_of(prepared.select(*dims, tokens_of(F.col("text")).alias("_tokens")), dims)
     fitted = written(with_probability(raked(written(cells, "cells"), targets), budget).select(*(F.col(d).alias(n) for d, n in names.items()), F.col("probability").alias(chance)), "fitted")
     few = fitted.count() <= BROADCAST_CELLS
-    key = {names[d]: (topic_of(F.coalesce("text", F.lit(""))) if d == "topic" else F.coalesce(F.col(d).cast("string"), F.lit(NONE))) for d in dims}
+    key = {names[d]: (F.coalesce(F.col(d).cast("string"), F.lit(NONE)) if d in documents.columns or d != "topic" else topic_of(F.coalesce("text", F.lit("")))) for d in dims}
     rows = documents.withColumns(key).join(F.broadcast(fitted) if few else fitted, list(names.values()))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(1 << 53)) / F.lit(float(1 << 53))
     return rows.filter(draw < F.col(chance)).select(*documents.columns)
