@@ -30,6 +30,8 @@ from ._text import hashed_stems
 FIT_ROWS = 8_000
 #: Most words and beginnings in the model, and documents that one must be in.
 WORDS, LEAST_DOCS = 400, 4
+#: Candidates for words: those that tell the classes apart best in the sample.
+CANDIDATES = 20_000
 #: Times that the sample's risk is tilted to that of all texts, and steps of descent in each.
 ROUNDS, STEPS = 3, 200
 #: Lengths of word beginnings in bytes, and counts in a text that make features.
@@ -125,16 +127,23 @@ def _word_counts(words: np.ndarray):
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words and beginnings of each text."""
+    """The distinct words and beginnings of each text (text, role), with the role."""
     for batch in batches:
-        for _, _, hashes, owner in hashed_stems(batch.column(0), PREFIXES):
-            both = np.unique(np.stack([owner.astype(np.uint64), hashes]), axis=1)[1] if len(hashes) else hashes
-            yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64))], ["word"])
+        role = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32)
+        for row, _, hashes, owner in hashed_stems(batch.column(0), PREFIXES):
+            order = np.lexsort((hashes, owner))
+            h, o = hashes[order], owner[order]
+            first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (o[1:] != o[:-1]))) if len(h) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(role[row + o[first]])], ["word", "role"])
 
 
 def chosen_words(sample: DataFrame, texts: DataFrame, sizes: tuple[int, int]) -> np.ndarray:
     """Hashes (sorted) of the words that tell positive texts from unlabelled ones best, by document frequencies over all of `texts` (text, positive); sizes: number of unlabelled and of positive texts."""
-    named = sample.select("text").mapInArrow(_distinct, "word long").groupBy("word").count().filter(F.col("count") >= LEAST_DOCS).select("word")
+    named = sample.select("text", "role").mapInArrow(_distinct, "word long, role int").groupBy("word").agg(*(F.count_if(F.col("role").bitwiseAND(k) > 0).alias(c) for k, c in ((1, "p"), (2, "u"))))
+    n_p, n_u = sample.agg(F.greatest(F.count_if(F.col("role").isin(1, 3)), F.lit(1)), F.greatest(F.count_if(F.col("role").isin(2, 3)), F.lit(1))).first()
+    share = (F.col("p") + F.col("u")) / (n_p + n_u)
+    apart = F.abs(F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)))
+    named = named.filter(F.col("p") + F.col("u") >= LEAST_DOCS).orderBy(F.desc(apart), "word").limit(CANDIDATES).select("word")
     candidates = np.sort(named.toPandas()["word"].to_numpy(np.int64).view(np.uint64))
     if not len(candidates):
         return candidates
