@@ -110,10 +110,12 @@ def instances_of(arcs: DataFrame, prims: DataFrame) -> DataFrame:
 
 
 def expanded_instancers(rows: DataFrame, hidden: DataFrame) -> DataFrame:
-    """One row an instance: prim, id, prototype and x, y, z. `rows`: prim, prototypes, proto_indices, ids, positions (flat triples); `hidden`: prim, id."""
-    at = rows.select("prim", "prototypes", "positions", F.posexplode(F.arrays_zip("proto_indices", "ids")).alias("i", "e"))
-    point = lambda k: F.element_at("positions", (3 * F.col("i") + k).cast("int"))
-    out = at.select("prim", F.col("e.ids").alias("id"), F.element_at("prototypes", (F.col("e.proto_indices") + 1).cast("int")).alias("prototype"), point(1).alias("x"), point(2).alias("y"), point(3).alias("z"))
+    """One row an instance: prim, id, prototype, position, orientation and scale. `rows`: prim, prototypes, proto_indices, ids, positions, orientations, scales (flat, of 3, 4 and 3 numbers an instance; null or short: none); `hidden`: prim, id."""
+    flat = {"positions": 3, "orientations": 4, "scales": 3}
+    have = [c for c in flat if c in rows.columns]
+    at = rows.select("prim", "prototypes", *have, F.posexplode(F.arrays_zip("proto_indices", "ids")).alias("i", "e"))
+    part = lambda c: F.when(F.size(c) >= (F.col("i") + 1) * flat[c], F.slice(c, F.col("i") * flat[c] + 1, flat[c]))
+    out = at.select("prim", F.col("e.ids").alias("id"), F.try_element_at("prototypes", (F.col("e.proto_indices") + 1).cast("int")).alias("prototype"), *(part(c).alias(c[:-1]) for c in have))
     return out.join(hidden, ["prim", "id"], "left_anti")
 
 

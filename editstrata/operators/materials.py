@@ -1,9 +1,10 @@
-"""Surface parameters translated from one shading model to another, as a job over a table of materials."""
+"""Surface parameters translated from one public shading standard (OpenPBR) to another (Standard Surface), as a job over a table of materials."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 #: Parameters of the source model with their defaults; colours are three numbers.
 DEFAULTS = {
@@ -32,7 +33,10 @@ def standard_surface(materials: DataFrame) -> DataFrame:
     def given(name: str) -> Column:
         default = DEFAULTS[name]
         lit = F.array(*map(F.lit, default)) if isinstance(default, tuple) else F.lit(default)
-        return F.coalesce(F.col(name), lit) if name in materials.columns else lit
+        if name not in materials.columns:
+            return lit
+        one = isinstance(default, tuple) and not isinstance(materials.schema[name].dataType, ArrayType)  # a grey given as one number
+        return F.coalesce(F.transform(F.when(F.col(name).isNotNull(), lit), lambda _: F.col(name).cast("double")) if one else F.col(name), lit)
 
     def blend(over: Column, under: Column, share: Column) -> Column:
         return F.zip_with(over, under, lambda a, b: b + (a - b) * share)

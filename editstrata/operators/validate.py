@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import is_prim_path
 from ..functions.scalars import finite, finite_vector
+from ..sources.edit_log import EDIT_SCHEMA
 from .scans import kinds
 
 IDENTIFIER = r"^[\p{L}_][\p{L}\p{N}_]*$"
@@ -20,6 +21,8 @@ POSITIONS = ("explicit", "added", "prepended", "appended", "deleted", "ordered")
 SPEC_KINDS = ("prim", "attribute", "relationship", "variant", "variantSet", "layer")
 INSTANCER_WIDTHS = {"positions": 3, "orientations": 4, "scales": 3, "velocities": 3, "angular_velocities": 3, "accelerations": 3}
 UNTIMED = ("prototypes", "inactive_ids")
+INTERPOLATIONS = ("constant", "uniform", "varying", "vertex", "faceVarying")
+UP_AXES = ("Y", "Z")
 
 
 def _is(*k: str) -> Column:
@@ -39,7 +42,7 @@ def _any(array: Column, test) -> Column:
 
 
 def rules(mode: str = "managed") -> list[tuple[str, Column]]:
-    """(name, fault) in order of precedence, over the columns of the edit schema and of `kinds`."""
+    """(name, fault) in order of precedence, over the columns of EDIT_SCHEMA and of `kinds`."""
     names, values = F.map_keys("vals"), F.map_values("vals")
     keys = F.coalesce(F.col("fields"), F.array().cast("array<string>"))
     supplied = F.coalesce(names, F.array().cast("array<string>"))
@@ -47,6 +50,11 @@ def rules(mode: str = "managed") -> list[tuple[str, Column]]:
     numbers = _any(values, lambda v: ~finite(v))
     arc = _any(F.col("arcs"), lambda a: ~F.coalesce(a["list_position"].isin(*POSITIONS), F.lit(False)) | ((F.coalesce(a["asset_path"], F.lit("")) == "") & (F.coalesce(a["prim_path"], F.lit("")) == "")) | ~finite(F.coalesce(a["layer_offset"], F.lit(0.0))) | ~finite(F.coalesce(a["layer_scale"], F.lit(1.0))))
     mixed = _any(F.col("arcs"), lambda a: a["list_position"] == "explicit") & _any(F.col("arcs"), lambda a: a["list_position"] != "explicit")
+    interpolation = lambda i: ~F.coalesce(i.isin(*INTERPOLATIONS), F.lit(False))
+    bad_meta = _any(F.map_entries("primvar_meta"), lambda e: ~F.array_contains(supplied, e["key"]) | (F.coalesce(e["value"]["type_name"], F.lit("")) == "") | interpolation(e["value"]["interpolation"])) | _any(F.map_entries("attr_interp"), lambda e: ~F.array_contains(supplied, e["key"]) | interpolation(e["value"]))
+    sub = F.col("sublayers")
+    portable = lambda p: F.coalesce((p != "") & ~p.rlike(r"^[A-Za-z]:|\\\\"), F.lit(False))
+    bad_topology = _any(sub, lambda l: ~portable(l["authored_path"]) | ~finite(F.coalesce(l["offset"], F.lit(0.0))) | ~finite(F.coalesce(l["scale"], F.lit(1.0)))) | (F.size(F.array_distinct(F.transform(sub, lambda l: l["authored_path"]))) != F.size(sub))
     qualified = lambda n: ~n.rlike(r"^(inputs|outputs):.+$")
     return [
         ("unknown_kind", F.col("creates").isNull()),
@@ -57,24 +65,25 @@ def rules(mode: str = "managed") -> list[tuple[str, Column]]:
         ("bad_transform", _is("set_xform_trs") & (off_fields | (F.size(F.array_except(keys, F.array(*map(F.lit, "trs")))) > 0) | numbers)),
         ("missing_flag", _is("deactivate_prim", "set_visibility", "set_instanceable") & _missing("flag")),
         ("bad_name", _is("rename_prim") & ~F.coalesce(F.col("new_name").rlike(IDENTIFIER), F.lit(False))),
-        ("bad_attributes", _is("set_gprim_attrs") & ((F.size(supplied) == 0) | _any(names, lambda n: ~n.rlike(NAMED)) | numbers)),
+        ("bad_attributes", _is("set_gprim_attrs") & ((F.size(supplied) == 0) | _any(names, lambda n: ~n.rlike(NAMED)) | numbers | bad_meta)),
         ("bad_arcs", _is("set_reference", "set_payload") & (_missing("arcs") | arc | mixed)),
-        ("bad_variants", _is("set_variant_selections") & ((F.size(supplied) == 0) | _any(names, lambda n: ~n.rlike(IDENTIFIER)))),
-        ("bad_binding", _is("set_material_binding") & ~F.coalesce(F.col("material_purpose").isin("", "full", "preview"), F.lit(True))),
-        ("bad_inputs", _is("set_connectable_input") & (_any(keys, lambda f: ~F.array_contains(supplied, f)) | _any(names, lambda n: ~n.rlike(NAMED)) | numbers)),
+        ("bad_variants", _is("set_variant_selections") & ((F.coalesce(F.size("selections"), F.lit(0)) <= 0) | _any(F.map_keys("selections"), lambda n: ~n.rlike(IDENTIFIER)))),
+        ("bad_binding", _is("set_material_binding") & (~F.coalesce(F.col("material_purpose").isin("", "full", "preview"), F.lit(True)) | ((F.coalesce(F.col("material_path"), F.lit("")) != "") & ~is_prim_path(F.col("material_path"))))),
+        ("bad_inputs", _is("set_connectable_input") & (_any(keys, lambda f: ~F.array_contains(supplied, f)) | _any(names, lambda n: ~n.rlike(NAMED)) | numbers | _any(F.map_keys("input_types"), lambda n: ~F.array_contains(supplied, n)))),
         ("bad_connections", _is("set_connectable_connection") & (_any(F.map_keys("connections"), qualified) | _any(F.col("disconnections"), qualified) | (F.coalesce(F.size("connections"), F.lit(0)) + F.coalesce(F.size("disconnections"), F.lit(0)) <= 0))),
-        ("bad_metadata", _is("set_stage_metadata") & ((F.size(supplied) == 0) | numbers | _any(F.map_entries("vals"), lambda e: e["key"].isin("timeCodesPerSecond", "framesPerSecond", "metersPerUnit") & (e["value"] <= 0)))),
+        ("bad_metadata", _is("set_stage_metadata") & (((F.size(supplied) == 0) & _missing("up_axis")) | numbers | ~F.coalesce(F.col("up_axis").isin(*UP_AXES), F.lit(True)) | _any(F.map_entries("vals"), lambda e: e["key"].isin("timeCodesPerSecond", "framesPerSecond", "metersPerUnit") & (e["value"] <= 0)))),
         ("bad_instancer", _is("set_point_instancer") & (off_fields | (F.col("time").isNotNull() & (F.size(F.array_intersect(keys, F.array(*map(F.lit, UNTIMED)))) > 0)))),
         ("bad_erase", _is("erase_time_samples") & (~F.coalesce(F.col("spec_path").startswith(F.concat("prim", F.lit("."))), F.lit(False)) | (F.coalesce(F.size("times"), F.lit(0)) <= 0) | _any(F.col("times"), lambda t: ~finite(t)))),
-        ("bad_spec", _is("set_sdf_spec_fields") & (~F.coalesce(F.col("spec_kind").isin(*SPEC_KINDS), F.lit(False)) | _missing("spec_path") | _missing("removed"))),
+        ("bad_spec", _is("set_sdf_spec_fields") & (~F.coalesce(F.col("spec_kind").isin(*SPEC_KINDS), F.lit(False)) | (F.coalesce(F.col("spec_path"), F.lit("")) == "") | _missing("removed") | (F.col("removed") & (F.size(keys) > 0)))),
         ("bad_replacement", _is("replace_sdf_layer_content") & (F.col("prim") != "/")),
-        ("bad_sublayers", _is("set_sublayers") & (_any(F.col("arcs"), lambda a: F.coalesce(a["asset_path"], F.lit("")) == "") | (F.size(F.array_distinct(F.transform("arcs", lambda a: a["asset_path"]))) != F.size("arcs")))),
+        ("bad_sublayers", _is("set_sublayers") & (_missing("sublayers") | bad_topology | (F.coalesce(F.col("generation"), F.lit("")) == "") | ~F.coalesce(F.col("revision") >= 0, F.lit(False)))),
     ]
 
 
 def violations(log: DataFrame, mode: str = "managed") -> DataFrame:
     """scene_id, seq, client_id, session_id, txn_id, rule of the first rule that each faulty edit breaks."""
-    rows = log.join(F.broadcast(kinds(log.sparkSession)), "k", "left")
+    absent = {f.name: F.lit(None).cast(f.dataType) for f in log.sparkSession.createDataFrame([], EDIT_SCHEMA).schema if f.name not in log.columns}
+    rows = log.withColumns(absent).join(F.broadcast(kinds(log.sparkSession)), "k", "left")
     first = None
     for name, fault in rules(mode):
         hit = F.coalesce(fault, F.lit(False))
@@ -91,6 +100,12 @@ def failed_transactions(log: DataFrame, mode: str = "managed") -> DataFrame:
     return bad.unionByName(many).groupBy(*txn).agg(F.min(F.struct("seq", "rule")).alias("f")).select(*txn, "f.seq", "f.rule")
 
 
+def instancer_faults(rows: DataFrame) -> DataFrame:
+    """Instancer arrays (id, field, items, n: number of instances) whose length is not n times the field's width: id and field."""
+    width = F.create_map(*(F.lit(x) for kv in INSTANCER_WIDTHS.items() for x in kv))[F.col("field")]
+    return rows.filter(F.size("items") != F.col("n") * F.coalesce(width, F.lit(1))).select("id", "field")
+
+
 def vector_faults(rows: DataFrame) -> DataFrame:
     """Rows (id, t, r, s) whose given vectors are not of 3, 4 and 3 finite numbers, with the field."""
     bad = F.array_compact(F.array(*(F.when(F.col(f).isNotNull() & ~finite_vector(F.col(f), n), f) for f, n in (("t", 3), ("r", 4), ("s", 3)))))

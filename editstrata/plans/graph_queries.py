@@ -110,13 +110,16 @@ def instance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.instances_of(refs, log.select("scene_id", "prim").distinct())
 
 
-@query("""WITH i AS (SELECT '/I/' || vec_id AS prim, label, embedding, k FROM embeddings, range(0, 5) t(k))
-SELECT prim, k * 10 AS id, CASE k % 2 WHEN 0 THEN '/Proto/A' ELSE '/Proto/B' END AS prototype, embedding[3 * k + 1]::DOUBLE AS x, embedding[3 * k + 2]::DOUBLE AS y, embedding[3 * k + 3]::DOUBLE AS z FROM i WHERE NOT (k = 2 AND label % 2 = 0)""")
+@query("""WITH i AS (SELECT '/I/' || vec_id AS prim, label, embedding::DOUBLE[] AS e, k FROM embeddings, range(0, 5) t(k))
+SELECT prim, k * 10 AS id, CASE k % 2 WHEN 0 THEN '/Proto/A' ELSE '/Proto/B' END AS prototype, e[3 * k + 1] AS x, e[3 * k + 2] AS y, e[3 * k + 3] AS z, CASE WHEN 4 * k + 4 <= 16 THEN e[4 * k + 1] END AS w, CASE WHEN 4 * k + 4 <= 16 THEN e[4 * k + 4] END AS qz, CASE WHEN label % 3 > 0 THEN e[3 * k + 3] END AS sz FROM i WHERE NOT (k = 2 AND label % 2 = 0)""")
 def expanded_instancers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("prim", F.concat(F.lit("/I/"), F.col("vec_id").cast("string")))
+    """Instances with position, orientation (given for the first four) and scale (not given for every third)."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("prim", F.concat(F.lit("/I/"), F.col("vec_id").cast("string"))).withColumn("e", F.col("embedding").cast("array<double>"))
     many = lambda *x: F.array(*map(F.lit, x))
-    rows = e.select("prim", many("/Proto/A", "/Proto/B").alias("prototypes"), many(0, 1, 0, 1, 0).alias("proto_indices"), many(0, 10, 20, 30, 40).cast("array<bigint>").alias("ids"), F.col("embedding").cast("array<double>").alias("positions"))
-    return graph.expanded_instancers(rows, e.filter("label % 2 = 0").select("prim", F.lit(20).cast("long").alias("id")))
+    rows = e.select("prim", many("/Proto/A", "/Proto/B").alias("prototypes"), many(0, 1, 0, 1, 0).alias("proto_indices"), many(0, 10, 20, 30, 40).cast("array<bigint>").alias("ids"), F.slice("e", 1, 15).alias("positions"), F.slice("e", 1, 16).alias("orientations"), F.when(F.col("label") % 3 > 0, F.slice("e", 1, 15)).alias("scales"))
+    out = graph.expanded_instancers(rows, e.filter("label % 2 = 0").select("prim", F.lit(20).cast("long").alias("id")))
+    one = lambda c, k: F.get(c, F.lit(k))
+    return out.select("prim", "id", "prototype", *(one("position", k).alias(c) for k, c in enumerate("xyz")), one("orientation", 0).alias("w"), one("orientation", 3).alias("qz"), one("scale", 2).alias("sz"))
 
 
 @query("""WITH p AS (SELECT '/W/L' || (label % 3) || '/V' || vec_id AS prim, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),

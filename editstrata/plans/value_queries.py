@@ -37,7 +37,9 @@ def axis_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(V + """, s AS (SELECT vec_id, abs(e[1]) + 0.1 AS a, abs(e[2]) + 0.1 AS b, (abs(e[3]) + 0.1) * CASE label % 2 WHEN 0 THEN 1 ELSE -1 END AS c, e, label, e[4] * 3 AS g FROM v)
-SELECT vec_id, round(e[5], 6) AS t0, round(e[6], 6) AS t1, round(e[7], 6) AS t2, round(CASE label % 2 WHEN 0 THEN a ELSE -a END, 6) AS s0, round(b, 6) AS s1, round(abs(c), 6) AS s2 FROM s""")
+SELECT vec_id, round(e[5], 6) AS t0, round(e[6], 6) AS t1, round(e[7], 6) AS t2, round(CASE label % 2 WHEN 0 THEN a ELSE -a END, 6) AS s0, round(b, 6) AS s1, round(abs(c), 6) AS s2,
+  -- the rotation's matrix: a turn about z, and under a reflection of z one that also turns x about
+  round(cos(g) * CASE label % 2 WHEN 0 THEN 1 ELSE -1 END, 6) + 0.0 AS r00, round(sin(g) * CASE label % 2 WHEN 0 THEN 1 ELSE -1 END, 6) + 0.0 AS r01, 0.0::DOUBLE AS r02, round(-sin(g), 6) + 0.0 AS r10, round(cos(g), 6) + 0.0 AS r11, round(CASE label % 2 WHEN 0 THEN 1.0 ELSE -1.0 END, 6)::DOUBLE AS r22 FROM s""")
 def decomposed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matrices of a scale, a turn about z and a shift; every second one has a reflection."""
     v = vectors(spark, sf_dir)
@@ -47,15 +49,39 @@ def decomposed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     co, si, o = F.cos(e[3] * 3), F.sin(e[3] * 3), F.lit(0.0)
     m = F.array(a * co, a * si, o, o, -b * si, b * co, o, o, o, o, c, o, e[4], e[5], e[6], F.lit(1.0))
     d = math3d.decomposed(m)
-    return v.select("vec_id", d.alias("d")).select("vec_id", *spread("t", F.col("d.t"), 3), *spread("s", F.col("d.s"), 3))
+    out = v.select("vec_id", d.alias("d"))
+    w, x, y, z = (F.col("d.r")[k] for k in range(4))
+    turn = {"r00": 1 - 2 * (y * y + z * z), "r01": 2 * (x * y + w * z), "r02": 2 * (x * z - w * y), "r10": 2 * (x * y - w * z), "r11": 1 - 2 * (x * x + z * z), "r22": 1 - 2 * (x * x + y * y)}
+    return out.select("vec_id", *spread("t", F.col("d.t"), 3), *spread("s", F.col("d.s"), 3), *((F.round(c, 6) + 0.0).alias(n) for n, c in turn.items()))
 
 
-@query(V + """, a AS (SELECT vec_id, e[1] * 90 AS x, e[2] * 90 AS y FROM v), h AS (SELECT *, radians(x) / 2 AS hx, radians(y) / 2 AS hy FROM a)
-SELECT vec_id, round(cos(hy) * cos(hx), 6) AS q0, round(cos(hy) * sin(hx), 6) AS q1, round(sin(hy) * cos(hx), 6) AS q2, round(-sin(hy) * sin(hx), 6) AS q3 FROM h""")
+_ORDERS = ("XYZ", "XZY", "YXZ", "YZX", "ZXY", "ZYX")
+
+
+def _turned(order: str) -> str:
+    """DuckDB SQL for the unit vectors of x and z after turns by the angles a1, a2, a3 about the axes of an order, one after another."""
+    def about(axis: str, angle: str, v: list[str]) -> list[str]:
+        x, y, z = v
+        c, s = f"cos({angle})", f"sin({angle})"
+        return {"X": [x, f"({c} * ({y}) - {s} * ({z}))", f"({s} * ({y}) + {c} * ({z}))"], "Y": [f"({c} * ({x}) + {s} * ({z}))", y, f"({c} * ({z}) - {s} * ({x}))"], "Z": [f"({c} * ({x}) - {s} * ({y}))", f"({s} * ({x}) + {c} * ({y}))", z]}[axis]
+
+    out = []
+    for v in (["1.0", "0.0", "0.0"], ["0.0", "0.0", "1.0"]):
+        for axis in order:
+            v = about(axis, f"a{'XYZ'.index(axis) + 1}", v)
+        out += v
+    return ", ".join(f"round({x}, 5) + 0.0 AS {n}" for n, x in zip(("x0", "x1", "x2", "z0", "z1", "z2"), out, strict=True))
+
+
+@query(V + ", a AS (SELECT vec_id, radians(e[1] * 90) AS a1, radians(e[2] * 90) AS a2, radians(e[3] * 90) AS a3 FROM v) " + " UNION ALL ".join(f"SELECT vec_id, '{o}' AS ord, {_turned(o)} FROM a" for o in _ORDERS))
 def euler_rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six orders of three turns: where the rotation takes the x and the z axis."""
     e = F.col("e")
-    q = math3d.from_euler(F.array(e[0] * 90, e[1] * 90, F.lit(0.0)), "XYZ")
-    return vectors(spark, sf_dir).select("vec_id", *spread("q", q, 4))
+    turns = [F.struct(F.lit(o).alias("ord"), math3d.from_euler(F.array(e[0] * 90, e[1] * 90, e[2] * 90), o).alias("q")) for o in _ORDERS]
+    rows = vectors(spark, sf_dir).select("vec_id", F.explode(F.array(*turns)).alias("t")).select("vec_id", "t.ord", "t.q")
+    w, x, y, z = (F.col("q")[k] for k in range(4))
+    axes = {"x0": 1 - 2 * (y * y + z * z), "x1": 2 * (x * y + w * z), "x2": 2 * (x * z - w * y), "z0": 2 * (x * z + w * y), "z1": 2 * (y * z - w * x), "z2": 1 - 2 * (x * x + y * y)}
+    return rows.select("vec_id", "ord", *((F.round(c, 5) + 0.0).alias(n) for n, c in axes.items()))
 
 
 @query(V + "SELECT vec_id, i AS row, round(e[3 * i + 1], 6) AS x, round(e[3 * i + 2], 6) AS y, round(e[3 * i + 3], 6) AS z FROM v, range(0, 5) t(i)")
@@ -87,12 +113,21 @@ def rejection_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", scalars.rejection_name(code).alias("name"), scalars.rejection_disposition(code).alias("disposition"), scalars.uptime(F.col("o_orderkey") * 7 % 9000).alias("uptime"))
 
 
-@query("SELECT p_partkey, round(p_retailprice / 1000, 6) AS base, round(coalesce(CASE WHEN p_size % 3 > 0 THEN p_size / 50.0 END, 0.3) * (1 - CASE WHEN p_size % 5 = 0 THEN 0.0 ELSE p_size / 100.0 END), 6) AS specular_roughness, round(CASE WHEN p_size % 5 = 0 THEN 0.0 ELSE p_size / 100.0 END, 6) AS coat FROM part")
+@query("""WITH m AS (SELECT p_partkey, p_retailprice / 1000 AS base, coalesce(CASE WHEN p_size % 3 > 0 THEN p_size / 50.0 END, 0.3) AS rough, CASE WHEN p_size % 5 = 0 THEN 0.0 ELSE p_size / 100.0 END AS coat, p_size / 60.0 AS grey, (p_partkey % 7) / 7.0 AS metal, (p_partkey % 5) / 5.0 AS sub, 1.2 + (p_partkey % 4) / 4.0 AS ior, (p_partkey % 3) / 3.0 AS darkening, (p_partkey % 11) / 11.0 AS fuzz, (p_partkey % 2) * 0.5 AS film FROM part),
+n AS (SELECT *, power((ior - 1) / (ior + 1), 2) AS f0 FROM m), o AS (SELECT *, 1 - (1 - f0) / (ior * ior) AS inside, grey * 1.0 AS metal_r, grey + (0.8 - grey) * sub AS other_r FROM n),
+p AS (SELECT *, other_r + (metal_r - other_r) * metal AS below FROM o), q AS (SELECT *, 1 + ((1 - inside) / (1 - below * inside) - 1) * coat * darkening AS dark FROM p)
+SELECT p_partkey, round(base, 6) AS base, round(rough * (1 - coat), 6) AS specular_roughness, round(coat, 6) AS coat, round(grey * dark, 6) AS base_color, round(0.8 * dark, 6) AS subsurface_color, round(ior, 6) AS coat_IOR, round(metal, 6) AS metalness, round(sub, 6) AS subsurface, round(power(fuzz, 2.5), 6) AS sheen_roughness,
+  round(CASE WHEN film > 0 THEN 500.0 ELSE 0.0 END, 6) AS thin_film_thickness, round(grey, 6) AS opacity, 1.0::DOUBLE AS coat_affect_roughness, false AS thin_walled, 1.5::DOUBLE AS specular_IOR, 0.25::DOUBLE AS subsurface_radius FROM q""")
 def standard_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grey under a coat that darkens it, with metal, subsurface, fuzz and film; opacity given as one number."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    rows = p.select("p_partkey", (F.col("p_retailprice") / 1000).cast("double").alias("base_weight"), F.expr("if(p_size % 3 > 0, cast(p_size / 50.0 as double), null)").alias("specular_roughness"), F.expr("if(p_size % 5 = 0, null, cast(p_size / 100.0 as double))").alias("coat_weight"))
+    share = lambda n: (F.col("p_partkey") % n / n).cast("double")
+    grey = (F.col("p_size") / 60.0).cast("double")
+    rows = p.select("p_partkey", (F.col("p_retailprice") / 1000).cast("double").alias("base_weight"), F.expr("if(p_size % 3 > 0, cast(p_size / 50.0 as double), null)").alias("specular_roughness"), F.expr("if(p_size % 5 = 0, null, cast(p_size / 100.0 as double))").alias("coat_weight"), F.array(grey, grey, grey).alias("base_color"), share(7).alias("base_metalness"), share(5).alias("subsurface_weight"), (1.2 + share(4)).alias("coat_ior"), share(3).alias("coat_darkening"), share(11).alias("fuzz_roughness"), (F.col("p_partkey") % 2 * 0.5).cast("double").alias("thin_film_weight"), grey.alias("geometry_opacity"))
     out = materials.standard_surface(rows)
-    return out.select("p_partkey", *(F.round(c, 6).alias(c) for c in ("base", "specular_roughness", "coat")))
+    colours, last = ("base_color", "subsurface_color", "opacity"), "subsurface_radius"
+    plain = ("base", "specular_roughness", "coat", "coat_IOR", "metalness", "subsurface", "sheen_roughness", "thin_film_thickness", "coat_affect_roughness", "specular_IOR")
+    return out.select("p_partkey", "thin_walled", *(F.round(c, 6).alias(c) for c in plain), *(F.round(F.col(c)[0], 6).alias(c) for c in colours), F.round(F.col(last)[2], 6).alias(last))
 
 
 @query(EDITS_SQL + "SELECT layer_key, CASE layer_key WHEN 'department:fx' THEN 1 WHEN 'department:animation' THEN 2 WHEN 'department:lighting' THEN 3 ELSE 4 END AS rank, muted FROM layers WHERE layer_key IN (SELECT layer_key FROM edits)")
