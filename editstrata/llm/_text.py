@@ -50,14 +50,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _hash_piece(data: np.ndarray, bounds: np.ndarray, lower: bool, between: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of `data` and their first bytes' positions; no word spans one of `bounds`.
-
-    prefixes: also the first so many bytes of longer words, after all words.
-    """
+def _words(data: np.ndarray, bounds: np.ndarray, lower: bool, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of `data`, the positions of their first bytes and after their last, and running sums for parts of words; no word spans one of `bounds`."""
     n = len(data)
     if not n:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        none = np.empty(0, np.int64)
+        return np.empty(0, np.uint64), none, none, np.zeros(1, np.uint64)
     b = _LOWER[data] if lower else data
     space = between[b]
     cut = np.zeros(n + 1, dtype=bool)
@@ -74,9 +72,18 @@ def _hash_piece(data: np.ndarray, bounds: np.ndarray, lower: bool, between: np.n
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
     np.cumsum(_BYTE[b] * power[:n], out=total[1:])
-    hashes = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
-    if not prefixes:
+    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)), start, end, total
+
+
+def _hash_piece(data: np.ndarray, bounds: np.ndarray, lower: bool, between: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of `data` and their first bytes' positions.
+
+    prefixes: also the first so many bytes of longer words, after all words.
+    """
+    hashes, start, end, total = _words(data, bounds, lower, between)
+    if not prefixes or not len(data):
         return hashes, start
+    inverse = _tables(len(data))[1]
     starts, found = [start], [hashes]
     for k in prefixes:
         longer = start[end - start > k]
@@ -164,6 +171,27 @@ def _hashed_words(column: pa.Array, lower: bool, between: np.ndarray) -> Iterato
         row = to
 
 
+def placed_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For slices of rows: (first row, bytes of the slice, where each row begins and the last ends, word hashes, first and end positions of the words). Case is kept."""
+    for at, block in _blocks(column):
+        data, offsets = _flat(block)
+        row, rows = 0, len(offsets) - 1
+        while row < rows:
+            to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE, side="right")) - 1)
+            span = data[offsets[row] : offsets[to]]
+            if len(span) > PIECE:  # one long text
+                base, parts = 0, []
+                for piece in _pieces(span):
+                    hashes, start, end, _ = _words(piece, np.empty(0, np.int64), False, _SPACE)
+                    parts.append((hashes, start + base, end + base))
+                    base += len(piece)
+                yield at + row, span, np.array([0, len(span)]), *(np.concatenate(x) for x in zip(*parts, strict=True))
+            else:
+                local = offsets[row : to + 1] - offsets[row]
+                yield at + row, span, local, *_words(span, local, False, _SPACE)[:3]
+            row = to
+
+
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each row; fewer words than `size` make one shingle, none make none."""
     n = len(words)

@@ -7,7 +7,6 @@ repeated words by constraint. Fitted trees are small node arrays that travel wit
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._boosting import Forest, fit_forest
+from ._text import mix, placed_words
 
 #: Most labelled rows that the trees are fitted on.
 FIT_ROWS = 20_000
@@ -24,57 +24,82 @@ LOST_GOOD = 0.002
 #: Feature name and the sign of its effect on quality (0: free).
 FEATURES = {"log_words": 0, "word_length": 0, "symbols": -1, "dup_lines": -1, "repeat_words": -1, "distinct_words": 0, "digits": 0, "capitals": 0, "marks": 0, "words_a_line": 0, "no_letter_words": -1, "shouts": -1}
 
-_SPACES = b" \t\n\v\f\r"
-_SYMBOLS = b"#*$%&|<>"
-_DIGITS = b"0123456789"
-_CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_NO_LETTER = bytes(range(1, 65)) + b"[\\]^_`{|}~"
+def _class(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, np.uint8)
+    out[list(chars)] = 1
+    return out
+
+
+_CLASSES = {"symbols": _class(b"#*$%&|<>"), "digits": _class(b"0123456789"), "capitals": _class(bytes(range(65, 91))), "marks": _class(b".,;:"), "shouts": _class(b"!?"), "lines": _class(b"\n")}
+#: Bytes that begin a character other than a space, and those that make a word more than digits and ASCII marks.
+_BEGINS = 1 - _class(b" \t\n\v\f\r" + bytes(range(128, 192)))
+_LETTER = 1 - _class(bytes(range(1, 65)) + b"[\\]^_`{|}~")
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SCHEMA = ", ".join(f"{c} long" for c in ("doc_id", *BASE)) + ", base_failed boolean, features array<double>"
 
 
-def repeated_words(words: list) -> int:
-    """Words that lie in a 3-word window found twice or more."""
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    if len(set(windows)) == len(windows):
-        return 0
-    count = Counter(windows)
-    covered = upto = 0
-    for k, w in enumerate(windows):
-        if count[w] > 1:
-            covered += k + 3 - max(k, upto)
-            upto = k + 3
-    return covered
-
-
-def statistics(text: bytes) -> tuple[list[int], list[float]]:
-    """The base statistics and the features of one text in UTF-8."""
-    words = text.split()
-    n = len(words)
-    size = len(text)
-    count = lambda chars: size - len(text.translate(None, chars))
-    chars = len(text.decode("utf-8", "replace")) - count(_SPACES)
-    symbols = count(_SYMBOLS)
-    lines = [x for x in text.split(b"\n") if x.strip()]
-    dup = len(lines) - len(set(lines))
-    repeat = repeated_words(words)
-    each = 1 / max(n, 1)
-    letterless = sum(1 for w in words if len(w) < 4 and not w.translate(None, _NO_LETTER))
-    features = [float(np.log1p(n)), chars * each, symbols * each, dup / max(len(lines), 1), repeat * each, len(set(words)) * each, count(_DIGITS) / max(chars, 1), count(_CAPITALS) / max(chars, 1), count(b".,;:") * each, n / max(len(lines), 1), letterless * each, count(b"!?") * each]
-    return [n, chars, symbols, dup, repeat], features
+def _by_row(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Sum of the values of each row; row k has those from begins[k] to begins[k + 1]."""
+    out = np.zeros(len(begins) - 1, np.int64)
+    some = np.flatnonzero(np.diff(begins))
+    if len(some):
+        out[some] = np.add.reduceat(values, begins[some], dtype=np.int64)
+    return out
+
+
+def _repeated(hashes: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+    """Words of each row that lie in a 3-word window found twice or more in it."""
+    if len(hashes) < 3:
+        return np.zeros(rows, np.int64)
+    spread = np.uint64(0xD6E8FEB86659FD93)
+    window = mix((hashes[:-2] * spread + hashes[1:-1]) * spread + hashes[2:])
+    inside = np.flatnonzero(owner[:-2] == owner[2:])
+    window, of = window[inside], owner[inside]
+    order = np.lexsort((window, of))
+    same = (window[order][1:] == window[order][:-1]) & (of[order][1:] == of[order][:-1])
+    twice = np.zeros(len(order), bool)
+    twice[1:] |= same
+    twice[:-1] |= same
+    covered = np.zeros(len(hashes), bool)
+    at = inside[order[twice]]
+    for k in range(3):
+        covered[at + k] = True
+    return np.bincount(owner[covered], minlength=rows)
+
+
+def statistics(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The base statistics and the features (a row a text) of slices of texts, in order. Words and windows are compared by 64-bit hash, lines as they are."""
+    for _, data, begins, hashes, start, end in placed_words(texts):
+        rows = len(begins) - 1
+        words = np.searchsorted(start, begins)
+        n = np.diff(words)
+        owner = np.repeat(np.arange(rows), n)
+        count = {c: _by_row(table[data], begins) for c, table in _CLASSES.items()}
+        chars = _by_row(_BEGINS[data], begins)
+        lines, dup = np.minimum(n, 1), np.zeros(rows, np.int64)
+        for k in np.flatnonzero(count["lines"]).tolist():
+            found = [x for x in data[begins[k] : begins[k + 1]].tobytes().split(b"\n") if x.strip()]
+            lines[k], dup[k] = len(found), len(found) - len(set(found))
+        repeat = _repeated(hashes, owner, rows)
+        order = np.lexsort((hashes, owner))
+        new = np.append(True, (hashes[order][1:] != hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1])) if len(hashes) else np.empty(0, bool)
+        distinct = np.bincount(owner[order[new]], minlength=rows)
+        letters = np.add.reduceat(np.append(_LETTER[data], np.uint8(0)), np.stack([start, end], 1).ravel(), dtype=np.int64)[::2] if len(start) else np.empty(0, np.int64)
+        letterless = np.bincount(owner[(letters == 0) & (end - start < 4)], minlength=rows)
+        each, per_line, per_char = 1 / np.maximum(n, 1), 1 / np.maximum(lines, 1), 1 / np.maximum(chars, 1)
+        features = [np.log1p(n), chars * each, count["symbols"] * each, dup * per_line, repeat * each, distinct * each, count["digits"] * per_char, count["capitals"] * per_char, count["marks"] * each, n * per_line, letterless * each, count["shouts"] * each]
+        yield np.stack([n, chars, count["symbols"], dup, repeat], 1).astype(np.int64), np.stack(features, 1).astype(np.float64)
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        base, features = [], []
-        for text in batch.column(1).cast(pa.binary()):
-            b, f = statistics(text.as_py() or b"")
-            base.append(b), features.append(f)
-        numbers = np.array(base, np.int64).reshape(-1, len(BASE))
-        failed = (numbers[:, 0] < 50) | (100 * numbers[:, 4] > 50 * numbers[:, 0])
-        at = np.arange(0, (len(features) + 1) * len(FEATURES), len(FEATURES), dtype=np.int32)
-        flat = pa.ListArray.from_arrays(at, pa.array(np.array(features, np.float64).ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(numbers[:, k]) for k in range(len(BASE))), pa.array(failed), flat], ["doc_id", *BASE, "base_failed", "features"])
+        at = 0
+        for numbers, features in statistics(batch.column(1)):
+            failed = (numbers[:, 0] < 50) | (100 * numbers[:, 4] > 50 * numbers[:, 0])
+            ends = np.arange(0, features.size + 1, len(FEATURES), dtype=np.int32)
+            ids = batch.column(0).slice(at, len(numbers))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(numbers[:, k]) for k in range(len(BASE))), pa.array(failed), pa.ListArray.from_arrays(ends, pa.array(features.ravel()))], ["doc_id", *BASE, "base_failed", "features"])
+            at += len(numbers)
 
 
 def document_statistics(documents: DataFrame) -> DataFrame:
@@ -136,8 +161,9 @@ def passing(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(columns.index("text"))
-            for judged in _statistics(iter([pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), text], ["doc_id", "text"])])):
-                yield batch.filter(pa.array(_judged(judged, model)[1]))
+            at = 0
+            for judged in _statistics(iter([pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), batch.column(columns.index("text"))], ["doc_id", "text"])])):
+                yield batch.slice(at, len(judged)).filter(pa.array(_judged(judged, model)[1]))
+                at += len(judged)
 
     return documents.mapInArrow(keep, documents.schema)

@@ -69,6 +69,54 @@ def test_quality_base(spark, sf_dir, docs, texts, odd):
     assert quality_rules.quality_verdicts(odd.limit(0), labels).count() == 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(["a", "B", "1", "%", "é", "zürich", " ", "\t", "\n", "\x0b", "\u00a0", "\u2003", "\x00", "the", "!"]), max_size=60).map("".join)), max_size=8), st.sampled_from([8, 1 << 18]))
+def test_statistics_are_exact(texts, piece):
+    """Base statistics of any texts, in slices and with long texts in pieces."""
+    from editstrata.llm import _text
+
+    before, _text.PIECE = _text.PIECE, piece
+    try:
+        got = [row for numbers, _ in quality_rules.statistics(pa.array(texts, pa.string())) for row in numbers.tolist()]
+    finally:
+        _text.PIECE = before
+    assert got == [list(base(t)[:5]) for t in texts]
+
+
+def plain_tree_score(forest, row):
+    """A forest's score, node by node."""
+    total = forest.base
+    for root in forest.roots:
+        node = root
+        while forest.left[node] != node:
+            node = forest.left[node] if row[forest.feature[node]] <= forest.threshold[node] else forest.right[node]
+        total += forest.value[node]
+    return 1 / (1 + math.exp(-total))
+
+
+def test_boosting_against_plain_code():
+    """Node arrays score as the trees do; the first tree's root is the split of greatest gain by plain search."""
+    rng = np.random.default_rng(2)
+    x, signs = rng.integers(0, 12, (400, 3)).astype(float), np.array([1, -1, 0])
+    y = (x[:, 0] - x[:, 1] + rng.normal(0, 4, 400) > 0).astype(float)
+    forest = fit_forest(x, y, signs, trees=7)
+    assert np.allclose(forest.score(x[:50]), [plain_tree_score(forest, r) for r in x[:50]])
+    p = y.mean()
+    g, h = y - p, np.full(400, p * (1 - p))
+    best = (-np.inf,)
+    for f in range(3):
+        for t in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 49)[1:-1])):
+            a = x[:, f] <= t
+            if min(a.sum(), (~a).sum()) >= 10:
+                vl, vr = g[a].sum() / (h[a].sum() + 1), g[~a].sum() / (h[~a].sum() + 1)
+                if signs[f] * (vr - vl) >= 0:
+                    best = max(best, (g[a].sum() * vl + g[~a].sum() * vr, f, -t))
+    assert forest.feature[forest.roots[0]] == best[1]
+    left = x[:, best[1]] <= forest.threshold[forest.roots[0]]
+    gain = sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (left, ~left))
+    assert gain == pytest.approx(best[0])
+
+
 def test_quality_verdicts(spark):
     """Held out by doc_id: the trees, fitted on the others, agree with the labels."""
     folder = "/root/testdata/sf0.01"
