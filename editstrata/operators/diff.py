@@ -184,10 +184,10 @@ def same_content(a: DataFrame, b: DataFrame) -> bool:
 
 
 def tree(prims: DataFrame) -> DataFrame:
-    """scene_id, prim, parent, depth and n_children of live prims."""
+    """The prims (scene_id, prim and others, as instanceable and is_point_instancer) with parent, depth, n_children and has_children."""
     rows = prims.withColumn("parent", parent(F.col("prim"))).withColumn("depth", depth(F.col("prim")))
     counts = rows.groupBy("scene_id", F.col("parent").alias("prim")).agg(F.count("*").alias("n_children"))
-    return rows.join(counts, ["scene_id", "prim"], "left").fillna(0, ["n_children"])
+    return rows.join(counts, ["scene_id", "prim"], "left").fillna(0, ["n_children"]).withColumn("has_children", F.col("n_children") > 0)
 
 
 #: The order of spec kinds among removals (first what is inside) and among creations (first what holds others).
@@ -247,3 +247,31 @@ def namespace(log: DataFrame, most_rounds: int = 100) -> DataFrame:
         raise RuntimeError(f"prims were still moved after {most_rounds} rounds")
     last = F.struct("real", "_seq", "seq")  # what an edit made counts before what a rename alone tells
     return now.groupBy("scene_id", F.col("path").alias("prim")).agg(F.max_by("type_name", last).alias("type_name"), F.max_by("seq", last).alias("seq"))
+
+
+def connectable_changes(before: DataFrame, after: DataFrame, shaders_before: DataFrame, shaders_after: DataFrame) -> DataFrame:
+    """Changed inputs (scene_id, prim, time, input, value); of a shader whose info_id changed, all it has now. `shaders_*`: scene_id, prim, info_id."""
+    keys = ["scene_id", "prim", "time", "input"]
+    changed = CHANNELS["inputs"].diff(before, after).select(*keys, F.col("new_value").alias("value"))
+    remade = state_diff(shaders_before, shaders_after, ["scene_id", "prim"], ["info_id"]).filter("change = 'change'").select("scene_id", "prim")
+    return changed.unionByName(after.select(*keys, "value").join(remade, ["scene_id", "prim"], "left_semi")).distinct()
+
+
+def transform_events(changes: DataFrame, with_ops: DataFrame) -> DataFrame:
+    """Transform changes as edits in order (nth): ensure_xform_ops once for each prim that has none, then its values, default time first; prims from above.
+
+    `changes`: scene_id, prim, time, field, value; `with_ops`: scene_id, prim.
+    """
+    first = changes.select("scene_id", "prim").distinct().join(with_ops.select("scene_id", "prim").distinct(), ["scene_id", "prim"], "left_anti")
+    number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    made = first.select("scene_id", "prim", F.lit("ensure_xform_ops").alias("k"), number.alias("time"), text.alias("field"), number.alias("value"))
+    rows = made.unionByName(changes.select("scene_id", "prim", F.lit("set_xform_trs").alias("k"), "time", "field", "value"))
+    return with_rank(rows, ["scene_id"], [depth(F.col("prim")), "prim", F.col("k") != "ensure_xform_ops", F.col("time").isNotNull(), F.coalesce("time", F.lit(0.0)), F.coalesce("field", F.lit(""))], "nth")
+
+
+def unowned_attributes(before: DataFrame, after: DataFrame, owned: list[str], same: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Changed default attributes (scene_id, prim, field, value) without the names, or name spaces ending in :, that other channels own; `same` may compare with a tolerance."""
+    theirs = F.lit(False)
+    for name in owned:
+        theirs = theirs | (F.col("field").startswith(name) if name.endswith(":") else F.col("field") == name)
+    return state_diff(before.filter(~theirs), after.filter(~theirs), ["scene_id", "prim", "field"], ["value"], same).filter("change <> 'remove'")

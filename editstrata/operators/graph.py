@@ -135,6 +135,13 @@ def adopted_children(edges: DataFrame, identities: DataFrame) -> DataFrame:
     return edges.join(known, "identifier", "left").withColumn("child_key", F.coalesce("_known", new)).withColumn("adopted", F.col("_known").isNotNull()).drop("_known")
 
 
+def child_outcomes(edges: DataFrame, identities: DataFrame) -> DataFrame:
+    """Edges (parent_key, pos, identifier, key or null) with outcome: adopted (the identifier's known key), new, or stale: another key than the known one, which is rejected."""
+    known = identities.select("identifier", F.col("layer_key").alias("_known"))
+    outcome = F.when(F.col("_known").isNull(), "new").when(F.col("key").isNull() | (F.col("key") == F.col("_known")), "adopted").otherwise("stale")
+    return edges.join(known, "identifier", "left").withColumn("outcome", outcome).drop("_known")
+
+
 def newly_reachable(edges: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
     """Layers (node) that can be reached now and have no state yet, with the number of their own sublayers. `known`: node."""
     reached = reachable(edges, roots).select("node").join(known.select("node").distinct(), "node", "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import depth, lineage, parent
+from ..functions.scalars import frame_file
 from .running import with_rank
 
 
@@ -82,9 +83,12 @@ def nearest_ranks(rows: DataFrame, key: str, value: str) -> DataFrame:
     return run.groupBy(key).agg(F.max("_all").alias("n"), at(F.expr("_all div 2")).alias("median"), at(F.floor((F.col("_all") - 1) * 0.95)).alias("p95"), F.max(value).alias("max"))
 
 
-def clients(log: DataFrame, now) -> DataFrame:
-    """By client: edits and seconds since the last one, at a given time."""
-    return log.groupBy("client_id").agg(F.count("*").alias("n"), F.max("ts").alias("_last")).select("client_id", "n", F.round(F.unix_micros(now) / 1e6 - F.unix_micros("_last") / 1e6, 3).alias("idle_s"))
+def clients(log: DataFrame, now, roles: DataFrame | None = None) -> DataFrame:
+    """By client: edits and seconds since the last one, at a given time, and the role that `roles` (client_id, role) tells, else viewer."""
+    rows = log.groupBy("client_id").agg(F.count("*").alias("n"), F.max("ts").alias("_last")).select("client_id", "n", F.round(F.unix_micros(now) / 1e6 - F.unix_micros("_last") / 1e6, 3).alias("idle_s"))
+    if roles is None:
+        return rows
+    return rows.join(roles.select("client_id", "role"), "client_id", "left").fillna("viewer", ["role"])
 
 
 def last_assignment(log: DataFrame) -> DataFrame:
@@ -217,3 +221,30 @@ def status_with_instances(log: DataFrame, prims: DataFrame) -> DataFrame:
     """status() with the number of instances; `prims` has instanceable."""
     more = prims.agg(F.count_if(F.coalesce("instanceable", F.lit(False))).alias("n_instances"))
     return status(log, prims).join(F.broadcast(more))
+
+
+def file_totals(stacks: DataFrame) -> DataFrame:
+    """Inclusive samples by source file: a file counts once in a stack; frames without one are left out."""
+    files = F.array_distinct(F.array_compact(F.transform("frames", frame_file)))
+    return stacks.select(F.explode(files).alias("file"), "samples").groupBy("file").agg(F.sum("samples").alias("inclusive"))
+
+
+def workload(transactions: DataFrame) -> DataFrame:
+    """By department: transactions, transactions a second between the first and the last, and median, 95th percentile and greatest latency. `transactions`: department, at (seconds), latency."""
+    counts = transactions.groupBy("department").agg(F.count("*").alias("transactions"), (F.max("at") - F.min("at")).alias("_span"))
+    ranks = nearest_ranks(transactions, "department", "latency")
+    return counts.join(ranks, "department").select("department", "transactions", F.when(F.col("_span") > 0, F.col("transactions") / F.col("_span")).alias("throughput"), "median", "p95", "max")
+
+
+def boxes(prims: DataFrame, bounds_of: DataFrame) -> DataFrame:
+    """For each prim (scene_id, prim) the center and size of its bounds, and empty: whether nothing at or below it has a point."""
+    rows = prims.select("scene_id", "prim").join(bounds_of, ["scene_id", "prim"], "left")
+    middle = {f"{c}_center": (F.col(f"{c}_min") + F.col(f"{c}_max")) / 2 for c in "xyz"}
+    size = {f"{c}_size": F.col(f"{c}_max") - F.col(f"{c}_min") for c in "xyz"}
+    return rows.withColumns(middle | size | {"empty": F.col("x_min").isNull()})
+
+
+def bindings(log: DataFrame) -> DataFrame:
+    """The present material of each prim by purpose; an empty path unbinds."""
+    last = log.filter("k = 'set_material_binding'").groupBy("scene_id", "layer_key", "prim", F.coalesce("material_purpose", F.lit("")).alias("purpose")).agg(F.max_by("material_path", "seq").alias("material"))
+    return last.filter("material <> ''")

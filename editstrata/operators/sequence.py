@@ -114,24 +114,36 @@ def fresh_states(states: DataFrame, *, key: str) -> DataFrame:
     return rows.withColumn("_before", before).filter("_before is null or revision > _before").drop("_new", "_run", "_before")
 
 
-def swaps(requests: DataFrame) -> DataFrame:
+def state_outcomes(states: DataFrame, *, key: str) -> DataFrame:
+    """Every state with its outcome: accepted, or why it goes to the dead letters: stale (an older revision) or repeated (the same one). `states` as for fresh_states."""
+    along = Window.partitionBy(key).orderBy("arrival")
+    new = F.when(F.lag("generation").over(along).eqNullSafe(F.col("generation")), 0).otherwise(1)
+    rows = states.withColumn("_new", new).withColumn("_run", F.sum("_new").over(along))
+    before = F.max("revision").over(Window.partitionBy(key, "_run").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
+    outcome = F.when(before.isNull() | (F.col("revision") > before), "accepted").when(F.col("revision") == before, "repeated").otherwise("stale")
+    return rows.withColumn("outcome", outcome).drop("_new", "_run")
+
+
+def swaps(requests: DataFrame, *, generation: str | None = None) -> DataFrame:
     """Compare-and-set by parent, in order of arrival: a request passes if its base is the parent's revision, which then grows by one.
 
-    `requests`: parent_key, arrival, base. Adds accepted and current (the revision before). Folded by parent, one number of state.
+    `requests`: parent_key, arrival, base, and generation where one is given; requests of another generation fail and change nothing.
+    Adds accepted and current (the revision before). Folded by parent, one number of state.
     """
-    dealt = requests.select("parent_key", "arrival", "base").repartition("parent_key").sortWithinPartitions("parent_key", "arrival")
+    known = F.lit(True) if generation is None else F.coalesce(F.col("generation") == generation, F.lit(False))
+    dealt = requests.select("parent_key", "arrival", "base", known.alias("known")).repartition("parent_key").sortWithinPartitions("parent_key", "arrival")
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parent, revision = None, 0
         for f in frames:
             ok, seen = [], []
-            for p, b in zip(f.parent_key, f.base, strict=True):
+            for p, b, k in zip(f.parent_key, f.base, f.known, strict=True):
                 if p != parent:
                     parent, revision = p, 0
                 seen.append(revision)
-                ok.append(b == revision)
-                revision += int(b == revision)
-            yield f.assign(accepted=ok, current=seen)
+                ok.append(bool(k) and b == revision)
+                revision += int(ok[-1])
+            yield f[["parent_key", "arrival", "base"]].assign(accepted=ok, current=seen)
 
     return dealt.mapInPandas(fold, "parent_key string, arrival long, base long, accepted boolean, current long")
 
@@ -163,3 +175,20 @@ def acknowledged(submitted: DataFrame, acks: DataFrame) -> DataFrame:
     """Whether each submitted transaction is closed: an ack closes all ids up to its own."""
     last = acks.groupBy("client_id", "session_id").agg(F.max("txn_id").alias("_ack"))
     return submitted.join(last, ["client_id", "session_id"], "left").withColumn("closed", F.coalesce(F.col("txn_id") <= F.col("_ack"), F.lit(False))).drop("_ack")
+
+
+def ack_faults(submitted: DataFrame, acks: DataFrame) -> DataFrame:
+    """Acknowledgements (client_id, session_id, txn_id, arrival) that end their session: ahead of the last id submitted, or behind an earlier one."""
+    last = submitted.groupBy("client_id", "session_id").agg(F.max("txn_id").alias("_last"))
+    along = Window.partitionBy("client_id", "session_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    rows = acks.withColumn("_before", F.max("txn_id").over(along)).join(last, ["client_id", "session_id"], "left")
+    fault = F.when(F.col("txn_id") > F.coalesce("_last", F.lit(0)), "ahead").when(F.col("txn_id") < F.col("_before"), "behind")
+    return rows.withColumn("fault", fault).filter("fault is not null").drop("_before", "_last")
+
+
+def merged(*streams: DataFrame) -> DataFrame:
+    """Edits of several streams in order of seq by scene, with nth; an edit that several hold is taken once."""
+    from functools import reduce
+
+    rows = reduce(DataFrame.unionByName, streams).dropDuplicates(["scene_id", "seq"])
+    return with_rank(rows, ["scene_id"], ["seq"], "nth")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import compose, diff, sequence
+from ..operators.running import with_rank
 from ..operators.validate import violations
 from ..sources.edit_log import EDIT_SCHEMA
 from ..sources.log_store import LogStore
@@ -28,6 +29,13 @@ def dirty_prims(log: DataFrame) -> DataFrame:
     return log.groupBy("scene_id", "prim").agg(F.max("seq").alias("last_seq"))
 
 
+def coalesced_by_time(log: DataFrame, *, every: str = "100 milliseconds", late: str = "1 second") -> DataFrame:
+    """Transforms (scene_id, prim, field, value, seq, ts) merged by time: of each window the last value of a field and the first seq; a window is sent when the watermark has passed it."""
+    rows = log.filter("k = 'set_xform_trs'")
+    rows = rows.withWatermark("ts", late) if rows.isStreaming else rows
+    return rows.groupBy(F.window("ts", every).alias("w"), "scene_id", "prim", "field").agg(F.max_by("value", "seq").alias("value"), F.min("seq").alias("seq")).select("scene_id", "prim", "field", "value", "seq", F.col("w.end").alias("due"))
+
+
 def session_progress(outcomes: DataFrame) -> DataFrame:
     """The greatest committed id by session, for update output."""
     return sequence.progress(outcomes)
@@ -58,9 +66,9 @@ def split_valid(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def numbered(batch: DataFrame, heads: DataFrame, order: list[str]) -> DataFrame:
-    """Gives the rows of a micro-batch their seq after each scene's head."""
-    nth = F.row_number().over(Window.partitionBy("scene_id").orderBy(*order))
-    return batch.drop("seq").join(heads.select("scene_id", F.col("max_seq").alias("_head")), "scene_id", "left").withColumn("seq", F.coalesce("_head", F.lit(0)) + nth).drop("_head")
+    """Gives the rows of a micro-batch their seq after each scene's head; `order` leaves no ties."""
+    rows = with_rank(batch.drop("seq"), ["scene_id"], order, "_nth")
+    return rows.join(heads.select("scene_id", F.col("max_seq").alias("_head")), "scene_id", "left").withColumn("seq", F.coalesce("_head", F.lit(0)) + F.col("_nth")).drop("_head", "_nth")
 
 
 def changes_after(before: DataFrame, log: DataFrame, layers: DataFrame) -> DataFrame:
