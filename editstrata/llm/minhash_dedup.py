@@ -11,7 +11,8 @@ with the defaults 0.9991 at 0.8 and 0.99996 at 0.85.
 
 1. Texts with equal shingle sets form a class; all later steps see one row a class.
 2. In each bucket of A_i every class is compared with the bucket's hub, the class that
-   shares most buckets; the pairs are confirmed on the full sets of the texts.
+   shares most buckets; the pairs are confirmed on the full sets of the texts, each of which is sent once, that of a hub
+   once for every `TOGETHER` classes.
 3. Buckets that still hold several components compare their classes in blocks, across
    components only, with a sketch that is exact up to `SKETCH` shingles; what the sketch
    leaves possible is confirmed on the full sets.
@@ -40,6 +41,8 @@ SKETCH = 512
 BLOCK = 512
 #: Rows with texts or sketches that are turned into Python objects at once.
 READ_ROWS = 256
+#: Classes that are confirmed against one other in one task; its text goes to as many tasks as it takes.
+TOGETHER = 256
 #: Ids up to this number are broadcast (16 bytes each), more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -96,19 +99,23 @@ def _features(size: int, width: int, halves: int):
 
 
 def _confirm(size: int, percent: int):
+    """Links among rows (u, part, role, v, text), sorted: the text of u (role 0), then those of the v that it is compared with."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, set()
+        kept = set()
         for batch in (b.slice(at, READ_ROWS) for b in batches for at in range(0, len(b), READ_ROWS)):
-            u, v, s, t = (batch.column(k).to_pylist() for k in range(4))
             yes = []
-            for k in range(len(u)):
-                if u[k] != last:
-                    last, kept = u[k], exact_shingles(s[k], size)
-                other = exact_shingles(t[k], size)
+            role, text = batch.column(2).to_numpy(), batch.column(4)
+            for k in range(len(batch)):
+                other = exact_shingles(text[k].as_py(), size)
+                if role[k] == 0:
+                    kept = other
+                    continue
                 both = len(kept & other)
                 if 100 * both >= percent * (len(kept) + len(other) - both):
                     yes.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in yes], pa.binary()), pa.array([v[k] for k in yes], pa.binary())], ["u", "v"])
+            found = batch.take(pa.array(yes, pa.int64()))
+            yield pa.RecordBatch.from_arrays([found.column(0), found.column(3)], ["u", "v"])
 
     return run
 
@@ -228,8 +235,12 @@ def _grouped(documents: DataFrame, shingle_words: int, percent: int, width: int,
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         ends = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
         texts = written(_texts_of(docs, feats, written(ends, "ends")), "texts").dropDuplicates(["fp"])
-        rows = pairs.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("s")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("t")), "v")
-        return written(rows.select("u", "v", "s", "t").mapInArrow(_confirm(shingle_words, percent), "u binary, v binary"), name)
+        parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+        dealt = pairs.join(parts, "u").select("u", F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"), "v")
+        heads = dealt.select("u", "part").distinct().join(texts.withColumnRenamed("fp", "u"), "u").select("u", "part", F.lit(0).alias("role"), F.lit(None).cast("binary").alias("v"), "text")
+        rows = heads.unionByName(dealt.join(texts.withColumnRenamed("fp", "v"), "v").select("u", "part", F.lit(1).alias("role"), "v", "text"))
+        rows = rows.repartition("u", "part").sortWithinPartitions("u", "part", "role")
+        return written(rows.mapInArrow(_confirm(shingle_words, percent), "u binary, v binary"), name)
 
     links = confirmed(stars, "links")
     comps = written(connected_components(links), "components")
