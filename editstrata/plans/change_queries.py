@@ -151,7 +151,7 @@ def missing_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(PRIMS + """, t AS (SELECT scene_id, prim, CASE WHEN prim LIKE '/World/G%/P%' THEN '/World/' || split_part(prim, '/', 3) ELSE '/World' END AS parent FROM after)
 SELECT t.scene_id, t.prim, t.parent, length(t.prim) - length(replace(t.prim, '/', '')) AS depth, (SELECT count(*) FROM t c WHERE c.scene_id = t.scene_id AND c.parent = t.prim) AS n_children FROM t""")
 def prim_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.tree(prim_states(spark, sf_dir)[1].select("scene_id", "prim")).withColumn("depth", F.col("depth").cast("long"))
+    return diff.tree(prim_states(spark, sf_dir)[1].select("scene_id", "prim")).withColumn("depth", F.col("depth").cast("long")).drop("has_children")
 
 
 @query(EDITS_SQL + """, c AS (SELECT scene_id, CASE WHEN prim LIKE '/World/G%/P%' THEN '/World/' || split_part(prim, '/', 3) ELSE prim END AS root, max(seq) AS at FROM edits WHERE kk = 12 GROUP BY 1, 2),
