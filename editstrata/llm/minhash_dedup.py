@@ -37,6 +37,8 @@ from ._text import exact_shingles, hashed_words, mix, shingle_hashes
 WIDTH, HALVES = 4, 15
 #: Shingle hashes kept of a class for the comparison in blocks.
 SKETCH = 512
+#: How far below the threshold the estimate of longer sets' similarity may lie for them to be confirmed: over five standard deviations. None: all are.
+SLACK = 0.1
 #: Classes in a block; a task holds two blocks.
 BLOCK = 512
 #: Rows with texts or sketches that are turned into Python objects at once.
@@ -137,7 +139,7 @@ def _find(parent: list[int], x: int) -> int:
     return x
 
 
-def _links_in_block(rows: list[dict], index: int, percent: int) -> list[tuple[bytes, bytes]]:
+def _links_in_block(rows: list[dict], index: int, percent: int, slack: float | None) -> list[tuple[bytes, bytes]]:
     """Pairs of one block pair that may be links and join different components; certain ones only where they join anew."""
     n = np.array([r["n"] for r in rows])
     a, b = np.array([r["a"] for r in rows]), np.array([r["b"] for r in rows])
@@ -164,16 +166,16 @@ def _links_in_block(rows: list[dict], index: int, percent: int) -> list[tuple[by
             if 100 * both < percent * (n[x] + n[y] - both):
                 continue
             parent[_find(parent, comp[x])] = _find(parent, comp[y])
-        else:
+        elif slack is not None:
             union = np.union1d(sets[x], sets[y])[:SKETCH]
             seen = len(np.intersect1d(np.intersect1d(sets[x], union, assume_unique=True), np.intersect1d(sets[y], union, assume_unique=True), assume_unique=True))
-            if seen < (percent / 100 - 0.1) * len(union):  # more than five standard deviations below
+            if seen < (percent / 100 - slack) * len(union):
                 continue
         out.append((rows[x]["fp"], rows[y]["fp"]))
     return out
 
 
-def _in_blocks(percent: int):
+def _in_blocks(percent: int, slack: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.binary()), pa.array([max(x) for x in found], pa.binary())], ["u", "v"])
@@ -184,11 +186,11 @@ def _in_blocks(percent: int):
                 key = (r["i"], r["key"], r["p"], r["q"])
                 if key != now:
                     if len(rows) > 1:
-                        yield result(_links_in_block(rows, now[0], percent))
+                        yield result(_links_in_block(rows, now[0], percent, slack))
                     now, rows = key, []
                 rows.append(r)
         if len(rows) > 1:
-            yield result(_links_in_block(rows, now[0], percent))
+            yield result(_links_in_block(rows, now[0], percent, slack))
 
     return run
 
@@ -214,7 +216,7 @@ def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     return written(old.unionByName(alone), "components")
 
 
-def _grouped(documents: DataFrame, shingle_words: int, percent: int, width: int, halves: int) -> DataFrame:
+def _grouped(documents: DataFrame, shingle_words: int, percent: int, width: int, halves: int, slack: float | None) -> DataFrame:
     """row (a hash of id and text), doc_id, n_shingles, component_id and first (the row that stands for the component) of every row."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"))
     feats = written(docs.mapInArrow(_features(shingle_words, width, halves), _FEATURES), "features")
@@ -257,7 +259,7 @@ def _grouped(documents: DataFrame, shingle_words: int, percent: int, width: int,
         rows = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         rows = rows.select("i", "key", "fp", "comp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
         rows = rows.join(sketches, "fp").repartition("i", "key", "p", "q").sortWithinPartitions("i", "key", "p", "q")
-        rest = written(rows.mapInArrow(_in_blocks(percent), "u binary, v binary").distinct(), "rest")
+        rest = written(rows.mapInArrow(_in_blocks(percent, slack), "u binary, v binary").distinct(), "rest")
         if not rest.isEmpty():
             comps = _joined(comps, confirmed(rest, "rest-links"))
 
@@ -270,7 +272,7 @@ def _grouped(documents: DataFrame, shingle_words: int, percent: int, width: int,
     return out.select("row", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), F.when(alone, F.col("row")).otherwise(F.col("first.row")).alias("first"))
 
 
-def near_duplicates(documents: DataFrame, *, shingle_words: int = 5, percent: int = 80, width: int = WIDTH, halves: int = HALVES) -> DataFrame:
+def near_duplicates(documents: DataFrame, *, shingle_words: int = 5, percent: int = 80, width: int = WIDTH, halves: int = HALVES, slack: float | None = SLACK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of `documents` (doc_id, text).
 
     A text's set holds its distinct word shingles (A-Z lower-cased); with fewer words than
@@ -282,18 +284,18 @@ def near_duplicates(documents: DataFrame, *, shingle_words: int = 5, percent: in
     null doc_id are grouped but never name a component while another id is there.
     Repeated rows of one doc_id each get a row. Other columns are ignored; an empty table gives an empty result.
     """
-    found = _grouped(documents, shingle_words, percent, width, halves)
+    found = _grouped(documents, shingle_words, percent, width, halves, slack)
     component = F.col("component_id")
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
-def deduplicated(documents: DataFrame, *, shingle_words: int = 5, percent: int = 80, width: int = WIDTH, halves: int = HALVES) -> DataFrame:
+def deduplicated(documents: DataFrame, *, shingle_words: int = 5, percent: int = 80, width: int = WIDTH, halves: int = HALVES, slack: float | None = SLACK) -> DataFrame:
     """The rows of `documents` of which one stays for each group of near duplicates; all columns are kept.
 
     The row of the group's least doc_id stays, null ids last; of rows that repeat its id and text one stays.
     Rows with null or empty texts are groups of their own. Texts are shuffled only if very many rows go.
     """
-    found = written(_grouped(documents, shingle_words, percent, width, halves).select("row", "first"), "grouped")
+    found = written(_grouped(documents, shingle_words, percent, width, halves, slack).select("row", "first"), "grouped")
     own = fresh(documents, "row")
     row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
     gone = found.filter("row != first").select(F.col("row").alias(own)).distinct()

@@ -58,6 +58,21 @@ def test_hubs_are_split(docs, texts, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(docs, shingle_words=2).collect()} == brute(texts, 2)
 
 
+def test_estimate_loses_nothing(spark):
+    """Long texts, near copies of one another in chains: with the estimate before the exact check and without it the components are the same, those of brute force."""
+    rnd = random.Random(9)
+    texts, base = {}, [f"w{k}" for k in range(900)]
+    for i in range(60):
+        words = list(rnd.choice(list(texts.values())).split() if texts and i % 4 else base)
+        for _ in range(rnd.randint(10, 60)):
+            words[rnd.randrange(len(words))] = f"x{rnd.randrange(9999)}"
+        texts[i] = " ".join(words)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = {i: c for i, (_, c) in brute(texts, 2).items()}
+    for slack in (minhash_dedup.SLACK, None):
+        assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(rows, shingle_words=2, slack=slack).collect()} == want
+
+
 def linked(own, percent=80):
     """All pairs that are links: two sets as alike as that share one of the rarest shingles of each, as many as may be missing and one more."""
     count = Counter(x for s in own.values() for x in s)
