@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from .reduce import alive
 
 
 #: Steps after which the nodes met so far are made one table again.
@@ -79,6 +80,13 @@ def arc_assets(arcs: DataFrame, catalogue: DataFrame) -> DataFrame:
     return last.join(catalogue.select("asset_path", "resolved"), "asset_path", "left").withColumn("pending", F.col("resolved").isNull())
 
 
+def arc_dependencies(log: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """arc_assets() of the arcs that live: those of deleted or renamed prims, and of what was below them, no longer count. `log` is one of all kinds."""
+    living = alive(log).filter("not dead and k in ('set_reference', 'set_payload')")
+    arcs = living.select("scene_id", "k", "layer_key", "prim", "seq", F.explode("arcs").alias("a")).select("scene_id", "k", "layer_key", "prim", "seq", F.col("a.asset_path").alias("asset_path"))
+    return arc_assets(arcs, catalogue)
+
+
 def refreshed_arcs(arcs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """Arcs whose asset resolves otherwise than before."""
     a = old.select("asset_path", F.col("resolved").alias("_old"))
@@ -95,9 +103,9 @@ def samples_at(samples: DataFrame, probes: DataFrame) -> DataFrame:
     key = ["scene_id", "prim", "field"]
     both = samples.select(*key, F.col("time").alias("_t"), "value", F.lit(0).alias("_probe")).unionByName(probes.distinct().select(*key, F.col("at").alias("_t"), F.lit(None).cast("double").alias("value"), F.lit(1).alias("_probe")))
     up = Window.partitionBy(*key).orderBy("_t", "_probe")
-    down = Window.partitionBy(*key).orderBy(F.desc("_t"), F.desc("_probe"))  # a frame up to the end would read it again for each row
-    mark = F.when(F.col("_probe") == 0, F.struct(F.col("_t").alias("t"), F.col("value").alias("v")))
-    both = both.withColumn("_a", F.last(mark, True).over(up)).withColumn("_b", F.last(mark, True).over(down)).filter("_probe = 1")
+    both = both.withColumn("_mark", F.when(F.col("_probe") == 0, F.struct(F.col("_t").alias("t"), F.col("value").alias("v"))))
+    after = F.expr(f"lead(_mark, 1) IGNORE NULLS OVER (PARTITION BY {', '.join(key)} ORDER BY _t, _probe)")  # one sort for both sides
+    both = both.withColumns({"_a": F.last("_mark", True).over(up), "_b": after}).filter("_probe = 1")
     share = (F.col("_t") - F.col("_a.t")) / (F.col("_b.t") - F.col("_a.t"))
     linear = F.when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_b").isNull() | (F.col("_a.t") == F.col("_t")), F.col("_a.v")).otherwise(F.col("_a.v") + share * (F.col("_b.v") - F.col("_a.v")))
     return both.select(*key, F.col("_t").alias("at"), F.coalesce(F.col("_a.v"), F.col("_b.v")).alias("held"), linear.alias("linear"))

@@ -9,6 +9,7 @@ from ..functions import math3d, paths, scalars
 from ..operators import compose, diff, graph, inspect, scans, validate
 from ..sources.edit_log import EDITS_SQL, edits, layers
 from .full_log import FULL_SQL, flat, full_edits
+from .full_queries import LIVING
 from .graph_queries import EDGES, layer_edges
 from .log_queries import COMPOSED, LIVE
 from .registry import query
@@ -44,6 +45,20 @@ def resolvable_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.resolved_edges(edges, ids)
 
 
+@query(LIVING + ", l AS (SELECT scene_id, k, layer_key, prim, arg_max(asset, seq) AS asset_path FROM living WHERE asset IS NOT NULL GROUP BY 1, 2, 3, 4), c AS (SELECT 'assets/a' || p_partkey || '.usd' AS asset_path, p_brand AS resolved FROM part WHERE p_size > 20) SELECT l.*, resolved, resolved IS NULL AS pending FROM l LEFT JOIN c USING (asset_path)")
+def arc_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assets that living arcs bring in; parts of over size 20 can be resolved."""
+    catalogue = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_size > 20").select(F.concat(F.lit("assets/a"), "p_partkey", F.lit(".usd")).alias("asset_path"), F.col("p_brand").alias("resolved"))
+    return graph.arc_dependencies(full_edits(spark, sf_dir), catalogue)
+
+
+@query("SELECT lang, source, count(*) AS n, count(DISTINCT text) AS texts FROM documents GROUP BY 1, 2")
+def distinct_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts told apart by their fingerprints alone."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.groupBy("lang", "source").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("text").isNotNull(), scalars.fingerprint(F.col("text")))).alias("texts"))
+
+
 _PATHS = FULL_SQL + """, p AS (SELECT seq, layer_key, CASE seq % 6 WHEN 0 THEN '' WHEN 1 THEN './' || asset WHEN 2 THEN '../' || asset WHEN 3 THEN '/abs/' || asset WHEN 4 THEN asset ELSE '.././x/../' || asset END AS asset_path FROM full_log WHERE asset IS NOT NULL)
 """
 

@@ -1,9 +1,11 @@
 """The namespace that a log leaves, against a fold over its edits; and ranks and runs over groups that many parts share."""
 
+import math
 import random
 
 import pytest
 
+from editstrata.functions import math3d
 from editstrata.operators import diff, running
 from editstrata.plans.full_log import full_edits
 
@@ -56,3 +58,13 @@ def test_running(spark, groups):
         mine = sorted((r.x, r.at, r.nth) for r in ranked if r.g == g)
         assert [n for _, _, n in mine] == list(range(1, len(mine) + 1))
     assert running.with_running(frame.limit(0), ["g"], "at", {"s": frame["x"]}).count() == 0 == running.with_rank(frame.limit(0), ["g"], ["at"], "nth").count()
+
+
+def test_waves_and_faces(spark):
+    """A grid's heights and faces against loops."""
+    waves = [(1.0, 0.5, 0.2), (3.0, 0.25, 1.0)]
+    for r in math3d.wave_grid(spark, 5, 4.0, waves).collect():
+        x, z = r.i - 2.0, r.j - 2.0
+        assert (r.x, r.z) == (x, z) and r.y == pytest.approx(sum(a * math.sin(f * x + p) * math.cos(f * z + p) for f, a, p in waves))
+    faces = {tuple(r)[1:] for r in math3d.grid_faces(spark, 4).collect()}
+    assert faces == {(j * 4 + i, j * 4 + i + 1, (j + 1) * 4 + i + 1, (j + 1) * 4 + i) for i in range(3) for j in range(3)}
