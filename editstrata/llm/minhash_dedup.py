@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import connected_components
-from ._store import fresh, written
+from ._store import fresh, kept, scratch, written
 from ._text import exact_shingles, hashed_words, mix, shingle_hashes
 
 WIDTH, HALVES = 4, 15
@@ -217,9 +217,18 @@ def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _grouped(documents: DataFrame, shingle_words: int, percent: int, width: int, halves: int, slack: float | None) -> DataFrame:
-    """row (a hash of id and text), doc_id, n_shingles, component_id and first (the row that stands for the component) of every row."""
+    """row (a hash of id and text), doc_id, n_shingles, component_id and first (the row that stands for the component) of every row. Of the tables written on the way only features and names stay."""
+    with scratch(documents.sparkSession):
+        feats, named = _named(documents, shingle_words, percent, width, halves, slack)
+    out = feats.select("row", "doc_id", "n_shingles", "fp").join(named, "fp", "left")
+    alone = F.length("fp") == 0
+    return out.select("row", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), F.when(alone, F.col("row")).otherwise(F.col("first.row")).alias("first"))
+
+
+def _named(documents: DataFrame, shingle_words: int, percent: int, width: int, halves: int, slack: float | None) -> tuple[DataFrame, DataFrame]:
+    """Features of every row, and first (the row that stands for the component) of every class (fp)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"))
-    feats = written(docs.mapInArrow(_features(shingle_words, width, halves), _FEATURES), "features")
+    feats = kept(docs.mapInArrow(_features(shingle_words, width, halves), _FEATURES), "features")
     classes = feats.filter(F.length("fp") > 0).groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rank"), "row", "doc_id")).alias("least"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
     classes = written(classes, "classes")
     slim = classes.select("fp", F.posexplode("a").alias("i", "key"))
@@ -266,10 +275,7 @@ def _grouped(documents: DataFrame, shingle_words: int, percent: int, width: int,
     named = classes.select("fp", "least").join(comps, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("comp"))
     named = written(named, "named")
     least = named.groupBy("comp").agg(F.min("least").alias("first"))
-    named = named.join(least, "comp").select("fp", "first")
-    out = feats.select("row", "doc_id", "n_shingles", "fp").join(named, "fp", "left")
-    alone = F.length("fp") == 0
-    return out.select("row", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), F.when(alone, F.col("row")).otherwise(F.col("first.row")).alias("first"))
+    return feats, kept(named.join(least, "comp").select("fp", "first"), "names")
 
 
 def near_duplicates(documents: DataFrame, *, shingle_words: int = 5, percent: int = 80, width: int = WIDTH, halves: int = HALVES, slack: float | None = SLACK) -> DataFrame:
@@ -300,10 +306,10 @@ def deduplicated(documents: DataFrame, *, shingle_words: int = 5, percent: int =
     row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
     gone = found.filter("row != first").select(F.col("row").alias(own)).distinct()
     few = gone.count() <= BROADCAST_IDS
-    kept = documents.withColumn(own, row).join(F.broadcast(gone) if few else gone, own, "left_anti")
+    left = documents.withColumn(own, row).join(F.broadcast(gone) if few else gone, own, "left_anti")
     twice = written(found.filter("row = first").groupBy(F.col("row").alias(own)).count().filter("count > 1").select(own), "twice")
     if twice.isEmpty():
-        return kept.select(*documents.columns)
+        return left.select(*documents.columns)
     side = F.broadcast(twice) if twice.count() <= BROADCAST_IDS else twice
-    one = kept.join(side, own, "left_semi").dropDuplicates([own])
-    return kept.join(side, own, "left_anti").unionByName(one).select(*documents.columns)
+    one = left.join(side, own, "left_semi").dropDuplicates([own])
+    return left.join(side, own, "left_anti").unionByName(one).select(*documents.columns)

@@ -16,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import fresh, written
+from ._store import fresh, kept, scratch, written
 
 #: Target shares: a power of the present shares (1: as they are, 0: equal), or shares by value; values not listed keep their present share.
 TARGETS: Mapping[str, float | Mapping[str, float]] = {"source": 0.5, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": 0.8}
@@ -130,7 +130,8 @@ def _draw(seed: int) -> Column:
 
 
 def _placed(rows: DataFrame, cells: DataFrame, dims: list[str], targets: Mapping[str, float | Mapping[str, float]], budget: float) -> DataFrame:
-    fitted = written(with_probability(raked(written(cells, "cells"), targets), budget).drop("tokens"), "fitted")
+    with scratch(cells.sparkSession):
+        fitted = kept(with_probability(raked(written(cells, "cells"), targets), budget).drop("tokens"), "fitted")
     few = fitted.count() <= BROADCAST_CELLS
     return rows.join(F.broadcast(fitted) if few else fitted, dims, "left").fillna(0.0, ["weight", "probability"])
 
@@ -142,7 +143,8 @@ def sampled(documents: DataFrame, targets: Mapping[str, float | Mapping[str, flo
     chance = fresh(documents, "probability")
     prepared = _prepared(documents, dims)
     cells = cells_of(prepared.select(*dims, tokens_of(F.col("text")).alias("_tokens")), dims)
-    fitted = written(with_probability(raked(written(cells, "cells"), targets), budget).select(*(F.col(d).alias(n) for d, n in names.items()), F.col("probability").alias(chance)), "fitted")
+    with scratch(documents.sparkSession):
+        fitted = kept(with_probability(raked(written(cells, "cells"), targets), budget).select(*(F.col(d).alias(n) for d, n in names.items()), F.col("probability").alias(chance)), "fitted")
     few = fitted.count() <= BROADCAST_CELLS
     key = {names[d]: (F.coalesce(F.col(d).cast("string"), F.lit(NONE)) if d in documents.columns or d != "topic" else topic_of(F.coalesce("text", F.lit("")))) for d in dims}
     rows = documents.withColumns(key).join(F.broadcast(fitted) if few else fitted, list(names.values()))
