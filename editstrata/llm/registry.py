@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat_format, decontamination, lm_scoring, minhash_dedup, pii_surrogates, quality_rules, sharding, source_mixing, toxicity, url_filter
+from . import chat_format, decontamination, hard_negatives, lm_scoring, minhash_dedup, pii_surrogates, quality_rules, sharding, source_mixing, toxicity, url_filter
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +65,15 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.cross_entropy_differences(marked, F.col("good"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", shifted.alias("label"))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_minhash_dedup, op4_decontamination, op5_pii_surrogates, op6_url_filter, op7_sharding, op8_source_mixing, op9_toxicity, op10_lm_scoring)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_minhash_dedup, op4_decontamination, op5_pii_surrogates, op6_url_filter, op7_sharding, op8_source_mixing, op9_toxicity, op10_lm_scoring, op12_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat_format.DIGESTS_SQL}
+    return {"op1_chat_format": chat_format.DIGESTS_SQL, "op12_hard_negatives": hard_negatives.NEGATIVES_SQL}
