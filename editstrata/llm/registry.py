@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat_format, decontamination, hard_negatives, lm_scoring, minhash_dedup, pii_surrogates, quality_rules, sharding, source_mixing, toxicity, url_filter
+from . import chat_format, decontamination, hard_negatives, lm_scoring, minhash_dedup, pii_surrogates, quality_rules, sharding, source_mixing, toxicity, url_filter, whitening
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +71,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_minhash_dedup, op4_decontamination, op5_pii_surrogates, op6_url_filter, op7_sharding, op8_source_mixing, op9_toxicity, op10_lm_scoring, op12_hard_negatives)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_minhash_dedup, op4_decontamination, op5_pii_surrogates, op6_url_filter, op7_sharding, op8_source_mixing, op9_toxicity, op10_lm_scoring, op12_hard_negatives, op13_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
