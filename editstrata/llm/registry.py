@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat_format, decontamination, hard_negatives, lm_scoring, minhash_dedup, pii_surrogates, quality_rules, sharding, source_mixing, toxicity, url_filter, whitening
+from . import chat_format, decontamination, hard_negatives, lm_scoring, minhash_dedup, pii_surrogates, quality_rules, sharding, source_mixing, template_extraction, toxicity, url_filter, whitening
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.cross_entropy_differences(marked, F.col("good"))
 
 
+def op11_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_extraction.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", shifted.alias("label"))
@@ -76,7 +80,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_minhash_dedup, op4_decontamination, op5_pii_surrogates, op6_url_filter, op7_sharding, op8_source_mixing, op9_toxicity, op10_lm_scoring, op12_hard_negatives, op13_embedding_whitening)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_minhash_dedup, op4_decontamination, op5_pii_surrogates, op6_url_filter, op7_sharding, op8_source_mixing, op9_toxicity, op10_lm_scoring, op11_template_extraction, op12_hard_negatives, op13_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
