@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import lineage
@@ -18,15 +18,20 @@ def unrouted(log: DataFrame, layers: DataFrame) -> DataFrame:
     return log.join(F.broadcast(layers), "layer_key", "left_anti")
 
 
+LAYER = ["scene_id", "layer_key"]
+
+
 def composed(log: DataFrame, layers: DataFrame) -> DataFrame:
-    """scene_id, prim, field, time, value, layer_key: one row for every composed value.
+    """scene_id, prim, field, time, value, layer_key, seq: one row for every composed value.
 
     Default values (null time) and time samples are separate domains; the strongest layer with any
-    sample of a field owns all of its times. Edits are reduced to the last of a layer before
-    layers are compared, so the shuffle carries one row a value and layer, not the log.
+    sample of a field owns all of its times. A deletion or rename takes away what its layer said before at its prim and below; other
+    layers' opinions stay, and a weaker one's shows where a stronger one's was taken away. Edits are reduced to the last of a layer before
+    deletions and layers are compared, so the shuffle carries one row a value and layer, not the log.
     """
-    opinions = routed(log.filter("field != ''"), layers.filter("not muted"))
-    last = opinions.groupBy("scene_id", "prim", "field", "time", "rank", "layer_key").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
+    own = routed(log, layers.filter("not muted"))
+    last = own.filter("field != ''").groupBy(*LAYER, "prim", "field", "time", "rank").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
+    last = last.join(_killed(last, _kills(own)), [*LAYER, "prim"], "left").filter("killed is null or seq > killed")
     domain = Window.partitionBy("scene_id", "prim", "field", F.col("time").isNull())
     return last.withColumn("_best", F.min("rank").over(domain)).filter("rank = _best").select("scene_id", "prim", "field", "time", "value", "layer_key", "seq")
 
@@ -34,45 +39,57 @@ def composed(log: DataFrame, layers: DataFrame) -> DataFrame:
 def composed_twice(log: DataFrame, layers: DataFrame, upto: int) -> DataFrame:
     """scene_id, prim, field, time with old_value, composed from the edits up to a seq, and new_value from all; null where the state has none.
 
-    Both states come from one aggregation of the log: of a layer the last edit, and the last up to the seq.
+    Both states come from one aggregation of the log: of a layer the last edit, and the last up to the seq; of a path the last deletion, and the last up to the seq.
     """
-    opinions = routed(log.filter("field != ''"), layers.filter("not muted"))
+    own = routed(log, layers.filter("not muted"))
     early = F.when(F.col("seq") <= upto, F.col("seq"))
-    last = opinions.groupBy("scene_id", "prim", "field", "time", "rank", "layer_key").agg(F.max_by("value", early).alias("_old"), F.max(early).alias("_at"), F.max_by("value", "seq").alias("_new"))
+    last = own.filter("field != ''").groupBy(*LAYER, "prim", "field", "time", "rank").agg(F.max_by("value", early).alias("_old"), F.max(early).alias("_at"), F.max_by("value", "seq").alias("_new"), F.max("seq").alias("seq"))
+    last = last.join(_killed(last, _kills(own, early)), [*LAYER, "prim"], "left")
+    was, is_ = F.coalesce(F.col("_at") > F.coalesce("killed_early", F.lit(-1)), F.lit(False)), F.col("seq") > F.coalesce("killed", F.lit(-1))
     domain = Window.partitionBy("scene_id", "prim", "field", F.col("time").isNull())
-    old_rank = F.when(F.col("_at").isNotNull(), F.col("rank"))
-    best = last.withColumns({"_o": F.min(old_rank).over(domain), "_n": F.min("rank").over(domain)})
-    best = best.filter((old_rank == F.col("_o")) | (F.col("rank") == F.col("_n")))
-    return best.groupBy("scene_id", "prim", "field", "time").agg(F.max_by("_old", F.when(old_rank == F.col("_o"), 1)).alias("old_value"), F.max_by("_new", F.when(F.col("rank") == F.col("_n"), 1)).alias("new_value"), F.max(old_rank == F.col("_o")).alias("was"), F.max(F.col("rank") == F.col("_n")).alias("is"))
+    best = last.withColumns({"_r": F.when(was, F.col("rank")), "_s": F.when(is_, F.col("rank"))}).withColumns({"_o": F.min("_r").over(domain), "_n": F.min("_s").over(domain)})
+    best = best.filter("_r = _o or _s = _n")
+    return best.groupBy("scene_id", "prim", "field", "time").agg(F.max_by("_old", F.when(F.expr("_r = _o"), 1)).alias("old_value"), F.max_by("_new", F.when(F.expr("_s = _n"), 1)).alias("new_value"), F.max(F.expr("_r = _o")).alias("was"), F.max(F.expr("_s = _n")).alias("is"))
 
 
-def tombstones(log: DataFrame) -> DataFrame:
-    """For each prim that an edit names, in its layer, the last deletion or rename at or above it.
+def _kills(log: DataFrame, early: Column | None = None) -> DataFrame:
+    """The last deletion or rename of each path in its layer, and the last that `early` (a seq or null) tells."""
+    early = F.lit(None).cast("long") if early is None else early
+    return log.filter(F.col("k").isin("delete_prim", "rename_prim")).groupBy(*LAYER, F.col("prim").alias("_above")).agg(F.max("seq").alias("killed"), F.max(early).alias("killed_early"))
 
-    The distinct prims, not the edits, are spread over their ancestors; deletions are reduced to the last of a path first.
-    """
-    key = ["scene_id", "layer_key"]
-    kills = log.filter(F.col("k").isin("delete_prim", "rename_prim")).groupBy(*key, F.col("prim").alias("_above")).agg(F.max("seq").alias("killed"))
-    prims = log.select(*key, "prim").distinct().withColumn("_above", F.explode(lineage(F.col("prim"))))
-    return prims.join(kills, [*key, "_above"]).groupBy(*key, "prim").agg(F.max("killed").alias("killed"))
+
+def _killed(prims: DataFrame, kills: DataFrame) -> DataFrame:
+    """For each prim and layer of `prims` the last of `kills` at or above it. The distinct prims are spread over their ancestors, not the edits."""
+    spread = prims.select(*LAYER, "prim").distinct().withColumn("_above", F.explode(lineage(F.col("prim"))))
+    return spread.join(kills, [*LAYER, "_above"]).groupBy(*LAYER, "prim").agg(F.max("killed").alias("killed"), F.max("killed_early").alias("killed_early"))
+
+
+def tombstones(log: DataFrame) -> DataFrame:
+    """For each prim that an edit names, in its layer, the last deletion or rename at or above it."""
+    return _killed(log, _kills(log)).drop("killed_early")
 
 
 def survivors(log: DataFrame) -> DataFrame:
     """Edits that no later deletion or rename at or above their prim, in the same layer, has undone."""
     dead = tombstones(log)
-    return log.join(dead, ["scene_id", "layer_key", "prim"], "left").filter("killed is null or seq >= killed").drop("killed")
+    return log.join(dead, [*LAYER, "prim"], "left").filter("killed is null or seq >= killed").drop("killed")
+
+
+def opinions(log: DataFrame) -> DataFrame:
+    """scene_id, layer_key, prim, field, time, value and seq: what each layer says by itself, deletions and renames applied."""
+    last = log.filter("field != ''").groupBy(*LAYER, "prim", "field", "time").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
+    return last.join(_killed(last, _kills(log)), [*LAYER, "prim"], "left").filter("killed is null or seq > killed").drop("killed", "killed_early")
 
 
 def layer_opinions(log: DataFrame, layer_key: str) -> DataFrame:
     """One layer's own values, for export."""
-    return log.filter((F.col("layer_key") == layer_key) & (F.col("field") != "")).groupBy("scene_id", "prim", "field", "time").agg(F.max_by("value", "seq").alias("value"))
+    return opinions(log.filter(F.col("layer_key") == layer_key)).select("scene_id", "prim", "field", "time", "value")
 
 
 def merged_into(log: DataFrame, source: str, target: str) -> DataFrame:
-    """The target layer's values after the source layer was merged into it: the source's values win, others stay."""
-    own = log.filter(F.col("layer_key").isin(source, target) & (F.col("field") != ""))
-    order = F.struct((F.col("layer_key") == source).alias("from_source"), "seq")
-    return own.groupBy("scene_id", "prim", "field", "time").agg(F.max_by("value", order).alias("value")).withColumn("layer_key", F.lit(target))
+    """The target layer's values after the source layer was merged into it: the source's values win, others stay. What a layer deleted before is in neither."""
+    own = opinions(log.filter(F.col("layer_key").isin(source, target)))
+    return own.groupBy("scene_id", "prim", "field", "time").agg(F.max_by("value", F.col("layer_key") == source).alias("value")).withColumn("layer_key", F.lit(target))
 
 
 def snapshot_manifest(layers: DataFrame, labels: DataFrame) -> DataFrame:
@@ -86,5 +103,5 @@ def snapshot_manifest(layers: DataFrame, labels: DataFrame) -> DataFrame:
 
 def owned(values: DataFrame, log: DataFrame, layer_key: str) -> DataFrame:
     """Composed values of the fields that a layer itself has opinions on."""
-    own = log.filter((F.col("layer_key") == layer_key) & (F.col("field") != "")).select("scene_id", "prim", "field").distinct()
+    own = layer_opinions(log, layer_key).select("scene_id", "prim", "field").distinct()
     return values.join(own, ["scene_id", "prim", "field"], "left_semi")

@@ -26,7 +26,8 @@ def composed_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
 
 def _composed_sql(name: str, where: str) -> str:
-    return f""", o{name} AS (SELECT e.*, l.rank FROM edits e JOIN layers l USING (layer_key) WHERE field <> '' AND NOT muted AND {where}),
+    alive = f"SELECT 1 FROM edits x WHERE x.k = 'delete_prim' AND {where} AND x.scene_id = e.scene_id AND x.layer_key = e.layer_key AND x.seq > e.seq AND (x.prim = e.prim OR starts_with(e.prim, x.prim || '/'))"
+    return f""", o{name} AS (SELECT e.*, l.rank FROM (SELECT * FROM edits e WHERE {where} AND NOT EXISTS ({alive.replace("seq <=", "x.seq <=")})) e JOIN layers l USING (layer_key) WHERE field <> '' AND NOT muted),
 b{name} AS (SELECT scene_id, prim, field, time IS NULL AS u, min(rank) AS rank FROM o{name} GROUP BY ALL),
 {name} AS (SELECT o.scene_id, o.prim, o.field, o.time, arg_max(o.value, o.seq) AS value FROM o{name} o JOIN b{name} b ON o.scene_id = b.scene_id AND o.prim = b.prim AND o.field = b.field AND (o.time IS NULL) = b.u AND o.rank = b.rank GROUP BY 1, 2, 3, 4)
 """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compose, graph, inspect
 from ..sources.edit_log import EDITS_SQL, edits, layers
+from .log_queries import ALIVE
 from .registry import query
 
 RECURSIVE_EDITS = EDITS_SQL.replace("WITH e0", "WITH RECURSIVE e0", 1)
@@ -86,7 +87,7 @@ def refreshed_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.refreshed_arcs(arcs(spark, sf_dir), catalogue(spark, sf_dir), new).select("scene_id", "prim", "seq", "asset_path", "resolved")
 
 
-COMPOSED = """, opinions AS (SELECT e.*, l.rank FROM edits e JOIN layers l USING (layer_key) WHERE field <> '' AND NOT muted AND time IS NOT NULL),
+COMPOSED = ALIVE + """, opinions AS (SELECT e.*, l.rank FROM kept e JOIN layers l USING (layer_key) WHERE field <> '' AND NOT muted AND time IS NOT NULL),
 best AS (SELECT scene_id, prim, field, min(rank) AS rank FROM opinions GROUP BY ALL),
 samples AS (SELECT scene_id, prim, field, time, arg_max(value, seq) AS value FROM opinions JOIN best USING (scene_id, prim, field, rank) GROUP BY 1, 2, 3, 4),
 probes AS (SELECT DISTINCT scene_id, prim, field, probe_at FROM samples, (VALUES (-1.0::DOUBLE), (0.5), (2.0), (9.0)) p(probe_at)),
@@ -98,7 +99,7 @@ FROM around a LEFT JOIN samples x ON x.scene_id = a.scene_id AND x.prim = a.prim
 
 @query(EDITS_SQL + COMPOSED)
 def samples_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = compose.composed(edits(spark, sf_dir).filter("time is not null"), layers(spark))
+    samples = compose.composed(edits(spark, sf_dir), layers(spark)).filter("time is not null")
     probes = samples.select("scene_id", "prim", "field").distinct().withColumn("at", F.explode(F.array(*(F.lit(x) for x in (-1.0, 0.5, 2.0, 9.0)))))
     return graph.samples_at(samples, probes)
 

@@ -20,14 +20,14 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.withColumns({"spec_path": F.lit(""), "spec_kind": none, "material_purpose": F.lit(""), "type_name": F.when(F.col("k") == "ensure_prim", F.concat(F.lit("T"), (F.col("kk") % 7).cast("string"))), "api_schemas": F.when(F.col("k") == "ensure_prim", F.array(F.concat(F.lit("S"), (F.col("kk") % 3).cast("string")))).otherwise(F.array().cast("array<string>")), "removed": F.lit(False)})
 
 
-COMPOSED = """, opinions AS (SELECT e.*, l.rank FROM edits e JOIN layers l USING (layer_key) WHERE field <> '' AND NOT muted),
+ALIVE = """, kept AS (SELECT * FROM edits e WHERE NOT EXISTS (SELECT 1 FROM edits x WHERE x.k = 'delete_prim' AND x.scene_id = e.scene_id AND x.layer_key = e.layer_key
+  AND x.seq > e.seq AND (x.prim = e.prim OR starts_with(e.prim, x.prim || '/'))))
+"""
+COMPOSED = ALIVE + """, opinions AS (SELECT e.*, l.rank FROM kept e JOIN layers l USING (layer_key) WHERE field <> '' AND NOT muted),
 best AS (SELECT scene_id, prim, field, time IS NULL AS untimed, min(rank) AS rank FROM opinions GROUP BY ALL),
 composed AS (SELECT o.scene_id, o.prim, o.field, o.time, arg_max(o.value, o.seq) AS value, any_value(o.layer_key) AS layer_key, max(o.seq) AS seq
   FROM opinions o JOIN best b ON o.scene_id = b.scene_id AND o.prim = b.prim AND o.field = b.field AND (o.time IS NULL) = b.untimed AND o.rank = b.rank GROUP BY 1, 2, 3, 4)
 """
-ALIVE = """, kept AS (SELECT * FROM edits e WHERE NOT EXISTS (SELECT 1 FROM edits x WHERE x.k = 'delete_prim' AND x.scene_id = e.scene_id AND x.layer_key = e.layer_key
-  AND x.seq > e.seq AND (x.prim = e.prim OR starts_with(e.prim, x.prim || '/'))))
-"""
 LIVE = """, made AS (SELECT scene_id, prim, max(seq) AS seq FROM edits WHERE k = 'ensure_prim' GROUP BY ALL),
 live AS (SELECT * FROM made m WHERE NOT EXISTS (SELECT 1 FROM edits x WHERE x.k = 'delete_prim' AND x.scene_id = m.scene_id AND x.seq > m.seq AND (x.prim = m.prim OR starts_with(m.prim, x.prim || '/'))))
 """
@@ -117,12 +117,12 @@ def unrouted_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compose.unrouted(edits(spark, sf_dir), layers(spark).filter("layer_key in ('default', 'department:fx')")).select("seq", "layer_key")
 
 
-@query(EDITS_SQL + "SELECT scene_id, prim, field, time, arg_max(value, seq) AS value FROM edits WHERE layer_key = 'department:lighting' AND field <> '' GROUP BY 1, 2, 3, 4")
+@query(EDITS_SQL + ALIVE + "SELECT scene_id, prim, field, time, arg_max(value, seq) AS value FROM kept WHERE layer_key = 'department:lighting' AND field <> '' GROUP BY 1, 2, 3, 4")
 def layer_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compose.layer_opinions(edits(spark, sf_dir), "department:lighting")
 
 
-@query(EDITS_SQL + "SELECT scene_id, prim, field, time, arg_max(value, seq + CASE WHEN layer_key = 'department:fx' THEN 1000000000000 ELSE 0 END) AS value, 'default' AS layer_key FROM edits WHERE layer_key IN ('department:fx', 'default') AND field <> '' GROUP BY 1, 2, 3, 4")
+@query(EDITS_SQL + ALIVE + "SELECT scene_id, prim, field, time, arg_max(value, seq + CASE WHEN layer_key = 'department:fx' THEN 1000000000000 ELSE 0 END) AS value, 'default' AS layer_key FROM kept WHERE layer_key IN ('department:fx', 'default') AND field <> '' GROUP BY 1, 2, 3, 4")
 def merged_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compose.merged_into(edits(spark, sf_dir), "department:fx", "default")
 
@@ -238,7 +238,7 @@ def layer_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.stack_rows(layers(spark), edits(spark, sf_dir))
 
 
-@query(EDITS_SQL + COMPOSED + ", own AS (SELECT DISTINCT scene_id, prim, field FROM edits WHERE layer_key = 'department:animation' AND field <> '') SELECT c.scene_id, c.prim, c.field, c.time, c.value FROM composed c JOIN own USING (scene_id, prim, field)")
+@query(EDITS_SQL + COMPOSED + ", own AS (SELECT DISTINCT scene_id, prim, field FROM kept WHERE layer_key = 'department:animation' AND field <> '') SELECT c.scene_id, c.prim, c.field, c.time, c.value FROM composed c JOIN own USING (scene_id, prim, field)")
 def owned_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composed values of the fields that one layer has opinions on."""
     log = edits(spark, sf_dir)
