@@ -2,18 +2,22 @@
 
 Columns and SQL functions only. One pattern finds e-mail, IPv4 and IPv6 addresses, phone, card and social security
 numbers, IBANs, secrets and keys, and names after a title; cards and IBANs count only with right check digits. In a text
-with a titled name, later mentions of that person, family or given name without the title are found too. Each distinct
+with a titled name, other mentions of that person, family or given name without the title are found too. Each distinct
 entity, in a normal form that mentions of
 other spelling share, gets a surrogate from a keyed hash: of the same type, with the
-entity's format, script and, for names, gender. Family names have surrogates of their own, shared by all who
-bear them; given names are drawn by person, so that persons of one family stay distinct. Surrogates that two entities
+entity's format, script and, for names, gender. Surrogates that two entities
 share, that equal a real entity, or that were given before are drawn anew until all are distinct.
 
+A name is up to four words after the title, in capitals or not: initials, given names, particles such as "van der", and a family name; words may have hyphens, apostrophes
+and capitals inside, and a possessive 's stays behind the surrogate. The last word is the family name, with a surrogate of its own that all who bear it share.
+Given names are drawn by person, so that persons of one family stay distinct; initials alone are moved along the alphabet by a step of the family's. Particles, and initials beside
+given names, are left out. The gender of a title that tells none (Dr) is that of the same person's other titles in the whole table; a man and a woman of one name are two persons.
+
 A cheap test tells the texts that can hold a mention; only those meet the pattern. Texts with a mention are written once and
 shuffled once, all others pass through. A text is cut at its mentions and put together again, so nothing is replaced twice.
 
 Not found: names that no title introduces in their text, postal addresses, dates of birth, numbers without separators other than cards, and
-phone numbers of forms other than +country, (area) or 3-3-4 groups and 0-area groups.
+phone numbers of forms other than +country, (area) or 3-3-4 groups and 0-area groups. Two capitalised words after a name (Mr Smith Street) are taken as part of it.
 """
 
 from __future__ import annotations
@@ -48,7 +52,21 @@ _WORD = r"\p{L}\p{N}._%+-"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _HEX = "[0-9A-Fa-f]{1,4}"
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
-_NAME = r"\p{Lu}[\p{Ll}'-]+"
+_UPPER_TITLE = "|".join(sorted((t.upper() for ts in TITLES.values() for t in ts), key=len, reverse=True))
+#: Words inside names that are no name.
+PARTICLES = "von van der den de del della di da dos das du la le los las ten ter zu zum zur bin ibn al el y af av of".split()
+#: A word of a name goes on after a hyphen or an apostrophe, but not into a possessive 's.
+_JOINED = r"(?:-\p{L}+|['’](?![sS](?!\p{L}))\p{L}+)*"
+_PARTICLE = rf"(?:(?:{'|'.join(PARTICLES)}) )*"
+_INITIAL = r"(?:\p{Lu}\.)+"
+_NAME = rf"(?!(?:{_TITLE})(?!\p{{L}}))\p{{Lu}}\p{{L}}+{_JOINED}|\p{{Lu}}['’]\p{{L}}+{_JOINED}"
+_NAMES = rf"(?:(?:{_INITIAL}|{_NAME}) ?(?<=[. ]){_PARTICLE}){{0,3}}{_PARTICLE}(?:{_NAME})"
+_UPPER_NAME = r"\p{Lu}{2,}(?:[-'’]\p{Lu}+)*"
+_UPPER_NAMES = rf"(?:{_INITIAL} ?)*(?:\p{{Lu}}['’])?{_UPPER_NAME}(?: {_UPPER_NAME})?(?!\p{{L}})"
+_TITLED = rf"(?:{_TITLE})\.? {_NAMES}|(?:{_UPPER_TITLE})\.? {_UPPER_NAMES}"
+_ANY_TITLE = f"{_TITLE}|{_UPPER_TITLE}"
+#: Around a name without a title: no letter or hyphen, and an apostrophe only as a quote or before a possessive s.
+_BEFORE, _AFTER = r"(?<![\p{L}\p{N}-])(?<!\p{L}['’])", r"(?![\p{L}\p{N}-]|['’](?![sS](?!\p{L}))\p{L})"
 _IN, _OUT = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 IPV6 = rf"(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}"
 KEYS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z-]{20,}"
@@ -60,6 +78,7 @@ PATTERN = "|".join(
         rf"(?<![0-9A-Za-z:])(?:{IPV6})(?![0-9A-Za-z:])",
         r"\+[0-9]{1,3}[ -]?(?:\([0-9]{2,4}\)[ -]?)?[0-9]{2,4}(?:[ -]?[0-9]{2,4}){1,3}(?![0-9])",
         rf"(?<![0-9A-Za-z+-])(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[-. ])[0-9]{{3}}[-.][0-9]{{4}}{_OUT}",
+        rf"(?<![0-9A-Za-z+-])(?<![0-9] )[2-9][0-9]{{2}} [0-9]{{3}} [0-9]{{4}}{_OUT}(?! [0-9])",
         rf"(?<![0-9A-Za-z+./-])\(?0[0-9]{{2,4}}\)?[ /-][0-9]{{5,8}}{_OUT}",
         rf"(?<![0-9A-Za-z-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9A-Za-z-])",
         rf"{_IN}[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}{_OUT}",
@@ -68,7 +87,7 @@ PATTERN = "|".join(
         rf"{_IN}(?:{KEYS}){_OUT}",
         rf"{_IN}{IBAN}{_OUT}",
         rf"{_IN}(?=[0-9A-Fa-f]*[0-9])(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}}){_OUT}",
-        rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
+        rf"(?<!\p{{L}})(?:{_TITLED})",
     )
 )
 #: No text without a match of this has a match of PATTERN.
@@ -79,7 +98,7 @@ DIGITS = "0123456789"
 def may_mention(text: Column) -> Column:
     """False only for texts without a mention."""
     test = text.rlike(GATE)
-    for t in (t for ts in TITLES.values() for t in ts):
+    for t in sorted({x for ts in TITLES.values() for t in ts for x in (t, t.upper())}):
         test = test | text.contains(t)
     return F.coalesce(test, F.lit(False))
 
@@ -182,7 +201,8 @@ def surrogate(key: str, kind: Column, scope: Column, norm: Column, draw: Column)
     prefix = F.regexp_extract(norm, r"^(AKIA|gh[pousr]_|sk-)", 1)
     secret = F.when(prefix != "", F.concat(prefix, _spelled(F.substr(norm, F.length(prefix) + 1), s))).otherwise(F.substring(s, 1, 192).substr(F.lit(1), F.length(norm)))
     script = F.when(norm.rlike(r"\p{IsCyrillic}"), "cyrillic").when(norm.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    family = _family(s, script, F.when(draw > 8, 5).when(draw > 2, 4).otherwise(3))
+    syllables = F.when(draw > 8, 5).when(draw > 2, 4).otherwise(3)
+    family = F.when(norm.contains("-"), F.concat_ws("-", _family(s, script, syllables), _family(F.substr(s, F.lit(65)), script, F.lit(3)))).otherwise(_family(s, script, syllables))
     names = {(g, c): sum((GIVEN[h, c] for h in ("m", "f") if g in (h, "n")), ()) for g in ("m", "f", "n") for c in SYLLABLES}
     pick = lambda at: F.coalesce(*(F.when((F.substring(norm, 1, 1) == g) & (script == c), F.element_at(F.array(*map(F.lit, x)), (_number(s, at, 4) % len(x) + 1).cast("int"))) for (g, c), x in names.items()))
     given = F.concat(pick(9), F.when(draw > 4, F.concat(F.lit("-"), pick(13))).otherwise(""), F.when(draw > 12, F.concat(F.lit("-"), pick(17))).otherwise(""))
@@ -202,14 +222,16 @@ def assigned(entities: DataFrame, key: str) -> DataFrame:
     with scratch(entities.sparkSession):
         entities = written(entities.distinct(), "entities")
         same = ["kind", "scope"]
-        real = entities.select(*same, F.when(F.col("kind") == "given", F.substr("norm", F.lit(3))).otherwise(F.col("norm")).alias("replacement"))
+        told = F.lower("replacement").alias("told")  # whatever the case, two surrogates are equal
+        real = entities.select(*same, F.lower(F.when(F.col("kind") == "given", F.substr("norm", F.lit(3))).otherwise(F.col("norm"))).alias("told"))
         done, left = None, entities.withColumn("draw", F.lit(0))
         for _ in range(DRAWS):
             drawn = left.withColumn("replacement", surrogate(key, F.col("kind"), F.col("scope"), F.col("norm"), F.col("draw")))
-            drawn = written(drawn.withColumn("nth", F.row_number().over(Window.partitionBy(*same, "replacement").orderBy("norm"))), "drawn")
-            good = drawn.filter("nth = 1").join(real, [*same, "replacement"], "left_anti")
+            drawn = drawn.withColumn("told", told)
+            drawn = written(drawn.withColumn("nth", F.row_number().over(Window.partitionBy(*same, "told").orderBy("norm"))), "drawn")
+            good = drawn.filter("nth = 1").join(real, [*same, "told"], "left_anti")
             if done is not None:
-                good = good.join(done.select(*same, "replacement"), [*same, "replacement"], "left_anti")
+                good = good.join(done.select(*same, told), [*same, "told"], "left_anti")
             good = written(good.select(*same, "norm", "replacement"), "good")
             done = good if done is None else written(done.unionByName(good), "done")
             left = written(drawn.join(good, [*same, "norm"], "left_anti").select(*same, "norm", (F.col("draw") + 1).alias("draw")), "left")
@@ -218,23 +240,58 @@ def assigned(entities: DataFrame, key: str) -> DataFrame:
     raise RuntimeError(f"some entities found no surrogate of their own in {DRAWS} draws")
 
 
+def _words(name: Column) -> Column:
+    """The words of a name without its title, in lower case and without particles; initials that stand together are words of their own."""
+    plain = F.lower(F.regexp_replace(F.regexp_replace(name, "’", "'"), r"\.(?! )", ". "))
+    return F.filter(F.split(F.trim(plain), " +"), lambda w: ~w.isin(*PARTICLES))
+
+
 def _names(mentions: DataFrame) -> DataFrame:
-    """Adds given ("gender given", null without one), family and title to name mentions (row, pos, mention); bare ones take what the text's titled mentions tell."""
-    title = F.regexp_extract("mention", rf"^((?:{_TITLE})\.? )", 1)
-    gender = F.coalesce(*(F.when(F.regexp_extract("mention", rf"^(?:{'|'.join(sorted(TITLES[g], key=len, reverse=True))})\.? ", 0) != "", g) for g in ("m", "f")), F.lit("n"))
-    names = mentions.withColumn("title", title).withColumn("words", F.split(F.substr("mention", F.length("title") + 1), " "))
-    first, last = F.col("words")[0], F.element_at("words", -1)
-    names = names.withColumn("gender", F.when(F.col("title") != "", gender))
-    titled = names.filter("title != ''")
-    persons = titled.filter(F.size("words") == 2).groupBy("row", first.alias("g"), last.alias("f")).agg(F.min_by("gender", "pos").alias("sex"), F.min("pos").alias("at"))
-    families = titled.select("row", last.alias("f")).distinct().withColumn("is_family", F.lit(True))
-    by_given = persons.groupBy("row", "g").agg(F.min_by(F.struct("sex", "f"), "at").alias("who"))
-    whole = persons.select("row", "g", "f", "sex")
-    out = names.withColumns({"g": first, "f": last}).join(families, ["row", "f"], "left").join(whole, ["row", "g", "f"], "left").join(by_given, ["row", "g"], "left")
-    two, alone = F.size("words") == 2, (F.col("title") == "") & F.col("is_family").isNull() & F.col("who").isNotNull()
-    given = F.when(two, F.concat_ws(" ", F.coalesce("sex", "gender"), "g")).when(alone, F.concat_ws(" ", F.col("who.sex"), "g"))
-    family = F.when((F.size("words") == 1) & alone, F.col("who.f")).otherwise(F.col("f"))
-    return out.select("row", "pos", "mention", "title", given.alias("given"), family.alias("family"), ((F.size("words") == 1) & alone).alias("given_only"))
+    """Name mentions (row, pos, mention) with title, given ("gender given", null without one), family, initials and given_only; those without a title take what the text's titled mentions tell."""
+    title = F.regexp_extract("mention", rf"^((?:{_ANY_TITLE})\.? )", 1)
+    of = lambda g: "|".join(sorted((x for t in TITLES[g] for x in (t, t.upper())), key=len, reverse=True))
+    gender = F.coalesce(*(F.when(F.regexp_extract("mention", rf"^(?:{of(g)})\.? ", 0) != "", g) for g in ("m", "f")), F.lit("n"))
+    names = mentions.withColumn("title", title).withColumn("words", _words(F.substr("mention", F.length("title") + 1)))
+    front = F.slice("words", F.lit(1), F.size("words") - 1)
+    givens, initials = F.filter(front, lambda w: ~w.endswith(".")), F.filter(front, lambda w: w.endswith("."))
+    names = names.withColumns({"family": F.element_at("words", -1), "givens": givens, "g": F.when(F.size(givens) > 0, F.array_join(givens, " ")), "initials": F.when(F.size(givens) == 0, F.array_join(F.transform(initials, F.upper), " "))})
+    titled = names.filter("title != ''").withColumn("gender", gender)
+    persons = titled.filter("g is not null")
+    sexes = persons.groupBy("g", "family").agg(F.count_if(F.col("gender") == "m").alias("m"), F.count_if(F.col("gender") == "f").alias("f"))
+    sexes = sexes.select("g", "family", F.when((F.col("m") == 0) & (F.col("f") == 0), "n").when(F.col("m") >= F.col("f"), "m").otherwise("f").alias("usual"))
+    persons = persons.join(sexes, ["g", "family"]).withColumn("sex", F.when(F.col("gender") == "n", F.col("usual")).otherwise(F.col("gender")))
+    whole = persons.groupBy("row", "g", "family").agg(F.min_by("sex", "pos").alias("sex"))
+    families = titled.select("row", "family").distinct().withColumn("is_family", F.lit(True))
+    by_given = persons.select("row", "pos", "sex", "g", "family", F.explode("givens").alias("word")).groupBy("row", F.col("word").alias("family")).agg(F.min_by(F.struct("sex", "g", "family"), "pos").alias("who"))
+    own = persons.select("row", "pos", F.col("sex").alias("own_sex"))
+    out = names.join(own, ["row", "pos"], "left").join(whole, ["row", "g", "family"], "left").join(families, ["row", "family"], "left").join(by_given, ["row", "family"], "left")
+    given_only = (F.col("title") == "") & (F.size("words") == 1) & F.col("is_family").isNull() & F.col("who").isNotNull()
+    given = F.when(given_only, F.concat_ws(" ", "who.sex", "who.g")).when(F.col("g").isNotNull(), F.concat_ws(" ", F.coalesce("own_sex", "sex", F.lit("n")), "g"))
+    return out.select("row", "pos", "mention", "title", given.alias("given"), F.when(given_only, F.col("who.family")).otherwise(F.col("family")).alias("family"), "initials", given_only.alias("given_only"))
+
+
+#: The alphabets in which initials are moved.
+ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
+
+
+def _moved(initials: Column, key: str, family: Column) -> Column:
+    """Initials moved along their alphabet by one step for all of a family, so that different ones stay different; letters of no alphabet here become X."""
+    step = _number(_stream(key, F.lit("initials"), family), 1, 6)
+
+    def one(c: Column) -> Column:
+        at = [F.instr(F.lit(a), c) for a in ALPHABETS]
+        moved = [F.substr(F.lit(a + a), at[k] + 1 + (step % (len(a) - 1)).cast("int"), F.lit(1)) for k, a in enumerate(ALPHABETS)]
+        return F.when(c.isin(".", " "), c).when(at[0] > 0, moved[0]).when(at[1] > 0, moved[1]).when(at[2] > 0, moved[2]).otherwise(F.lit("X"))
+
+    return F.array_join(F.transform(F.split(initials, ""), one), "")
+
+
+def _heard(name: Column) -> Column:
+    """Patterns for later mentions of a name without its title: the name, its words and their parts, as written and capitalised; no initials or particles."""
+    parts = F.concat(F.array(name), F.split(name, " "), F.split(name, "[ -]"))
+    parts = F.filter(parts, lambda w: (F.length(w) > 1) & ~w.rlike(r"^\p{L}\.|^\p{L}$") & ~w.isin(*PARTICLES))
+    forms = F.array_union(parts, F.transform(F.filter(parts, lambda w: w == F.upper(w)), F.initcap))
+    return F.transform(forms, lambda w: F.replace(w, F.lit("."), F.lit("[.]")))
 
 
 def with_surrogates(documents: DataFrame, *, key: str) -> DataFrame:
@@ -252,10 +309,10 @@ def with_surrogates(documents: DataFrame, *, key: str) -> DataFrame:
     row, pattern, found = (fresh(plain, c) for c in ("row", "pattern", "found"))
     with scratch(documents.sparkSession):
         first = all_of(F.lit(PATTERN))
-        word = rf"^(?:{_TITLE})\.? "
-        heard = F.array_distinct(F.flatten(F.transform(F.filter(first, lambda m: m.rlike(word)), lambda m: F.array_union(F.array(F.regexp_replace(m, word, "")), F.split(F.regexp_replace(m, word, ""), " ")))))
+        word = rf"^(?:{_ANY_TITLE})\.? "
+        heard = F.array_distinct(F.flatten(F.transform(F.filter(first, lambda m: m.rlike(word)), lambda m: _heard(F.regexp_replace(m, word, "")))))
         longest = F.array_sort(heard, lambda a, b: F.length(b) - F.length(a))
-        bare = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}'-])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{N}'-])"))
+        bare = F.concat(F.lit(rf"{PATTERN}|{_BEFORE}(?:"), F.array_join(longest, "|"), F.lit(f"){_AFTER}"))
         hits = kept(plain.filter(touched).withColumn(row, F.xxhash64("doc_id", "text")).withColumn(pattern, F.when(F.size(heard) > 0, bare).otherwise(F.lit(PATTERN))).withColumn(found, all_of(F.col(pattern))), "spotted")
         mentions = hits.select(F.col(row).alias("row"), F.col(found).alias("found")).dropDuplicates(["row"]).select("row", F.posexplode("found").alias("pos", "mention")).withColumn("kind", type_of(F.col("mention")))
         mentions = written(mentions.filter("kind is not null").withColumn("norm", normal_form(F.col("kind"), F.col("mention"))), "mentions")
@@ -267,7 +324,10 @@ def with_surrogates(documents: DataFrame, *, key: str) -> DataFrame:
         others = mentions.filter("kind <> 'name'").join(side.filter("scope = ''"), ["kind", "norm"]).select("row", "pos", _rendered(F.col("kind"), F.col("mention"), F.col("replacement")).alias("new"))
         given = side.filter("kind = 'given'").select(F.col("scope").alias("family"), F.col("norm").alias("given"), F.col("replacement").alias("new_given"))
         family = side.filter("kind = 'family'").select(F.col("norm").alias("family"), F.col("replacement").alias("new_family"))
-        told = names.join(family, "family").join(given, ["family", "given"], "left").select("row", "pos", F.concat("title", F.when(F.col("given_only"), F.col("new_given")).otherwise(F.concat_ws(" ", "new_given", "new_family"))).alias("new"))
+        initials = F.when(F.col("initials") != "", _moved(F.col("initials"), key, F.col("family")))
+        shown = F.when(F.col("given_only"), F.col("new_given")).otherwise(F.concat_ws(" ", "new_given", initials, "new_family"))
+        name = F.substr("mention", F.length("title") + 1)
+        told = names.join(family, "family").join(given, ["family", "given"], "left").select("row", "pos", F.concat("title", F.when(name == F.upper(name), F.upper(shown)).otherwise(shown)).alias("new"))
         new = others.unionByName(told).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "new"))).alias("new"))
         new = kept(new, "new")
 
