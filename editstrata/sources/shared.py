@@ -31,11 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path."""
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written to the shared folder and read again."""
+    """`df`, written to the shared folder and read again. The table is deleted when the driver ends, if no scope deletes it before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/editstrata/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _file_system(spark, path).deleteOnExit(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
     if (tables := _open.get()) is not None:
         tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -59,7 +65,5 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _open.reset(before)
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path in tables:
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(conf).delete(folder, True)
+            _file_system(spark, path).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
