@@ -61,20 +61,21 @@ def raked(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]] =
     Values that a listed target lacks, "(none)" too, keep their present share, and the listed shares are scaled to the
     rest. Only values listed with 0, and cells without tokens, get weight 0. Where targets
     contradict each other the last round's weights stay, exact for the last dimension. A round sums the weights by each dimension's values and joins
-    the factors back, so cells are never brought into one task.
+    the factors back, so cells are never brought into one task. The joins are by sorted shuffles: a round's many small broadcasts
+    would each take a page of the driver's memory.
     """
     dims = list(targets)
     wanted = cells.filter("tokens > 0").select(*dims, "tokens")
     shares = {d: written(marginal(wanted, d, targets[d]).filter("_share > 0"), "marginal") for d in dims}
     now = wanted
     for d in dims:
-        now = now.join(shares[d].select(d), d, "left_semi")
+        now = now.join(shares[d].select(d).hint("merge"), d, "left_semi")
     now = written(now.withColumn("weight", F.col("tokens").cast("double")), "rake")
     for _ in range(rounds):
         off = []
         for d in dims:
-            factor = now.groupBy(d).agg(F.sum("weight").alias("_sum")).join(shares[d], d).select(d, (F.col("_share") / F.col("_sum")).alias(f"_f_{d}"))
-            now = now.join(factor, d).withColumn("weight", F.col("weight") * F.col(f"_f_{d}"))
+            factor = now.groupBy(d).agg(F.sum("weight").alias("_sum")).join(shares[d].hint("merge"), d).select(d, (F.col("_share") / F.col("_sum")).alias(f"_f_{d}"))
+            now = now.join(factor.hint("merge"), d).withColumn("weight", F.col("weight") * F.col(f"_f_{d}"))
             off.append(F.abs(F.col(f"_f_{d}") - 1))
         now = written(now.withColumn("_off", F.greatest(*off) if len(off) > 1 else off[0]).drop(*(f"_f_{d}" for d in dims)), "rake")
         if not (now.agg(F.max("_off")).first()[0] or 0) > error:
