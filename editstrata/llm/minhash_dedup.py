@@ -37,8 +37,8 @@ from ._text import exact_shingles, hashed_words, mix, shingle_hashes
 WIDTH, HALVES = 4, 15
 #: Shingle hashes kept of a class for the comparison in blocks.
 SKETCH = 512
-#: How far below the threshold the estimate of longer sets' similarity may lie for them to be confirmed: over five standard deviations. None: all are.
-SLACK = 0.1
+#: How far below the threshold the estimate of longer sets' similarity may lie for them to be confirmed. None: all are, so that no estimate loses a link.
+SLACK: float | None = None
 #: Classes in a block; a task holds two blocks.
 BLOCK = 512
 #: Rows with texts or sketches that are turned into Python objects at once.

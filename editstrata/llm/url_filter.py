@@ -209,7 +209,7 @@ def judged_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     both verdicts, nothing is learnt: scores are 0 and the verdict allow. Repeated rows
     get equal results; other columns are ignored; an empty table gives an empty result.
     """
-    rows = with_rule(pages.select("page_id", "url"), rules)
+    rows = with_rule(pages.select(F.col("page_id").cast("long").alias("page_id"), "url"), rules)
     fitted = fit(rows)
     held = sent(pages.sparkSession, fitted)
 
