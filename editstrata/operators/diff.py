@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import typed
 from ..functions.paths import ancestors, depth, lineage, parent
 from ..sources.shared import written
 from .running import with_rank
@@ -20,16 +21,16 @@ from .running import with_rank
 def state_diff(before: DataFrame, after: DataFrame, keys: list[str], values: list[str], same: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Rows of keys with change (create, change, remove), and old_ and new_ values; equal rows are left out.
 
-    Keys may be null: nulls are equal. `same` compares two values; without it nulls and arrays compare by content.
+    Keys may be null: nulls are equal. `same` compares two values; without it nulls, arrays and typed values compare by content.
     """
-    equal = same or (lambda a, b: a.eqNullSafe(b))
+    equal = lambda v: same or (typed.same if typed.is_typed(after.schema[v].dataType) else lambda a, b: a.eqNullSafe(b))
     a = before.select(*(F.col(k).alias(f"_a_{k}") for k in keys), *(F.col(v).alias(f"old_{v}") for v in values), F.lit(True).alias("_old"))
     b = after.select(*(F.col(k).alias(f"_b_{k}") for k in keys), *(F.col(v).alias(f"new_{v}") for v in values), F.lit(True).alias("_new"))
     both = a.join(b, [F.col(f"_a_{k}").eqNullSafe(F.col(f"_b_{k}")) for k in keys], "full")
     change = F.when(F.col("_old").isNull(), "create").when(F.col("_new").isNull(), "remove").otherwise("change")
     differs = F.lit(False)
     for v in values:
-        differs = differs | ~F.coalesce(equal(F.col(f"old_{v}"), F.col(f"new_{v}")), F.lit(False))
+        differs = differs | ~F.coalesce(equal(v)(F.col(f"old_{v}"), F.col(f"new_{v}")), F.lit(False))
     rows = both.withColumn("change", change).filter((F.col("change") != "change") | differs)
     return rows.select(*(F.coalesce(f"_a_{k}", f"_b_{k}").alias(k) for k in keys), "change", *(f"old_{v}" for v in values), *(f"new_{v}" for v in values))
 
@@ -38,7 +39,9 @@ def value_changes(states: DataFrame) -> DataFrame:
     """As state_diff, from both states side by side: the keys, old_value, new_value, was and is (whether a state has the key)."""
     was, is_ = F.coalesce("was", F.lit(False)), F.coalesce("is", F.lit(False))
     change = F.when(~was, "create").when(~is_, "remove").otherwise("change")
-    return states.withColumn("change", change).filter((was | is_) & ((F.col("change") != "change") | ~F.col("old_value").eqNullSafe(F.col("new_value")))).drop("was", "is")
+    old, new = F.col("old_value"), F.col("new_value")
+    equal = typed.same(old, new) if typed.is_typed(states.schema["new_value"].dataType) else old.eqNullSafe(new)
+    return states.withColumn("change", change).filter((was | is_) & ((F.col("change") != "change") | ~equal)).drop("was", "is")
 
 
 @dataclass(frozen=True)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import typed
 from ..functions.paths import is_prim_path
 from ..functions.scalars import finite, finite_vector
 from ..sources.edit_log import EDIT_SCHEMA
@@ -41,13 +42,34 @@ def _any(array: Column, test) -> Column:
     return F.coalesce(F.exists(array, test), F.lit(False))
 
 
-def rules(mode: str = "managed") -> list[tuple[str, Column]]:
-    """(name, fault) in order of precedence, over the columns of EDIT_SCHEMA and of `kinds`."""
+def _typed_faults() -> dict[str, Column]:
+    """Faults of typed values by kind of edit: what is no number or vector where one has to be, arrays of another width, names and ids of another type."""
+    value = lambda name: F.try_element_at("vals", F.lit(name))
+    wrong = lambda names, ok: F.greatest(*(F.coalesce(value(n).isNotNull() & ~ok(n), F.lit(False)) for n in names))
+    vectors = {"t": 3, "r": 4, "s": 3}
+    numbers = ("timeCodesPerSecond", "framesPerSecond", "startTimeCode", "endTimeCode", "metersPerUnit")
+    ids = ("proto_indices", "ids", "invisible_ids", "inactive_ids")
+    texts = lambda v: F.try_variant_get(v, "$", "array<string>").isNotNull() & ~F.coalesce(typed.kind_of(v).isin("numbers", "rows"), F.lit(False))
+    whole = lambda v: (typed.kind_of(v) == "numbers") & F.forall(typed.numbers(v), lambda x: x == F.floor(x))
+    empty = lambda v: F.coalesce(F.size(F.try_variant_get(v, "$", "array<variant>")) == 0, F.lit(False))
+    return {
+        "set_xform_trs": wrong(vectors, lambda n: typed.is_vector(value(n), vectors[n])),
+        "set_stage_metadata": wrong(numbers, lambda n: typed.finite(value(n)) & (typed.kind_of(value(n)) == "number")),
+        "set_point_instancer": wrong(INSTANCER_WIDTHS, lambda n: empty(value(n)) | typed.has_width(value(n), INSTANCER_WIDTHS[n]) & typed.finite(value(n))) | wrong(ids, lambda n: empty(value(n)) | whole(value(n))) | wrong(("prototypes",), lambda n: empty(value(n)) | texts(value(n))),
+    }
+
+
+def rules(mode: str = "managed", with_types: bool = False) -> list[tuple[str, Column]]:
+    """(name, fault) in order of precedence, over the columns of EDIT_SCHEMA and of `kinds`. with_types: vals holds typed values, else numbers."""
     names, values = F.map_keys("vals"), F.map_values("vals")
+    is_finite = typed.finite if with_types else finite
+    of_type = _typed_faults() if with_types else {}
+    wrong_type = lambda k: of_type.get(k, F.lit(False))
+    amount = typed.number if with_types else (lambda v: v)
     keys = F.coalesce(F.col("fields"), F.array().cast("array<string>"))
     supplied = F.coalesce(names, F.array().cast("array<string>"))
     off_fields = (F.size(F.array_except(keys, supplied)) > 0) | (F.size(F.array_except(supplied, keys)) > 0) | (F.size(F.array_distinct(keys)) != F.size(keys)) | (F.size(keys) == 0)
-    numbers = _any(values, lambda v: ~finite(v))
+    numbers = _any(values, lambda v: ~is_finite(v))
     arc = _any(F.col("arcs"), lambda a: ~F.coalesce(a["list_position"].isin(*POSITIONS), F.lit(False)) | ((F.coalesce(a["asset_path"], F.lit("")) == "") & (F.coalesce(a["prim_path"], F.lit("")) == "")) | ~finite(F.coalesce(a["layer_offset"], F.lit(0.0))) | ~finite(F.coalesce(a["layer_scale"], F.lit(1.0))))
     mixed = _any(F.col("arcs"), lambda a: a["list_position"] == "explicit") & _any(F.col("arcs"), lambda a: a["list_position"] != "explicit")
     interpolation = lambda i: ~F.coalesce(i.isin(*INTERPOLATIONS), F.lit(False))
@@ -62,7 +84,7 @@ def rules(mode: str = "managed") -> list[tuple[str, Column]]:
         ("bad_prim", ~is_prim_path(F.col("prim")) & ~(_is("replace_sdf_layer_content", "set_sublayers", "set_stage_metadata") & (F.col("prim") == "/"))),
         ("bad_time", _bad_time()),
         ("bad_schema", _is("ensure_prim") & (_missing("type_name") | _any(F.col("api_schemas"), lambda a: ~a.rlike(NAMED)))),
-        ("bad_transform", _is("set_xform_trs") & (off_fields | (F.size(F.array_except(keys, F.array(*map(F.lit, "trs")))) > 0) | numbers)),
+        ("bad_transform", _is("set_xform_trs") & (off_fields | (F.size(F.array_except(keys, F.array(*map(F.lit, "trs")))) > 0) | numbers | wrong_type("set_xform_trs"))),
         ("missing_flag", _is("deactivate_prim", "set_visibility", "set_instanceable") & _missing("flag")),
         ("bad_name", _is("rename_prim") & ~F.coalesce(F.col("new_name").rlike(IDENTIFIER), F.lit(False))),
         ("bad_attributes", _is("set_gprim_attrs") & ((F.size(supplied) == 0) | _any(names, lambda n: ~n.rlike(NAMED)) | numbers | bad_meta)),
@@ -71,8 +93,8 @@ def rules(mode: str = "managed") -> list[tuple[str, Column]]:
         ("bad_binding", _is("set_material_binding") & (~F.coalesce(F.col("material_purpose").isin("", "full", "preview"), F.lit(True)) | ((F.coalesce(F.col("material_path"), F.lit("")) != "") & ~is_prim_path(F.col("material_path"))))),
         ("bad_inputs", _is("set_connectable_input") & (_any(keys, lambda f: ~F.array_contains(supplied, f)) | _any(names, lambda n: ~n.rlike(NAMED)) | numbers | _any(F.map_keys("input_types"), lambda n: ~F.array_contains(supplied, n)))),
         ("bad_connections", _is("set_connectable_connection") & (_any(F.map_keys("connections"), qualified) | _any(F.col("disconnections"), qualified) | (F.coalesce(F.size("connections"), F.lit(0)) + F.coalesce(F.size("disconnections"), F.lit(0)) <= 0))),
-        ("bad_metadata", _is("set_stage_metadata") & (((F.size(supplied) == 0) & _missing("up_axis")) | numbers | ~F.coalesce(F.col("up_axis").isin(*UP_AXES), F.lit(True)) | _any(F.map_entries("vals"), lambda e: e["key"].isin("timeCodesPerSecond", "framesPerSecond", "metersPerUnit") & (e["value"] <= 0)))),
-        ("bad_instancer", _is("set_point_instancer") & (off_fields | (F.col("time").isNotNull() & (F.size(F.array_intersect(keys, F.array(*map(F.lit, UNTIMED)))) > 0)))),
+        ("bad_metadata", _is("set_stage_metadata") & (((F.size(supplied) == 0) & _missing("up_axis")) | numbers | ~F.coalesce(F.col("up_axis").isin(*UP_AXES), F.lit(True)) | _any(F.map_entries("vals"), lambda e: e["key"].isin("timeCodesPerSecond", "framesPerSecond", "metersPerUnit") & (amount(e["value"]) <= 0)) | wrong_type("set_stage_metadata"))),
+        ("bad_instancer", _is("set_point_instancer") & (off_fields | wrong_type("set_point_instancer") | (F.col("time").isNotNull() & (F.size(F.array_intersect(keys, F.array(*map(F.lit, UNTIMED)))) > 0)))),
         ("bad_erase", _is("erase_time_samples") & (~F.coalesce(F.col("spec_path").startswith(F.concat("prim", F.lit("."))), F.lit(False)) | (F.coalesce(F.size("times"), F.lit(0)) <= 0) | _any(F.col("times"), lambda t: ~finite(t)))),
         ("bad_spec", _is("set_sdf_spec_fields") & (~F.coalesce(F.col("spec_kind").isin(*SPEC_KINDS), F.lit(False)) | (F.coalesce(F.col("spec_path"), F.lit("")) == "") | _missing("removed") | (F.col("removed") & (F.size(keys) > 0)))),
         ("bad_replacement", _is("replace_sdf_layer_content") & (F.col("prim") != "/")),
@@ -85,7 +107,7 @@ def violations(log: DataFrame, mode: str = "managed") -> DataFrame:
     absent = {f.name: F.lit(None).cast(f.dataType) for f in log.sparkSession.createDataFrame([], EDIT_SCHEMA).schema if f.name not in log.columns}
     rows = log.withColumns(absent).join(F.broadcast(kinds(log.sparkSession)), "k", "left")
     first = None
-    for name, fault in rules(mode):
+    for name, fault in rules(mode, typed.is_typed(rows.schema["vals"].dataType)):
         hit = F.coalesce(fault, F.lit(False))
         first = F.when(hit, name) if first is None else first.when(hit, name)
     return rows.withColumn("rule", first).filter("rule is not null").select("scene_id", "seq", "client_id", "session_id", "txn_id", "rule")

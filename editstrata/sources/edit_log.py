@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType, VariantType
 
 #: An edit as it is read from JSON lines; kinds fill what they need.
 EDIT_SCHEMA = """scene_id string, seq long, client_id string, session_id string, txn_id long, origin string, layer_key string, k string,
-prim string, time double, spec_path string, spec_kind string, fragment string, material_purpose string, material_path string, fields array<string>, vals map<string, double>,
+prim string, time double, spec_path string, spec_kind string, fragment string, material_purpose string, material_path string, fields array<string>, vals map<string, variant>,
 api_schemas array<string>, type_name string, new_name string, flag boolean, selections map<string, string>,
 arcs array<struct<asset_path: string, prim_path: string, list_position: string, layer_offset: double, layer_scale: double>>,
 connections map<string, struct<prim: string, attr: string>>, disconnections array<string>, info_id string, input_types map<string, string>,
 primvar_meta map<string, struct<type_name: string, interpolation: string>>, attr_interp map<string, string>, times array<double>, removed boolean,
-up_axis string, generation string, revision long, sublayers array<struct<authored_path: string, offset: double, scale: double, layer_key: string>>, n_bytes int, ts timestamp"""
+up_axis string, generation string, revision long, sublayers array<struct<authored_path: string, offset: double, scale: double, layer_key: string>>, n_bytes int, ts timestamp, rescued string"""
 
 #: The layers of the derived log, strongest first: key, rank, muted.
 LAYERS = (("department:animation", 1, False), ("department:lighting", 2, False), ("department:fx", 3, True), ("default", 4, False))
@@ -50,9 +51,56 @@ def layers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LAYERS, "layer_key string, rank int, muted boolean")
 
 
+# Names of fields in edits as JSON, where a column or a value of vals has another name.
+ALIASES = {"type_name": ("typeName",), "up_axis": ("upAxis",), "flag": ("active", "visible", "instanceable"), "arcs": ("refs", "payloads")}
+VALUE_MAPS = ("vals", "attrs", "inputs")
+VALUE_FIELDS = (
+    "t", "r", "s", "prototypes", "proto_indices", "positions", "orientations", "scales", "velocities", "accelerations", "angular_velocities", "ids", "invisible_ids", "inactive_ids",
+    "timeCodesPerSecond", "framesPerSecond", "startTimeCode", "endTimeCode", "metersPerUnit",
+)
+
+
+def _raw_schema() -> StructType:
+    """What an edit's JSON may hold: the columns, their other names, and the values that are fields of their own."""
+    own = StructType.fromDDL(EDIT_SCHEMA)
+    link = StructType.fromDDL("c map<string, struct<prim: string, attr: string, source_prim: string, source_attr: string>>")["c"].dataType
+    types = {f.name: link if f.name == "connections" else f.dataType for f in own if f.name not in ("vals", "rescued")}
+    more = {other: types[c] for c, others in ALIASES.items() for other in others} | dict.fromkeys(VALUE_MAPS, own["vals"].dataType) | dict.fromkeys(VALUE_FIELDS, VariantType())
+    return StructType([StructField(n, t) for n, t in (types | more | {"_bad": StringType()}).items()])
+
+
+def parsed_edits(lines: DataFrame) -> DataFrame:
+    """Edits in the columns of EDIT_SCHEMA from `lines` (value: one JSON object), a table or a stream.
+
+    Values keep their types in vals, whether they come there, in attrs or inputs, or as fields of their own (t, positions, metersPerUnit and the like);
+    a connection's source_prim and source_attr are its prim and attr. What no column can take is not lost: rescued holds the fields that are not known as JSON, or the
+    whole line where a value has another type than its column or the line is no object; it is null where all was taken. Empty lines are skipped.
+    """
+    every = StructType.fromDDL(EDIT_SCHEMA).names
+    names = [n for n in every if n not in ("vals", "rescued")]
+    raw = _raw_schema()
+    text, none = F.col("value"), F.create_map().cast("map<string,variant>")
+    rows = lines.filter(F.trim(text) != "").select(text.alias("_line"), F.from_json(text, raw, {"columnNameOfCorruptRecord": "_bad"}).alias("_e"), F.json_object_keys(text).alias("_keys"))
+    field = lambda n: F.col(f"_e.{n}")
+    own = F.array_compact(F.array(*(F.when(field(n).isNotNull(), F.struct(F.lit(n).alias("key"), field(n).alias("value"))) for n in VALUE_FIELDS)))
+    rows = rows.withColumn("_entries", F.concat(*(F.map_entries(F.coalesce(field(m), none)) for m in VALUE_MAPS), own))
+    later = F.filter("_entries", lambda e, i: ~F.exists(F.slice("_entries", i + 2, F.size("_entries")), lambda x: x["key"] == e["key"]))
+    given = F.greatest(*(field(m).isNotNull() for m in VALUE_MAPS), F.size("_entries") > 0)
+    rows = rows.withColumn("vals", F.when(given, F.map_from_entries(later)))
+    unknown = F.array_except("_keys", F.array(*map(F.lit, raw.names)))
+    rest = F.map_filter(F.from_json("_line", "map<string,variant>"), lambda k, _: F.array_contains("_unknown", k))
+    rows = rows.withColumn("_unknown", unknown)
+    rescued = F.when(F.col("_keys").isNull() | field("_bad").isNotNull(), F.col("_line")).when(F.size("_unknown") > 0, F.to_json(rest))
+    columns = {n: F.coalesce(field(n), *(field(other) for other in ALIASES.get(n, ()))) for n in names}
+    columns["connections"] = F.transform_values(field("connections"), lambda _, c: F.struct(F.coalesce(c["prim"], c["source_prim"]).alias("prim"), F.coalesce(c["attr"], c["source_attr"]).alias("attr")))
+    columns["fields"] = F.coalesce(columns["fields"], F.map_keys("vals"))
+    columns |= {"vals": F.col("vals"), "rescued": rescued}
+    return rows.select(*(columns[n].alias(n) for n in every))
+
+
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Edits from JSON lines, one object a line; fields that an object lacks are null."""
-    return spark.read.schema(EDIT_SCHEMA).json(path)
+    """Edits from JSON lines, one object a line; fields that an object lacks are null, what no column takes is in rescued."""
+    return parsed_edits(spark.read.text(path))
 
 
 def stack_samples(spark: SparkSession, path: str) -> DataFrame:

@@ -11,13 +11,13 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import compose, diff, sequence
 from ..operators.running import with_rank
 from ..operators.validate import violations
-from ..sources.edit_log import EDIT_SCHEMA
+from ..sources.edit_log import parsed_edits
 from ..sources.log_store import LogStore
 
 
 def json_feed(spark: SparkSession, path: str, *, files_per_trigger: int = 100) -> DataFrame:
     """Edits from JSON lines as they arrive; the number of files bounds a micro-batch."""
-    return spark.readStream.schema(EDIT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(path)
+    return parsed_edits(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path))
 
 
 def parquet_feed(spark: SparkSession, path: str, schema: str, *, files_per_trigger: int = 100) -> DataFrame:
