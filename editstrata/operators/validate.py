@@ -45,7 +45,7 @@ def _any(array: Column, test) -> Column:
 def _typed_faults() -> dict[str, Column]:
     """Faults of typed values by kind of edit: what is no number or vector where one has to be, arrays of another width, names and ids of another type."""
     value = lambda name: F.try_element_at("vals", F.lit(name))
-    wrong = lambda names, ok: F.greatest(*(F.coalesce(value(n).isNotNull() & ~ok(n), F.lit(False)) for n in names))
+    wrong = lambda names, ok: F.greatest(F.lit(False), *(F.coalesce(value(n).isNotNull() & ~ok(n), F.lit(False)) for n in names))
     vectors = {"t": 3, "r": 4, "s": 3}
     numbers = ("timeCodesPerSecond", "framesPerSecond", "startTimeCode", "endTimeCode", "metersPerUnit")
     ids = ("proto_indices", "ids", "invisible_ids", "inactive_ids")

@@ -60,12 +60,12 @@ def typed_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEPT = ", kept AS (SELECT * FROM log e WHERE NOT EXISTS (SELECT 1 FROM log x WHERE x.k = 'delete_prim' AND x.scene_id = e.scene_id AND x.layer_key = e.layer_key AND x.seq > e.seq AND (x.prim = e.prim OR starts_with(e.prim, x.prim || '/'))))"
 
 
-@query(TYPED_SQL + _KEPT + ", heads AS (SELECT scene_id, layer_key, k, CASE WHEN k = 'set_stage_metadata' THEN prim ELSE prim END AS prim, CASE WHEN k = 'ensure_prim' THEN min(seq) ELSE max(seq) END AS seq FROM kept WHERE (seq - 1) % 13 <> 0 GROUP BY ALL), v AS (SELECT scene_id, layer_key, k, prim, field, arg_max(text, seq) AS text FROM vals JOIN (SELECT seq FROM kept) USING (seq) WHERE (seq - 1) % 13 <> 0 GROUP BY ALL) SELECT h.*, v.field, v.text FROM heads h LEFT JOIN v USING (scene_id, layer_key, k, prim)")
+@query(TYPED_SQL + _KEPT + ", heads AS (SELECT scene_id, layer_key, k, prim, CASE WHEN k = 'ensure_prim' THEN min(seq) ELSE max(seq) END AS seq FROM kept WHERE (seq - 1) % 13 <> 0 AND k <> 'set_stage_metadata' GROUP BY 1, 2, 3, 4), v AS (SELECT scene_id, layer_key, k, prim, field, arg_max(text, seq) AS text FROM vals JOIN (SELECT seq FROM kept) USING (seq) WHERE (seq - 1) % 13 <> 0 GROUP BY ALL) SELECT h.*, v.field, v.text FROM heads h LEFT JOIN v USING (scene_id, layer_key, k, prim)")
 def typed_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compaction of typed values: of a name the last value stays, whatever its type."""
     log = typed_log(spark, sf_dir)
     dead = log.filter("k = 'delete_prim'").unionByName(log.filter("coalesce(k, '') <> 'delete_prim' and (seq - 1) % 13 <> 0"))
-    rows = reduce.compacted(written(dead, "typed")).filter("k <> 'delete_prim' or (seq - 1) % 13 <> 0")
+    rows = reduce.compacted(written(dead, "typed")).filter("k <> 'set_stage_metadata' and (k <> 'delete_prim' or (seq - 1) % 13 <> 0)")
     return rows.select("scene_id", "layer_key", "k", "prim", "seq", F.explode_outer("vals").alias("field", "value")).withColumn("text", typed.canonical(F.col("value"))).drop("value")
 
 
@@ -85,7 +85,7 @@ def typed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.select("scene_id", "prim", "field", "change", *(typed.canonical(F.col(f"{x}_value")).alias(f"{x}_text") for x in ("old", "new")))
 
 
-@query(TYPED_SQL + ", f AS (SELECT seq, CASE WHEN k = 'set_xform_trs' AND ((seq - 1) % 10 = 0 OR line->'r'->>0 = '0') THEN 'bad_transform' WHEN k = 'set_stage_metadata' AND json_type(line, '$.metersPerUnit') = 'VARCHAR' THEN 'bad_metadata' WHEN k = 'set_point_instancer' AND ((seq - 1) % 6 = 0 OR (seq - 1) % 5 = 0) THEN 'bad_instancer' END AS rule FROM log WHERE (seq - 1) % 13 <> 0) SELECT * FROM f WHERE rule IS NOT NULL")
+@query(TYPED_SQL + ", f AS (SELECT seq, CASE WHEN k = 'set_xform_trs' AND ((seq - 1) % 10 = 0 OR json_extract_string(line, '$.r[0]') = '0') THEN 'bad_transform' WHEN k = 'set_stage_metadata' AND json_type(line, '$.metersPerUnit') = 'VARCHAR' THEN 'bad_metadata' WHEN k = 'set_point_instancer' AND ((seq - 1) % 6 = 0 OR (seq - 1) % 5 = 0) THEN 'bad_instancer' END AS rule FROM log WHERE (seq - 1) % 13 <> 0) SELECT * FROM f WHERE rule IS NOT NULL")
 def typed_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of another length or without a direction, texts in place of numbers, arrays of another width or type."""
     return validate.violations(typed_log(spark, sf_dir).filter("(seq - 1) % 13 <> 0")).select("seq", "rule")
