@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _loaded() -> None:
-    from . import change_queries, full_queries, graph_queries, log_queries, order_queries, report_queries, typed_queries, upkeep_queries, value_queries  # noqa: F401
+    from . import change_queries, full_queries, graph_queries, log_queries, order_queries, report_queries, space_queries, typed_queries, upkeep_queries, value_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
