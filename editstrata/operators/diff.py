@@ -227,31 +227,6 @@ def snapshot_events(values: DataFrame, prims: DataFrame) -> DataFrame:
     return with_rank(made.unionByName(told), ["scene_id"], order, "nth")
 
 
-def namespace(log: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """scene_id, prim, type_name and seq of the prims that the edits of a log leave: made, deleted and renamed with their subtrees.
-
-    Each creation is followed through the later deletions and renames at or above its path, one a round; of what ends at one path the
-    creation of the greatest seq counts. A renamed prim that no edit made is an Xform.
-    """
-    moves = log.filter("k in ('delete_prim', 'rename_prim')").select("scene_id", F.col("prim").alias("_old"), F.col("seq").alias("_at"), "new_name")
-    made = log.filter("k = 'ensure_prim'").select("scene_id", "seq", "prim", F.coalesce("type_name", F.lit("")).alias("type_name"), F.lit(1).alias("real"))
-    roots = log.filter("k = 'rename_prim'").select("scene_id", "seq", F.concat(F.regexp_replace("prim", "[^/]+$", ""), "new_name").alias("prim"), F.lit("Xform").alias("type_name"), F.lit(0).alias("real"))
-    now = written(made.unionByName(roots).withColumns({"path": F.col("prim"), "_seq": F.col("seq")}), "made")
-    for _ in range(most_rounds):
-        spread = now.select("scene_id", "seq", "real", "_seq", F.explode(lineage(F.col("path"))).alias("_old")).join(moves, ["scene_id", "_old"]).filter("_at > _seq")
-        step = written(spread.groupBy("scene_id", "seq", "real").agg(F.min(F.struct("_at", "_old", "new_name")).alias("m")), "moves")
-        if step.isEmpty():
-            break
-        moved = now.join(step, ["scene_id", "seq", "real"], "left")
-        tail = F.col("path").substr(F.length("m._old") + 1, F.length("path"))
-        after = F.when(F.col("m").isNull(), F.col("path")).when(F.col("m.new_name").isNotNull(), F.concat(F.regexp_replace("m._old", "[^/]+$", ""), "m.new_name", tail))
-        now = written(moved.withColumn("path", after).withColumn("_seq", F.coalesce("m._at", "_seq")).drop("m").filter("path is not null"), "moved")
-    else:
-        raise RuntimeError(f"prims were still moved after {most_rounds} rounds")
-    last = F.struct("real", "_seq", "seq")  # what an edit made counts before what a rename alone tells
-    return now.groupBy("scene_id", F.col("path").alias("prim")).agg(F.max_by("type_name", last).alias("type_name"), F.max_by("seq", last).alias("seq"))
-
-
 def connectable_changes(before: DataFrame, after: DataFrame, shaders_before: DataFrame, shaders_after: DataFrame) -> DataFrame:
     """Changed inputs (scene_id, prim, time, input, value); of a shader whose info_id changed, all it has now. `shaders_*`: scene_id, prim, info_id."""
     keys = ["scene_id", "prim", "time", "input"]

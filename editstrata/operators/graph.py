@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from .renames import moved
 from .reduce import alive
 
 
@@ -223,22 +224,7 @@ def token_outcomes(attempts: DataFrame, registry: DataFrame) -> DataFrame:
     return first.withColumn("outcome", F.when(new, "registered").when(F.col("token") == own, "accepted").otherwise("rejected")).drop("_t", "token")
 
 
-def renamed_paths(paths: DataFrame, renames: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """Paths (scene_id, prim) with path, what they are after renames (scene_id, seq, old, new): a rename moves its subtree; they apply in order of seq.
-
-    Each round applies the next rename at or above every path, so there are as many rounds as one path has renames.
-    """
-    from ..functions.paths import lineage
-
-    now = paths.withColumn("path", F.col("prim")).withColumn("_seq", F.lit(-1).cast("long"))
-    later = renames.withColumnRenamed("seq", "_at")
-    for _ in range(most_rounds):
-        spread = now.withColumn("old", F.explode(lineage(F.col("path")))).join(later, ["scene_id", "old"]).filter("_at > _seq")
-        step = spread.groupBy("scene_id", "prim").agg(F.min(F.struct("_at", "old", "new")).alias("r"))
-        step = written(step, "step")
-        if step.isEmpty():
-            return now.drop("_seq")
-        moved = now.join(step, ["scene_id", "prim"], "left")
-        after = F.concat(F.col("r.new"), F.col("path").substr(F.length(F.col("r.old")) + 1, F.length("path")))
-        now = written(moved.select(*paths.columns, F.coalesce(after, F.col("path")).alias("path"), F.coalesce("r._at", "_seq").alias("_seq")), "moved")
-    raise RuntimeError(f"paths were still renamed after {most_rounds} rounds")
+def renamed_paths(paths: DataFrame, renames: DataFrame) -> DataFrame:
+    """Paths (scene_id, prim) with path, what they are after renames (scene_id, seq, old, new): a rename moves its subtree; they apply in order of seq."""
+    moves = renames.select("scene_id", "seq", F.col("old").alias("source"), F.col("new").alias("target"))
+    return moved(paths.withColumns({"path": F.col("prim"), "seq": F.lit(-1).cast("long")}), moves).select(*paths.columns, "path")

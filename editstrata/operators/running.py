@@ -17,12 +17,17 @@ def _parts(df: DataFrame) -> int:
 
 
 def in_parts(df: DataFrame, by: str, part: str = "_part") -> DataFrame:
-    """Adds the number of the row's part: the range of `by` (whole numbers) in equal widths, as many as there are shuffle partitions."""
-    ends = df.agg(F.min(by).alias("lo"), F.max(by).alias("hi")).first()
-    if ends["lo"] is None:
-        return df.withColumn(part, F.lit(0).cast("long"))
-    width = -(-(ends["hi"] - ends["lo"] + 1) // _parts(df))
-    return df.withColumn(part, F.floor((F.col(by) - ends["lo"]) / width))
+    """Adds the number of the row's part: ranges of `by` with about equally many rows, as many as there are shuffle partitions. The bounds are quantiles of all rows, to a quarter of a part."""
+    n = _parts(df)
+    bounds = sorted({x for x in df.select(F.col(by).cast("double").alias(by)).approxQuantile(by, [k / n for k in range(1, n)], 1 / (4 * n))}) if n > 1 else []
+
+    def place(lo: int, hi: int) -> Column:  # how many of bounds[lo:hi] the row is above, by halves
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(by) > bounds[mid], place(mid + 1, hi)).otherwise(place(lo, mid))
+
+    return df.withColumn(part, place(0, len(bounds)).cast("long"))
 
 
 def _offsets(totals: DataFrame, key: list[str], names: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import math3d, paths, scalars
-from ..operators import compose, diff, graph, inspect, scans, validate
+from ..operators import compose, diff, graph, inspect, renames, scans, validate
 from ..sources.edit_log import EDITS_SQL, edits, layers
 from .full_log import FULL_SQL, flat, full_edits
 from .full_queries import LIVING
@@ -108,10 +108,29 @@ def snapshot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.snapshot_events(values, prims).withColumn("nth", F.col("nth").cast("long"))
 
 
-@query()
+#: Each prim through the moves after it, one after another; of what ends at one path the last that came there.
+NAMESPACE_SQL = FULL_SQL + """, moves AS (SELECT scene_id, seq, prim AS source, CASE WHEN k = 'rename_prim' THEN regexp_replace(prim, '[^/]+$', '') || new_name END AS target FROM full_log WHERE k IN ('delete_prim', 'rename_prim')),
+made AS (SELECT scene_id, seq, prim AS path, coalesce(type_name, '') AS type_name, 1 AS real FROM full_log WHERE k = 'ensure_prim' UNION ALL SELECT scene_id, seq, target, 'Xform', 0 FROM moves WHERE target IS NOT NULL),
+walk AS (SELECT *, seq AS at FROM made UNION ALL SELECT w.scene_id, w.seq, m.target || substr(w.path, length(m.source) + 1), w.type_name, w.real, m.seq FROM walk w JOIN moves m ON m.scene_id = w.scene_id AND m.seq > w.at AND (w.path = m.source OR starts_with(w.path, m.source || '/'))
+  WHERE w.path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM moves x WHERE x.scene_id = w.scene_id AND x.seq > w.at AND x.seq < m.seq AND (w.path = x.source OR starts_with(w.path, x.source || '/')))),
+ends AS (SELECT scene_id, seq, real, arg_max({'p': path}, at).p AS path, any_value(type_name) AS type_name, max(at) AS at FROM walk GROUP BY 1, 2, 3)
+SELECT scene_id, path AS prim, arg_max(type_name, (at, real, seq)) AS type_name FROM ends WHERE path IS NOT NULL GROUP BY 1, 2"""
+NAMESPACE_SQL = NAMESPACE_SQL.replace("WITH o0", "WITH RECURSIVE o0", 1)
+
+
+@query(NAMESPACE_SQL)
 def namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prims that the log of all kinds leaves, renames followed; compared with a fold over the edits in the tests."""
-    return diff.namespace(full_edits(spark, sf_dir)).select("scene_id", "prim", "type_name")
+    """The prims that the log of all kinds leaves, renames followed."""
+    return renames.namespace(full_edits(spark, sf_dir)).select("scene_id", "prim", "type_name")
+
+
+@query(NAMESPACE_SQL)
+def namespace_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, the log given in two parts: the second starts from what the first has left."""
+    log = full_edits(spark, sf_dir)
+    middle = log.agg(F.expr("max(seq) div 2")).first()[0]
+    first = renames.namespace(log.filter(F.col("seq") <= middle))
+    return renames.namespace(log.filter(F.col("seq") > middle), first).select("scene_id", "prim", "type_name")
 
 
 @query(FULL_SQL + ", l AS (SELECT DISTINCT layer_key, layer_key = 'department:fx' AS muted FROM full_log) SELECT false AS admissible, CASE WHEN (SELECT count(*) FROM l WHERE layer_key <> 'default') > 0 THEN 'departments need layered replay' ELSE '' END AS reason")

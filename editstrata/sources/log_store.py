@@ -1,21 +1,25 @@
 """A versioned store of the log: batches that are appended whole or not at all, and atomic replacement.
 
-A store is a folder with `versions/V/NAME/{records,progress,identities}` and `manifest`, a table with one row
-for each committed batch. Readers join on the manifest, so a batch that was written but not committed does not exist.
+A store is a folder with `batches` and `versions`, which hold `records`, `progress` and `identities`, and `manifest`, one file
+for each commit, numbered without gaps. Readers go by the manifest, so a batch that was written but not committed does not exist. A commit creates the file of the
+next number and never overwrites one: of two writers that both saw the same state one fails to create it, and appends again after what came between, or, replacing, gives up.
 A batch is known by its stream and its number in it, whatever was replaced since, so retries of `foreachBatch` change nothing; a
-replacement has neither. All files are read and written by Spark, wherever the store lies.
+replacement has neither. A stream belongs to the query that committed to it first: another one under the same name is an error. All records are read and written by Spark, wherever the store lies.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MANIFEST = "version long, stream string, batch long, epoch long, head long, n long, base string, at timestamp"
+MANIFEST = "version long, stream string, query string, batch long, epoch long, head long, n long, base string, at timestamp"
 
 
 @dataclass(frozen=True)
@@ -32,51 +36,83 @@ class StaleToken(RuntimeError):
     """The log was replaced since the token was read."""
 
 
+class OtherQuery(RuntimeError):
+    """The stream's name belongs to another query."""
+
+
 class LogStore:
-    """The store at a path. One writer at a time, as the streaming query that owns it; any number of readers."""
+    """The store at a path, for any number of writers and readers."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _files(self):
+        """The manifest's folder and its file system."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def manifest(self) -> DataFrame:
         """Committed batches; empty for a new store."""
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
-        if not folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        folder, files = self._files()
+        if not files.exists(folder):
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
+        return self.spark.read.schema(MANIFEST).json(f"{self.path}/manifest")
+
+    def _seen(self) -> tuple[Token, int]:
+        """The newest version's token and the number of all commits, from one reading."""
+        rows = self.manifest().groupBy("version").agg(F.max("epoch").alias("epoch"), F.max("head").alias("head"), F.count("*").alias("commits")).orderBy("version").collect()
+        if not rows:
+            return Token(0, 0, 0), 0
+        last = rows[-1]
+        return Token(last["version"], last["epoch"], last["head"], last["commits"]), sum(r["commits"] for r in rows)
 
     def token(self) -> Token:
         """Of the newest version; zeros for a new store."""
-        row = self.manifest().groupBy("version").agg(F.max("epoch").alias("epoch"), F.max("head").alias("head"), F.count("*").alias("commits")).orderBy(F.desc("version")).first()
-        return Token(row["version"], row["epoch"], row["head"], row["commits"]) if row else Token(0, 0, 0)
+        return self._seen()[0]
 
-    def _commit(self, token: Token, stream: str | None, batch: int | None, epoch: int, base: str) -> None:
-        """Adds the row of a batch that is written at `base`."""
+    def _commit(self, number: int, token: Token, stream: str | None, query: str | None, batch: int | None, epoch: int, base: str) -> bool:
+        """Adds the commit of that number for what is written at `base`; False if another writer has made it."""
         at = self.spark.read.parquet(f"{base}/records").agg(F.max("seq").alias("head"), F.count("*").alias("n")).first()
-        row = self.spark.createDataFrame([(token.version, stream, batch, epoch, max(token.head, at["head"] or 0), at["n"], base)], MANIFEST.rsplit(",", 1)[0]).withColumn("at", F.current_timestamp())
-        row.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        row = {"version": token.version, "stream": stream, "query": query, "batch": batch, "epoch": epoch, "head": max(token.head, at["head"] or 0), "n": at["n"], "base": base, "at": datetime.now(UTC).isoformat()}
+        folder, files = self._files()
+        jvm = self.spark.sparkContext._jvm
+        try:
+            out = files.create(jvm.org.apache.hadoop.fs.Path(folder, f"{number:012d}.json"), False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        out.write((json.dumps(row) + "\n").encode())
+        out.close()
+        return True
 
     def committed(self, batch: int, stream: str = "") -> bool:
         """Whether the stream's batch was committed, in this version or one that was replaced since."""
         return not self.manifest().filter((F.col("stream") == stream) & (F.col("batch") == batch)).isEmpty()
 
-    def append(self, batch: int, records: DataFrame, *, stream: str = "", progress: DataFrame | None = None, identities: DataFrame | None = None) -> bool:
+    def append(self, batch: int, records: DataFrame, *, stream: str = "", query: str | None = None, progress: DataFrame | None = None, identities: DataFrame | None = None) -> bool:
         """Commits records (with scene_id and seq), producers' progress and layer identities as one batch of a stream; False if it was committed before.
 
-        The version is looked up again before the commit: where the log was replaced meanwhile, the batch goes to the new version.
+        query: who commits; a stream that another query has committed to raises OtherQuery. Where the log was replaced or appended to meanwhile, the batch goes after that.
         """
-        if self.committed(batch, stream):
-            return False
-        base = f"{self.path}/batches/{stream or 'main'}-{batch}-{uuid.uuid4().hex}"
-        records.write.parquet(f"{base}/records")
-        if progress is not None:
-            progress.write.parquet(f"{base}/progress")
-        if identities is not None:
-            identities.write.parquet(f"{base}/identities")
-        token = self.token()
-        self._commit(token, stream, batch, max(token.epoch, 1), base)
-        return True
+        base = ""
+        while True:
+            token, commits = self._seen()
+            others = self.manifest().filter((F.col("stream") == stream) & F.col("query").isNotNull() & (F.col("query") != F.lit(query)))
+            if query is not None and not others.isEmpty():
+                raise OtherQuery(f"stream {stream!r} belongs to another query")
+            if self.committed(batch, stream):
+                return False
+            if not base:
+                base = f"{self.path}/batches/{stream or 'main'}-{batch}-{uuid.uuid4().hex}"
+                records.write.parquet(f"{base}/records")
+                if progress is not None:
+                    progress.write.parquet(f"{base}/progress")
+                if identities is not None:
+                    identities.write.parquet(f"{base}/identities")
+                continue  # the state may have changed while the records were written
+            if self._commit(commits + 1, token, stream, query, batch, max(token.epoch, 1), base):
+                return True
 
     def _tables(self, kind: str, token: Token) -> list[str]:
         rows = self.manifest().filter(f"version = {token.version}").select("base").collect()  # one row a batch of one version
@@ -108,7 +144,7 @@ class LogStore:
     def replace(self, records: DataFrame, *, expected: Token, progress: DataFrame | None = None) -> Token:
         """A new version that holds `records` alone, in a new replay epoch; fails if the log is not as expected, appended batches included.
 
-        Progress and identities stay. The check is made before the records are written and again before the commit.
+        Progress and identities stay. The check is made before the records are written and again with the commit.
         """
         if self.token() != expected:
             raise StaleToken(f"expected {expected}, found {self.token()}")
@@ -118,9 +154,9 @@ class LogStore:
         for name, rows in side.items():
             if rows is not None:
                 rows.write.parquet(f"{base}/{name}")
-        if self.token() != expected:
+        now, commits = self._seen()
+        if now != expected or not self._commit(commits + 1, Token(expected.version + 1, expected.epoch + 1, 0), None, None, None, expected.epoch + 1, base):
             raise StaleToken(f"expected {expected}, found {self.token()}")
-        self._commit(Token(expected.version + 1, expected.epoch + 1, 0), None, None, expected.epoch + 1, base)
         return self.token()
 
     def compact(self, reduce: Callable[[DataFrame], DataFrame], *, tries: int = 3, least_new: int = 1) -> Token:

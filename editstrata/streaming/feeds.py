@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,12 +48,22 @@ def presence(log: DataFrame, *, gap: str = "5 minutes", late: str = "10 minutes"
     return rows.groupBy("client_id", F.session_window("ts", gap).alias("span")).agg(F.count("*").alias("n")).select("client_id", F.col("span.start").alias("since"), F.col("span.end").alias("until"), "n")
 
 
-def committed_to(store: LogStore, stream: DataFrame, checkpoint: str, *, each: Callable[[DataFrame], tuple[DataFrame, DataFrame | None]] | None = None, once: bool = True, every: str = "1 second", name: str = "") -> StreamingQuery:
-    """Appends each micro-batch to the store, at most once by the stream's name and its batch id. once: all that is there now, then end; else every so often."""
+def _query_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the query that owns a checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+
+
+def committed_to(store: LogStore, stream: DataFrame, checkpoint: str, *, name: str, each: Callable[[DataFrame], tuple[DataFrame, DataFrame | None]] | None = None, once: bool = True, every: str = "1 second") -> StreamingQuery:
+    """Appends each micro-batch to the store, at most once by the stream's name and its batch id. once: all that is there now, then end; else every so often.
+
+    The name is the stream's in the store. A query with another checkpoint under a name that is taken fails, as its batches would count as committed.
+    """
+    if not name:
+        raise ValueError("a stream needs a name")
 
     def save(batch: DataFrame, batch_id: int) -> None:
         records, progress = each(batch) if each else (batch, None)
-        store.append(batch_id, records, stream=name, progress=progress)
+        store.append(batch_id, records, stream=name, query=_query_of(store.spark, checkpoint), progress=progress)
 
     writer = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

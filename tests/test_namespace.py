@@ -6,7 +6,7 @@ import random
 import pytest
 
 from editstrata.functions import math3d
-from editstrata.operators import diff, running
+from editstrata.operators import renames, running
 from editstrata.plans.full_log import full_edits
 
 
@@ -33,10 +33,54 @@ def folded(rows):
 def test_namespace(spark, sf_dir):
     log = full_edits(spark, sf_dir)
     rows = log.filter("k in ('ensure_prim', 'delete_prim', 'rename_prim')").select("scene_id", "seq", "k", "prim", "type_name", "new_name").collect()
-    got = {(r.scene_id, r.prim, r.type_name) for r in diff.namespace(log).collect()}
+    got = {(r.scene_id, r.prim, r.type_name) for r in renames.namespace(log).collect()}
     assert got == folded(rows)
 
 
+SCHEMA = "scene_id string, seq long, k string, prim string, type_name string, new_name string"
+
+
+def random_moves(seed, n):
+    rng = random.Random(seed)
+    names, rows = list("abc"), []
+    for seq in range(1, n + 1):
+        path = "/" + "/".join(rng.choice(names) for _ in range(rng.randint(1, 3)))
+        k = rng.choices(["ensure_prim", "rename_prim", "delete_prim"], [5, 6, 1])[0]
+        rows.append((f"s{rng.randrange(3)}", seq, k, path, f"T{seq}" if k == "ensure_prim" else None, f"n{seq}" if k == "rename_prim" else None))
+        if rng.random() < 0.3:  # back to a path that renames have freed, below new names, too
+            names = [*names[-6:], f"n{rng.randint(1, seq)}"]
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_moves(spark, seed):
+    """Subtrees move again and again, names come back, prims are made again where others were moved away; whole and in three batches."""
+    rows = random_moves(seed, 260)
+    log = spark.createDataFrame(rows, SCHEMA)
+    want = folded(log.collect())
+    assert {(r.scene_id, r.prim, r.type_name) for r in renames.namespace(log).collect()} == want
+    state = None
+    for low, high in ((0, 70), (70, 150), (150, 999)):
+        state = renames.namespace(log.filter(f"seq > {low} and seq <= {high}"), state)
+    assert {(r.scene_id, r.prim, r.type_name) for r in state.collect()} == want
+
+
+def test_many_renames_of_one_subtree(spark):
+    """10,000 renames: 15 levels, whatever their number."""
+    n = 10_000
+    moves = spark.range(1, n + 1).selectExpr("'s' as scene_id", "id as seq", "concat('/W/n', id - 1) as source", "concat('/W/n', id) as target")
+    paths = spark.createDataFrame([("s", -1, "/W/n0"), ("s", -1, "/W/n0/x/y"), ("s", 4000, "/W/n4000/z"), ("s", 5000, "/W/n0"), ("s", n, f"/W/n{n}"), ("t", 1, "/W/n1")], "scene_id string, seq long, path string")
+    got = {(r.scene_id, r.seq, r.path.count("/")): (r.path, r.moved_at) for r in renames.moved(paths, moves).collect()}
+    assert got == {("s", -1, 2): (f"/W/n{n}", n), ("s", -1, 4): (f"/W/n{n}/x/y", n), ("s", 4000, 3): (f"/W/n{n}/z", n), ("s", 5000, 2): ("/W/n0", None), ("s", n, 2): (f"/W/n{n}", None), ("t", 1, 2): ("/W/n1", None)}
+
+
+def test_dependencies_move(spark):
+    deps = spark.createDataFrame([("s", "/A/x", 1, "a.usd"), ("s", "/B", 2, "b.usd"), ("s", "/A/y", 9, "c.usd")], "scene_id string, prim string, seq long, asset_path string")
+    moves = spark.createDataFrame([("s", 3, "/A", "/C"), ("s", 4, "/C/x", "/C/z"), ("s", 5, "/B", None)], "scene_id string, seq long, source string, target string")
+    assert {(r.prim, r.asset_path) for r in renames.moved_dependencies(deps, moves).collect()} == {("/C/z", "a.usd"), ("/A/y", "c.usd")}
+    assert renames.moved_dependencies(deps, moves.limit(0)).count() == 3
+
+
 @pytest.mark.parametrize("groups", [1, 7])
 def test_running(spark, groups):
     """Sums, runs and ranks in parts; gaps in the order, empty parts, null values."""

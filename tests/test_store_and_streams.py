@@ -123,7 +123,7 @@ def test_committed_feed(spark, tmp_path, sf_dir):
     store = LogStore(spark, f"file://{tmp_path}/log")
     schema = "scene_id string, seq long, k string, prim string, client_id string, ts timestamp"
     for _ in range(2):
-        feeds.committed_to(store, feeds.parquet_feed(spark, f"file://{tmp_path}/in", schema, files_per_trigger=1), f"file://{tmp_path}/ck").awaitTermination(120)
+        feeds.committed_to(store, feeds.parquet_feed(spark, f"file://{tmp_path}/in", schema, files_per_trigger=1), f"file://{tmp_path}/ck", name="feed").awaitTermination(120)
     assert store.read().count() == log.count() == store.read().select("seq").distinct().count()
     got = drained(feeds.dirty_prims(feeds.parquet_feed(spark, f"file://{tmp_path}/in", schema)), f"file://{tmp_path}", "dirty", spark, "complete")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, feeds.dirty_prims(log).collect()))
@@ -135,3 +135,32 @@ def test_committed_feed(spark, tmp_path, sf_dir):
 def json_like(spark):
     rows = [{"scene_id": "s", "seq": 1, "client_id": "c", "session_id": "x", "txn_id": 1, "k": "delete_prim", "prim": "/A"}, {"scene_id": "s", "seq": 2, "client_id": "c", "session_id": "x", "txn_id": 1, "k": "delete_prim", "prim": "bad"}, {"scene_id": "s", "seq": 3, "client_id": "c", "session_id": "x", "txn_id": 2, "k": "delete_prim", "prim": "/A"}]
     return spark.createDataFrame(rows, EDIT_SCHEMA)
+
+
+def test_two_feeds_and_racing_writers(spark, tmp_path):
+    """Two feeds keep all rows; a second checkpoint under a taken name fails; of two writers with one state the later appends after, or may not replace."""
+    for n in (0, 1):
+        spark.range(10).selectExpr("'s' as scene_id", f"id + {10 * n + 1} as seq").coalesce(1).write.parquet(f"file://{tmp_path}/in{n}")
+    store, schema = LogStore(spark, f"file://{tmp_path}/log"), "scene_id string, seq long"
+    for n in (0, 1):
+        feeds.committed_to(store, feeds.parquet_feed(spark, f"file://{tmp_path}/in{n}", schema), f"file://{tmp_path}/ck{n}", name=f"feed{n}").awaitTermination(120)
+    assert sorted(r.seq for r in store.read().collect()) == list(range(1, 21))
+    with pytest.raises(ValueError):
+        feeds.committed_to(store, feeds.parquet_feed(spark, f"file://{tmp_path}/in0", schema), f"file://{tmp_path}/ck2", name="")
+    with pytest.raises(Exception, match="OtherQuery|belongs to another"):
+        feeds.committed_to(store, feeds.parquet_feed(spark, f"file://{tmp_path}/in0", schema), f"file://{tmp_path}/ck2", name="feed0").awaitTermination(120)
+    rows = spark.createDataFrame([("s", 99)], schema)
+    other, seen = LogStore(spark, store.path), store._seen
+    first = seen()
+
+    def late():  # the state as it was before the other writer's commit, once
+        store._seen = seen
+        return first
+
+    start = store.token()
+    assert other.append(7, rows, stream="other")
+    store._seen = late
+    with pytest.raises(StaleToken):
+        store.replace(rows, expected=start)
+    store._seen = late
+    assert store.append(8, rows, stream="third") and store.read().count() == 22 and store.manifest().count() == 4
