@@ -46,8 +46,13 @@ def composed_twice(log: DataFrame, layers: DataFrame, upto: int) -> DataFrame:
     last = own.filter("field != ''").groupBy(*LAYER, "prim", "field", "time", "rank").agg(F.max_by("value", early).alias("_old"), F.max(early).alias("_at"), F.max_by("value", "seq").alias("_new"), F.max("seq").alias("seq"))
     last = last.join(_killed(last, _kills(own, early)), [*LAYER, "prim"], "left")
     was, is_ = F.coalesce(F.col("_at") > F.coalesce("killed_early", F.lit(-1)), F.lit(False)), F.col("seq") > F.coalesce("killed", F.lit(-1))
+    return compared(last.withColumns({"_was": was, "_is": is_}))
+
+
+def compared(last: DataFrame) -> DataFrame:
+    """scene_id, prim, field, time, old_value, new_value, was and is of two composed states, from each layer's _old and _new value, its rank, and whether it stands in either (_was, _is)."""
     domain = Window.partitionBy("scene_id", "prim", "field", F.col("time").isNull())
-    best = last.withColumns({"_r": F.when(was, F.col("rank")), "_s": F.when(is_, F.col("rank"))}).withColumns({"_o": F.min("_r").over(domain), "_n": F.min("_s").over(domain)})
+    best = last.withColumns({"_r": F.when(F.col("_was"), F.col("rank")), "_s": F.when(F.col("_is"), F.col("rank"))}).withColumns({"_o": F.min("_r").over(domain), "_n": F.min("_s").over(domain)})
     best = best.filter("_r = _o or _s = _n")
     return best.groupBy("scene_id", "prim", "field", "time").agg(F.max_by("_old", F.when(F.expr("_r = _o"), 1)).alias("old_value"), F.max_by("_new", F.when(F.expr("_s = _n"), 1)).alias("new_value"), F.max(F.expr("_r = _o")).alias("was"), F.max(F.expr("_s = _n")).alias("is"))
 

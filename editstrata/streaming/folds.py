@@ -6,6 +6,7 @@ arrival first; across batches the source's order holds. The batch twins are in o
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -14,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ADMITTED = "client_id string, session_id string, txn_id long, arrival long, outcome string, expected long"
-RECEIVED = "receiver_id string, generation long, seq long, arrival long, outcome string"
+COALESCED = "client_id string, session_id string, seq long, k string, prim string, time double, field string, value double"
+RECEIVED = "receiver_id string, kind string, generation long, seq long, arrival long, outcome string"
 LIMITED = "client_id string, arrival double, wait double"
 PLAYED = "scene_id string, seq long, client_id string, action string, ok boolean, leader string, time double, playing boolean, rate double"
 
@@ -41,30 +43,89 @@ def admission(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("client_id", "session_id").applyInPandasWithState(fold, ADMITTED, "through long", "append", GroupStateTimeout.NoTimeout)
 
 
-def receiver_contract(rows: DataFrame) -> DataFrame:
-    """accepted, duplicate, gap or stale for each row of a receiver: numbers extend by one, older generations are stale, a new one restarts after its first number."""
+def receiver_contract(rows: DataFrame, *, capacity: int = 10_000) -> DataFrame:
+    """Outcome of each row (receiver_id, kind, generation, seq, arrival) that reaches a receiver: accepted, invalid, stale, duplicate, gap or full.
+
+    A connect row makes its generation the receiver's; rows of every other generation, older or newer, are stale. Events extend the numbers by one, over a
+    reconnection too; a resync row lets them begin at 1 again. Both wait in an inbox of `capacity`; a taken row removes as many as its seq says. What finds it full is not
+    accepted, and its number stays expected. Without a connect row before, the first row's generation counts.
+    """
 
     def fold(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        generation, last = state.get if state.exists else (-1, 0)
         got = _in_order(frames, "arrival")
+        generation, last, held = state.get if state.exists else (int(got.generation.iloc[0]), 0, 0)
         outcome = []
-        for g, s in zip(got.generation, got.seq, strict=True):
-            if g < generation:
-                outcome.append("stale")
-                continue
-            if g > generation:
-                generation = g
-            if s <= last:
-                outcome.append("duplicate")
-            elif s == last + 1:
-                outcome.append("accepted")
-                last = s
+        for kind, g, s in zip(got.kind, got.generation, got.seq, strict=True):
+            told = "accepted"
+            if kind == "connect":
+                generation = int(g)
+            elif kind == "event" and s < 1:
+                told = "invalid"
+            elif g != generation:
+                told = "stale"
+            elif kind == "taken":
+                held = max(0, held - int(s))
+            elif kind == "event" and s <= last:
+                told = "duplicate"
+            elif kind == "event" and s != last + 1:
+                told = "gap"
+            elif held >= capacity:
+                told = "full"
             else:
-                outcome.append("gap")
-        state.update((int(generation), int(last)))
-        yield got[["receiver_id", "generation", "seq", "arrival"]].assign(outcome=outcome)
+                held += 1
+                last = 0 if kind == "resync" else int(s)
+            outcome.append(told)
+        state.update((int(generation), int(last), int(held)))
+        yield got[["receiver_id", "kind", "generation", "seq", "arrival"]].assign(outcome=outcome)
+
+    return rows.groupBy("receiver_id").applyInPandasWithState(fold, RECEIVED, "generation long, last long, held long", "append", GroupStateTimeout.NoTimeout)
+
+
+def coalescing_window(log: DataFrame, *, seconds: float) -> DataFrame:
+    """Edits (client_id, session_id, seq, k, prim, time, field, value) with transforms held back and merged, by session.
 
-    return rows.groupBy("receiver_id").applyInPandasWithState(fold, RECEIVED, "generation long, last long", "append", GroupStateTimeout.NoTimeout)
+    Transforms wait until `seconds` of processing time have passed since the first that is held; then, or before any edit of another kind, they go out as one merged batch: of a field
+    the last value, with the seq of its prim's first one (see reduce.coalesced_transforms). Other edits pass at once. The held values and the deadline are state, so a restart loses nothing;
+    a timer sends them without a further edit. seconds 0 holds nothing beyond a micro-batch. `log` is a stream that has the edits of a session in order of seq.
+    """
+
+    def merged(held: list[list[Any]]) -> list[list[Any]]:
+        first: dict[tuple[Any, ...], int] = {}
+        last: dict[tuple[Any, ...], Any] = {}
+        for seq, prim, time, field, value in held:
+            first.setdefault((prim, time), seq)
+            last[prim, time, field] = value
+        return [[first[p, t], "set_xform_trs", p, t, f, v] for (p, t, f), v in last.items()]
+
+    def fold(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs()
+        held, deadline = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        out: list[list[Any]] = []
+        if not state.hasTimedOut:
+            for r in _in_order(frames, "seq").itertuples(index=False):
+                clean = [None if pd.isna(x) else x for x in (r.prim, r.time, r.field, r.value)]
+                if r.k == "set_xform_trs":
+                    deadline = deadline if held else now + int(seconds * 1000)
+                    held.append([int(r.seq), *clean])
+                    continue
+                out += merged(held)
+                held = []
+                out.append([int(r.seq), r.k, *clean])
+        if held and now >= deadline:
+            out += merged(held)
+            held = []
+        if held:  # of a field only the last value is kept
+            slim = {(p, t, f): [s, p, t, f, v] for s, p, t, f, v in merged_order(held)}
+            state.update((json.dumps(list(slim.values())), deadline))
+            state.setTimeoutDuration(max(1, deadline - now))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([[*key, *x] for x in out], columns=["client_id", "session_id", "seq", "k", "prim", "time", "field", "value"])
+
+    def merged_order(held: list[list[Any]]) -> list[list[Any]]:
+        return [[s, p, t, f, v] for s, _, p, t, f, v in merged(held)]
+
+    return log.groupBy("client_id", "session_id").applyInPandasWithState(fold, COALESCED, "held string, deadline long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def rate_limit(requests: DataFrame, *, rate: float, burst: int) -> DataFrame:

@@ -1,10 +1,12 @@
 """The log store, and stateful streams against their batch twins."""
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from editstrata.operators import sequence
+from editstrata.operators import reduce, sequence
 from editstrata.plans.order_queries import arrivals
 from editstrata.sources.edit_log import EDIT_SCHEMA, dumped, edits, json_lines, stack_samples
 from editstrata.sources.log_store import LogStore, StaleToken
@@ -109,11 +111,50 @@ def test_limits_and_playback(spark, tmp_path):
 
 
 def test_receiver_stream(spark, tmp_path):
-    schema = "receiver_id string, generation long, seq long, arrival long"
-    rows = [("r", 1, 1, 1), ("r", 1, 2, 2), ("r", 1, 2, 3), ("r", 1, 5, 4), ("r", 2, 3, 5), ("r", 1, 4, 6), ("r", 2, 4, 7)]
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{tmp_path}/r")
-    got = sorted(drained(folds.receiver_contract(feeds.parquet_feed(spark, f"file://{tmp_path}/r", schema)), f"file://{tmp_path}", "received", spark).collect(), key=lambda r: r.arrival)
-    assert [r.outcome for r in got] == ["accepted", "accepted", "duplicate", "gap", "accepted", "stale", "accepted"]
+    """Generations, a gap, a resync, a full inbox, in two micro-batches."""
+    schema = "receiver_id string, kind string, generation long, seq long, arrival long"
+    parts = [[("event", 1, 1), ("event", 1, 2), ("event", 1, 2), ("event", 1, 5), ("event", 2, 3), ("event", 1, 0)], [("connect", 2, 0), ("event", 1, 3), ("event", 2, 3), ("event", 2, 4), ("taken", 2, 2), ("event", 2, 4), ("resync", 2, 0), ("event", 2, 1)]]
+    arrival = 0
+    for n, part in enumerate(parts):
+        rows = [("r", k, g, s, arrival + i) for i, (k, g, s) in enumerate(part)]
+        arrival += len(part)
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{tmp_path}/r/p{n}")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        for f in (tmp_path / f"r/p{n}").glob("part-*"):
+            (tmp_path / "in" / f"{n}-{f.name}").write_bytes(f.read_bytes())
+        q = folds.receiver_contract(feeds.parquet_feed(spark, f"file://{tmp_path}/in", schema), capacity=3).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = sorted(spark.read.parquet(f"file://{tmp_path}/out").collect(), key=lambda r: r.arrival)
+    assert [r.outcome for r in got] == ["accepted", "accepted", "duplicate", "gap", "stale", "invalid", "accepted", "stale", "accepted", "full", "accepted", "accepted", "accepted", "full"]
+
+
+def test_coalescing_window(spark, tmp_path):
+    """What comes out over random micro-batches is what the batch operator gives by session; a timer sends what nothing follows."""
+    rnd = random.Random(4)
+    schema = "client_id string, session_id string, seq long, k string, prim string, time double, field string, value double"
+    rows = [(rnd.choice("ab"), "s", q, *(("set_xform_trs", rnd.choice(["/A", "/B"]), rnd.choice([None, 1.0]), rnd.choice("ts"), float(q)) if rnd.random() < 0.8 else ("delete_prim", "/A", None, "", None))) for q in range(1, 121)]
+    rows += [(c, "s", 200, "delete_prim", "/Z", None, "", None) for c in "ab"]
+    out = []
+    for n, (low, high) in enumerate(((0, 31), (31, 33), (33, 90), (90, 999))):
+        spark.createDataFrame([r for r in rows if low < r[2] <= high], schema).coalesce(1).write.parquet(f"file://{tmp_path}/c/p{n}")
+        (tmp_path / "cin").mkdir(exist_ok=True)
+        for f in (tmp_path / f"c/p{n}").glob("part-*"):
+            (tmp_path / "cin" / f"{n}-{f.name}").write_bytes(f.read_bytes())
+        q = folds.coalescing_window(feeds.parquet_feed(spark, f"file://{tmp_path}/cin", schema), seconds=3600).writeStream.format("parquet").option("path", f"file://{tmp_path}/cout").option("checkpointLocation", f"file://{tmp_path}/cck").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = spark.read.parquet(f"file://{tmp_path}/cout").collect()
+    log = spark.createDataFrame(rows, schema).withColumn("scene_id", F.col("client_id"))
+    want = {(r.scene_id, r.seq, r.prim, r.time, r.field, r.value) for r in reduce.coalesced_transforms(log).collect()}
+    assert {(r.client_id, r.seq, r.prim, r.time, r.field, r.value) for r in got if r.k == "set_xform_trs"} == want
+    assert sorted((r.client_id, r.seq) for r in got if r.k != "set_xform_trs") == sorted((r[0], r[2]) for r in rows if r[3] != "set_xform_trs")
+    spark.createDataFrame([("a", "s", 1, "set_xform_trs", "/A", None, "t", 1.0)], schema).coalesce(1).write.parquet(f"file://{tmp_path}/tin")
+    q = folds.coalescing_window(feeds.parquet_feed(spark, f"file://{tmp_path}/tin", schema), seconds=1).writeStream.format("memory").queryName("timed").option("checkpointLocation", f"file://{tmp_path}/tck").trigger(processingTime="500 milliseconds").start()
+    for _ in range(60):
+        if spark.table("timed").count():
+            break
+        time.sleep(1)
+    q.stop()
+    assert [(r.seq, r.value) for r in spark.table("timed").collect()] == [(1, 1.0)]
 
 
 def test_committed_feed(spark, tmp_path, sf_dir):
