@@ -111,10 +111,10 @@ def snapshot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Each prim through the moves after it, one after another; of what ends at one path the last that came there.
 NAMESPACE_SQL = FULL_SQL + """, moves AS (SELECT scene_id, seq, prim AS source, CASE WHEN k = 'rename_prim' THEN regexp_replace(prim, '[^/]+$', '') || new_name END AS target FROM full_log WHERE k IN ('delete_prim', 'rename_prim')),
 made AS (SELECT scene_id, seq, prim AS path, coalesce(type_name, '') AS type_name, 1 AS real FROM full_log WHERE k = 'ensure_prim' UNION ALL SELECT scene_id, seq, target, 'Xform', 0 FROM moves WHERE target IS NOT NULL),
-walk AS (SELECT *, seq AS at FROM made UNION ALL SELECT w.scene_id, w.seq, m.target || substr(w.path, length(m.source) + 1), w.type_name, w.real, m.seq FROM walk w JOIN moves m ON m.scene_id = w.scene_id AND m.seq > w.at AND (w.path = m.source OR starts_with(w.path, m.source || '/'))
-  WHERE w.path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM moves x WHERE x.scene_id = w.scene_id AND x.seq > w.at AND x.seq < m.seq AND (w.path = x.source OR starts_with(w.path, x.source || '/')))),
-ends AS (SELECT scene_id, seq, real, arg_max({'p': path}, at)['p'] AS path, any_value(type_name) AS type_name, max(at) AS at FROM walk GROUP BY 1, 2, 3)
-SELECT scene_id, path AS prim, arg_max(type_name, (at, real, seq)) AS type_name FROM ends WHERE path IS NOT NULL GROUP BY 1, 2"""
+walk AS (SELECT *, seq AS moment FROM made UNION ALL SELECT w.scene_id, w.seq, m.target || substr(w.path, length(m.source) + 1), w.type_name, w.real, m.seq FROM walk w JOIN moves m ON m.scene_id = w.scene_id AND m.seq > w.moment AND (w.path = m.source OR starts_with(w.path, m.source || '/'))
+  WHERE w.path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM moves x WHERE x.scene_id = w.scene_id AND x.seq > w.moment AND x.seq < m.seq AND (w.path = x.source OR starts_with(w.path, x.source || '/')))),
+ends AS (SELECT scene_id, seq, real, arg_max({'p': path}, moment)['p'] AS path, any_value(type_name) AS type_name, max(moment) AS moment FROM walk GROUP BY 1, 2, 3)
+SELECT scene_id, path AS prim, arg_max(type_name, (real, moment, seq)) AS type_name FROM ends WHERE path IS NOT NULL GROUP BY 1, 2"""
 NAMESPACE_SQL = NAMESPACE_SQL.replace("WITH o0", "WITH RECURSIVE o0", 1)
 
 

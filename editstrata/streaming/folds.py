@@ -86,7 +86,7 @@ def coalescing_window(log: DataFrame, *, seconds: float) -> DataFrame:
 
     Transforms wait until `seconds` of processing time have passed since the first that is held; then, or before any edit of another kind, they go out as one merged batch: of a field
     the last value, with the seq of its prim's first one (see reduce.coalesced_transforms). Other edits pass at once. The held values and the deadline are state, so a restart loses nothing;
-    a timer sends them without a further edit. seconds 0 holds nothing beyond a micro-batch. `log` is a stream that has the edits of a session in order of seq.
+    a timer sends them without a further edit, in micro-batches without data; a run that shall end with what is there now turns these off. seconds 0 holds nothing beyond a micro-batch. `log` is a stream that has the edits of a session in order of seq.
     """
 
     def merged(held: list[list[Any]]) -> list[list[Any]]:

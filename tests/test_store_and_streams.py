@@ -134,7 +134,7 @@ def test_coalescing_window(spark, tmp_path):
     schema = "client_id string, session_id string, seq long, k string, prim string, time double, field string, value double"
     rows = [(rnd.choice("ab"), "s", q, *(("set_xform_trs", rnd.choice(["/A", "/B"]), rnd.choice([None, 1.0]), rnd.choice("ts"), float(q)) if rnd.random() < 0.8 else ("delete_prim", "/A", None, "", None))) for q in range(1, 121)]
     rows += [(c, "s", 200, "delete_prim", "/Z", None, "", None) for c in "ab"]
-    out = []
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else a run over what is there would wait for the timer
     for n, (low, high) in enumerate(((0, 31), (31, 33), (33, 90), (90, 999))):
         spark.createDataFrame([r for r in rows if low < r[2] <= high], schema).coalesce(1).write.parquet(f"file://{tmp_path}/c/p{n}")
         (tmp_path / "cin").mkdir(exist_ok=True)
@@ -142,6 +142,7 @@ def test_coalescing_window(spark, tmp_path):
             (tmp_path / "cin" / f"{n}-{f.name}").write_bytes(f.read_bytes())
         q = folds.coalescing_window(feeds.parquet_feed(spark, f"file://{tmp_path}/cin", schema), seconds=3600).writeStream.format("parquet").option("path", f"file://{tmp_path}/cout").option("checkpointLocation", f"file://{tmp_path}/cck").trigger(availableNow=True).start()
         q.awaitTermination(120)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     got = spark.read.parquet(f"file://{tmp_path}/cout").collect()
     log = spark.createDataFrame(rows, schema).withColumn("scene_id", F.col("client_id"))
     want = {(r.scene_id, r.seq, r.prim, r.time, r.field, r.value) for r in reduce.coalesced_transforms(log).collect()}
