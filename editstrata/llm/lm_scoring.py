@@ -22,7 +22,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,6 +134,7 @@ def cross_entropy_differences(documents: DataFrame, target: Column) -> DataFrame
     """
     spark = documents.sparkSession
     rows = documents.select(F.col("text").alias("text"), F.coalesce(target, F.lit(False)).alias("target"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "text", "target"))  # by content: a task that runs again tells the same
     texts = rows.select("text", "target")
     words, rare = vocabulary(texts)
     plain = sent(spark, words)
@@ -151,7 +151,6 @@ def cross_entropy_differences(documents: DataFrame, target: Column) -> DataFrame
         """A row a text (kind 2) with its tokens and what its classes and frequent pairs add to its losses, and rows of its other pairs (kind 0) and rare words (kind 1), whose number is negative in the background."""
         v, (hot_keys, hot_counts) = known(), hot()
         prior, scale = v.prior(), np.array([1.0, v.scale])
-        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             in_target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for at, hashes, counts in hashed_words(batch.column(0)):
@@ -175,20 +174,20 @@ def cross_entropy_differences(documents: DataFrame, target: Column) -> DataFrame
                         n, o = p_n[is_hot], p_owner[is_hot]
                         sums[m] -= np.bincount(o, n * np.log2((hot_counts[m, place[is_hot]] - n * own[o]) * scale[m] + prior[m, p[is_hot] & ((1 << _BITS) - 1)]), rows)
                 names = ["row", "kind", "key", "k", "doc_id", "t_sum", "b_sum"]
-                here = pa.array(row + np.arange(rows))
-                yield pa.RecordBatch.from_arrays([here, pa.array(np.full(rows, 2, np.int8)), here, pa.array(counts.astype(np.int32)), batch.column(2).slice(at, rows), pa.array(sums[0]), pa.array(sums[1])], names)
+                here, ids = batch.column(3).slice(at, rows), batch.column(2).slice(at, rows)
+                yield pa.RecordBatch.from_arrays([here, pa.array(np.full(rows, 2, np.int8)), here, pa.array(counts.astype(np.int32)), ids, pa.array(sums[0]), pa.array(sums[1])], names)
                 for kind, o, key, n in ((0, p_owner[~is_hot], p[~is_hot], p_n[~is_hot]), (1, r_owner, r_word.view(np.int64), r_n)):
-                    empty = [pa.nulls(len(o), t) for t in (pa.int64(), pa.float64(), pa.float64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(row + o), pa.array(np.full(len(o), kind, np.int8)), pa.array(key), pa.array(np.where(mine[o], n, -n).astype(np.int32)), *empty], names)
-                row += rows
+                    empty, place = [pa.nulls(len(o), pa.float64())] * 2, pa.array(o)
+                    yield pa.RecordBatch.from_arrays([here.take(place), pa.array(np.full(len(o), kind, np.int8)), pa.array(key), pa.array(np.where(mine[o], n, -n).astype(np.int32)), ids.take(place), *empty], names)
 
-    items = rows.select("text", "target", "doc_id").mapInArrow(read, "row long, kind byte, key long, k int, doc_id long, t_sum double, b_sum double")
+    items = rows.select("text", "target", "doc_id", "row").mapInArrow(read, "row long, kind byte, key long, k int, doc_id long, t_sum double, b_sum double")
     counts = pairs.filter(~often).select(F.lit(0).cast("byte").alias("kind"), "key", "t", "b").unionByName(rare.select(F.lit(1).cast("byte").alias("kind"), "key", "t", "b"))
     prior = words.prior()
     classes = spark.createDataFrame([(k, float(prior[0, k]), float(prior[1, k])) for k in range(prior.shape[1])], "class long, t_prior double, b_prior double")
     found = items.join(counts, ["kind", "key"], "left").withColumn("class", F.when(F.col("kind") == 0, F.col("key").bitwiseAND((1 << _BITS) - 1))).join(F.broadcast(classes), "class", "left")
     left = {"t": F.col("t") - F.greatest("k", F.lit(0)), "b": (F.col("b") + F.least("k", F.lit(0))) * words.scale}
     losses = [F.sum(F.when(F.col("kind") == 2, F.col(f"{m}_sum")).otherwise(-F.abs("k") * F.log2(left[m] + F.when(F.col("kind") == 0, F.col(f"{m}_prior")).otherwise(1.0)))).alias(m) for m in ("t", "b")]
-    scored = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max(F.when(F.col("kind") == 2, F.col("k"))).cast("long").alias("n_tokens"), *losses)
-    mean = {f"{name}_loss": F.col(m) / F.greatest("n_tokens", F.lit(1)) for m, name in (("t", "target"), ("b", "background"))}
+    scored = found.groupBy("doc_id", "row").agg(F.max(F.when(F.col("kind") == 2, F.col("k"))).cast("long").alias("n_tokens"), F.count_if(F.col("kind") == 2).alias("copies"), *losses)
+    scored = scored.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))  # repeated rows meet in one sum
+    mean = {f"{name}_loss": F.col(m) / F.col("copies") / F.greatest("n_tokens", F.lit(1)) for m, name in (("t", "target"), ("b", "background"))}
     return scored.withColumns(mean).select("doc_id", "n_tokens", *mean, (F.col("target_loss") - F.col("background_loss")).alias("score"))
