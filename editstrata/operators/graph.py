@@ -129,8 +129,8 @@ def expanded_instancers(rows: DataFrame, hidden: DataFrame) -> DataFrame:
 
 
 def resolved_keys(names: DataFrame, clients: DataFrame, layers: DataFrame) -> DataFrame:
-    """The layer key of a name: as a client's, else as a department's, else as a key itself. The lookups are small and broadcast."""
-    rows = names.join(F.broadcast(clients.select(F.col("client_id").alias("name"), F.col("layer_key").alias("_c"))), "name", "left")
+    """The layer key of a name: as a client's, else as a department's, else as a key itself. The layers are few and broadcast; clients grow with the users, so Spark chooses by their size."""
+    rows = names.join(clients.select(F.col("client_id").alias("name"), F.col("layer_key").alias("_c")), "name", "left")
     keys = layers.select(F.col("layer_key").alias("_k"))
     rows = rows.join(F.broadcast(keys.select(F.col("_k").alias("_d"))), F.col("_d") == F.concat(F.lit("department:"), F.col("name")), "left")
     rows = rows.join(F.broadcast(keys), F.col("_k") == F.col("name"), "left")

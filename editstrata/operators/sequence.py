@@ -124,22 +124,26 @@ def state_outcomes(states: DataFrame, *, key: str) -> DataFrame:
     return rows.withColumn("outcome", outcome).drop("_new", "_run")
 
 
-def swaps(requests: DataFrame, *, generation: str | None = None) -> DataFrame:
+def swaps(requests: DataFrame, *, generation: str | None = None, revisions: DataFrame | None = None) -> DataFrame:
     """Compare-and-set by parent, in order of arrival: a request passes if its base is the parent's revision, which then grows by one.
 
     `requests`: parent_key, arrival, base, and generation where one is given; requests of another generation fail and change nothing.
+    `revisions`: parent_key and revision, where the parents stand now; a parent without one stands at 0.
     Adds accepted and current (the revision before). Folded by parent, one number of state.
     """
     known = F.lit(True) if generation is None else F.coalesce(F.col("generation") == generation, F.lit(False))
-    dealt = requests.select("parent_key", "arrival", "base", known.alias("known")).repartition("parent_key").sortWithinPartitions("parent_key", "arrival")
+    start = F.lit(0).cast("long")
+    if revisions is not None:
+        requests, start = requests.join(revisions.select("parent_key", F.col("revision").alias("_stands")), "parent_key", "left"), F.coalesce("_stands", start)
+    dealt = requests.select("parent_key", "arrival", "base", known.alias("known"), start.alias("start")).repartition("parent_key").sortWithinPartitions("parent_key", "arrival")
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parent, revision = None, 0
         for f in frames:
             ok, seen = [], []
-            for p, b, k in zip(f.parent_key, f.base, f.known, strict=True):
+            for p, b, k, first in zip(f.parent_key, f.base, f.known, f.start, strict=True):
                 if p != parent:
-                    parent, revision = p, 0
+                    parent, revision = p, first
                 seen.append(revision)
                 ok.append(bool(k) and b == revision)
                 revision += int(ok[-1])
