@@ -71,15 +71,14 @@ def moved(paths: DataFrame, moves: DataFrame) -> DataFrame:
         done = hit.select(*columns, F.coalesce("_to", "path").alias("path"), F.coalesce("_when", "moved_at").alias("moved_at"), (F.col("block") + 1).alias("block"))
         return now.filter(~some).select(*columns, "path", "moved_at", "block").unionByName(done)
 
-    while True:
-        last = rules.agg(F.max("block").alias("block")).first()["block"]
-        if last is None:
-            break
-        if last == 0:
-            now = through(now, rules, F.col("block") == 0)
-            break
-        now = through(now, rules, F.col("block") % 2 == 1).withColumn("block", F.expr("block div 2"))
-        now, rules = written(now, "paths"), written(_combined(rules), "rules")
+    last, level = rules.agg(F.max("block").alias("block")).first()["block"], 0
+    while last:
+        now, level = through(now, rules, F.col("block") % 2 == 1).withColumn("block", F.expr("block div 2")), level + 1
+        if level % 2 == 0:
+            now = written(now, "paths")
+        rules, last = written(_combined(rules), "rules"), last // 2
+    if last is not None:
+        now = through(now, rules, F.col("block") == 0)
     return now.select(*columns, "path", "moved_at")
 
 
@@ -89,27 +88,35 @@ def subtree_moves(log: DataFrame) -> DataFrame:
     return log.filter(F.col("k").isin("delete_prim", "rename_prim")).select(SCENE, "seq", F.col("prim").alias("source"), target.alias("target"))
 
 
-NAMESPACE = "scene_id string, prim string, type_name string, seq long, arrived long"
+def placed(log: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """scene_id, path, type_name, real, made and arrived: where each creation of a log stands after all its moves, and when it came there; several may stand at one path.
 
-
-def namespace(log: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """scene_id, prim, type_name, seq and arrived: the prims that the edits of a log leave, made, deleted and renamed with their subtrees.
-
-    Of what ends at one path the last that came there counts (arrived: when it was made or moved there), of what came there together the last that was made; so where a rename
-    moves a prim onto a younger one and a later move takes both along, the younger one's type stays. A renamed prim that no edit made is an Xform where nothing else is. `before`: the namespace that earlier edits left, in the same columns; the log then holds later edits only, so that batches give what one run gives.
+    A rename also makes its target, as an Xform that is not real: it counts only where nothing else stands. `before`: what earlier edits left, from this function; the
+    log then holds later edits only, and the result is that of one run over all.
     """
-    made = log.filter("k = 'ensure_prim'").select(SCENE, "seq", F.col("prim").alias("path"), F.coalesce("type_name", F.lit("")).alias("type_name"), F.lit(1).alias("real"), F.col("seq").alias("made"))
+    none = F.lit(None).cast("long")
     moves = subtree_moves(log)
-    roots = moves.filter("target is not null").select(SCENE, "seq", F.col("target").alias("path"), F.lit("Xform").alias("type_name"), F.lit(0).alias("real"), F.col("seq").alias("made"))
+    made = log.filter("k = 'ensure_prim'").select(SCENE, "seq", F.col("prim").alias("path"), F.coalesce("type_name", F.lit("")).alias("type_name"), F.lit(1).alias("real"), F.col("seq").alias("made"), none.alias("arrived"))
+    roots = moves.filter("target is not null").select(SCENE, "seq", F.col("target").alias("path"), F.lit("Xform").alias("type_name"), F.lit(0).alias("real"), F.col("seq").alias("made"), none.alias("arrived"))
     rows = made.unionByName(roots)
     if before is not None:
-        old = before.select(SCENE, F.lit(-1).cast("long").alias("seq"), F.col("prim").alias("path"), "type_name", F.lit(1).alias("real"), F.col("seq").alias("made"), "arrived")
-        rows = rows.withColumn("arrived", F.lit(None).cast("long")).unionByName(old)
-    else:
-        rows = rows.withColumn("arrived", F.lit(None).cast("long"))
-    ended = moved(rows, moves).withColumn("arrived", F.coalesce("moved_at", "arrived", "seq"))
-    last = F.struct("real", "arrived", "made")  # what an edit made counts before what the rename alone tells
-    return ended.groupBy(SCENE, F.col("path").alias("prim")).agg(F.max_by("type_name", last).alias("type_name"), F.max_by("made", last).alias("seq"), F.max("arrived").alias("arrived"))
+        rows = rows.unionByName(before.withColumn("seq", F.lit(-1).cast("long")).select(rows.columns))
+    ended = moved(rows, moves).withColumn("arrived", F.coalesce("moved_at", "arrived", "made"))
+    return ended.select(SCENE, "path", "type_name", "real", "made", "arrived")
+
+
+def standing(places: DataFrame) -> DataFrame:
+    """scene_id, prim, type_name and seq: of what stands at one path the last that came there counts, of what came there together the last that was made.
+
+    So where a rename moves a prim onto a younger one and a later move takes both along, the younger one's type stays.
+    """
+    last = F.struct("real", "arrived", "made")
+    return places.groupBy(SCENE, F.col("path").alias("prim")).agg(F.max_by("type_name", last).alias("type_name"), F.max_by("made", last).alias("seq"))
+
+
+def namespace(log: DataFrame) -> DataFrame:
+    """scene_id, prim, type_name and seq of the prims that the edits of a log leave, made, deleted and renamed with their subtrees."""
+    return standing(placed(log))
 
 
 def moved_dependencies(dependencies: DataFrame, moves: DataFrame) -> DataFrame:

@@ -129,8 +129,8 @@ def namespace_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, the log given in two parts: the second starts from what the first has left."""
     log = full_edits(spark, sf_dir)
     middle = log.agg(F.expr("max(seq) div 2")).first()[0]
-    first = renames.namespace(log.filter(F.col("seq") <= middle))
-    return renames.namespace(log.filter(F.col("seq") > middle), first).select("scene_id", "prim", "type_name")
+    first = renames.placed(log.filter(F.col("seq") <= middle))
+    return renames.standing(renames.placed(log.filter(F.col("seq") > middle), first)).select("scene_id", "prim", "type_name")
 
 
 @query(FULL_SQL + ", l AS (SELECT DISTINCT layer_key, layer_key = 'department:fx' AS muted FROM full_log) SELECT false AS admissible, CASE WHEN (SELECT count(*) FROM l WHERE layer_key <> 'default') > 0 THEN 'departments need layered replay' ELSE '' END AS reason")

@@ -60,8 +60,8 @@ def test_random_moves(spark):
     assert {(r.scene_id, r.prim, r.type_name) for r in renames.namespace(log).collect()} == want
     state = None
     for low, high in ((0, 60), (60, 999)):
-        state = renames.namespace(log.filter(f"seq > {low} and seq <= {high}"), state)
-    assert {(r.scene_id, r.prim, r.type_name) for r in state.collect()} == want
+        state = renames.placed(log.filter(f"seq > {low} and seq <= {high}"), state)
+    assert {(r.scene_id, r.prim, r.type_name) for r in renames.standing(state).collect()} == want
 
 
 def test_many_renames_of_one_subtree(spark):
