@@ -6,6 +6,8 @@ only where the order of rows matters.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,9 @@ MERGED = ("ensure_prim", "set_xform_trs", "set_point_instancer", "set_gprim_attr
 #: Columns of merging kinds: maps merge by key, sets unite, and of these scalars the last that is given stays.
 MAPS, SETS, GIVEN = ("vals", "selections", "input_types", "primvar_meta", "attr_interp", "connections"), ("fields", "api_schemas"), ("type_name", "info_id", "up_axis")
 
+#: What a reduction carries (see reduced): of is row, prim or spec.
+CARRY = "scene_id string, layer_key string, of string, prim string, spec_path string, seq long, epoch long, barriers long, exact long, cuts long, table_at long, write_at long"
+
 
 def coalesced_transforms(log: DataFrame) -> DataFrame:
     """scene_id, segment, prim, time, seq, field, value: transforms merged inside runs of transforms.
@@ -100,28 +105,53 @@ def with_epochs(log: DataFrame, kills: DataFrame | None = None) -> DataFrame:
     deletions before, and the sample writes to the spec's attribute that come after a living sample table. Only prims with a barrier
     are counted along, in parts of their edits; all others have epoch 0.
     """
-    kills = written(killers(log), "killers") if kills is None else kills
+    return _epochs(log, written(killers(log), "killers") if kills is None else kills)[0]
+
+
+def _epochs(log: DataFrame, kills: DataFrame, carry: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The rows with their epochs, and the counts after them (CARRY, without its `row` rows; None if there are none). `carry`: the counts before them."""
+    spot, spec = ["scene_id", "layer_key", "prim"], ["scene_id", "layer_key", "spec_path"]
     parted = kills.filter("by = 'barrier'").select("scene_id", "layer_key", F.col("path").alias("prim"))
+    parted = parted if carry is None else parted.unionByName(carry.filter("of = 'prim'").select(*spot)).distinct()
     if parted.isEmpty():
-        return log.withColumn("epoch", F.lit(0).cast("long"))
-    spot = ["scene_id", "layer_key", "prim"]
+        return log.withColumn("epoch", F.lit(0).cast("long")), None
+    carry = log.sparkSession.createDataFrame([], CARRY) if carry is None else carry
+    prims, specs_before = carry.filter("of = 'prim'").select(*spot, "barriers", "exact"), carry.filter("of = 'spec'")
     exact = is_exact_deletion(F.col("k"), F.col("removed"))
     plain = log.join(parted, spot, "left_anti").withColumns({"_barriers": F.lit(0).cast("long"), "_exact": F.lit(0).cast("long")})
-    counted = with_running(log.join(parted, spot, "left_semi"), spot, "seq", {"_barriers": is_sample_barrier(F.col("k"), F.col("fields"), F.col("removed")), "_exact": F.coalesce(exact, F.lit(False))}, own=False)
+    sums = {"_barriers": is_sample_barrier(F.col("k"), F.col("fields"), F.col("removed")), "_exact": F.coalesce(exact, F.lit(False))}
+    some = log.join(parted, spot, "left_semi")
+    counted = with_running(some, spot, "seq", sums, own=False).join(prims, spot, "left")
+    counted = counted.withColumns({f"_{c}": F.col(f"_{c}") + F.coalesce(c, F.lit(0)) for c in ("barriers", "exact")}).drop("barriers", "exact")
+    totals = some.select(*spot, *(sums[f"_{c}"].cast("long").alias(c) for c in ("barriers", "exact"))).unionByName(prims).groupBy(*spot).agg(F.sum("barriers").alias("barriers"), F.sum("exact").alias("exact"))
     log = plain.unionByName(counted)
-    specs = log.filter((F.col("k") == "set_sdf_spec_fields") & ~exact).select("scene_id", "layer_key", "spec_path", "seq", (~F.col("dead") & F.array_contains("fields", "timeSamples")).alias("table"), F.lit(False).alias("write"))
-    tables = specs.filter("table").select("scene_id", "layer_key", "spec_path").distinct()
-    writes = written_attributes(log).select("scene_id", "layer_key", F.concat("prim", F.lit("."), "attr").alias("spec_path"), "seq", F.lit(False).alias("table"), F.lit(True).alias("write"))
-    writes = writes.join(tables, ["scene_id", "layer_key", "spec_path"], "left_semi")
-    line = Window.partitionBy("scene_id", "layer_key", "spec_path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    both = specs.unionByName(writes)
+    flags = lambda table, write, base: (table.alias("table"), write.alias("write"), base.cast("long").alias("_base"))
+    no, yes = F.lit(False), F.lit(True)
+    specs = log.filter((F.col("k") == "set_sdf_spec_fields") & ~exact).select(*spec, "prim", "seq", *flags(~F.col("dead") & F.coalesce(F.array_contains("fields", "timeSamples"), no), no, F.lit(None)))
+    tables = specs.filter("table").select(*spec).unionByName(specs_before.filter("table_at is not null").select(*spec)).distinct()
+    writes = written_attributes(log).select("scene_id", "layer_key", F.concat("prim", F.lit("."), "attr").alias("spec_path"), "prim", "seq", *flags(no, yes, F.lit(None)))
+    writes = writes.join(tables, spec, "left_semi")
+    before = specs_before.select(*spec, "prim", F.coalesce("table_at", F.lit(-1)).alias("seq"), *flags(F.col("table_at").isNotNull(), no, F.col("cuts")))
+    before = before.unionByName(specs_before.filter("write_at is not null").select(*spec, "prim", F.col("write_at").alias("seq"), *flags(no, yes, F.lit(0))))
+    line = Window.partitionBy(*spec).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    both = specs.unionByName(writes).unionByName(before)
     both = both.withColumn("_table", F.max(F.when(F.col("table"), F.col("seq"))).over(line)).withColumn("_write", F.max(F.when(F.col("write"), F.col("seq"))).over(line))
-    both = both.withColumn("_cut", F.col("write") & F.coalesce(F.col("_table") > F.coalesce("_write", F.lit(-1)), F.lit(False)))
-    cuts = both.withColumn("_cuts", F.coalesce(F.sum(F.col("_cut").cast("int")).over(line), F.lit(0))).filter("not write").select("scene_id", "layer_key", "spec_path", "seq", "_cuts")
-    spec_rows = log.filter("k = 'set_sdf_spec_fields'").join(cuts, ["scene_id", "layer_key", "spec_path", "seq"], "left").select(*log.columns, "_cuts")
+    both = both.withColumn("_cut", F.col("write") & F.col("_base").isNull() & F.coalesce(F.col("_table") > F.coalesce("_write", F.lit(-1)), no))
+    step = F.coalesce("_base", F.col("_cut").cast("long"))
+    cuts = both.withColumn("_cuts", F.coalesce(F.sum(step).over(line), F.lit(0))).filter("not write and _base is null").select(*spec, "seq", "_cuts")
+    spec_rows = log.filter("k = 'set_sdf_spec_fields'").join(cuts, [*spec, "seq"], "left").select(*log.columns, "_cuts")
     out = log.filter("k <> 'set_sdf_spec_fields'").withColumn("_cuts", F.lit(None).cast("long")).unionByName(spec_rows)
     epoch = F.when(F.col("k").isin(*SAMPLED), F.col("_barriers")).when(F.col("k") == "set_sdf_spec_fields", F.col("_exact") + F.coalesce("_cuts", F.lit(0))).otherwise(0)
-    return out.withColumn("epoch", epoch).drop("_barriers", "_exact", "_cuts")
+    at = lambda flag: F.max(F.when(F.col(flag), F.col("seq")))
+    lines = both.groupBy(*spec).agg(F.coalesce(F.max_by("prim", F.when(F.col("table"), F.col("seq"))), F.max("prim")).alias("prim"), F.sum(step).alias("cuts"), at("table").alias("table_at"), at("write").alias("write_at"))
+    after = _carried(totals, "prim").unionByName(_carried(lines.filter("table_at is not null or cuts > 0"), "spec"))
+    return out.withColumn("epoch", epoch).drop("_barriers", "_exact", "_cuts"), after
+
+
+def _carried(rows: DataFrame, of: str) -> DataFrame:
+    """Rows of CARRY: what is not given is null."""
+    fields = [c.split() for c in CARRY.split(", ")]
+    return rows.withColumn("of", F.lit(of)).select(*((F.col(c) if c == "of" or c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in fields))
 
 
 def _merged(rows: DataFrame, group: list[str]) -> DataFrame:
@@ -174,20 +204,16 @@ def _merged(rows: DataFrame, group: list[str]) -> DataFrame:
     return out.select(*group, F.when(early, F.col("_first")).otherwise(F.col("_last")).alias("seq"), *(columns[c].alias(c) for c in whole))
 
 
-def compacted(log: DataFrame) -> DataFrame:
-    """The fewest edits that replay to the same scene, in the columns of `log`, with epoch.
-
-    `log` has the columns of EDIT_SCHEMA, or those of them that it uses: scene_id, seq, client_id, layer_key, k, prim, time, spec_path,
-    spec_kind, material_purpose, fields, vals, type_name, api_schemas and removed at least. Later edits undo earlier ones (alive), the rest are merged by
-    key and epoch: maps by name, sets united, connections with what was disconnected last, of all else the last edit. A merged edit has the latest
-    seq and author, ensure_prim the first seq, ensure_xform_ops the first edit's. Exact deletions stay apart.
-    """
+def _keyed(log: DataFrame) -> DataFrame:
+    """The log with the columns of the merge key as they count: kinds without a spec, a purpose or a layer of their own have none."""
     log = log.fillna("", ["spec_path", "material_purpose", "layer_key"])
     log = routing_layer(log.filter("k <> 'set_sublayers'"))
     log = log.withColumn("spec_path", F.when(F.col("k").isin("set_sdf_spec_fields", "erase_time_samples"), F.col("spec_path")).otherwise(""))
-    log = log.withColumn("material_purpose", F.when(F.col("k") == "set_material_binding", F.col("material_purpose")).otherwise(""))
-    kills = written(killers(log), "killers")
-    rows = with_epochs(alive(log, kills), kills).filter("not dead").drop("dead")
+    return log.withColumn("material_purpose", F.when(F.col("k") == "set_material_binding", F.col("material_purpose")).otherwise(""))
+
+
+def _merged_living(rows: DataFrame, kills: DataFrame, columns: list[str]) -> DataFrame:
+    """One edit by key and epoch, of living rows that have their epoch."""
     rows = rows.withColumn("_alone", F.when(is_exact_deletion(F.col("k"), F.col("removed")), F.col("seq")))
     group = [*KEY, "epoch", "_alone"]
     if not kills.filter("by = 'specs'").isEmpty():  # a spec of another kind begins anew
@@ -197,7 +223,61 @@ def compacted(log: DataFrame) -> DataFrame:
         specs = rows.filter("k = 'set_sdf_spec_fields'").withColumn("_from", F.when(kind_change, F.col("seq")))
         specs = specs.withColumn("_from", F.max("_from").over(Window.partitionBy(*group))).filter("seq >= _from").drop("_from")
         rows = rows.filter("k <> 'set_sdf_spec_fields'").unionByName(specs)
-    return _merged(rows, group).drop("_alone").select(*log.columns, "epoch")
+    return _merged(rows, group).drop("_alone").select(*columns, "epoch")
+
+
+def compacted(log: DataFrame) -> DataFrame:
+    """The fewest edits that replay to the same scene, in the columns of `log`, with epoch.
+
+    `log` has the columns of EDIT_SCHEMA, or those of them that it uses: scene_id, seq, client_id, layer_key, k, prim, time, spec_path,
+    spec_kind, material_purpose, fields, vals, type_name, api_schemas and removed at least. Later edits undo earlier ones (alive), the rest are merged by
+    key and epoch: maps by name, sets united, connections with what was disconnected last, of all else the last edit. A merged edit has the latest
+    seq and author, ensure_prim the first seq, ensure_xform_ops the first edit's. Exact deletions stay apart.
+    """
+    log = _keyed(log)
+    kills = written(killers(log), "killers")
+    rows = with_epochs(alive(log, kills), kills).filter("not dead").drop("dead")
+    return _merged_living(rows, kills, log.columns)
+
+
+@dataclass(frozen=True)
+class Reduced:
+    """A reduced log and what its reduction must remember to go on: merged edits no longer tell where barriers stood."""
+
+    rows: DataFrame
+    carry: DataFrame
+
+
+def reduced(log: DataFrame, before: Reduced | None = None) -> Reduced:
+    """compacted() in pieces: `log` on top of the reduction of all edits before it gives what one compaction of both gives.
+
+    Every seq of `log` is greater than those before in its scene. The edits before are not needed again: the reduced rows meet the new killers alone, new rows count their epochs on from the
+    carried numbers, and both are merged by key. What is carried is three kinds of rows: epochs other than 0 by edit that stayed, barriers by prim, and by spec the last
+    living sample table, the last write after it and the epochs so far; those of prims and specs of which nothing lives are dropped. Epochs that stay may have other numbers than in one run.
+    Both tables are written to the shared folder.
+    """
+    log = _keyed(log)
+    kills = written(killers(log), "killers")
+    carry = None
+    if before is not None:
+        spec = ["scene_id", "layer_key", "spec_path"]
+        specs = before.carry.filter("of = 'spec'")
+        tables = specs.filter("table_at is not null").select(*spec, "prim", F.col("table_at").alias("seq"), F.lit("set_sdf_spec_fields").alias("k"))
+        living = alive(tables, kills).filter("not dead").select(*spec, F.lit(True).alias("_lives"))
+        specs = specs.join(living, spec, "left").withColumn("table_at", F.when(F.col("_lives"), F.col("table_at"))).select(before.carry.columns)
+        carry = written(before.carry.filter("of = 'prim'").unionByName(specs), "carried")
+    rows, after = _epochs(alive(log, kills), kills, carry)
+    if before is not None:
+        marks = before.carry.filter("of = 'row'").select("scene_id", "seq", F.col("epoch").alias("_epoch"))
+        old = alive(before.rows.select(log.columns), kills).join(marks, ["scene_id", "seq"], "left").withColumn("epoch", F.coalesce("_epoch", F.lit(0).cast("long")))
+        rows = old.select(rows.columns).unionByName(rows)
+    out = written(_merged_living(rows.filter("not dead").drop("dead"), kills, log.columns), "reduced")
+    carried = _carried(out.filter("epoch <> 0"), "row")
+    if after is not None:
+        prims, specs = out.select("scene_id", "layer_key", "prim").distinct(), out.filter("k = 'set_sdf_spec_fields'").select("scene_id", "layer_key", "spec_path").distinct()
+        carried = carried.unionByName(after.filter("of = 'prim'").join(prims, prims.columns, "left_semi").select(carried.columns))
+        carried = carried.unionByName(after.filter("of = 'spec'").join(specs, specs.columns, "left_semi").select(carried.columns))
+    return Reduced(out.drop("epoch"), written(carried, "carry"))
 
 
 def renumbered(log: DataFrame) -> DataFrame:

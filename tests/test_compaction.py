@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from editstrata.operators.reduce import compacted
+from editstrata.operators.reduce import compacted, reduced
 from editstrata.sources.edit_log import EDIT_SCHEMA
 
 SAMPLED = {"set_gprim_attrs", "set_xform_trs", "set_connectable_input", "set_visibility", "set_point_instancer"}
@@ -166,3 +166,22 @@ def test_fold(spark, seed):
     missing, extra = [x for x in want if x not in set(got)], [x for x in got if x not in set(want)]
     assert (missing[:3], extra[:3]) == ([], [])
     assert got == want
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_reduced_in_pieces(spark, seed):
+    """Random logs cut in two or three anywhere: each piece reduced on top of the reduction before is one compaction of all."""
+    rnd = random.Random(40 + seed)
+    kinds = [KINDS, [k for k in KINDS if k in SAMPLED or "sdf" in k or "erase" in k or k == "delete_prim"]][seed]
+    logs = [random_log(rnd, f"s{k}", kinds) for k in range(400)]
+    cuts = [sorted(rnd.randint(0, len(log)) for _ in range(2)) for log in logs]
+    names = spark.createDataFrame([], EDIT_SCHEMA).columns
+    held = None
+    for piece in range(3):
+        rows = [tuple(e.get(c) for c in names) for log, (low, high) in zip(logs, cuts, strict=True) for i, e in enumerate(log) if (i >= low) + (i >= high) == piece]
+        held = reduced(spark.createDataFrame(rows, EDIT_SCHEMA.replace("variant", "double")), held)
+    got = sorted(told(r.asDict()) for r in held.rows.collect())
+    want = sorted(x for log in logs for x in folded(log))
+    missing, extra = [x for x in want if x not in set(got)], [x for x in got if x not in set(want)]
+    assert (missing[:3], extra[:3]) == ([], [])
+    assert got == want
