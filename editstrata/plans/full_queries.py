@@ -24,7 +24,7 @@ living AS (SELECT *, CASE WHEN exact THEN seq END AS alone FROM counted e WHERE
 _KEY = "scene_id, layer_key, prim, k, time, spec_path, material_purpose, epoch, alone"
 
 
-@query(LIVING + f""", heads AS (SELECT {_KEY}, CASE WHEN k IN ('ensure_prim', 'ensure_xform_ops') THEN min(seq) ELSE max(seq) END AS seq, CASE WHEN k = 'ensure_xform_ops' THEN arg_min(client_id, seq) ELSE arg_max(client_id, seq) END AS client_id,
+COMPACTED_SQL = LIVING + f""", heads AS (SELECT {_KEY}, CASE WHEN k IN ('ensure_prim', 'ensure_xform_ops') THEN min(seq) ELSE max(seq) END AS seq, CASE WHEN k = 'ensure_xform_ops' THEN arg_min(client_id, seq) ELSE arg_max(client_id, seq) END AS client_id,
   arg_max(type_name, seq) FILTER (type_name IS NOT NULL) AS type_name, arg_max(info_id, seq) FILTER (info_id IS NOT NULL) AS info_id, arg_max(up_axis, seq) FILTER (up_axis IS NOT NULL) AS up_axis,
   arg_max(flag, seq) AS flag, max(new_name) FILTER (seq = last) AS new_name, max(material_path) FILTER (seq = last) AS material_path, max(asset) FILTER (seq = last) AS asset, max(sample) FILTER (seq = last) AS sample,
   coalesce(string_agg(DISTINCT schema_name, ',' ORDER BY schema_name), '') AS schemas FROM (SELECT *, max(seq) OVER (PARTITION BY {_KEY}) AS last FROM living) GROUP BY {_KEY}),
@@ -35,10 +35,11 @@ acts AS (SELECT {_KEY}, 2 * seq AS moment, conn_name AS name, conn_source AS sou
 ends AS (SELECT {_KEY}, name, arg_max(source, moment) FILTER (source IS NOT NULL) AS source, max(moment) % 2 = 1 AS gone FROM acts GROUP BY {_KEY}, name),
 links AS (SELECT {_KEY}, coalesce(string_agg(name || '=' || source, ',' ORDER BY name) FILTER (source IS NOT NULL), '') AS links, coalesce(string_agg(name, ',' ORDER BY name) FILTER (gone), '') AS gone FROM ends GROUP BY {_KEY})
 SELECT h.* EXCLUDE (epoch, alone), coalesce(v.vals, '') AS vals, coalesce(s.selections, '') AS selections, coalesce(l.links, '') AS links, coalesce(l.gone, '') AS gone FROM heads h
-""" + "".join(f"LEFT JOIN {t} {a} ON " + " AND ".join(f"h.{c} IS NOT DISTINCT FROM {a}.{c}" for c in _KEY.split(", ")) + "\n" for t, a in (("vals", "v"), ("sels", "s"), ("links", "l"))))
-def compaction_of_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every kind and payload: one row an edit that stays, its maps and lists as text."""
-    rows = reduce.compacted(full_edits(spark, sf_dir))
+""" + "".join(f"LEFT JOIN {t} {a} ON " + " AND ".join(f"h.{c} IS NOT DISTINCT FROM {a}.{c}" for c in _KEY.split(", ")) + "\n" for t, a in (("vals", "v"), ("sels", "s"), ("links", "l")))
+
+
+def _compacted_texts(rows: DataFrame) -> DataFrame:
+    """One row an edit that stays, its maps and lists as text."""
     text = lambda m, value: F.coalesce(F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), value(e["value"]))), ","), F.lit(""))
     joined = lambda a: F.coalesce(F.array_join(F.array_sort(a), ","), F.lit(""))
     return rows.select(
@@ -48,6 +49,23 @@ def compaction_of_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(COMPACTED_SQL)
+def compaction_of_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind and payload."""
+    return _compacted_texts(reduce.compacted(full_edits(spark, sf_dir)))
+
+
+@query(COMPACTED_SQL)
+def compaction_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three parts of the log by seq, each reduced on top of the reduction before it: the same rows as one compaction of all."""
+    log = full_edits(spark, sf_dir)
+    last = log.agg(F.max("seq")).first()[0] or 0
+    held = None
+    for part in range(3):
+        held = reduce.reduced(log.filter((F.col("seq") > last * part // 3) & (F.col("seq") <= last * (part + 1) // 3)), held)
+    return _compacted_texts(held.rows)
+
+
 @query(LIVING + "SELECT scene_id, layer_key, seq, k, CAST(epoch AS BIGINT) AS epoch FROM living")
 def merge_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits that live, with the epoch that bounds their merging."""

@@ -4,7 +4,7 @@ A store is a folder with `batches` and `versions`, which hold `records`, `progre
 for each commit, numbered without gaps. Readers go by the manifest, so a batch that was written but not committed does not exist. A commit creates the file of the
 next number and never overwrites one: of two writers that both saw the same state one fails to create it, and appends again after what came between, or, replacing, gives up.
 A batch is known by its stream and its number in it, whatever was replaced since, so retries of `foreachBatch` change nothing; a
-replacement has neither. A stream belongs to the query that committed to it first: another one under the same name is an error. All records are read and written by Spark, wherever the store lies.
+replacement has neither. A replacement by `compact_onto` names, in the same commit, the batches that came while it was made, so they go on in the new version. A stream belongs to the query that committed to it first: another one under the same name is an error. All records are read and written by Spark, wherever the store lies.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MANIFEST = "version long, stream string, query string, batch long, epoch long, head long, n long, base string, at timestamp"
+MANIFEST = "number long, version long, stream string, query string, batch long, epoch long, head long, n long, base string, at timestamp"
 
 
 @dataclass(frozen=True)
@@ -60,20 +60,22 @@ class LogStore:
 
     def _seen(self) -> tuple[Token, int]:
         """The newest version's token and the number of all commits, from one reading."""
-        rows = self.manifest().groupBy("version").agg(F.max("epoch").alias("epoch"), F.max("head").alias("head"), F.count("*").alias("commits")).orderBy("version").collect()
+        rows = self.manifest().groupBy("version").agg(F.max("epoch").alias("epoch"), F.max("head").alias("head"), F.count("*").alias("commits"), F.max("number").alias("number")).orderBy("version").collect()
         if not rows:
             return Token(0, 0, 0), 0
         last = rows[-1]
-        return Token(last["version"], last["epoch"], last["head"], last["commits"]), sum(r["commits"] for r in rows)
+        return Token(last["version"], last["epoch"], last["head"], last["commits"]), max(r["number"] for r in rows)
 
     def token(self) -> Token:
         """Of the newest version; zeros for a new store."""
         return self._seen()[0]
 
-    def _commit(self, number: int, token: Token, stream: str | None, query: str | None, batch: int | None, epoch: int, base: str) -> bool:
-        """Adds the commit of that number for what is written at `base`; False if another writer has made it."""
+    def _commit(self, number: int, token: Token, stream: str | None, query: str | None, batch: int | None, epoch: int, base: str, late: list[dict] | None = None) -> bool:
+        """Adds the commit of that number for what is written at `base`, and for `late` batches that go on beside it; False if another writer has made it."""
         at = self.spark.read.parquet(f"{base}/records").agg(F.max("seq").alias("head"), F.count("*").alias("n")).first()
-        row = {"version": token.version, "stream": stream, "query": query, "batch": batch, "epoch": epoch, "head": max(token.head, at["head"] or 0), "n": at["n"], "base": base, "at": datetime.now(UTC).isoformat()}
+        row = {"version": token.version, "stream": stream, "query": query, "batch": batch, "epoch": epoch, "head": max(token.head, at["head"] or 0), "n": at["n"], "base": base}
+        side = {"number": number, "at": datetime.now(UTC).isoformat()}
+        lines = [json.dumps(r | side) for r in (row, *(late or []))]
         folder, files = self._files()
         jvm = self.spark.sparkContext._jvm
         try:
@@ -82,7 +84,7 @@ class LogStore:
             if "AlreadyExists" in str(e.java_exception):
                 return False
             raise
-        out.write((json.dumps(row) + "\n").encode())
+        out.write(("\n".join(lines) + "\n").encode())
         out.close()
         return True
 
@@ -116,10 +118,11 @@ class LogStore:
 
     def _tables(self, kind: str, token: Token) -> list[str]:
         rows = self.manifest().filter(f"version = {token.version}").select("base").collect()  # one row a batch of one version
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        found = [f"{r['base']}/{kind}" for r in rows]
-        return [f for f in found if (p := jvm.org.apache.hadoop.fs.Path(f)).getFileSystem(conf).exists(p)]
+        return [f for r in rows if self._exists(f := f"{r['base']}/{kind}")]
+
+    def _exists(self, path: str) -> bool:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
     def read(self, first: int = 1, last: int | None = None, *, kind: str = "records") -> DataFrame | None:
         """Committed rows of the newest version, records by seq from first to last; None if there are none."""
@@ -176,6 +179,43 @@ class LogStore:
                 continue
         raise StaleToken(f"the log changed during {tries} compactions")
 
+    def compact_onto(self, reduce: Callable[[DataFrame, tuple[DataFrame, DataFrame] | None], tuple[DataFrame, DataFrame]], *, least_new: int = 1) -> Token:
+        """Replaces the log by a reduction that goes on from the one before, at the first try, whatever is appended meanwhile.
+
+        `reduce` gets the records since the last such compaction and its reduced records with what they carry (None if there was none), and gives both anew, as operators.reduce.reduced does.
+        Batches appended while it runs are not in it: the commit names them as part of the new version, and the next compaction reduces them on top. A log that was replaced meanwhile raises StaleToken.
+        A scene's later batches have greater seqs. Nothing happens with fewer than `least_new` records since the last replacement.
+        """
+        start = self.token()
+        rows = self.manifest().filter(f"version = {start.version}").collect()  # one row a batch of one version
+        fresh, held = [r for r in rows if r["stream"] is not None], [r for r in rows if r["stream"] is None]
+        if not rows or sum(r["n"] for r in fresh) < least_new:
+            return start
+        before = None
+        if held and self._exists(f"{held[0]['base']}/carry"):
+            before = tuple(self.spark.read.parquet(f"{held[0]['base']}/{kind}") for kind in ("records", "carry"))
+        new = self.spark.read.parquet(*(f"{r['base']}/records" for r in (fresh if before else rows)))
+        records, carry = reduce(new, before)
+        base = f"{self.path}/versions/{start.version + 1}/{uuid.uuid4().hex}"
+        records.write.parquet(f"{base}/records")
+        carry.write.parquet(f"{base}/carry")
+        known = {r["base"] for r in rows}
+        for kind, key in (("progress", ["client_id", "session_id"]), ("identities", ["identifier"])):
+            files = [f"{b}/{kind}" for b in sorted(known) if self._exists(f"{b}/{kind}")]
+            if files:
+                side = self.spark.read.parquet(*files)
+                side = side.groupBy(*key).agg(F.max("committed_through").alias("committed_through")) if kind == "progress" else side.dropDuplicates(key)
+                side.write.parquet(f"{base}/{kind}")
+        epoch = start.epoch + 1
+        while True:
+            now, commits = self._seen()
+            if now.version != start.version:
+                raise StaleToken(f"expected version {start.version}, found {now}")
+            late = [r.asDict() for r in self.manifest().filter(f"version = {start.version}").collect() if r["base"] not in known]
+            late = [{k: r[k] for k in ("stream", "query", "batch", "head", "n", "base")} | {"version": start.version + 1, "epoch": epoch} for r in late]
+            if self._commit(commits + 1, Token(start.version + 1, epoch, 0), None, None, None, epoch, base, late):
+                return self.token()
+
     def replace_if(self, accepted: Callable[[DataFrame | None], bool], records: DataFrame) -> tuple[bool, Token]:
         """Replaces the log by an upload that `accepted` judges good against it, at one and the same token."""
         start = self.token()

@@ -4,8 +4,9 @@ import random
 
 import pytest
 
-from editstrata.operators.reduce import compacted, reduced
+from editstrata.operators.reduce import Reduced, compacted, reduced
 from editstrata.sources.edit_log import EDIT_SCHEMA
+from editstrata.sources.log_store import LogStore, StaleToken
 
 SAMPLED = {"set_gprim_attrs", "set_xform_trs", "set_connectable_input", "set_visibility", "set_point_instancer"}
 ATTR = {"t": "xformOp:translate", "r": "xformOp:orient", "s": "xformOp:scale"}
@@ -185,3 +186,37 @@ def test_reduced_in_pieces(spark, seed):
     missing, extra = [x for x in want if x not in set(got)], [x for x in got if x not in set(want)]
     assert (missing[:3], extra[:3]) == ([], [])
     assert got == want
+
+
+def test_store_compacts_on_top(spark, tmp_path):
+    """Batches that come during each compaction go on beside it and are reduced by the next; the store ends as one compaction of all."""
+    rnd = random.Random(77)
+    logs = [random_log(rnd, f"s{k}", KINDS) for k in range(60)]
+    names = spark.createDataFrame([], EDIT_SCHEMA).columns
+    schema = EDIT_SCHEMA.replace("variant", "double")
+    batch = lambda low, high: spark.createDataFrame([tuple(e.get(c) for c in names) for log in logs for e in log if low < e["seq"] <= high], schema)
+    store = LogStore(spark, f"file://{tmp_path}/log")
+    progress = lambda n: spark.createDataFrame([("c", "s", n)], "client_id string, session_id string, committed_through long")
+    store.append(1, batch(0, 6), progress=progress(6))
+    late = [(2, 6, 12), (3, 12, 18)]
+
+    def step(new, before):
+        if late:
+            n, low, high = late.pop(0)
+            assert store.append(n, batch(low, high), progress=progress(high))
+        held = reduced(new, before and Reduced(*before))
+        return held.rows, held.carry
+
+    first = store.compact_onto(step)
+    assert (first.version, first.epoch, store.progress().first().committed_through) == (1, 2, 12)
+    assert not store.append(2, batch(6, 12)) and store.read(7, 12).count() == batch(6, 12).count()
+    assert store.compact_onto(step).version == 2
+    store.append(4, batch(18, 99))
+    assert store.compact_onto(step, least_new=10_000).version == 2
+    assert store.compact_onto(step).version == 3 == store.compact_onto(step).version
+    assert store.progress().first().committed_through == 18 and store.token().head == max(e["seq"] for log in logs for e in log)
+    got = sorted(told(r.asDict()) for r in store.read().collect())
+    assert got == sorted(x for log in logs for x in folded(log))
+    with pytest.raises(StaleToken):
+        store.append(5, batch(0, 1))
+        store.compact_onto(lambda new, before: (store.purge(), step(new, before))[1])
