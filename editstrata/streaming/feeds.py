@@ -5,9 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators import compose, diff, sequence
 from ..operators.running import with_rank
@@ -69,6 +69,58 @@ def committed_to(store: LogStore, stream: DataFrame, checkpoint: str, *, name: s
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def parted_to(stream: DataFrame, good: str, dead: str, checkpoint: str, *, test: Column) -> StreamingQuery:
+    """Each micro-batch in two tables: rows that pass `test` under `good`, the others, and those of which it is null, among the dead letters under `dead`.
+
+    A batch is a folder of its number that replaces what a failed run of it left, so each row is in one table once after any retry. Runs over what is there now, then ends.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch = batch.withColumn("_pass", F.coalesce(test, F.lit(False))).persist()
+        try:
+            for path, rows in ((good, batch.filter("_pass")), (dead, batch.filter("not _pass"))):
+                rows.drop("_pass").write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def observed(log: DataFrame, name: str, kinds: list[str]) -> DataFrame:
+    """`log` with metrics that are counted while it runs: rows, prims (about, to 2 %), the least and greatest seq, and the rows of each kind given as n_<kind>. No pass of its own."""
+    counts = [F.count(F.when(F.col("k") == k, True)).alias(f"n_{k}") for k in kinds]
+    return log.observe(name, F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("prim", 0.02).alias("prims"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), *counts)
+
+
+class BatchObserver(StreamingQueryListener):
+    """Calls back after each micro-batch with what observed() counted under a name: told(batch id, metrics). Batches without rows are not told.
+
+    Spark reports a batch after it was committed, so what is told was applied. A batch that a restarted query runs again is told again under its number.
+    An error in the callback is kept in `errors` and stops neither the stream nor later calls.
+    """
+
+    def __init__(self, name: str, told: Callable[[int, dict], None]) -> None:
+        self.name, self.told, self.errors = name, told, []
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.name)
+        if row is None or not row["rows"]:
+            return
+        try:
+            self.told(event.progress.batchId, row.asDict())
+        except Exception as e:
+            self.errors.append(e)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def split_valid(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edits of transactions without a fault, and the faults of the others; one bad transaction does not touch its neighbours."""
     faults = violations(batch)

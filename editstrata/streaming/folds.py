@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ADMITTED = "client_id string, session_id string, txn_id long, arrival long, outcome string, expected long"
+QUARANTINED = ADMITTED + ", quarantined boolean"
 COALESCED = "client_id string, session_id string, seq long, k string, prim string, time double, field string, value double"
 RECEIVED = "receiver_id string, kind string, generation long, seq long, arrival long, outcome string"
 LIMITED = "client_id string, arrival double, wait double"
@@ -43,6 +44,47 @@ def admission(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("client_id", "session_id").applyInPandasWithState(fold, ADMITTED, "through long", "append", GroupStateTimeout.NoTimeout)
 
 
+def quarantine(attempts: DataFrame) -> DataFrame:
+    """admission(), and whether the attempt is quarantined: from its session's first rejected one on, all are. The state is the committed id and whether the session is bad."""
+
+    def fold(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        through, bad = state.get if state.exists else (0, False)
+        rows = _in_order(frames, "arrival")
+        outcome, expected, held = [], [], []
+        for t in rows.txn_id:
+            expected.append(through + 1)
+            outcome.append("duplicate" if t <= through else "committed" if t == through + 1 else "rejected")
+            through = max(through, t) if outcome[-1] == "committed" else through
+            bad = bad or outcome[-1] == "rejected"
+            held.append(bad)
+        state.update((int(through), bool(bad)))
+        yield rows[["client_id", "session_id", "txn_id", "arrival"]].assign(outcome=outcome, expected=expected, quarantined=held)
+
+    return attempts.groupBy("client_id", "session_id").applyInPandasWithState(fold, QUARANTINED, "through long, bad boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def state_outcomes(states: DataFrame, *, key: str) -> DataFrame:
+    """sequence.state_outcomes() as a stream: each state (key, arrival, generation, revision) with before, the greatest revision of its generation's run, and its outcome.
+
+    Another generation than the last arrival's begins a run anew. `key` is a string column; a key's state is two numbers.
+    """
+
+    def fold(name: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        generation, top = state.get if state.exists else (None, None)
+        rows = _in_order(frames, "arrival")
+        before, outcome = [], []
+        for g, r in zip(rows.generation, rows.revision, strict=True):
+            if g != generation:
+                generation, top = int(g), None
+            before.append(top)
+            outcome.append("accepted" if top is None or r > top else "repeated" if r == top else "stale")
+            top = int(r) if top is None else max(top, int(r))
+        state.update((generation, top))
+        yield rows[[key, "arrival", "generation", "revision"]].assign(before=pd.array(before, dtype="Int64"), outcome=outcome)
+
+    return states.groupBy(key).applyInPandasWithState(fold, f"{key} string, arrival long, generation long, revision long, before long, outcome string", "generation long, top long", "append", GroupStateTimeout.NoTimeout)
+
+
 def receiver_contract(rows: DataFrame, *, capacity: int = 10_000) -> DataFrame:
     """Outcome of each row (receiver_id, kind, generation, seq, arrival) that reaches a receiver: accepted, invalid, stale, duplicate, gap or full.
 
