@@ -115,6 +115,7 @@ def _epochs(log: DataFrame, kills: DataFrame, carry: DataFrame | None = None) ->
     parted = parted if carry is None else parted.unionByName(carry.filter("of = 'prim'").select(*spot)).distinct()
     if parted.isEmpty():
         return log.withColumn("epoch", F.lit(0).cast("long")), None
+    log = written(log, "alive")  # read several times below: quantiles, totals, windows, specs and writes
     carry = log.sparkSession.createDataFrame([], CARRY) if carry is None else carry
     prims, specs_before = carry.filter("of = 'prim'").select(*spot, "barriers", "exact"), carry.filter("of = 'spec'")
     exact = is_exact_deletion(F.col("k"), F.col("removed"))
