@@ -64,7 +64,7 @@ class LogStore:
         if not rows:
             return Token(0, 0, 0), 0
         last = rows[-1]
-        return Token(last["version"], last["epoch"], last["head"], last["commits"]), max(r["number"] for r in rows)
+        return Token(last["version"], last["epoch"], last["head"], last["commits"]), max(r["number"] or 0 for r in rows) or sum(r["commits"] for r in rows)  # stores written before commits had numbers
 
     def token(self) -> Token:
         """Of the newest version; zeros for a new store."""
