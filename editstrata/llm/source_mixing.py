@@ -5,15 +5,18 @@ to each dimension's target shares until all marginals agree. A cell's probabilit
 its weight per token times a factor that makes the expected sample as large as asked for, 1 at
 most; a document is taken where a hash of its id falls below its cell's probability.
 
-Only the cell table is iterated over; its rounds are written, so plans stay short.
+Only the cell table is iterated over. Factors of dimensions with few values go out as one array; where a dimension has
+many, its steps are joined and written, so plans stay short.
 Documents are read twice: for the sums, and for the sample, which needs no shuffle.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import fresh, written
@@ -26,6 +29,8 @@ BUDGET = 0.5
 ROUNDS, ERROR = 40, 1e-6
 #: Cells up to this number are broadcast to the documents, more are joined by a shuffle.
 BROADCAST_CELLS = 50_000
+#: Dimensions of up to this number of values have their factors sent as one array, those of more are joined by a shuffle.
+FEW_VALUES = 1_000
 NONE = "(none)"
 
 
@@ -60,29 +65,51 @@ def raked(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]] =
 
     Values that a listed target lacks, "(none)" too, keep their present share, and the listed shares are scaled to the
     rest. Only values listed with 0, and cells without tokens, get weight 0. Where targets
-    contradict each other the last round's weights stay, exact for the last dimension. A round sums the weights by each dimension's values and joins
-    the factors back, so cells are never brought into one task. The joins are by sorted shuffles: a round's many small broadcasts
-    would each take a page of the driver's memory.
+    contradict each other the last round's weights stay, exact for the last dimension. A round sums the weights by each dimension's values, so cells
+    are never brought into one task. The sums of a dimension of up to FEW_VALUES values go to the driver, and its factors come back as
+    one array of logarithms (logarithms, as those of contradicting targets leave the doubles): a job without a join. Those of more values are joined by sorted shuffles.
     """
     dims = list(targets)
-    wanted = cells.filter("tokens > 0").select(*dims, "tokens")
-    shares = {d: written(marginal(wanted, d, targets[d]).filter("_share > 0"), "marginal") for d in dims}
-    now = wanted
+    now = cells.filter("tokens > 0").select(*dims, "tokens")
+    shares = {d: written(marginal(now, d, targets[d]).filter("_share > 0"), "marginal") for d in dims}
+    few: dict[str, dict[int, float]] = {}
     for d in dims:
-        now = now.join(shares[d].select(d).hint("merge"), d, "left_semi")
+        known = shares[d].withColumnRenamed("_share", f"_share_{d}")
+        if known.count() <= FEW_VALUES:
+            known = known.withColumn(f"_code_{d}", F.row_number().over(Window.orderBy(d)))
+            few[d] = {r[0]: r[1] for r in known.select(f"_code_{d}", f"_share_{d}").collect()}
+        now = now.join(known.hint("merge"), d)
     now = written(now.withColumn("weight", F.col("tokens").cast("double")), "rake")
+    logs = {d: [0.0] * len(few[d]) for d in few}
     for _ in range(rounds):
-        off = []
+        off = 0.0
         for d in dims:
-            factor = now.groupBy(d).agg(F.sum("weight").alias("_sum")).join(shares[d].hint("merge"), d).select(d, (F.col("_share") / F.col("_sum")).alias(f"_f_{d}"))
-            now = now.join(factor.hint("merge"), d).withColumn("weight", F.col("weight") * F.col(f"_f_{d}"))
-            off.append(F.abs(F.col(f"_f_{d}") - 1))
-        now = written(now.withColumn("_off", F.greatest(*off) if len(off) > 1 else off[0]).drop(*(f"_f_{d}" for d in dims)), "rake")
-        if not (now.agg(F.max("_off")).first()[0] or 0) > error:
+            weighed = _weighed(now, logs)
+            if d in few:
+                sums = weighed.groupBy(f"_code_{d}").agg(F.sum("weight")).collect()
+                for code, held in sums:
+                    logs[d][code - 1] += math.log(few[d][code] / held)
+                    off = max(off, abs(few[d][code] / held - 1))
+            else:
+                factor = weighed.groupBy(d).agg((F.first(f"_share_{d}") / F.sum("weight")).alias("_factor"))
+                now = weighed.join(factor.hint("merge"), d).withColumn("weight", F.col("weight") * F.col("_factor"))
+                now = written(now.withColumn("_off", F.abs(F.col("_factor") - 1)).drop("_factor"), "rake")
+                off = max(off, now.agg(F.max("_off")).first()[0] or 0.0)
+                now, logs = now.drop("_off"), {x: [0.0] * len(few[x]) for x in few}
+        if not off > error:
             break
-        now = now.drop("_off")
+    now = written(_weighed(now, logs).select(*dims, "tokens", "weight"), "rake")
     total = now.agg(F.sum("weight")).first()[0] or 1.0
-    return now.select(*dims, "tokens", (F.col("weight") / F.lit(total)).alias("weight"))
+    return now.withColumn("weight", F.col("weight") / F.lit(total))
+
+
+def _weighed(now: DataFrame, logs: Mapping[str, list[float]]) -> DataFrame:
+    """The weights times the factors whose logarithms are listed by the values' codes. An array read from text is one literal, so all rounds run the same compiled code."""
+    power = F.lit(0.0)
+    for d, found in logs.items():
+        if any(found):
+            power += F.element_at(F.from_json(F.lit(json.dumps(found)), "array<double>"), F.col(f"_code_{d}"))
+    return now.withColumn("weight", F.col("weight") * F.exp(power))
 
 
 def with_probability(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
@@ -95,7 +122,8 @@ def with_probability(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     low, high = goal / whole["tokens"] / whole["hi"] * 0.5, 2.0 / whole["lo"]
     for _ in range(6):  # each step cuts the bracket to a sixteenth of its logarithm
         tried = [low * (high / low) ** (k / 16) for k in range(17)]
-        got = cells.agg(*(F.sum(F.col("tokens") * F.least(F.lit(1.0), ratio * c)).alias(f"t{k}") for k, c in enumerate(tried))).first()
+        each = cells.select("tokens", ratio.alias("_ratio"), F.posexplode(F.from_json(F.lit(json.dumps(tried)), "array<double>")).alias("_k", "_c"))
+        got = dict(each.groupBy("_k").agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("_ratio") * F.col("_c")))).collect())
         above = next((k for k in range(1, 17) if got[k] >= goal), 16)
         low, high = tried[above - 1], tried[above]
     return cells.withColumn("probability", F.round(F.least(F.lit(1.0), ratio * high), 12))

@@ -75,3 +75,39 @@ def test_sample_follows_the_draw(spark, odd):
     assert all(r.kept == (draws[r.doc_id] < r.probability) for r in got)
     topical = frame.selectExpr("*", "concat('t', doc_id % 2) as topic")
     assert {r.topic for r in source_mixing.mixture(topical).collect()} == {"t0", "t1"}
+
+
+@pytest.mark.parametrize("few", [0, 4])
+def test_dimensions_of_many_values(spark, monkeypatch, few):
+    """Factors joined by shuffles, for all dimensions or for those of over four values, give the weights of plain loops too."""
+    monkeypatch.setattr(source_mixing, "FEW_VALUES", few)
+    rng = np.random.default_rng(7)
+    cells = {(f"s{rng.integers(9)}", str(rng.choice(["en", "de", "xx"])), str(rng.choice(["prose", "table"]))): int(rng.integers(1, 10_000)) for _ in range(40)}
+    frame = spark.createDataFrame([(*k, n) for k, n in cells.items()], "source string, lang string, topic string, tokens long")
+    got = {(r.source, r.lang, r.topic): r.weight for r in source_mixing.raked(frame).collect()}
+    assert got == pytest.approx(plain(cells, source_mixing.TARGETS), abs=1e-9)
+
+
+def test_contradicting_targets(spark):
+    """Factors of a dimension leave the doubles (5e8 to the power of 40), weights do not; nulls take no part."""
+    frame = spark.createDataFrame([("a", "x", 10), ("b", "y", 10), (None, "y", 5)], "source string, lang string, tokens long")
+    got = source_mixing.raked(frame.filter("source is not null"), {"source": {"a": 1e-9, "b": 1.0}, "lang": {"x": 1.0, "y": 1.0}}).collect()
+    assert {r.source: r.weight for r in got} == pytest.approx({"a": 0.5, "b": 0.5}, abs=1e-9)
+    assert {(r.source, r.lang) for r in source_mixing.raked(frame, {"source": 1.0, "lang": 1.0}).collect()} == {("a", "x"), ("b", "y")}
+
+
+def test_rounds_plan_little(spark):
+    """All of a fit's jobs are planned by the driver, whose memory they take: a round has three small ones, of two stages with an exchange between."""
+    rng = np.random.default_rng(5)
+    rows = [(f"s{k}", lang, topic, int(rng.integers(1, 10_000))) for k in range(9) for lang in ("en", "de", "fr") for topic in ("prose", "table")]
+    frame = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    sc, stages = spark.sparkContext, {}
+    for rounds in (1, 4):
+        sc.setJobGroup(f"raking {rounds}", "")
+        try:
+            assert len(source_mixing.raked(frame, rounds=rounds, error=0.0).collect()) == len(rows)
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(f"raking {rounds}")]
+        stages[rounds] = sum(len(job.stageIds) for job in jobs)
+    assert (stages[4] - stages[1]) / 3 <= 9, stages  # a stage that is done counts again where it is read
